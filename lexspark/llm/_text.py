@@ -11,13 +11,16 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
+ARROW_ROWS = 1_000
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -136,14 +139,60 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+@contextmanager
+def cleaning(spark: SparkSession):
+    """Within, Spark deletes an execution's shuffle files when it ends: nothing reads them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+def lean(spark: SparkSession) -> None:
+    """Texts are long: send Python workers no more than ARROW_ROWS of them at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with cleaning(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pack_sorted(x: np.ndarray) -> bytes:
+    """A sorted list of 64-bit values: differences, byte planes apart, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def pack_ids(x: np.ndarray) -> bytes:
+    """Ids of which few differ: a table of them and places in it, compressed."""
+    table, at = np.unique(x, return_inverse=True)
+    kind = np.uint8 if len(table) < 256 else np.uint16 if len(table) < 65536 else np.uint32
+    raw = np.array([len(table), np.dtype(kind).itemsize], np.int64).tobytes() + table.astype(np.int64).tobytes() + at.astype(kind).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def unpack_ids(data: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n, width = np.frombuffer(raw, np.int64, 2)
+    table = np.frombuffer(raw, np.int64, int(n), 16)
+    return table[np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32}[int(width)], offset=16 + 8 * int(n))]
+
+
 def held_out(doc_id, mod: int):
     """True where crc32 of doc_id as text is divisible by mod (null ids count as held out)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == 0, F.lit(True))

@@ -303,6 +303,7 @@ def encode(docs: DataFrame, tokenizer: str, texts: bool = False, digests: bool =
                     cols += [pa.array([packed[a:b].astype(np.int32) for a, b in zip(first[:-1], first[1:])], pa.list_(pa.int32())), pa.array([d.decode() for d in decoded], pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in schema.split(", ")])
 
+    T.lean(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 

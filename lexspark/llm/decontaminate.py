@@ -122,6 +122,7 @@ def _grams(w: np.ndarray, n: int | None = None):
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The columns of docs, contaminated and hits (array<struct<item,score,overlap>>)."""
     spark = docs.sparkSession
+    T.lean(spark)
     items = benchmark.where("item_id is not null and trim(text) <> ''").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     blocks = max(1, math.ceil(items.count() / block_items))
     # 1.5 for the spread of a hash over blocks

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lexspark.llm import _text as T
 
-BATCH_WORDS = 2_000_000
+BATCH_WORDS = 1_000_000
 KAPPA = 20.0
 END, START = np.uint64(0x45_4E_44_5F_54_4F_4B), np.uint64(0x53_54_41_52_54_5F_54)
 
@@ -78,7 +78,7 @@ def _words_of(blocks: int):
             u, c = np.unique(w[~held[row]], return_counts=True)
             edge = np.searchsorted(_block(u, blocks), np.arange(blocks + 1))
             some = np.flatnonzero(np.diff(edge))
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array([x[edge[b] : edge[b + 1]].tobytes() for b in some], pa.binary()) for x in (u, c.astype(np.uint32)))], names=["block", "w", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array([f(x[edge[b] : edge[b + 1]]) for b in some], pa.binary()) for x, f in ((u, T.pack_sorted), (c, _narrow)))], names=["block", "w", "c"])
 
     return run
 
@@ -88,9 +88,9 @@ def _totals(batches):
     n = 0
     for batch in batches:
         for b, w, c in zip(*(x.to_pylist() for x in batch.columns)):
-            held.setdefault(b, []).append(np.frombuffer(w, np.uint64))
-            n += int(np.frombuffer(c, np.uint32).sum(dtype=np.int64))
-    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([sum(len(np.unique(np.concatenate(x))) for x in held.values())], pa.int64())], names=["n", "v"])
+            held.setdefault(b, []).append(w)
+            n += int(_widen(c).sum())
+    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([sum(len(np.unique(np.concatenate([T.unpack_sorted(w) for w in x]))) for x in held.values())], pa.int64())], names=["n", "v"])
 
 
 def _steps(blocks: int):
@@ -125,7 +125,7 @@ def _steps(blocks: int):
                 pos = np.repeat(first[own] - np.concatenate([[0], np.cumsum(cnt)[:-1]]), cnt) + np.arange(int(cnt.sum()))
                 text = r[at[pos]].astype(np.uint32)
                 packed = (cnt.astype(np.uint32), many[pos].astype(np.uint32), text)
-                lines.append([b, batch, u.tobytes(), _narrow(which), pairs[own].tobytes(), _narrow(packed[0]), _narrow(text), _narrow(packed[1]), None, None, None, _narrow(held[text].astype(np.uint8))])
+                lines.append([b, batch, T.pack_sorted(u), _narrow(which), pairs[own].tobytes(), _narrow(packed[0]), _narrow(text), _narrow(packed[1]), None, None, None, _narrow(held[text].astype(np.uint8))])
             lines.append([-1, batch, *[None] * 6, ids.to_pylist(), held.tolist(), size.tolist(), None])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*lines), kinds)], names=names)
 
@@ -156,8 +156,9 @@ def _weigh(n: int, v: int, kappa: float):
                     kept.setdefault(line["block"], []).append(line)
         for b in list(kept):
             lines = kept.pop(b)
-            u, of_word = np.unique(np.concatenate([np.frombuffer(x["w"], np.uint64) for x in lines]), return_inverse=True)
-            base = np.cumsum([0, *(len(x["w"]) // 8 for x in lines)])
+            ws = [T.unpack_sorted(x["w"]) for x in lines]
+            u, of_word = np.unique(np.concatenate(ws), return_inverse=True)
+            base = np.cumsum([0, *map(len, ws)])
             word = np.concatenate([of_word[_widen(x["which"]) + k] for x, k in zip(lines, base)])
             _, of_pair = np.unique(np.concatenate([np.frombuffer(x["pair"], np.uint64) for x in lines]), return_inverse=True)
             n_pair = np.cumsum([0, *(len(x["pair"]) // 8 for x in lines)])
@@ -227,11 +228,13 @@ def score(docs: DataFrame, held, kappa: float = KAPPA) -> DataFrame:
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigrams) and
     score (log10 probability under the automaton)."""
     spark = docs.sparkSession
-    parts = max(1, T.fold(spark) // 2)
-    blocks = 2 * parts
+    T.lean(spark)
+    parts = T.fold(spark)
+    blocks = 4 * parts
     rows = docs.select(F.col("doc_id").cast("long"), held.alias("held"), F.col("text").cast("string"))
     words = rows.where("not held").mapInArrow(_words_of(blocks), "block int, w binary, c binary")
-    got = words.repartition(parts, "block").mapInArrow(_totals, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    with T.cleaning(spark):
+        got = words.repartition(parts, "block").mapInArrow(_totals, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     texts = rows.where("not held").count()
     n, v = int(got.n or 0), int(got.v or 0)
     kinds = "block int, batch long, w binary, which binary, pair binary, times binary, text binary, times_in binary, ids array<long>, held array<boolean>, size array<long>, out binary"

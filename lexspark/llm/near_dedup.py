@@ -5,10 +5,10 @@ shingle set; a table key is a pair of half-keys, one of each collection, so HALF
 tables need 2 * HALF * ROWS minhashes instead of HALF * HALF * 2 * ROWS.
 
 Documents with one shingle set are one class; its smallest doc_id stands for it.  In each
-table bucket the members are compared with the smallest member; linked ones form
-components; only members of one bucket that are still in different components are then
-compared with each other, so large groups of near copies need no pairs of all members and
-lose no link that changes a component.  Every link is confirmed on full shingle sets.
+table bucket the members are compared with one member, in each of ROUNDS rounds another;
+linked ones form components; in the end all members of one bucket that are still in
+different components are compared with each other, so large groups of near copies need
+no pairs of all members and lose no link that changes a component.  Every link is confirmed on full shingle sets.
 
 Null and empty texts have no shingles and are linked with nothing.  Documents of a null
 doc_id are left out.  Rows that repeat a doc_id are separate texts of that document and
@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from lexspark.llm import _text as T
 
-ROWS = 2
-HALF = 8
+ROWS = 3
+HALF = 10
+ROUNDS = 3
 SIMILARITY = 80
 
 
@@ -104,10 +105,33 @@ def _confirm(percent: int):
     return run
 
 
-def links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar. texts: id, text of the documents named."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = T.materialize(texts.join(named, "id", "left_semi").select("id", "text").mapInArrow(_shingles(k), "id long, shingles binary"), "shingles")
+def _pair(x, y):
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
+def _star(rest: DataFrame, r: int) -> DataFrame:
+    """Pairs of each bucket's members with one member, another one each round, where they are
+    in different components: as many as members. key, id, c."""
+    salt = F.lit(0 if r == 0 else int(np.random.default_rng(r).integers(1, 2**62)))
+    pivot = rest.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(salt)).alias("x")).select("key", F.col("x").bitwiseXOR(salt).alias("pivot"))
+    got = rest.join(pivot, "key").where("id <> pivot")
+    if r:
+        own = rest.select("key", F.col("id").alias("pivot"), F.col("c").alias("pc"))
+        got = got.join(own, ["key", "pivot"]).where("c <> pc")
+    return got.select(*_pair("pivot", "id")).distinct()
+
+
+def _across(rest: DataFrame) -> DataFrame:
+    """All pairs of members of one bucket that are still in different components."""
+    groups = rest.select("key", "c").distinct()
+    across = groups.select("key", F.col("c").alias("c1")).join(groups.select("key", F.col("c").alias("c2")), "key").where("c1 < c2")
+    left = rest.select("key", F.col("id").alias("x"), F.col("c").alias("c1"))
+    right = rest.select("key", F.col("id").alias("y"), F.col("c").alias("c2"))
+    return across.join(left, ["key", "c1"]).join(right, ["key", "c2"]).select(*_pair("x", "y")).distinct()
+
+
+def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar. sets: id, shingles."""
     x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
@@ -135,34 +159,38 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links of at least
     ``percent`` per cent Jaccard similarity over k-word shingles) and kept, a row per row of docs."""
+    T.lean(docs.sparkSession)
     sigs = T.materialize(signatures(docs, k), "signatures")
     some = sigs.where("n_shingles > 0")
     # the smallest document of each distinct set stands for it
     sets = some.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
-    member = T.materialize(sets.select("id", "set_id", "keys"), "sets")
-    rows = member.select("id", F.posexplode("keys").alias("t", "key"))
-    tables = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top"), F.count("*").alias("n")).where("pivot < top")
-    full = T.materialize(rows.join(tables.select("key", "pivot", "n"), "key").where("id <> pivot").select("key", "id", "pivot", "n"), "buckets")
-    star = T.materialize(full.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "star")
-    # one text per document id and set: a set's text is that of any row of its document
+    member = T.materialize(sets, "sets")
+    rows = member.select("id", F.explode("keys").alias("key"))
+    tables = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    full = T.materialize(rows.join(tables.select("key", "n"), "key"), "buckets")
+    # the full shingle sets of all that share a bucket: a set's text is that of a row of its document
+    named = full.select("id").distinct()
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    first = T.materialize(links(star, texts, k, percent), "edges")
-    comp = components(first)
-    # members (other than the pivot) of one bucket in different components
-    rest = full.where("n > 2").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    split = rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rest = T.materialize(rest.join(split, "key", "left_semi"), "rest")
-    groups = rest.select("key", "c").distinct()
-    across = groups.select("key", F.col("c").alias("c1")).join(groups.select("key", F.col("c").alias("c2")), "key").where("c1 < c2")
-    left = rest.select("key", F.col("id").alias("x"), F.col("c").alias("c1"))
-    right = rest.select("key", F.col("id").alias("y"), F.col("c").alias("c2"))
-    more = across.join(left, ["key", "c1"]).join(right, ["key", "c2"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = T.materialize(more.join(star, ["a", "b"], "left_anti"), "across")
-    second = links(more, texts, k, percent)
+    shingles = T.materialize(texts.join(named, "id", "left_semi").select("id", "text").mapInArrow(_shingles(k), "id long, shingles binary"), "shingles")
+    edges, comp, tested = None, None, None
+    for r in range(ROUNDS + 1):
+        rest = full if comp is None else full.where("n > 2").join(comp, "id", "left")
+        rest = rest.select("key", "id", F.col("id").alias("c") if comp is None else F.coalesce("component", "id").alias("c"))
+        if comp is not None:
+            split = rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+            rest = T.materialize(rest.join(split, "key", "left_semi"), "rest")
+        pairs = _star(rest, r) if r < ROUNDS else _across(rest)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = T.materialize(pairs, "pairs")
+        found = T.materialize(links(pairs, shingles, percent), "edges")
+        edges = found if edges is None else edges.union(found)
+        tested = pairs if tested is None else tested.union(pairs)
+        if r < ROUNDS:
+            comp = components(edges)
     # rows of one doc_id belong together, whatever their sets
     own = some.join(member.select("set_id", "id"), "set_id").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    edges = first.union(second).union(own.distinct())
-    final = components(edges)
+    final = components(edges.union(own.distinct()))
     out = sigs.select("doc_id", "n_shingles").join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from lexspark.llm import _text as T
 
 WINDOW = 13
-TASK_WORDS = 2_500_000
+BLOCKS = 4  # reference blocks to a partition
+TASK_WORDS = 1_000_000
 
 
 def _fingerprints(n: int, blocks: int):
@@ -42,11 +43,12 @@ def _fingerprints(n: int, blocks: int):
         new[1:] = h[1:] != h[:-1]
         source = owner[np.flatnonzero(new)][np.cumsum(new) - 1]
         late = owner != source
-        rows = [(int(b), h[new][i:j], owner[new][i:j], None) for b, i, j in _ranges(h[new], blocks)]
+        u, first = h[new], owner[new]
+        rows = [(int(b), T.pack_sorted(u[i:j]), T.pack_ids(first[i:j]), None) for b, i, j in _ranges(u, blocks)]
         if late.any():
-            rows.append((-1, h[late], owner[late], source[late]))
+            rows.append((-1, T.pack_sorted(h[late]), T.pack_ids(owner[late]), T.pack_ids(source[late])))
         names = ["block", "fp", "owner", "source"]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([None if r[k] is None else r[k].tobytes() for r in rows], pa.binary()) for k in (1, 2, 3))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], names=names)
 
     def run(batches):
         held, size = [], 0
@@ -87,13 +89,13 @@ def _lookup(batches):
 
     for batch in batches:
         for b, h, owner, source in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            h, owner = np.frombuffer(h, np.uint64), np.frombuffer(owner, np.int64)
             if b < 0:
-                yield from found(h, owner, np.frombuffer(source, np.int64))
+                yield from found(T.unpack_sorted(h), T.unpack_ids(owner), T.unpack_ids(source))
             else:
                 held.setdefault(b, []).append((h, owner))
     for b in list(held):
-        h, owner = map(np.concatenate, zip(*held.pop(b)))
+        lists = held.pop(b)
+        h, owner = np.concatenate([T.unpack_sorted(x) for x, _ in lists]), np.concatenate([T.unpack_ids(x) for _, x in lists])
         order = np.argsort(h, kind="stable")
         h, owner = h[order], owner[order]
         at = np.flatnonzero(np.diff(h, prepend=h[0] ^ np.uint64(1)))
@@ -106,8 +108,9 @@ def _lookup(batches):
 def matches(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     """doc_id, fp, source: packed windows of each document that start in a smaller one."""
     spark = docs.sparkSession
+    T.lean(spark)
     parts = T.fold(spark)
-    lists = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints(n, 2 * parts), "block int, fp binary, owner binary, source binary")
+    lists = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints(n, BLOCKS * parts), "block int, fp binary, owner binary, source binary")
     # a block's lists meet in one task; lists that are already answered are only spread
     where = F.when(F.col("block") < 0, -F.pmod(F.xxhash64("owner"), F.lit(8 * parts)) - 1).otherwise(F.col("block"))
     return lists.repartition(parts, where).mapInArrow(_lookup, "doc_id long, fp binary, source binary")
@@ -132,7 +135,7 @@ def dedup(docs: DataFrame, n: int = WINDOW, keep_text: bool = False) -> DataFram
     Returns the columns of docs, n_words, n_removed, kept_sha256 and factors
     (array<struct<start,end,source>>); with ``keep_text``, text is what was kept.
     """
-    found = matches(docs, n).groupBy("doc_id").agg(F.collect_list(F.struct("fp", "source")).alias("_found")).withColumnRenamed("doc_id", "_doc")
+    found = T.materialize(matches(docs, n), "matches").groupBy("doc_id").agg(F.collect_list(F.struct("fp", "source")).alias("_found")).withColumnRenamed("doc_id", "_doc")
     clash = {"n_words", "n_removed", "kept_sha256", "factors", "_doc", "_found"}
     base = docs.select(*(c for c in docs.columns if c not in clash), F.col("doc_id").cast("long").alias("_id"))
     joined = base.join(found, F.col("_id") == F.col("_doc"), "left").drop("_doc", "_id")

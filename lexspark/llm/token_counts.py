@@ -60,6 +60,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, separator: int, block_bytes: i
         if tail:
             yield row(file, block, tail, None, None)
 
+    T.lean(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "file string, block long, ids binary, doc long, doc_ids array<long>")
     kept = T.materialize(rows, "tokens")
     order = kept.where("doc is not null").select("file", "doc", F.posexplode("doc_ids").alias("i", "doc_id")).select("file", (F.col("doc") + F.col("i")).alias("doc"), "doc_id")

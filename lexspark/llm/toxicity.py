@@ -134,6 +134,7 @@ def train(sets: list[np.ndarray], y: np.ndarray, seed: int = 11) -> Machine:
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """The columns of docs, score and predicted."""
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
+    T.lean(docs.sparkSession)
     base = docs.select(*keep)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "score double", "predicted int"])
     model = docs.sparkSession.sparkContext.broadcast(machine)
