@@ -73,36 +73,54 @@ def _ranges(sorted_h: np.ndarray, blocks: int):
     return [(b, edge[b], edge[b + 1]) for b in range(blocks) if edge[b + 1] > edge[b]]
 
 
-def _lookup(batches):
-    """Within reference blocks: which (window, document) has a smaller source."""
-    names = ["doc_id", "fp", "source"]
-    held: dict[int, list] = {}
+def _lookup(buckets: int):
+    """Within reference blocks: which (window, document) has a smaller source. Answers are packed
+    by bucket of their document."""
 
-    def found(h, owner, source):
-        order = np.argsort(owner, kind="stable")
-        h, owner, source = h[order], owner[order], source[order]
-        cut = np.flatnonzero(np.diff(owner, prepend=owner[0] - 1 if len(owner) else 0)) if len(owner) else np.zeros(0, np.int64)
-        for at in range(0, len(cut), 20_000):
-            some = cut[at : at + 20_000]
-            end = np.append(cut[at + 1 : at + 20_001], len(h))[: len(some)]
-            yield pa.RecordBatch.from_arrays([pa.array(owner[some]), pa.array([h[i:j].tobytes() for i, j in zip(some, end)], pa.binary()), pa.array([source[i:j].tobytes() for i, j in zip(some, end)], pa.binary())], names=names)
+    def run(batches):
+        held: dict[int, list] = {}
+        answers = []
+        for batch in batches:
+            for b, h, owner, source in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if b < 0:
+                    answers.append((T.unpack_sorted(h), T.unpack_ids(owner), T.unpack_ids(source)))
+                else:
+                    held.setdefault(b, []).append((h, owner))
+        for b in list(held):
+            lists = held.pop(b)
+            h, owner = np.concatenate([T.unpack_sorted(x) for x, _ in lists]), np.concatenate([T.unpack_ids(x) for _, x in lists])
+            order = np.argsort(h, kind="stable")
+            h, owner = h[order], owner[order]
+            at = np.flatnonzero(np.diff(h, prepend=h[0] ^ np.uint64(1)))
+            first = np.repeat(np.minimum.reduceat(owner, at), np.diff(np.append(at, len(h))))
+            late = owner != first
+            answers.append((h[late], owner[late], first[late]))
+        if answers:
+            h, owner, source = map(np.concatenate, zip(*answers))
+            bucket = T.mix(owner.astype(np.uint64)) % np.uint64(buckets)
+            order = np.lexsort((h, bucket))
+            h, owner, source, bucket = h[order], owner[order], source[order], bucket[order]
+            edge = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+            for b in np.flatnonzero(np.diff(edge)).tolist():
+                i, j = edge[b], edge[b + 1]
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in (T.pack_sorted(h[i:j]), T.pack_ids(owner[i:j]), T.pack_ids(source[i:j])))], names=["bucket", "fp", "owner", "source"])
+
+    return run
 
+
+def _by_document(batches):
+    """Of the answers of one bucket: a row for each document."""
+    held: dict[int, list] = {}
     for batch in batches:
-        for b, h, owner, source in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            if b < 0:
-                yield from found(T.unpack_sorted(h), T.unpack_ids(owner), T.unpack_ids(source))
-            else:
-                held.setdefault(b, []).append((h, owner))
+        for b, *packed in zip(*(c.to_pylist() for c in batch.columns)):
+            held.setdefault(b, []).append(packed)
     for b in list(held):
-        lists = held.pop(b)
-        h, owner = np.concatenate([T.unpack_sorted(x) for x, _ in lists]), np.concatenate([T.unpack_ids(x) for _, x in lists])
-        order = np.argsort(h, kind="stable")
-        h, owner = h[order], owner[order]
-        at = np.flatnonzero(np.diff(h, prepend=h[0] ^ np.uint64(1)))
-        first = np.repeat(np.minimum.reduceat(owner, at), np.diff(np.append(at, len(h))))
-        late = owner != first
-        if late.any():
-            yield from found(h[late], owner[late], first[late])
+        h, owner, source = (np.concatenate(x) for x in zip(*((T.unpack_sorted(f), T.unpack_ids(o), T.unpack_ids(s)) for f, o, s in held.pop(b))))
+        order = np.lexsort((h, owner))
+        h, owner, source = h[order], owner[order], source[order]
+        at = np.flatnonzero(np.diff(owner, prepend=owner[0] - 1)) if len(owner) else np.zeros(0, np.int64)
+        end = np.append(at[1:], len(h))
+        yield pa.RecordBatch.from_arrays([pa.array(owner[at]), *(pa.array([x[i:j].tobytes() for i, j in zip(at, end)], pa.binary()) for x in (h, source))], names=["doc_id", "fp", "source"])
 
 
 def matches(docs: DataFrame, n: int = WINDOW) -> DataFrame:
@@ -113,7 +131,8 @@ def matches(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     lists = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints(n, BLOCKS * parts), "block int, fp binary, owner binary, source binary")
     # a block's lists meet in one task; lists that are already answered are only spread
     where = F.when(F.col("block") < 0, -F.pmod(F.xxhash64("owner"), F.lit(8 * parts)) - 1).otherwise(F.col("block"))
-    return lists.repartition(parts, where).mapInArrow(_lookup, "doc_id long, fp binary, source binary")
+    answers = lists.repartition(parts, where).mapInArrow(_lookup(8 * parts), "bucket int, fp binary, owner binary, source binary")
+    return answers.repartition(parts, "bucket").mapInArrow(_by_document, "doc_id long, fp binary, source binary")
 
 
 def _factors(hit: np.ndarray, source: np.ndarray, n: int) -> list[tuple[int, int, int]]:
@@ -135,7 +154,7 @@ def dedup(docs: DataFrame, n: int = WINDOW, keep_text: bool = False) -> DataFram
     Returns the columns of docs, n_words, n_removed, kept_sha256 and factors
     (array<struct<start,end,source>>); with ``keep_text``, text is what was kept.
     """
-    found = T.materialize(matches(docs, n), "matches").groupBy("doc_id").agg(F.collect_list(F.struct("fp", "source")).alias("_found")).withColumnRenamed("doc_id", "_doc")
+    found = T.materialize(matches(docs, n), "matches").select(F.col("doc_id").alias("_doc"), F.struct("fp", "source").alias("_found"))
     clash = {"n_words", "n_removed", "kept_sha256", "factors", "_doc", "_found"}
     base = docs.select(*(c for c in docs.columns if c not in clash), F.col("doc_id").cast("long").alias("_id"))
     joined = base.join(found, F.col("_id") == F.col("_doc"), "left").drop("_doc", "_id")
@@ -157,8 +176,7 @@ def dedup(docs: DataFrame, n: int = WINDOW, keep_text: bool = False) -> DataFram
                     factors = []
                     if flag and len(words) >= n:
                         w, _ = T.windows(h[first[row] : first[row + 1]], np.array([0, len(words)]), n)
-                        fp = np.concatenate([np.frombuffer(x["fp"], np.uint64) for x in flag])
-                        src = np.concatenate([np.frombuffer(x["source"], np.int64) for x in flag])
+                        fp, src = np.frombuffer(flag["fp"], np.uint64), np.frombuffer(flag["source"], np.int64)
                         order = np.lexsort((src, fp))
                         fp, src = fp[order], src[order]
                         at = np.minimum(np.searchsorted(fp, w), len(fp) - 1)
