@@ -211,12 +211,12 @@ sx AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS IN
 fused AS (SELECT doc_id, lexical_rank, semantic_rank, round(coalesce(1::DOUBLE / (60 + lexical_rank), 0) + coalesce(1::DOUBLE / (60 + semantic_rank), 0), 9) AS score FROM lx FULL JOIN sx USING (doc_id))"""
 
 
-@query("documents", "embeddings", sql=f"WITH {_RRF} SELECT * FROM fused ORDER BY score DESC, doc_id LIMIT 20")
+@query("documents", "embeddings", sql=f"WITH {_RRF} SELECT doc_id, coalesce(lexical_rank, 0) AS lexical_rank, coalesce(semantic_rank, 0) AS semantic_rank, score FROM fused ORDER BY score DESC, doc_id LIMIT 20")
 def hybrid_rrf(documents, embeddings):
     n = search.candidate_limit(0, 20)
     lexical = search.ranked(search.bm25(documents, "doc_id", "text", TERMS), "doc_id", n)
     near = search.semantic(embeddings.withColumnRenamed("vec_id", "doc_id").join(documents.select("doc_id"), "doc_id", "left_semi"), "doc_id", "embedding", VECTOR)
-    return search.rrf(lexical, search.ranked(near, "doc_id", n), "doc_id").orderBy(F.desc("score"), "doc_id").limit(20)
+    return search.rrf(lexical, search.ranked(near, "doc_id", n), "doc_id").orderBy(F.desc("score"), "doc_id").limit(20).fillna(0, ["lexical_rank", "semantic_rank"])
 
 
 @query(
