@@ -6,9 +6,12 @@ tables need 2 * HALF * ROWS minhashes instead of HALF * HALF * 2 * ROWS.
 
 Documents with one shingle set are one class; its smallest doc_id stands for it.  In each
 table bucket the members are compared with one member, in each of ROUNDS rounds another;
-linked ones form components; in the end all members of one bucket that are still in
-different components, of fitting sizes and sketches, are compared with each other, so large
-groups of near copies need no pairs of all members and lose no link that changes a component.  Every link is confirmed on full shingle sets.
+linked ones form components; in the end members of one bucket that are still in
+different components are compared with each other, so large groups of near copies need no
+pairs of all members and lose no link that changes a component.  A pair meets in the first
+table that it shares only, and only if its sizes and two sketches allow the similarity: an
+odd sketch (parities of hashed shingles), which never rules out a similar pair, and one-bit
+minhashes.  Every link is confirmed on full shingle sets.
 
 Null and empty texts have no shingles and are linked with nothing.  Documents of a null
 doc_id are left out.  Rows that repeat a doc_id are separate texts of that document and
@@ -20,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.llm import _text as T
@@ -32,7 +35,10 @@ BITS = 256
 #: Of BITS one-bit minhashes, a pair at similarity 0.8 differs in 25.6 on average (deviation 4.8); more than
 #: this many differ with a chance under 1e-4, less than the chance that no table joins the pair.
 MOST_DIFFERENT = 45
+#: Bits of the odd sketch: two sets that differ in d shingles differ in at most d of them.
+PARITIES = 512
 SIMILARITY = 80
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def _sets(part: pa.Array, k: int):
@@ -51,8 +57,9 @@ def _sets(part: pa.Array, k: int):
     return w, np.searchsorted(row, np.arange(len(count) + 1))
 
 
-def _keys(w: np.ndarray, at: np.ndarray, rows: int, half: int) -> np.ndarray:
-    """Table keys of non-empty sets: one line of half * half keys for each."""
+def _keys(w: np.ndarray, at: np.ndarray, rows: int, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of non-empty sets: a line of half * half table keys for each, and the half-keys
+    themselves, shortened to 32 bits and two to a word."""
     rng = np.random.default_rng(7)
     mins = np.stack([np.minimum.reduceat(T.mix(w * a), at) for a in rng.integers(1, 2**63, 2 * half * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)])
     part = np.zeros((2 * half, len(at)), np.uint64)
@@ -60,7 +67,8 @@ def _keys(w: np.ndarray, at: np.ndarray, rows: int, half: int) -> np.ndarray:
         part = T.mix(part * T._BASE + mins[r::rows])
     a, b = part[:half], part[half:]
     table = np.arange(half * half, dtype=np.uint64).reshape(half, half, 1)
-    return T.mix(T.mix(a[:, None] * T._BASE + b[None]) + table).reshape(half * half, -1).T
+    halves = (part[0::2] & ~_LOW) | (part[1::2] >> np.uint64(32))
+    return T.mix(T.mix(a[:, None] * T._BASE + b[None]) + table).reshape(half * half, -1).T, halves.T
 
 
 def _bits(w: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -75,22 +83,30 @@ def _bits(w: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out.T
 
 
+def _parities(w: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Odd sketches of sets: PARITIES / 64 words a line."""
+    at = np.repeat(np.arange(len(size)), size) * PARITIES + (w >> np.uint64(40)).astype(np.int64) % PARITIES
+    odd = np.bincount(at, minlength=len(size) * PARITIES) & 1
+    return np.packbits(odd.astype(bool).reshape(-1, PARITIES), axis=1).view(np.uint64)
+
+
 def signatures(docs: DataFrame, k: int, rows: int = ROWS, half: int = HALF) -> DataFrame:
-    """doc_id, n_shingles, set_id (digest of the shingle set), table keys and bits."""
-    schema = "doc_id long, n_shingles long, set_id binary, keys array<long>, bits array<long>"
+    """doc_id, n_shingles, set_id (digest of the shingle set), table keys, their halves and sketches."""
+    lists = ("keys", "halves", "bits", "odd")
+    schema = "doc_id long, n_shingles long, set_id binary, " + ", ".join(f"{c} array<long>" for c in lists)
 
     def run(batches):
         for batch in batches:
             for part in T.slices(batch, most=600_000):
                 w, first = _sets(part.column(1), k)
                 size = np.diff(first)
-                some = np.flatnonzero(size)
-                keys = _keys(w, first[:-1][some], rows, half).view(np.int64) if len(some) else np.zeros((0, half * half), np.int64)
-                bits = _bits(w, first[:-1][some]).view(np.int64) if len(some) else np.zeros((0, BITS // 64), np.int64)
+                some, at = np.flatnonzero(size), first[:-1][size > 0]
+                made = [*_keys(w, at, rows, half), _bits(w, at), _parities(w, size[some])] if len(some) else []
+                made = [np.ascontiguousarray(x).view(np.int64) for x in made]
                 line = np.cumsum(size > 0) - 1
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(size), pa.array([xxhash.xxh3_128_digest(w[a:b].data) if b > a else None for a, b in zip(first[:-1], first[1:])], pa.binary()), *(pa.array([x[line[i]] if size[i] else None for i in range(len(size))], pa.list_(pa.int64())) for x in (keys, bits))],
-                    names=["doc_id", "n_shingles", "set_id", "keys", "bits"],
+                    [part.column(0), pa.array(size), pa.array([xxhash.xxh3_128_digest(w[a:b].data) if b > a else None for a, b in zip(first[:-1], first[1:])], pa.binary()), *(pa.array([x[line[i]] if size[i] else None for i in range(len(size))], pa.list_(pa.int64())) for x in made or [None] * len(lists))],
+                    names=["doc_id", "n_shingles", "set_id", *lists],
                 )
 
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
@@ -138,19 +154,30 @@ def _star(rest: DataFrame, r: int) -> DataFrame:
     return got.select(*_pair("pivot", "id")).distinct()
 
 
+def _first_equal(words: list) -> Column:
+    """Number of the first of the half-keys, two to a word, that are equal, from the words' differences."""
+    low = F.lit(int(_LOW))
+    return F.coalesce(*(F.when(part == 0, F.lit(2 * i + k)) for i, x in enumerate(words) for k, part in enumerate((F.shiftrightunsigned(x, 32), x.bitwiseAND(low)))))
+
+
 def _across(rest: DataFrame, member: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of one bucket that are still in different components and may be similar:
     members outside a bucket's largest component against all members of the others."""
-    words = [F.get("bits", i).alias(f"b{i}") for i in range(BITS // 64)]
-    rest = T.materialize(rest.join(member.select("id", "n_shingles", *words), "id"), "unsettled")
+    names = {"h": ("halves", HALF), "b": ("bits", BITS // 64), "o": ("odd", PARITIES // 64)}
+    words = [F.get(c, i).alias(f"{k}{i}") for k, (c, n) in names.items() for i in range(n)]
     size = rest.groupBy("key", "c").agg(F.count("*").alias("n"))
     largest = size.groupBy("key").agg(F.max(F.struct("n", "c")).alias("m")).select("key", F.col("m.c").alias("main"))
-    minor = rest.join(largest, "key").where("c <> main").drop("main")
-    x = minor.select("key", *(F.col(c).alias(f"x_{c}") for c in rest.columns if c != "key"))
-    y = rest.select("key", *(F.col(c).alias(f"y_{c}") for c in rest.columns if c != "key"))
-    differ = sum((F.bit_count(F.col(f"x_b{i}").bitwiseXOR(F.col(f"y_b{i}"))) for i in range(1, BITS // 64)), F.bit_count(F.col("x_b0").bitwiseXOR(F.col("y_b0"))))
-    near = (100 * F.least("x_n_shingles", "y_n_shingles") >= percent * F.greatest("x_n_shingles", "y_n_shingles")) & (differ <= MOST_DIFFERENT)
-    joined = x.withColumnRenamed("key", "x_key").join(y, (F.col("x_key") == F.col("key")) & (F.col("x_c") != F.col("y_c")) & near)
+    flagged = rest.join(largest, "key").withColumn("minor", F.col("c") != F.col("main")).drop("main")
+    rest = T.materialize(flagged.join(member.select("id", "n_shingles", *words), "id"), "unsettled")
+    x = rest.where("minor").select(*(F.col(c).alias(f"x_{c}") for c in rest.columns))
+    y = rest.select(*(F.col(c).alias(f"y_{c}") for c in rest.columns))
+    xor = {k: [F.col(f"x_{k}{i}").bitwiseXOR(F.col(f"y_{k}{i}")) for i in range(n)] for k, (_, n) in names.items()}
+    differ = {k: sum((F.bit_count(w) for w in xor[k][1:]), F.bit_count(xor[k][0])) for k in "bo"}
+    sizes = F.col("x_n_shingles") + F.col("y_n_shingles")
+    near = (100 * F.least("x_n_shingles", "y_n_shingles") >= percent * F.greatest("x_n_shingles", "y_n_shingles")) & ((100 + percent) * differ["o"] <= (100 - percent) * sizes) & (differ["b"] <= MOST_DIFFERENT)
+    first = _first_equal(xor["h"][: HALF // 2]) * HALF + _first_equal(xor["h"][HALF // 2 :])
+    once = (~F.col("y_minor") | (F.col("x_id") < F.col("y_id"))) & (F.col("x_table") == first)
+    joined = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_c") != F.col("y_c")) & near & once)
     return joined.select(*_pair("x_id", "y_id")).distinct()
 
 
@@ -187,9 +214,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = SIMILARITY) -> D
     sigs = T.materialize(signatures(docs, k), "signatures")
     some = sigs.where("n_shingles > 0")
     # the smallest document of each distinct set stands for it
-    sets = some.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.max("n_shingles").alias("n_shingles"))
+    sets = some.groupBy("set_id").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("keys", "halves", "bits", "odd")), F.max("n_shingles").alias("n_shingles"))
     member = T.materialize(sets, "sets")
-    rows = member.select("id", F.explode("keys").alias("key"))
+    rows = member.select("id", F.posexplode("keys").alias("table", "key"))
     tables = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     full = T.materialize(rows.join(tables.select("key", "n"), "key"), "buckets")
     # the full shingle sets of all that share a bucket: a set's text is that of a row of its document
@@ -199,7 +226,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = SIMILARITY) -> D
     edges, comp, tested = None, None, None
     for r in range(ROUNDS + 1):
         rest = full if comp is None else full.where("n > 2").join(comp, "id", "left")
-        rest = rest.select("key", "id", F.col("id").alias("c") if comp is None else F.coalesce("component", "id").alias("c"))
+        rest = rest.select("key", "id", "table", F.col("id").alias("c") if comp is None else F.coalesce("component", "id").alias("c"))
         if comp is not None:
             split = rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
             rest = T.materialize(rest.join(split, "key", "left_semi"), "rest")
