@@ -131,8 +131,9 @@ def matches(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     lists = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints(n, BLOCKS * parts), "block int, fp binary, owner binary, source binary")
     # a block's lists meet in one task; lists that are already answered are only spread
     where = F.when(F.col("block") < 0, -F.pmod(F.xxhash64("owner"), F.lit(8 * parts)) - 1).otherwise(F.col("block"))
-    answers = lists.repartition(parts, where).mapInArrow(_lookup(8 * parts), "bucket int, fp binary, owner binary, source binary")
-    return answers.repartition(parts, "bucket").mapInArrow(_by_document, "doc_id long, fp binary, source binary")
+    # one bucket of documents for each task that reads them: a row for each pair of tasks at most
+    answers = lists.repartition(parts, where).mapInArrow(_lookup(parts), "bucket int, fp binary, owner binary, source binary")
+    return answers.repartitionById(parts, "bucket").mapInArrow(_by_document, "doc_id long, fp binary, source binary")
 
 
 def _factors(hit: np.ndarray, source: np.ndarray, n: int) -> list[tuple[int, int, int]]:
