@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from lexspark.plans.catalogue import ORACLES, QUERIES
+from lexspark.plans.registry import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
 
