@@ -74,6 +74,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES):
         end = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
         yield batch.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()  # a worker lives on; what it doesn't need now is given back
 
 
 def spans(buf: np.ndarray, off: np.ndarray, sep: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

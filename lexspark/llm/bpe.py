@@ -30,10 +30,12 @@ from pyspark.sql import functions as F
 
 from lexspark.llm import _text as T
 
-MAX_STATES = 250_000
-MAX_WORDS = 150_000
+MAX_STATES = 60_000
+MAX_WORDS = 50_000
+#: Arcs between tokens that are looked up often; the caches together stay under 100 MB a worker.
+MAX_ARCS = 250_000
 MAX_CACHED_BYTES = 24
-SLICE = 1_500_000
+SLICE = 750_000
 
 # Fixed values of byte-level vocabularies: printable bytes stand for themselves, the
 # others for the code points from 256 on, in order; contractions split before all else.
@@ -118,7 +120,7 @@ class Automaton:
     def _arc(self, x: int, y: int) -> bool:
         got = self.memo.get((x, y))
         if got is None:
-            if len(self.memo) > 4_000_000:
+            if len(self.memo) >= MAX_ARCS:
                 self.memo.clear()
             got = self.memo[x, y] = self._allowed(x, y)
         return got

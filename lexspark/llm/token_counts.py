@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexspark.llm import _text as T
-from lexspark.llm.bpe import automaton
+from lexspark.llm.bpe import SLICE, automaton
 
 GROUP = 1024
 BLOCK_BYTES = 1 << 20
@@ -48,7 +48,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, separator: int, block_bytes: i
         kinds = [pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
         row = lambda *x: pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(x, kinds)], names=["file", "block", "ids", "doc", "doc_ids"])
         for batch in batches:
-            for part in T.slices(batch, most=1_500_000):
+            for part in T.slices(batch, most=SLICE):
                 ids, first = machine.encode([x or "" for x in part.column(1).to_pylist()])
                 tail += np.insert(ids, first[1:], separator).astype("<u2").tobytes()
                 n = part.num_rows
