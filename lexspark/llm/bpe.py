@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from lexspark.llm import _text as T
 
-MAX_STATES = 60_000
-MAX_WORDS = 50_000
-#: Arcs between tokens that are looked up often; the caches together stay under 100 MB a worker.
+MAX_STATES = 200_000
+MAX_WORDS = 150_000
+#: Arcs between tokens that are looked up often; the caches together stay under 250 MB a worker.
 MAX_ARCS = 250_000
 MAX_CACHED_BYTES = 24
 SLICE = 750_000
