@@ -1,9 +1,10 @@
 """License scans by conditional compression.
 
-A document is cut into blocks (runs of consecutive lines that each hold a word of a
-licence notice).  A candidate block is compressed with zstandard alone and with each
+A document's blocks are its lines with a word of a licence notice, with as many words on
+both sides as the longest notice has, so that a wrapped notice is whole; lines that are
+less than that apart are one block.  A block is compressed with zstandard alone and with each
 template's wording as raw dictionary; the templates are ranked by how much of the block's
-compressed size the dictionary saves.  The leaders are confirmed by the exact differences
+compressed size the dictionary saves.  All that save enough are confirmed by the exact differences
 in wording (words missing from and added to the best-matching notice of the template):
 a notice counts if at most ``MAX_DIFF`` of its words differ and no version number does.
 
@@ -14,7 +15,11 @@ kept, unless named like a result.  No shuffle: one narrow pass.
 from __future__ import annotations
 
 import difflib
+import math
 import re
+from bisect import bisect_right
+from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,9 +31,8 @@ from lexspark.llm import _text as T
 
 MIN_SAVED = 0.25
 MAX_DIFF = 0.15
-LEADERS = 3
 MAX_CACHE = 20_000
-TRIGGER = r"(?i)licen[sc]e|licen[cs]ed|copyright|spdx|permission is hereby|redistribution and use|creative commons|public domain"
+TRIGGER = r"(?i)licen[sc]e|licen[cs]ed|copyright|spdx|permission\W+is\W+hereby|redistribution\W+and\W+use|creative\W+commons|public\W+domain"
 
 # Wording of public licence notices.
 TEMPLATES = {
@@ -59,18 +63,36 @@ class Scanner:
         self.coders = {k: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict("\n".join(v).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False) for k, v in templates.items()}
         self.notices = {k: [_words(x) for x in v] for k, v in templates.items()}
         self.trigger = re.compile(TRIGGER)
-        self.cache: dict[str, list] = {}
-
-    def blocks(self, text: str) -> list[str]:
-        """Runs of lines from a line with a trigger to the end of its run of such lines."""
-        out, run = [], []
-        for line in text.split("\n"):
-            if self.trigger.search(line):
-                run.append(line)
-            elif run:
-                out.append("\n".join(run))
-                run = []
-        return out + ["\n".join(run)] * bool(run)
+        self.margin = max((math.ceil(len(n) * (1 + MAX_DIFF)) for v in self.notices.values() for n in v), default=0)
+        self.cache: dict[tuple, list] = {}
+
+    def blocks(self, text: str) -> list[tuple[str, str]]:
+        """Lines with a trigger that are less than a notice apart, alone and with a notice's length around."""
+        lines = text.split("\n")
+        start = list(accumulate((len(x) + 1 for x in lines), initial=0))
+        hits = set()
+        for m in self.trigger.finditer(text):
+            hits.update(range(bisect_right(start, m.start()) - 1, bisect_right(start, m.end() - 1)))
+        runs: list[list[int]] = []
+        for k in sorted(hits):
+            if runs and sum(len(_WORD.findall(x)) for x in lines[runs[-1][-1] + 1 : k]) < self.margin:
+                runs[-1].append(k)
+            else:
+                runs.append([k])
+        out = []
+        for run in runs:
+            before, after = [], []
+            for k in range(run[0] - 1, -1, -1):
+                if len(before) >= self.margin:
+                    break
+                before = _WORD.findall(lines[k]) + before
+            for k in range(run[-1] + 1, len(lines)):
+                if len(after) >= self.margin:
+                    break
+                after += _WORD.findall(lines[k])
+            whole = [" ".join(before[-self.margin :]), *lines[run[0] : run[-1] + 1], " ".join(after[: self.margin])]
+            out.append(("\n".join(lines[k] for k in run), "\n".join(whole)))
+        return out
 
     def ranked(self, block: str) -> list[tuple[float, str]]:
         data = block.encode()
@@ -78,53 +100,65 @@ class Scanner:
         saved = [(1 - len(c.compress(data)) / alone, k) for k, c in self.coders.items()]
         return sorted(saved, key=lambda x: (-x[0], x[1]))
 
-    def scan(self, block: str) -> list[dict]:
+    def scan(self, block: tuple[str, str]) -> list[dict]:
         got = self.cache.get(block)
         if got is None:
             got = []
-            words = _words(block)
-            for saved, name in self.ranked(block)[: max(LEADERS, len(block) // 40)]:
-                # a long block dilutes what a notice saves, so its share is of the notice too
-                if saved * max(1, len(block) / 60) < MIN_SAVED:
-                    continue
+            words = _words(block[1])
+            # a long block dilutes what a notice saves, so its share is of the notice too
+            enough = {}
+            for part in dict.fromkeys(block):
+                for saved, name in self.ranked(part):
+                    if saved * max(1, len(part) / 60) >= MIN_SAVED:
+                        enough[name] = max(saved, enough.get(name, saved))
+            for name, saved in sorted(enough.items(), key=lambda x: (-x[1], x[0])):
                 best = min((d for n in self.notices[name] if (d := _differences(n, words)) is not None), default=None)
                 if best is not None:
                     got.append({"license": name, "saved": round(saved, 4), "missing": best[1], "added": best[2]})
             if len(self.cache) >= MAX_CACHE:
                 self.cache.clear()
-            if len(block) < 2000:
+            if len(block[1]) < 2000:
                 self.cache[block] = got
         return got
 
 
 def _differences(notice: list[str], words: list[str]):
-    """(share, missing, added) of the words around the notice's best place, if few differ."""
+    """(share, missing, added) of the words at the notice's best place, if few differ."""
     n = len(notice)
     if n == 0 or not words:
         return None
-    if len(words) <= 4 * n + 64:
-        starts = range(max(1, len(words) - n + 1))
-    else:
-        lead = set(notice[:3])
-        starts = [i for i, w in enumerate(words) if w in lead]
-    best = None
-    for i in starts:
-        part = words[i : i + n]
+    wanted, names, digits = Counter(notice), set(notice) & _NAMES, _digits(notice)
+    have: Counter = Counter()
+    best, shared = None, 0
+    for end, w in enumerate(words):
+        have[w] += 1
+        shared += have[w] <= wanted[w]
+        if end >= n:
+            old = words[end - n]
+            shared -= have[old] <= wanted[old]
+            have[old] -= 1
+        if end < n - 1 and end < len(words) - 1:
+            continue
+        # words in common in any order bound those in the notice's order
+        if n - shared > MAX_DIFF * n:
+            continue
+        part = words[max(0, end - n + 1) : end + 1]
         same = sum(m.size for m in difflib.SequenceMatcher(None, notice, part, autojunk=False).get_matching_blocks())
         missing, added = n - same, len(part) - same
+        # a name's own words must not differ: what tells templates apart is no small change
+        if max(missing, added) > MAX_DIFF * n or _digits(part) != digits or set(part) & _NAMES != names:
+            continue
         if best is None or missing + added < best[0]:
-            best = (missing + added, missing, added, part)
+            best = (missing + added, missing, added)
             if best[0] == 0:
                 break
-    if best is None or max(best[1:3]) > MAX_DIFF * n:
+    if best is None:
         return None
-    digits = lambda ws: sorted(w for w in ws if any(c.isdigit() for c in w))
-    if digits(notice) != digits(best[3]):
-        return None
-    # a name's own words must not differ: what tells templates apart is no small change
-    if set(notice) & _NAMES != set(best[3]) & _NAMES:
-        return None
-    return (max(best[1:3]) / n, best[1], best[2])
+    return (max(best[1:]) / n, best[1], best[2])
+
+
+def _digits(words: list[str]) -> list[str]:
+    return sorted(w for w in words if any(c.isdigit() for c in w))
 
 
 # Words that tell one licence from another.
