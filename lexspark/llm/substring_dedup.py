@@ -4,8 +4,9 @@ Every document is parsed against every earlier document (smaller doc_id).  The r
 is cut into blocks by ranges of window fingerprints; a block's index holds, for each
 13-word window that falls into it, the first document the window starts in.  All blocks
 are asked for every window (one shuffle of fingerprints, packed in sorted binary lists and
-already reduced to one row per task and window), so the greedy parse of a document sees,
-at each position, the source of a copy if there is one.  A factor is extended word by word
+already reduced to one row per batch and window; the other documents of the batch that have
+the window wait for the answer to its first), so the greedy parse of a document sees,
+at each position, the first document of the corpus that has the window.  A factor is extended word by word
 while windows have the same source; where it ends, the next window is looked up afresh,
 so windows across factor boundaries are checked and not assumed.  Words in factors go.
 
@@ -22,6 +23,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +35,10 @@ TASK_WORDS = 1_000_000
 
 
 def _fingerprints(n: int, blocks: int):
-    """Packed lists of (window, first document) by reference block; windows that a smaller
-    document of the same batch already has are reported at once (block -1)."""
+    """Packed lists of (window, first document of the batch) by reference block; what other
+    documents of the batch have those windows is kept apart (block -1)."""
 
-    def emit(h, owner):
+    def emit(batch, h, owner):
         order = np.lexsort((owner, h))
         h, owner = h[order], owner[order]
         new = np.ones(len(h), bool)
@@ -47,11 +49,11 @@ def _fingerprints(n: int, blocks: int):
         rows = [(int(b), T.pack_sorted(u[i:j]), T.pack_ids(first[i:j]), None) for b, i, j in _ranges(u, blocks)]
         if late.any():
             rows.append((-1, T.pack_sorted(h[late]), T.pack_ids(owner[late]), T.pack_ids(source[late])))
-        names = ["block", "fp", "owner", "source"]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], names=names)
+        names = ["block", "batch", "fp", "owner", "source"]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([batch] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], names=names)
 
     def run(batches):
-        held, size = [], 0
+        held, size, seq = [], 0, TaskContext.get().partitionId() << 24
         for batch in batches:
             for part in T.slices(batch):
                 ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -59,10 +61,10 @@ def _fingerprints(n: int, blocks: int):
                 held.append((h, ids[row]))
                 size += len(h)
                 if size >= TASK_WORDS:
-                    yield from emit(*map(np.concatenate, zip(*held)))
-                    held, size = [], 0
+                    yield from emit(seq, *map(np.concatenate, zip(*held)))
+                    held, size, seq = [], 0, seq + 1
         if size:
-            yield from emit(*map(np.concatenate, zip(*held)))
+            yield from emit(seq, *map(np.concatenate, zip(*held)))
 
     return run
 
@@ -73,28 +75,60 @@ def _ranges(sorted_h: np.ndarray, blocks: int):
     return [(b, edge[b], edge[b + 1]) for b in range(blocks) if edge[b + 1] > edge[b]]
 
 
-def _lookup(buckets: int):
-    """Within reference blocks: which (window, document) has a smaller source. Answers are packed
-    by bucket of their document."""
+def _lookup(batches):
+    """Within reference blocks: which of a batch's windows a smaller document of another batch
+    has.  Lists that ask for nothing (block -1) pass through."""
+    held: dict[int, list] = {}
+    answers: dict[int, list] = {}
+    for got in batches:
+        for row in range(got.num_rows):
+            b = got.column(0)[row].as_py()
+            if b < 0:
+                yield pa.RecordBatch.from_arrays([got.column(k).slice(row, 1) for k in range(5)], names=got.schema.names)
+            else:
+                held.setdefault(b, []).append([got.column(k)[row].as_py() for k in (1, 2, 3)])
+    for b in list(held):
+        lists = held.pop(b)
+        h, owner = np.concatenate([T.unpack_sorted(x) for _, x, _ in lists]), np.concatenate([T.unpack_ids(x) for _, _, x in lists])
+        order = np.argsort(h, kind="stable")
+        sorted_h = h[order]
+        at = np.flatnonzero(np.diff(sorted_h, prepend=sorted_h[0] ^ np.uint64(1)))
+        first = np.empty_like(owner)
+        first[order] = np.repeat(np.minimum.reduceat(owner[order], at), np.diff(np.append(at, len(h))))
+        late = owner != first
+        edge = np.cumsum([0, *(len(T.unpack_ids(x)) for _, _, x in lists)])
+        for (batch, _, _), i, j in zip(lists, edge[:-1], edge[1:]):
+            if late[i:j].any():
+                answers.setdefault(batch, []).append((h[i:j][late[i:j]], owner[i:j][late[i:j]], first[i:j][late[i:j]]))
+    for batch in list(answers):
+        h, owner, source = map(np.concatenate, zip(*answers.pop(batch)))
+        order = np.argsort(h)
+        packed = (T.pack_sorted(h[order]), T.pack_ids(owner[order]), T.pack_ids(source[order]))
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([batch], pa.int64()), *(pa.array([x], pa.binary()) for x in packed)], names=["block", "batch", "fp", "owner", "source"])
+
+
+def _settle(buckets: int):
+    """Within batches: the blocks' answers, and the same for the batch's other documents that have
+    those windows.  Answers are packed by bucket of their document."""
 
     def run(batches):
-        held: dict[int, list] = {}
+        held: dict[int, tuple[list, list]] = {}
+        for got in batches:
+            for b, batch, *packed in zip(*(c.to_pylist() for c in got.columns)):
+                held.setdefault(batch, ([], []))[int(b < 0)].append(packed)
         answers = []
-        for batch in batches:
-            for b, h, owner, source in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if b < 0:
-                    answers.append((T.unpack_sorted(h), T.unpack_ids(owner), T.unpack_ids(source)))
-                else:
-                    held.setdefault(b, []).append((h, owner))
-        for b in list(held):
-            lists = held.pop(b)
-            h, owner = np.concatenate([T.unpack_sorted(x) for x, _ in lists]), np.concatenate([T.unpack_ids(x) for _, x in lists])
-            order = np.argsort(h, kind="stable")
-            h, owner = h[order], owner[order]
-            at = np.flatnonzero(np.diff(h, prepend=h[0] ^ np.uint64(1)))
-            first = np.repeat(np.minimum.reduceat(owner, at), np.diff(np.append(at, len(h))))
-            late = owner != first
-            answers.append((h[late], owner[late], first[late]))
+        for batch in list(held):
+            asked, rest = held.pop(batch)
+            asked, rest = ([(T.unpack_sorted(f), T.unpack_ids(o), T.unpack_ids(s)) for f, o, s in x] for x in (asked, rest))
+            answers += asked
+            if asked and rest:  # a window is asked for once in a batch
+                known, _, first = map(np.concatenate, zip(*asked))
+                order = np.argsort(known)
+                known, first = known[order], first[order]
+                for k, (h, owner, source) in enumerate(rest):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    rest[k] = h, owner, np.where(known[at] == h, first[at], source)
+            answers += rest
         if answers:
             h, owner, source = map(np.concatenate, zip(*answers))
             bucket = T.mix(owner.astype(np.uint64)) % np.uint64(buckets)
@@ -128,11 +162,13 @@ def matches(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     T.lean(spark)
     parts = T.fold(spark)
-    lists = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints(n, BLOCKS * parts), "block int, fp binary, owner binary, source binary")
-    # a block's lists meet in one task; lists that are already answered are only spread
-    where = F.when(F.col("block") < 0, -F.pmod(F.xxhash64("owner"), F.lit(8 * parts)) - 1).otherwise(F.col("block"))
+    kinds = "block int, batch long, fp binary, owner binary, source binary"
+    lists = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints(n, BLOCKS * parts), kinds)
+    # a block's lists meet in one task; lists that ask for nothing are only spread
+    where = F.when(F.col("block") < 0, -F.col("batch") - 1).otherwise(F.col("block"))
     # one bucket of documents for each task that reads them: a row for each pair of tasks at most
-    answers = lists.repartition(parts, where).mapInArrow(_lookup(parts), "bucket int, fp binary, owner binary, source binary")
+    asked = lists.repartition(parts, where).mapInArrow(_lookup, kinds)
+    answers = asked.repartition(parts, "batch").mapInArrow(_settle(parts), "bucket int, fp binary, owner binary, source binary")
     return answers.repartitionById(parts, "bucket").mapInArrow(_by_document, "doc_id long, fp binary, source binary")
 
 
