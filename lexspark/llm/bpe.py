@@ -176,12 +176,12 @@ class Automaton:
             self.words[word] = out
         return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], added: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, and where each text's ids start (n+1 long)."""
         parts, special = [], []
         owner = []
         for row, text in enumerate(texts):
-            pieces = self._split_added(text) if any(a in text for a in self.added) else [text]
+            pieces = self._split_added(text) if added and any(a in text for a in self.added) else [text]
             for p in pieces:
                 special.append(p if isinstance(p, int) else -1)
                 parts.append("" if isinstance(p, int) else p)

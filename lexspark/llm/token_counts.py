@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,18 +28,50 @@ from lexspark.llm.bpe import SLICE, automaton
 
 GROUP = 1024
 BLOCK_BYTES = 1 << 20
+WHOLE_BYTES = 1 << 26
 
 
-def read_blocks(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of raw token files (each under 2 GB) by a path that Spark reads."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content", "length")
-    at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("length") / block_bytes) - 1).cast("int")))
-    return files.select("file", "content", at.alias("block")).select("file", F.col("block").cast("long"), F.expr(f"substring(content, block * {block_bytes} + 1, {block_bytes})").alias("ids"))
+def read_blocks(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """Blocks of raw token files by a path that Spark reads.
+
+    Files of at most ``whole_bytes`` are read by Spark; of larger ones only the path and length
+    are, and each block is a row of its own that is read by its range (from a local path, or by
+    Arrow's file systems)."""
+    kind = "file string, block long, ids binary"
+    listed = spark.read.format("binaryFile").load(path)
+
+    def cut(batches):
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = memoryview(content.as_buffer())
+                for k in range(max(1, -(-len(data) // block_bytes))):
+                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([k], pa.int64()), pa.array([bytes(data[k * block_bytes : (k + 1) * block_bytes])], pa.binary())], names=["file", "block", "ids"])
+
+    def read(batches):
+        for batch in batches:
+            for file, k in zip(*(c.to_pylist() for c in batch.columns)):
+                system, at = _opened(file)
+                with system.open_input_file(at) as f:
+                    f.seek(k * block_bytes)
+                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([k], pa.int64()), pa.array([f.read(block_bytes)], pa.binary())], names=["file", "block", "ids"])
+
+    small = listed.where(F.col("length") <= whole_bytes).select(F.col("path").alias("file"), "content").mapInArrow(cut, kind)
+    n = F.ceil(F.col("length") / block_bytes) - 1
+    ranges = listed.where(F.col("length") > whole_bytes).select(F.col("path").alias("file"), F.explode(F.sequence(F.lit(0).cast("long"), n)).alias("block"))
+    return small.unionByName(ranges.repartition(T.fold(spark), "file", "block").mapInArrow(read, kind))
+
+
+def _opened(file: str):
+    """The file system of a path as Spark lists it, and the path within."""
+    if file.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + file[5:].lstrip("/")
+    return fs.FileSystem.from_uri(file)
 
 
 def write_blocks(docs: DataFrame, tokenizer: str, separator: int, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """Tokenise whole texts into flat files, one per task, cut into blocks of block_bytes.
 
+    An added token written out in a text is encoded as its bytes, so that no text holds a separator.
     Returns the written blocks (file, block, ids) and the order of documents (file, doc, doc_id)
     that the producer knows, both read back from the shared folder."""
 
@@ -49,7 +82,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, separator: int, block_bytes: i
         row = lambda *x: pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(x, kinds)], names=["file", "block", "ids", "doc", "doc_ids"])
         for batch in batches:
             for part in T.slices(batch, most=SLICE):
-                ids, first = machine.encode([x or "" for x in part.column(1).to_pylist()])
+                ids, first = machine.encode([x or "" for x in part.column(1).to_pylist()], added=False)
                 tail += np.insert(ids, first[1:], separator).astype("<u2").tobytes()
                 n = part.num_rows
                 yield row(file, None, None, doc, part.column(0).to_pylist())
