@@ -288,7 +288,7 @@ def readable_text(pages):
 
 @query("documents")
 def nfkc_title_match(documents):
-    title = text.nfkc(F.substring(F.split(F.col("text"), "\n")[0], 1, 200))
+    title = text.nfkc(F.split(F.col("text"), "\n")[0])
     return documents.select("doc_id", F.lower(text.collapse(title)).alias("title")).where(F.col("title").startswith("the "))
 
 

@@ -158,8 +158,15 @@ def tag_refresh_changed(part, lineitem):
     return got.select("p_partkey", "p_brand", "n", "latest")
 
 
-@query("part")
+_ALIAS = """translate(regexp_replace(lower(trim(p_brand)), '\\s+', '', 'g'), '._-/#,;:()[]{}''"', '')"""
+
+
+@query(
+    "part",
+    sql=f"""WITH b AS (SELECT p_brand, {_ALIAS} AS alias, count(*) AS n, count(*) FILTER (WHERE p_size = 1) > count(*) FILTER (WHERE p_size = 2) AS known FROM part GROUP BY 1)
+    SELECT p_brand, n, alias FROM b WHERE NOT EXISTS (SELECT 1 FROM b AS k WHERE k.known AND k.alias = b.alias)""",
+)
 def glossary_candidates(part):
-    counted = part.groupBy("p_brand").agg(F.count("*").alias("n"))
-    known = part.where("p_size = 1").select(text.alias_key(F.col("p_brand")).alias("alias"))
-    return maintenance.glossary_candidates(counted, known.limit(1), "p_brand", "n", text.alias_key(F.col("p_brand")), 1, 40)
+    counted = part.groupBy("p_brand").agg(F.count("*").alias("n"), (F.count_if(F.col("p_size") == 1) > F.count_if(F.col("p_size") == 2)).alias("known"))
+    known = counted.where("known").select(text.alias_key(F.col("p_brand")).alias("alias"))
+    return maintenance.glossary_candidates(counted.drop("known"), known, "p_brand", "n", text.alias_key(F.col("p_brand")), 1, 40)
