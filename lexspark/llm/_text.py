@@ -16,8 +16,9 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SLICE_BYTES = 1_000_000
 ARROW_ROWS = 1_000
@@ -131,13 +132,16 @@ def fold(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir, or a temporary one of our own where none is set."""
+    """The shared folder: spark.checkpoint.dir, or (in local mode only, where every task can read
+    it) a temporary one of our own where none is set."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="lexspark-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
-    return found
+    return found.rstrip("/")
 
 
 @contextmanager
@@ -160,15 +164,60 @@ def lean(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write as Parquet in the shared folder and read it back."""
+class Scratch:
+    """Tables of one job in a folder of their own within the shared folder; ``close`` deletes them
+    once what is returned has been written elsewhere."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        return _written(df, f"{self.path}/{name}-{uuid.uuid4().hex}")
+
+    def close(self) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     with cleaning(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage: write as Parquet in the shared folder and read it back."""
+    return _written(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+def column(name: str) -> Column:
+    """A column by its whole name: dots and backticks in it are part of it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(df: DataFrame, without=()) -> list[Column]:
+    """The columns of df, except those named (in any case) like one of ``without``."""
+    clash = {x.lower() for x in without}
+    return [column(c) for c in df.columns if c.lower() not in clash]
+
+
+def unused(df: DataFrame, stem: str = "_x") -> str:
+    """A prefix that no column of df begins with."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(stem.lower()) for c in taken):
+        stem += "_"
+    return stem
+
+
+def widened(df: DataFrame, more: str) -> StructType:
+    """The schema of df, all nullable, and the columns of a DDL string."""
+    out = StructType()
+    for f in [*df.schema.fields, *StructType.fromDDL(more).fields]:
+        out.add(f.name, f.dataType, True, f.metadata)
+    return out
+
+
 def pack_sorted(x: np.ndarray) -> bytes:
     """A sorted list of 64-bit values: differences, byte planes apart, compressed."""
     return zstandard.ZstdCompressor(level=1).compress(np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
@@ -194,6 +243,23 @@ def unpack_ids(data: bytes) -> np.ndarray:
     return table[np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32}[int(width)], offset=16 + 8 * int(n))]
 
 
+def pack_places(x: np.ndarray) -> bytes:
+    """Whole numbers below 2**32: byte planes apart, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpack_places(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def tasks(docs: DataFrame, text_bytes: int) -> int:
+    """Shuffle partitions so that each has about ``text_bytes`` of text, and no fewer than the session's:
+    what a task holds does not grow with the corpus."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return max(fold(docs.sparkSession), -(-int(size) // text_bytes))
+
+
 def held_out(doc_id, mod: int):
     """True where crc32 of doc_id as text is divisible by mod (null ids count as held out)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == 0, F.lit(True))

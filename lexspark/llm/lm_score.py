@@ -1,24 +1,32 @@
-"""Language-model scores from a weighted backoff automaton.
-
-States are words (and the start of a text).  State h has an arc w for every bigram (h, w)
-of the training texts, of weight log10((c(h,w) + K p(w)) / (c(h) + K)), and a failure arc
-of weight log10(K / (c(h) + K)) to the root, whose arc w weighs log10 p(w), with
-p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)): a Dirichlet-smoothed model whose arcs leaving a
-state sum to 1.  A text is traversed once, left to right; its state is the word just read.
-
-The automaton grows with the corpus, so no task holds all of it.  A traversal emits its
-steps (state, word), packed by the block of the word; a block holds all arcs entering its
-words, counts them over the training texts, weighs the steps of every text and returns
-sums per text.  One shuffle of steps carries both training and scoring; a light pass
-before it gives N and V.  Weights are found by 64-bit hashes of words and word pairs.
-
-Null texts count as empty and have one token, the end.  A null doc_id is held out.
-Repeated rows are scored (and, if in training, counted) each.  Empty tables give empty
-results; extra columns are ignored.
+"""Language-model scores from a weighted backoff automaton of order 3.
+
+A state is a context of two words, of one word, or the empty one (the root); the start of a
+text counts as a word before the first.  A state h has an arc for every word w seen after h in
+the training texts, of weight log10((c(h,w) + K p(w|h')) / (c(h) + K)), where h' is h without
+its first word, and a failure arc to h', of weight log10(K / (c(h) + K)); the root has arcs of
+weight log10 p(w), p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), for every word.  So the arcs that
+leave a state, failures followed, sum to 1 (hierarchical Dirichlet smoothing).  A text is
+traversed once, left to right: while the state has no arc for the next word, its failure arc
+is taken and weighed; then the arc is.
+
+The automaton grows with the corpus, so no task holds all of it.  Texts are written in
+batches of about ``BATCH_WORDS`` words, which fixes them whatever executors are lost.  Each batch
+names its distinct n-grams, once each, to the reference block of their hash; a block adds up
+the training counts of all batches and answers each batch with the counts of its own n-grams.
+A batch builds the part of the automaton that its texts can reach and traverses them.  A
+frequent word is named once by a batch, so no block is hot, and memory in a task is that of
+one batch or of one block, whose number grows with the corpus.
+
+n-grams are told apart by 64-bit hashes.  Null texts count as empty and have one token, the
+end.  A null doc_id is held out.  Repeated rows are scored (and, if in training, counted) each.
+A text longer than a batch is a batch of its own.  Empty tables give empty results; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -28,217 +36,242 @@ from pyspark.sql import functions as F
 from lexspark.llm import _text as T
 
 BATCH_WORDS = 1_000_000
-KAPPA = 20.0
+BLOCK_TOKENS = 4_000_000
+PIECE = 256
+KAPPA = (50.0, 20.0)  # of contexts of one word and of two
 END, START = np.uint64(0x45_4E_44_5F_54_4F_4B), np.uint64(0x53_54_41_52_54_5F_54)
 
 
-def _tokens(part: pa.RecordBatch):
-    """Token hashes (words and an end) of all texts on end, state before each, row of each."""
-    h, first = T.scan(part.column(2))
-    n = len(first) - 1
-    size = np.diff(first) + 1
-    upto = np.cumsum(size)
-    w = np.full(int(upto[-1]) if n else 0, END)
-    inner = np.ones(len(w), bool)
-    inner[upto - 1] = False
-    w[inner] = h
-    state = np.empty_like(w)
-    state[1:] = w[:-1]
-    state[upto - size] = START
-    return w, state, np.repeat(np.arange(n), size), size
-
-
-def _gathered(batches, most=BATCH_WORDS):
-    """Batches of about ``most`` tokens: ids, held out, tokens, states, rows, sizes."""
-    held, total = [], 0
+def _batched(batches):
+    """Texts in rows of about BATCH_WORDS words: batch, ids, held, texts, tokens of training texts."""
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64()]
+    names = ["batch", "ids", "held", "texts", "tokens", "train_tokens", "train_texts"]
+    ids, held, texts, size, seq = [], [], [], 0, TaskContext.get().partitionId() << 24
 
-    def out():
-        base = np.cumsum([0, *(len(x[5]) for x in held)])
-        return (pa.concat_arrays([x[0] for x in held]), *(np.concatenate([x[k] for x in held]) for k in (1, 2, 3)), np.concatenate([x[4] + b for x, b in zip(held, base)]), np.concatenate([x[5] for x in held]))
+    def row():
+        out = np.array(held, bool)
+        n = np.array(counts, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((seq, ids, held, texts, int(n.sum()), int(n[~out].sum()), int((~out).sum())), kinds)], names=names)
 
+    counts: list[int] = []
     for batch in batches:
         for part in T.slices(batch):
-            w, state, row, size = _tokens(part)
-            held.append((part.column(0), part.column(1).to_numpy(zero_copy_only=False), w, state, row, size))
-            total += len(w)
-            if total >= most:
-                yield out()
-                held, total = [], 0
-    if held:
-        yield out()
-
-
-def _block(w: np.ndarray, blocks: int) -> np.ndarray:
-    return ((w >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int32)
-
-
-def _words_of(blocks: int):
-    def run(batches):
-        for _, held, w, _, row, _ in _gathered(batches):
-            u, c = np.unique(w[~held[row]], return_counts=True)
-            edge = np.searchsorted(_block(u, blocks), np.arange(blocks + 1))
-            some = np.flatnonzero(np.diff(edge))
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array([f(x[edge[b] : edge[b + 1]]) for b in some], pa.binary()) for x, f in ((u, T.pack_sorted), (c, _narrow)))], names=["block", "w", "c"])
-
-    return run
-
-
-def _totals(batches):
-    held: dict[int, list] = {}
-    n = 0
-    for batch in batches:
-        for b, w, c in zip(*(x.to_pylist() for x in batch.columns)):
-            held.setdefault(b, []).append(w)
-            n += int(_widen(c).sum())
-    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([sum(len(np.unique(np.concatenate([T.unpack_sorted(w) for w in x]))) for x in held.values())], pa.int64())], names=["n", "v"])
-
-
-def _steps(blocks: int):
-    """Steps of a traversal by block of their word; what is known of the texts in block -1."""
-    names = ["block", "batch", "w", "which", "pair", "times", "text", "times_in", "ids", "held", "size", "out"]
-    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6, pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
-
-    def run(batches):
-        for seq, (ids, held, w, state, row, size) in enumerate(_gathered(batches)):
-            batch = (TaskContext.get().partitionId() << 24) + seq
-            pair = T.mix(w * T._BASE + state)
-            order = np.argsort(pair, kind="stable")  # rows stay in order within a pair
-            p, r = pair[order], row[order]
-            new_p = np.ones(len(p), bool)
-            new_p[1:] = p[1:] != p[:-1]
-            new = new_p.copy()
-            new[1:] |= r[1:] != r[:-1]
-            at = np.flatnonzero(new)
-            many = np.diff(np.append(at, len(p)))
-            head = np.flatnonzero(new_p)
-            pairs, words = p[head], w[order][head]
-            entry = np.cumsum(new_p)[at] - 1  # the pair of each entry
-            per = np.bincount(entry, minlength=len(head))
-            by = np.argsort(_block(words, blocks), kind="stable")
-            edge = np.searchsorted(_block(words, blocks)[by], np.arange(blocks + 1))
-            first = np.concatenate([[0], np.cumsum(per)])
-            lines = []
-            for b in np.flatnonzero(np.diff(edge)).tolist():
-                own = by[edge[b] : edge[b + 1]]
-                u, which = np.unique(words[own], return_inverse=True)
-                cnt = per[own]
-                pos = np.repeat(first[own] - np.concatenate([[0], np.cumsum(cnt)[:-1]]), cnt) + np.arange(int(cnt.sum()))
-                text = r[at[pos]].astype(np.uint32)
-                packed = (cnt.astype(np.uint32), many[pos].astype(np.uint32), text)
-                lines.append([b, batch, T.pack_sorted(u), _narrow(which), pairs[own].tobytes(), _narrow(packed[0]), _narrow(text), _narrow(packed[1]), None, None, None, _narrow(held[text].astype(np.uint8))])
-            lines.append([-1, batch, *[None] * 6, ids.to_pylist(), held.tolist(), size.tolist(), None])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*lines), kinds)], names=names)
-
-    return run
+            _, _, first = T.spans(*T.utf8(part.column(2)))
+            many = (np.diff(first) + 1).tolist()
+            for i, h, t, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), many):
+                if size and size + n > BATCH_WORDS:
+                    yield row()
+                    ids, held, texts, counts, size, seq = [], [], [], [], 0, seq + 1
+                ids.append(i)
+                held.append(h)
+                texts.append(t or "")
+                counts.append(n)
+                size += n
+    if size:
+        yield row()
+
+
+class Tokens:
+    """The tokens of a batch as hashes (each text's words, then the end), the two words before each,
+    and the hashes of the 2- and 3-grams that end there."""
+
+    def __init__(self, texts: pa.Array):
+        h, first = T.scan(texts)
+        self.size = np.diff(first) + 1
+        end = np.cumsum(self.size)
+        self.w = np.full(int(end[-1]) if len(end) else 0, END)
+        inner = np.ones(len(self.w), bool)
+        inner[end - 1] = False
+        self.w[inner] = h
+        self.start = end - self.size
+        self.row = np.repeat(np.arange(len(self.size)), self.size)
+        before = np.concatenate([[START], self.w[:-1]]) if len(self.w) else self.w
+        before[self.start] = START
+        earlier = np.concatenate([[START], before[:-1]]) if len(self.w) else self.w
+        earlier[self.start] = START
+        self.before, self.earlier = before, earlier
+        self.two = T.mix(self.w * T._BASE + before)
+        self.three = T.mix((self.two ^ np.uint64(3)) * T._BASE + earlier)
+
+
+def _block(h: np.ndarray, blocks: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
 
 
 def _narrow(x: np.ndarray) -> bytes:
-    kind = next(k for k in (np.uint8, np.uint16, np.uint32) if k == np.uint32 or not len(x) or x.max() <= np.iinfo(k).max)
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if k == np.uint64 or not len(x) or x.max() <= np.iinfo(k).max)
     return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
 
 
 def _widen(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, {1: np.uint8, 2: np.uint16, 4: np.uint32}[x[0]], offset=1).astype(np.int64)
+    return np.frombuffer(x, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[x[0]], offset=1).astype(np.int64)
 
 
-def _weigh(n: int, v: int, kappa: float):
-    """Count the arcs of each block and sum the weights of each text's steps."""
-    total = n + 0.1 * (v + 1)
+def _named(blocks: int):
+    """A batch's distinct n-grams of each order by block, with their counts in its training texts."""
 
     def run(batches):
-        kept: dict[int, list] = {}
-        sums: dict[int, np.ndarray] = {}
         for got in batches:
-            for line in got.to_pylist():
-                if line["block"] < 0:
-                    yield pa.RecordBatch.from_arrays([pa.array([line["batch"]], pa.int64()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([line["ids"]], pa.list_(pa.int64())), pa.array([line["held"]], pa.list_(pa.bool_())), pa.array([line["size"]], pa.list_(pa.int64()))], names=_NAMES)
-                else:
-                    kept.setdefault(line["block"], []).append(line)
-        for b in list(kept):
-            lines = kept.pop(b)
-            ws = [T.unpack_sorted(x["w"]) for x in lines]
-            u, of_word = np.unique(np.concatenate(ws), return_inverse=True)
-            base = np.cumsum([0, *map(len, ws)])
-            word = np.concatenate([of_word[_widen(x["which"]) + k] for x, k in zip(lines, base)])
-            _, of_pair = np.unique(np.concatenate([np.frombuffer(x["pair"], np.uint64) for x in lines]), return_inverse=True)
-            n_pair = np.cumsum([0, *(len(x["pair"]) // 8 for x in lines)])
-            entries = []
-            c_word, c_pair = np.zeros(len(u)), np.zeros(len(of_pair))
-            for x, k in zip(lines, n_pair):
-                times, text, many = (_widen(x[c]) for c in ("times", "text", "times_in"))
-                pair = np.repeat(np.arange(len(times)) + k, times)
-                train = _widen(x["out"]) == 0
-                entries.append((x["batch"], pair, text, many, train))
-            for _, pair, text, many, train in entries:
-                m = np.where(train, many, 0)
-                c_pair += np.bincount(of_pair[pair], m, len(c_pair))
-                c_word += np.bincount(word[pair], m, len(u))
-            root = np.log10(c_word + 0.1)
-            known = (c_word > 0).astype(float)
-            leave = np.where(u == END, 0.0, np.log10(c_word + kappa))
-            for batch, pair, text, many, _ in entries:
-                wd = word[pair]
-                arc = np.log10(c_pair[of_pair[pair]] + kappa * (c_word[wd] + 0.1) / total) - leave[wd]
-                got = np.stack([np.bincount(text, many * x) for x in (root[wd], known[wd], arc)])
-                old = sums.get(batch)
-                if old is not None and old.shape[1] > got.shape[1]:
-                    got = np.pad(got, ((0, 0), (0, old.shape[1] - got.shape[1])))
-                elif old is not None:
-                    old = np.pad(old, ((0, 0), (0, got.shape[1] - old.shape[1])))
-                sums[batch] = got if old is None else old + got
-        for batch, got in sums.items():
-            some = np.flatnonzero(got.any(0))
-            yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([some.astype(np.uint32).tobytes()], pa.binary()), pa.array([got[:, some].tobytes()], pa.binary()), pa.array([None], pa.list_(pa.int64())), pa.array([None], pa.list_(pa.bool_())), pa.array([None], pa.list_(pa.int64()))], names=_NAMES)
+            for line in range(got.num_rows):
+                batch, held, texts = (got.column(k)[line] for k in range(3))
+                t = Tokens(texts.values)
+                train = ~np.array(held.as_py(), bool)[t.row]
+                rows = []
+                for order, h in enumerate((t.w, t.two, t.three), 1):
+                    u, at = np.unique(h, return_inverse=True)
+                    c = np.bincount(at, train, len(u)).astype(np.int64)
+                    edge = np.searchsorted(_block(u, blocks), np.arange(blocks + 1))
+                    rows += [(b, batch.as_py(), order, T.pack_sorted(u[i:j]), _narrow(c[i:j])) for b, (i, j) in enumerate(zip(edge[:-1], edge[1:])) if j > i]
+                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["block", "batch", "n", "grams", "counts"])
 
     return run
 
 
-_NAMES = ["batch", "text", "sums", "ids", "held", "size"]
-
-
-def _finish(n: int, v: int, kappa: float, texts: int):
-    total = np.log10(n + 0.1 * (v + 1))
-
+def _answered(batches):
+    """Within blocks: the sum of all batches' counts for each batch's n-grams, in its order, and
+    (batch -1) how many words have a count."""
+    held: dict[tuple, list] = {}
+    names = ["block", "batch", "n", "counts", "words"]
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
+    for got in batches:
+        for b, batch, n, grams, counts in zip(*(c.to_pylist() for c in got.columns)):
+            held.setdefault((b, n), []).append((batch, grams, counts))
+    for b, n in list(held):
+        lines = held.pop((b, n))
+        grams = [T.unpack_sorted(g) for _, g, _ in lines]
+        u, at = np.unique(np.concatenate(grams), return_inverse=True)
+        total = np.bincount(at, np.concatenate([_widen(c) for _, _, c in lines]), len(u)).astype(np.int64)
+        edge = np.cumsum([0, *map(len, grams)])
+        rows = [(b, batch, n, _narrow(total[at[i:j]]), None) for (batch, _, _), i, j in zip(lines, edge[:-1], edge[1:])]
+        if n == 1:
+            rows.append((b, -1, 1, None, int((total > 0).sum())))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+
+class Automaton:
+    """The states and arcs that a batch's texts can reach.
+
+    Words are numbered from 0, the start of a text last.  State 0 is the root, 1 + w the
+    context of word w, and those after that contexts of two words.  ``arcs`` are sorted keys
+    state * words + word, ``weight`` and ``goto`` go with them; every word has an arc at the root.
+    """
+
+    def __init__(self, words: int, arcs, weight, goto, fail, failing):
+        self.words, self.arcs, self.weight, self.goto, self.fail, self.failing = words, arcs, weight, goto, fail, failing
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next state and log10 weight of one word read in each of some states."""
+        out, total, todo = np.zeros_like(state), np.zeros(len(state)), np.arange(len(state))
+        while len(todo):
+            key = state[todo] * self.words + word[todo]
+            at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            hit = self.arcs[at] == key
+            total[todo[hit]] += self.weight[at[hit]]
+            out[todo[hit]] = self.goto[at[hit]]
+            todo = todo[~hit]
+            total[todo] += self.failing[state[todo]]  # no arc: the failure arc is taken
+            state = state.copy()
+            state[todo] = self.fail[state[todo]]
+        return out, total
+
+    def traverse(self, word: np.ndarray, start: np.ndarray, end: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """log10 weight of each of some runs of words, read left to right from given states; the
+        runs advance together, so that a step is one vector operation."""
+        order = np.argsort(start - end, kind="stable")  # the longest first
+        start, length, state = start[order], (end - start)[order], state[order]
+        total = np.zeros(len(start))
+        for k in range(int(length[0]) if len(length) else 0):
+            live = int(np.searchsorted(-length, -k, "left"))  # runs longer than k
+            state[:live], got = self.step(state[:live], word[start[:live] + k])
+            total[:live] += got
+        out = np.empty_like(total)
+        out[order] = total
+        return out
+
+
+def build(t: Tokens, counts: list[np.ndarray], texts: int, n: int, v: int, kappa=KAPPA):
+    """The automaton of a batch from the training counts of its distinct n-grams of each order (in the
+    order of their hashes), and its tokens as word numbers."""
+    total = n + 0.1 * (v + 1)
+    u1, first, word = np.unique(t.w, return_index=True, return_inverse=True)
+    words = len(u1) + 1
+    start = words - 1
+    at = np.arange(len(t.w))
+    before = np.concatenate([[start], word[:-1]])
+    before[t.start] = start
+    earlier = np.concatenate([[start], before[:-1]])
+    earlier[t.start] = start
+    c1 = counts[0].astype(float)
+    ctx1 = np.append(c1, texts)  # how often a word, or the start, is a context
+    p1 = (c1 + 0.1) / total
+    _, f2, of2 = np.unique(t.two, return_index=True, return_inverse=True)
+    c2 = counts[1].astype(float)
+    p2 = (c2 + kappa[0] * p1[word[f2]]) / (ctx1[before[f2]] + kappa[0])
+    _, f3 = np.unique(t.three, return_index=True)
+    c3 = counts[2].astype(float)
+    # contexts of two words: the 2-grams of the batch, and one of two starts
+    pair_of = np.concatenate([of2, [-1]])
+    last = np.where(before == start, len(c2), pair_of[np.maximum(at - 1, 0)])
+    ctx2 = np.append(c2, texts)
+    p3 = (c3 + kappa[1] * p2[of2[f3]]) / (ctx2[last[f3]] + kappa[1])
+    pair_state = 1 + words + np.arange(len(c2) + 1)
+    # states never seen in training fail at no cost: all their weight goes to the shorter context
+    fail = np.concatenate([[0], np.zeros(words, np.int64), 1 + word[f2], [1 + start]])
+    failing = np.concatenate([[0.0], np.log10(kappa[0] / (ctx1 + kappa[0])), np.log10(kappa[1] / (ctx2 + kappa[1]))])
+    two, three = c2 > 0, c3 > 0
+    arcs = np.concatenate([np.arange(len(u1)), (1 + before[f2][two]) * words + word[f2][two], pair_state[last[f3][three]] * words + word[f3][three]])
+    weight = np.concatenate([np.log10(p1), np.log10(p2[two]), np.log10(p3[three])])
+    # after a word, the state is the context of the two last words if training has it, else of the last
+    goto = np.concatenate([1 + np.arange(len(u1)), pair_state[:-1][two], pair_state[of2[f3]][three]])
+    order = np.argsort(arcs)
+    machine = Automaton(words, arcs[order], weight[order], goto[order], fail, failing)
+    return machine, word, before, pair_state[last], two, of2, p1, c1
+
+
+def _scored(n: int, v: int, texts: int, kappa):
     def run(batches):
-        sums: dict[int, list] = {}
-        known: dict[int, dict] = {}
         for got in batches:
-            for line in got.to_pylist():
-                if line["ids"] is not None:
-                    known[line["batch"]] = line
-                else:
-                    sums.setdefault(line["batch"], []).append(line)
-        for batch, x in known.items():
-            size = np.array(x["size"], np.int64)
-            all_ = np.zeros((3, len(size)))
-            for line in sums.get(batch, []):
-                text = np.frombuffer(line["text"], np.uint32)
-                all_[:, text] += np.frombuffer(line["sums"]).reshape(3, -1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x["ids"], pa.int64()), pa.array(x["held"]), pa.array(size), pa.array(np.rint(all_[1]).astype(np.int64)), pa.array(np.full(len(size), n)), pa.array(all_[0] - size * total), pa.array(all_[2] - np.log10(texts + kappa))],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+            for line in range(got.num_rows):
+                ids, held, text, answers = (got.column(k)[line].as_py() if k != 2 else got.column(k)[line] for k in range(4))
+                t = Tokens(text.values)
+                counts = [np.concatenate([_widen(a["counts"]) for a in sorted((a for a in answers if a["n"] == k), key=lambda a: a["block"])]) for k in (1, 2, 3)]
+                machine, word, before, pair, seen, of2, p1, c1 = build(t, counts, texts, n, v, kappa)
+                # long texts are read in pieces, each from the state that the two words before it lead to
+                cut = np.concatenate([np.arange(s, s + z, PIECE) for s, z in zip(t.start.tolist(), t.size.tolist())])
+                end = np.minimum(cut + PIECE, (t.start + t.size)[t.row[cut]])
+                inside = (cut - t.start[t.row[cut]]) > 0
+                known = ~inside | seen[of2[np.maximum(cut - 1, 0)]]
+                got_sum = machine.traverse(word, cut, end, np.where(known, pair[cut], 1 + before[cut]))
+                score = np.bincount(t.row[cut], got_sum, len(t.size))
+                base = np.add.reduceat(np.log10(p1)[word], t.start)
+                k = len(ids)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(t.size), pa.array(np.add.reduceat((c1 > 0).astype(np.int64)[word], t.start)), pa.array(np.full(k, n)), pa.array(base), pa.array(score)],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
+                pa.default_memory_pool().release_unused()
 
     return run
 
 
-def score(docs: DataFrame, held, kappa: float = KAPPA) -> DataFrame:
+def score(docs: DataFrame, held, kappa=KAPPA) -> DataFrame:
     """Score every whole text, learning from the rows where the column ``held`` is false.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigrams) and
     score (log10 probability under the automaton)."""
     spark = docs.sparkSession
     T.lean(spark)
-    parts = T.fold(spark)
-    blocks = 4 * parts
-    rows = docs.select(F.col("doc_id").cast("long"), held.alias("held"), F.col("text").cast("string"))
-    words = rows.where("not held").mapInArrow(_words_of(blocks), "block int, w binary, c binary")
-    with T.cleaning(spark):
-        got = words.repartition(parts, "block").mapInArrow(_totals, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    texts = rows.where("not held").count()
-    n, v = int(got.n or 0), int(got.v or 0)
-    kinds = "block int, batch long, w binary, which binary, pair binary, times binary, text binary, times_in binary, ids array<long>, held array<boolean>, size array<long>, out binary"
-    steps = rows.mapInArrow(_steps(blocks), kinds)
-    where = F.when(F.col("block") < 0, -F.col("batch") - 1).otherwise(F.col("block"))
-    weighed = steps.repartition(parts, where).mapInArrow(_weigh(n, v, kappa), "batch long, text binary, sums binary, ids array<long>, held array<boolean>, size array<long>")
-    return weighed.repartition(parts, "batch").mapInArrow(_finish(n, v, kappa, texts), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), F.col("text").cast("string").alias("text"))
+    kinds = "batch long, ids array<long>, held array<boolean>, texts array<string>, tokens long, train_tokens long, train_texts long"
+    batches = T.materialize(rows.mapInArrow(_batched, kinds), "lm-batches")
+    size = batches.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "train_tokens", "train_texts"))).first()
+    # blocks and tasks follow the size of the corpus, so that a block's size does not
+    blocks = max(T.fold(spark), math.ceil(size.tokens / BLOCK_TOKENS))
+    named = batches.select("batch", "held", "texts").mapInArrow(_named(blocks), "block int, batch long, n int, grams binary, counts binary")
+    answered = named.repartition(blocks, "block").mapInArrow(_answered, "block int, batch long, n int, counts binary, words long")
+    answered = T.materialize(answered, "lm-counts")
+    v = int(answered.agg(F.sum("words")).first()[0] or 0)
+    own = answered.where("batch >= 0").groupBy("batch").agg(F.collect_list(F.struct("block", "n", "counts")).alias("answers"))
+    joined = batches.join(own, "batch").select("ids", "held", "texts", "answers")
+    return joined.mapInArrow(_scored(int(size.train_tokens), v, int(size.train_texts), kappa), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
