@@ -136,9 +136,9 @@ gone AS (SELECT DISTINCT doc_id, i + k AS i FROM late, range(0, 13) AS t(k)),
 word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
 kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
 n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
-runs AS (SELECT doc_id, i, m, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS pi, lag(m) OVER (PARTITION BY doc_id ORDER BY i) AS pm
-         FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS m FROM win) WHERE m < doc_id),
-f AS (SELECT doc_id, count(*) AS n FROM runs WHERE pi IS NULL OR i - pi > 1 OR m <> pm GROUP BY doc_id)
+place AS (SELECT doc_id, i, m, min(CASE WHEN doc_id = m THEN i END) OVER (PARTITION BY g) AS p FROM (SELECT doc_id, i, g, min(doc_id) OVER (PARTITION BY g) AS m FROM win)),
+runs AS (SELECT doc_id, i, m, p, lag(i) OVER w AS pi, lag(m) OVER w AS pm, lag(p) OVER w AS pp FROM place WHERE m < doc_id WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT doc_id, count(*) AS n FROM runs WHERE pi IS NULL OR i - pi > 1 OR m <> pm OR p - pp <> 1 GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256, coalesce(f.n, 0) AS n_factors
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN f USING (doc_id)"""
 

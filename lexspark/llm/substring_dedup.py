@@ -2,18 +2,21 @@
 
 Every document is parsed against every earlier document (smaller doc_id).  The reference
 is cut into blocks by ranges of window fingerprints; a block's index holds, for each
-13-word window that falls into it, the first document the window starts in.  All blocks
-are asked for every window (one shuffle of fingerprints, packed in sorted binary lists and
-already reduced to one row per batch and window; the other documents of the batch that have
-the window wait for the answer to its first), so the greedy parse of a document sees,
-at each position, the first document of the corpus that has the window.  A factor is extended word by word
-while windows have the same source; where it ends, the next window is looked up afresh,
-so windows across factor boundaries are checked and not assumed.  Words in factors go.
-
-Null texts have no words; a document of under 13 words keeps all.  Rows that repeat a
-doc_id are one document with several texts: a window counts as a copy only if a smaller
-doc_id has it.  Rows of a null doc_id are kept whole.  Empty tables give empty results;
-extra columns are ignored.
+13-word window that falls into it, the first place of the corpus where it starts: the smallest
+document and the first word in it.  All blocks are asked for every window (one shuffle of
+fingerprints, packed in sorted binary lists and already reduced to one row per batch and
+window; the other documents of the batch that have the window wait for the answer to its
+first).  The greedy parse of a document begins a factor at the first window that an earlier
+document has, and extends it word by word while the source goes on: while the next window's
+first place is the next word of the same document.  Where it does not, the factor ends and
+the next window is looked up afresh, so windows across factor boundaries are checked and not
+assumed.  A factor is thus a run of words of its source, at least 13 long; words in factors go.
+
+Windows are told apart by 64-bit hashes.  Null texts have no words; a document of under 13
+words keeps all.  Rows that repeat a doc_id are one document with several texts: a window
+counts as a copy only if a smaller doc_id has it, and a place is counted within its row.  Rows
+of a null doc_id are kept whole.  Very long texts are cut nowhere.  Empty tables give empty
+results; extra columns are kept, unless named (in any case) like a result.
 """
 
 from __future__ import annotations
@@ -30,27 +33,37 @@ from pyspark.sql import functions as F
 from lexspark.llm import _text as T
 
 WINDOW = 13
-BLOCKS = 4  # reference blocks to a partition
+BLOCKS = 2  # reference blocks to a partition
 TASK_WORDS = 1_000_000
+TASK_BYTES = 64_000_000  # of text to a shuffle partition
+NAMES = ["block", "batch", "fp", "owner", "source", "place"]
+KINDS = "block int, batch long, fp binary, owner binary, source binary, place binary"
+RESULTS = ("n_words", "n_removed", "kept_sha256", "factors")
+
+
+def _rows(rows) -> pa.RecordBatch:
+    """Lines of KINDS: block, batch and packed lists."""
+    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=NAMES)
 
 
 def _fingerprints(n: int, blocks: int):
-    """Packed lists of (window, first document of the batch) by reference block; what other
-    documents of the batch have those windows is kept apart (block -1)."""
+    """Packed lists of (window, first document of the batch, its place there) by reference block; what
+    other documents of the batch have those windows is kept apart (block -1)."""
 
-    def emit(batch, h, owner):
-        order = np.lexsort((owner, h))
-        h, owner = h[order], owner[order]
+    def emit(batch, h, owner, place):
+        order = np.lexsort((place, owner, h))
+        h, owner, place = h[order], owner[order], place[order]
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
-        source = owner[np.flatnonzero(new)][np.cumsum(new) - 1]
-        late = owner != source
-        u, first = h[new], owner[new]
-        rows = [(int(b), T.pack_sorted(u[i:j]), T.pack_ids(first[i:j]), None) for b, i, j in _ranges(u, blocks)]
+        at = np.flatnonzero(new)[np.cumsum(new) - 1]
+        late = owner != owner[at]
+        late[1:] &= (owner[1:] != owner[:-1]) | new[1:]  # once for a document
+        u, first, where = h[new], owner[new], place[new]
+        rows = [(int(b), batch, T.pack_sorted(u[i:j]), T.pack_ids(first[i:j]), None, T.pack_places(where[i:j])) for b, i, j in _ranges(u, blocks)]
         if late.any():
-            rows.append((-1, T.pack_sorted(h[late]), T.pack_ids(owner[late]), T.pack_ids(source[late])))
-        names = ["block", "batch", "fp", "owner", "source"]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([batch] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], names=names)
+            rows.append((-1, batch, T.pack_sorted(h[late]), T.pack_ids(owner[late]), T.pack_ids(owner[at][late]), T.pack_places(place[at][late])))
+        yield _rows(rows)
 
     def run(batches):
         held, size, seq = [], 0, TaskContext.get().partitionId() << 24
@@ -58,7 +71,8 @@ def _fingerprints(n: int, blocks: int):
             for part in T.slices(batch):
                 ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 h, row = T.windows(*T.scan(part.column(1), lower=False), n)
-                held.append((h, ids[row]))
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                held.append((h, ids[row], place))
                 size += len(h)
                 if size >= TASK_WORDS:
                     yield from emit(seq, *map(np.concatenate, zip(*held)))
@@ -77,34 +91,39 @@ def _ranges(sorted_h: np.ndarray, blocks: int):
 
 def _lookup(batches):
     """Within reference blocks: which of a batch's windows a smaller document of another batch
-    has.  Lists that ask for nothing (block -1) pass through."""
+    has, and where first.  Lists that ask for nothing (block -1) pass through."""
     held: dict[int, list] = {}
     answers: dict[int, list] = {}
     for got in batches:
         for row in range(got.num_rows):
             b = got.column(0)[row].as_py()
             if b < 0:
-                yield pa.RecordBatch.from_arrays([got.column(k).slice(row, 1) for k in range(5)], names=got.schema.names)
+                yield pa.RecordBatch.from_arrays([got.column(k).slice(row, 1) for k in range(len(NAMES))], names=NAMES)
             else:
-                held.setdefault(b, []).append([got.column(k)[row].as_py() for k in (1, 2, 3)])
+                held.setdefault(b, []).append([got.column(k)[row].as_py() for k in (1, 2, 3, 5)])
     for b in list(held):
         lists = held.pop(b)
-        h, owner = np.concatenate([T.unpack_sorted(x) for _, x, _ in lists]), np.concatenate([T.unpack_ids(x) for _, _, x in lists])
+        h, owner, place = (np.concatenate([f(x[k]) for x in lists]) for k, f in ((1, T.unpack_sorted), (2, T.unpack_ids), (3, T.unpack_places)))
         order = np.argsort(h, kind="stable")
-        sorted_h = h[order]
-        at = np.flatnonzero(np.diff(sorted_h, prepend=sorted_h[0] ^ np.uint64(1)))
-        first = np.empty_like(owner)
-        first[order] = np.repeat(np.minimum.reduceat(owner[order], at), np.diff(np.append(at, len(h))))
+        at = np.flatnonzero(np.diff(h[order], prepend=h[order[0]] ^ np.uint64(1)))
+        many = np.diff(np.append(at, len(h)))
+        first, where = np.empty_like(owner), np.empty_like(place)
+        first[order] = np.repeat(np.minimum.reduceat(owner[order], at), many)
+        own = np.where(owner == first, place, np.iinfo(np.int64).max)
+        where[order] = np.repeat(np.minimum.reduceat(own[order], at), many)
         late = owner != first
-        edge = np.cumsum([0, *(len(T.unpack_ids(x)) for _, _, x in lists)])
-        for (batch, _, _), i, j in zip(lists, edge[:-1], edge[1:]):
+        edge = np.cumsum([0, *(len(T.unpack_ids(x[2])) for x in lists)])
+        for (batch, *_), i, j in zip(lists, edge[:-1], edge[1:]):
             if late[i:j].any():
-                answers.setdefault(batch, []).append((h[i:j][late[i:j]], owner[i:j][late[i:j]], first[i:j][late[i:j]]))
+                answers.setdefault(batch, []).append([x[i:j][late[i:j]] for x in (h, owner, first, where)])
     for batch in list(answers):
-        h, owner, source = map(np.concatenate, zip(*answers.pop(batch)))
+        h, owner, source, place = map(np.concatenate, zip(*answers.pop(batch)))
         order = np.argsort(h)
-        packed = (T.pack_sorted(h[order]), T.pack_ids(owner[order]), T.pack_ids(source[order]))
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([batch], pa.int64()), *(pa.array([x], pa.binary()) for x in packed)], names=["block", "batch", "fp", "owner", "source"])
+        yield _rows([(0, batch, T.pack_sorted(h[order]), T.pack_ids(owner[order]), T.pack_ids(source[order]), T.pack_places(place[order]))])
+
+
+def _unpacked(packed: list) -> list[np.ndarray]:
+    return [f(x) for f, x in zip((T.unpack_sorted, T.unpack_ids, T.unpack_ids, T.unpack_places), packed)]
 
 
 def _settle(buckets: int):
@@ -118,26 +137,26 @@ def _settle(buckets: int):
                 held.setdefault(batch, ([], []))[int(b < 0)].append(packed)
         answers = []
         for batch in list(held):
-            asked, rest = held.pop(batch)
-            asked, rest = ([(T.unpack_sorted(f), T.unpack_ids(o), T.unpack_ids(s)) for f, o, s in x] for x in (asked, rest))
+            asked, rest = ([_unpacked(p) for p in x] for x in held.pop(batch))
             answers += asked
             if asked and rest:  # a window is asked for once in a batch
-                known, _, first = map(np.concatenate, zip(*asked))
+                known, _, first, where = map(np.concatenate, zip(*asked))
                 order = np.argsort(known)
-                known, first = known[order], first[order]
-                for k, (h, owner, source) in enumerate(rest):
+                known, first, where = known[order], first[order], where[order]
+                for k, (h, owner, source, place) in enumerate(rest):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    rest[k] = h, owner, np.where(known[at] == h, first[at], source)
+                    hit = known[at] == h
+                    rest[k] = h, owner, np.where(hit, first[at], source), np.where(hit, where[at], place)
             answers += rest
         if answers:
-            h, owner, source = map(np.concatenate, zip(*answers))
+            h, owner, source, place = map(np.concatenate, zip(*answers))
             bucket = T.mix(owner.astype(np.uint64)) % np.uint64(buckets)
             order = np.lexsort((h, bucket))
-            h, owner, source, bucket = h[order], owner[order], source[order], bucket[order]
+            h, owner, source, place, bucket = (x[order] for x in (h, owner, source, place, bucket))
             edge = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
             for b in np.flatnonzero(np.diff(edge)).tolist():
                 i, j = edge[b], edge[b + 1]
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in (T.pack_sorted(h[i:j]), T.pack_ids(owner[i:j]), T.pack_ids(source[i:j])))], names=["bucket", "fp", "owner", "source"])
+                yield _rows([(b, 0, T.pack_sorted(h[i:j]), T.pack_ids(owner[i:j]), T.pack_ids(source[i:j]), T.pack_places(place[i:j]))])
 
     return run
 
@@ -146,66 +165,68 @@ def _by_document(batches):
     """Of the answers of one bucket: a row for each document."""
     held: dict[int, list] = {}
     for batch in batches:
-        for b, *packed in zip(*(c.to_pylist() for c in batch.columns)):
+        for b, _, *packed in zip(*(c.to_pylist() for c in batch.columns)):
             held.setdefault(b, []).append(packed)
     for b in list(held):
-        h, owner, source = (np.concatenate(x) for x in zip(*((T.unpack_sorted(f), T.unpack_ids(o), T.unpack_ids(s)) for f, o, s in held.pop(b))))
+        h, owner, source, place = map(np.concatenate, zip(*map(_unpacked, held.pop(b))))
         order = np.lexsort((h, owner))
-        h, owner, source = h[order], owner[order], source[order]
+        h, owner, source, place = (x[order] for x in (h, owner, source, place))
         at = np.flatnonzero(np.diff(owner, prepend=owner[0] - 1)) if len(owner) else np.zeros(0, np.int64)
         end = np.append(at[1:], len(h))
-        yield pa.RecordBatch.from_arrays([pa.array(owner[at]), *(pa.array([x[i:j].tobytes() for i, j in zip(at, end)], pa.binary()) for x in (h, source))], names=["doc_id", "fp", "source"])
+        yield pa.RecordBatch.from_arrays([pa.array(owner[at]), *(pa.array([x[i:j].tobytes() for i, j in zip(at, end)], pa.binary()) for x in (h, source, place.astype(np.uint32)))], names=["doc_id", "fp", "source", "place"])
 
 
 def matches(docs: DataFrame, n: int = WINDOW) -> DataFrame:
-    """doc_id, fp, source: packed windows of each document that start in a smaller one."""
-    spark = docs.sparkSession
-    T.lean(spark)
-    parts = T.fold(spark)
-    kinds = "block int, batch long, fp binary, owner binary, source binary"
-    lists = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints(n, BLOCKS * parts), kinds)
+    """doc_id, fp, source, place: packed windows of each document that start in a smaller one, with
+    the first document and word where they do."""
+    T.lean(docs.sparkSession)
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts = T.tasks(rows, TASK_BYTES)
+    lists = rows.mapInArrow(_fingerprints(n, BLOCKS * parts), KINDS)
     # a block's lists meet in one task; lists that ask for nothing are only spread
     where = F.when(F.col("block") < 0, -F.col("batch") - 1).otherwise(F.col("block"))
     # one bucket of documents for each task that reads them: a row for each pair of tasks at most
-    asked = lists.repartition(parts, where).mapInArrow(_lookup, kinds)
-    answers = asked.repartition(parts, "batch").mapInArrow(_settle(parts), "bucket int, fp binary, owner binary, source binary")
-    return answers.repartitionById(parts, "bucket").mapInArrow(_by_document, "doc_id long, fp binary, source binary")
+    asked = lists.repartition(parts, where).mapInArrow(_lookup, KINDS)
+    answers = asked.repartition(parts, "batch").mapInArrow(_settle(parts), KINDS)
+    return answers.repartitionById(parts, "block").mapInArrow(_by_document, "doc_id long, fp binary, source binary, place binary")
 
 
-def _factors(hit: np.ndarray, source: np.ndarray, n: int) -> list[tuple[int, int, int]]:
-    """Greedy factors (start, end, source) of one document: runs of matched windows of one
-    source; a run ends n-1 words after its last window."""
+def _factors(hit: np.ndarray, source: np.ndarray, place: np.ndarray, n: int) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, end, source, start in the source) of one document: runs of matched
+    windows on end whose first places are on end too; a run ends n-1 words after its last window."""
     at = np.flatnonzero(hit)
     if not len(at):
         return []
     new = np.ones(len(at), bool)
-    new[1:] = (np.diff(at) > 1) | (source[at][1:] != source[at][:-1])
+    new[1:] = (np.diff(at) > 1) | (np.diff(source[at]) != 0) | (np.diff(place[at]) != 1)
     s = at[new]
     e = np.append(at[np.flatnonzero(new)[1:] - 1], at[-1]) + n
-    return list(zip(s.tolist(), e.tolist(), source[s].tolist()))
+    return list(zip(s.tolist(), e.tolist(), source[s].tolist(), place[s].tolist()))
 
 
-def dedup(docs: DataFrame, n: int = WINDOW, keep_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, n: int = WINDOW, keep_text: bool = False, prefix: str = "") -> DataFrame:
     """Remove every word in a window of n words that also starts in a smaller document.
 
     Returns the columns of docs, n_words, n_removed, kept_sha256 and factors
-    (array<struct<start,end,source>>); with ``keep_text``, text is what was kept.
+    (array<struct<start,end,source,source_start>>), named with ``prefix``; with ``keep_text``,
+    text is what was kept.
     """
-    found = T.materialize(matches(docs, n), "matches").select(F.col("doc_id").alias("_doc"), F.struct("fp", "source").alias("_found"))
-    clash = {"n_words", "n_removed", "kept_sha256", "factors", "_doc", "_found"}
-    base = docs.select(*(c for c in docs.columns if c not in clash), F.col("doc_id").cast("long").alias("_id"))
-    joined = base.join(found, F.col("_id") == F.col("_doc"), "left").drop("_doc", "_id")
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "_id"]
-    schema = ", ".join([*kept, "n_words long", "n_removed long", "kept_sha256 string", "factors array<struct<start:long,end:long,source:long>>"])
-    names = [c for c in base.columns if c != "_id"]
+    results = [prefix + x for x in RESULTS]
+    base = docs.select(*T.columns(docs, results))
+    x = T.unused(base)
+    found = T.materialize(matches(docs, n), "matches").select(F.col("doc_id").alias(f"{x}doc"), F.struct("fp", "source", "place").alias(f"{x}found"))
+    joined = base.join(found, F.col("doc_id").cast("long") == F.col(f"{x}doc"), "left").select(*T.columns(base), f"{x}found")
+    schema = T.widened(base, f"`{results[0]}` long, `{results[1]}` long, `{results[2]}` string, `{results[3]}` array<struct<start:long,end:long,source:long,source_start:long>>")
+    text_at = [c.lower() for c in base.columns].index("text")
 
     def run(batches):
+        kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "end", "source", "source_start")]))
         for batch in batches:
+            batch = batch.rename_columns(["text" if k == text_at else f"c{k}" for k in range(batch.num_columns)])
             for part in T.slices(batch):
-                where = part.schema.get_field_index("text")
                 flags = part.column(part.num_columns - 1).to_pylist()
-                texts = part.column(where).fill_null("").to_pylist()
-                h, first = T.scan(part.column(where), lower=False) if any(flags) else (None, None)
+                texts = part.column(text_at).cast(pa.string()).fill_null("").to_pylist()
+                h, first = T.scan(part.column(text_at), lower=False) if any(flags) else (None, None)
                 total, gone, sha, spans, out = [], [], [], [], []
                 for row, (text, flag) in enumerate(zip(texts, flags)):
                     words = text.encode().split()
@@ -213,13 +234,11 @@ def dedup(docs: DataFrame, n: int = WINDOW, keep_text: bool = False) -> DataFram
                     factors = []
                     if flag and len(words) >= n:
                         w, _ = T.windows(h[first[row] : first[row + 1]], np.array([0, len(words)]), n)
-                        fp, src = np.frombuffer(flag["fp"], np.uint64), np.frombuffer(flag["source"], np.int64)
-                        order = np.lexsort((src, fp))
-                        fp, src = fp[order], src[order]
+                        fp, src, place = (np.frombuffer(flag[c], k) for c, k in (("fp", np.uint64), ("source", np.int64), ("place", np.uint32)))
                         at = np.minimum(np.searchsorted(fp, w), len(fp) - 1)
-                        factors = _factors(fp[at] == w, src[at], n)
+                        factors = _factors(fp[at] == w, src[at], place[at].astype(np.int64), n)
                         keep = np.ones(len(words) + 1, np.int64)
-                        for s, e, _ in factors:
+                        for s, e, *_ in factors:
                             keep[s:e] = 0
                         kept = b" ".join(compress(words, keep.tolist()))
                         gone.append(len(words) - int(keep[:-1].sum()))
@@ -227,13 +246,13 @@ def dedup(docs: DataFrame, n: int = WINDOW, keep_text: bool = False) -> DataFram
                         kept = b" ".join(words)
                         gone.append(0)
                     sha.append(hashlib.sha256(kept).hexdigest())
-                    spans.append([{"start": s, "end": e, "source": d} for s, e, d in factors])
+                    spans.append([{"start": s, "end": e, "source": d, "source_start": f} for s, e, d, f in factors])
                     if keep_text:
                         out.append(kept.decode() if gone[-1] else text)
                 cols = [part.column(k) for k in range(part.num_columns - 1)]
                 if keep_text:
-                    cols[where] = pa.array(out, cols[where].type)
-                cols += [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("source", pa.int64())])))]
-                yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_words", "n_removed", "kept_sha256", "factors"])
+                    cols[text_at] = pa.array([o if g or t is not None else None for o, g, t in zip(out, gone, cols[text_at].to_pylist())], cols[text_at].type)
+                cols += [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, kind)]
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return joined.mapInArrow(run, schema)

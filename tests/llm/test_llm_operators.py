@@ -106,22 +106,33 @@ def test_substring_dedup(spark, odd, none):
     assert _rows(substring_dedup.dedup(none)) == []
 
 
-def test_lm_score(spark, docs, odd, none):
+@pytest.mark.parametrize("batch, piece", [(lm_score.BATCH_WORDS, lm_score.PIECE), (2000, 7)])
+def test_lm_score(spark, monkeypatch, docs, odd, none, batch, piece):
+    monkeypatch.setattr(lm_score, "BATCH_WORDS", batch)
+    monkeypatch.setattr(lm_score, "PIECE", piece)
     rows = [(r.doc_id, (r.text or "").encode().lower().split() + [b"\0E"]) for r in docs.collect()]
-    c, b, n = Counter(), Counter(), 0
+    one, two, three, n = Counter(), Counter(), Counter(), 0
+    grams = lambda w: zip([b"\0S", b"\0S", *w], [b"\0S", *w], w)
     for d, w in rows:
         if zlib.crc32(str(d).encode()) % 10:
-            c.update(w)
-            b.update(zip([b"\0S", *w], w))
+            one.update(w)
+            two.update((y, z) for _, y, z in grams(w))
+            three.update(grams(w))
             n += 1
-    total, out = sum(c.values()), {b"\0S": n} | c
-    z, k = total + 0.1 * (len(c) + 1), lm_score.KAPPA
+    total, (k, j) = sum(one.values()), lm_score.KAPPA
+    z = total + 0.1 * (len(one) + 1)
+    after, after2 = one | Counter({b"\0S": n}), two | Counter({(b"\0S", b"\0S"): n})
+
+    def p(a, b, c):
+        p2 = (two[b, c] + k * (one[c] + 0.1) / z) / (after[b] + k)
+        return (three[a, b, c] + j * p2) / (after2[a, b] + j)
+
     got = {r.doc_id: r for r in _rows(lm_score.score(docs, T.held_out(F.col("doc_id"), 10)))}
     for d, w in rows:
         r = got[d]
-        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.1) / z) for x in w))
-        assert r.score == pytest.approx(sum(math.log10((b[h, x] + k * (c[x] + 0.1) / z) / (out.get(h, 0) + k)) for h, x in zip([b"\0S", *w], w)))
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(c[x] > 0 for x in w), total)
+        assert r.base_score == pytest.approx(sum(math.log10((one[x] + 0.1) / z) for x in w))
+        assert r.score == pytest.approx(sum(math.log10(p(*g)) for g in grams(w)))
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(one[x] > 0 for x in w), total)
     held = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     assert len(_rows(lm_score.score(odd, T.held_out(F.col("doc_id"), 10)))) == odd.count()
@@ -172,8 +183,8 @@ def test_decontaminate(spark, docs, odd, none):
     bench = spark.read.parquet(f"{DIR}/benchmark.parquet")
     items = {r.item_id: " ".join(r.text.lower().split()) for r in bench.collect()}
     want = {(r.doc_id, i) for r in docs.collect() for i, t in items.items() if t in " ".join(r.text.lower().split())}
-    for size in (decontaminate.BLOCK_ITEMS, 12):
-        got = {(r.doc_id, h.item) for r in _rows(decontaminate.find(docs, bench, block_items=size)) for h in r.hits}
+    for size in (decontaminate.BLOCK_WORDS, 300):
+        got = {(r.doc_id, h.item) for r in _rows(decontaminate.find(docs, bench, block_words=size)) for h in r.hits}
         assert want and got == want
     assert [r.contaminated for r in _rows(decontaminate.find(odd, bench))] == [False] * odd.count()
     assert _rows(decontaminate.find(none, bench)) == [] and not any(r.contaminated for r in _rows(decontaminate.find(odd, bench.limit(0))))
