@@ -3,13 +3,17 @@
 A document's blocks are its lines with a word of a licence notice, with as many words on
 both sides as the longest notice has, so that a wrapped notice is whole; lines that are
 less than that apart are one block.  A block is compressed with zstandard alone and with each
-template's wording as raw dictionary; the templates are ranked by how much of the block's
-compressed size the dictionary saves.  All that save enough are confirmed by the exact differences
-in wording (words missing from and added to the best-matching notice of the template):
-a notice counts if at most ``MAX_DIFF`` of its words differ and no version number does.
-
-Null and empty texts have no licences.  Repeated rows are scanned each; extra columns are
-kept, unless named like a result.  No shuffle: one narrow pass.
+template's wording as raw dictionary (long blocks in overlapping pieces of ``PIECE`` characters,
+as a dictionary serves what is near it); the templates are ranked by how many bytes the
+dictionary saves.  All that save at least ``MIN_SAVED`` of what their own shortest notice
+takes, whatever the block's length, are confirmed by the exact differences in wording (words
+missing from and added to the best-matching notice of the template): a notice counts if at most
+``MAX_DIFF`` of its words differ and no version number does.
+
+Null and empty texts have no licences.  Repeated rows are scanned each; a notice that a block
+repeats counts once for the block; templates that save alike come by name.  Very long texts
+are scanned whole.  Extra columns are kept, unless named (in any case) like a result; empty
+tables give empty results.  No shuffle: one narrow pass.
 """
 
 from __future__ import annotations
@@ -31,22 +35,31 @@ from lexspark.llm import _text as T
 
 MIN_SAVED = 0.25
 MAX_DIFF = 0.15
+PIECE = 4_000
 MAX_CACHE = 20_000
-TRIGGER = r"(?i)licen[sc]e|licen[cs]ed|copyright|spdx|permission\W+is\W+hereby|redistribution\W+and\W+use|creative\W+commons|public\W+domain"
+#: Words that notices have; each of the longer ones has several, so that a changed word hides none of them.
+TRIGGER = r"(?i)licen[sc]e|copyright|spdx|hereby|granted|permission|permitted|redistribut|warrant|implied|liable|as-is|public\W+domain|creative\W+commons|free\W+of\W+charge|binary|copies|foundation|neighbou?ring|unencumbered|software"
+RESULTS = ("n_blocks", "licenses")
 
 # Wording of public licence notices.
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "SPDX-License-Identifier: Apache-2.0"],
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.', "SPDX-License-Identifier: Apache-2.0"],
+    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software', "SPDX-License-Identifier: MIT"],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "SPDX-License-Identifier: GPL-3.0"],
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "SPDX-License-Identifier: GPL-2.0"],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0"],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0"],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "SPDX-License-Identifier: LGPL-3.0"],
+    "LGPL-2.1": ["This work is licensed under the GNU Lesser General Public License, version 2.1.", "GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "SPDX-License-Identifier: LGPL-2.1"],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "SPDX-License-Identifier: AGPL-3.0"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-3-Clause"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "SPDX-License-Identifier: ISC"],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "SPDX-License-Identifier: Zlib"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at", "SPDX-License-Identifier: EPL-2.0"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "SPDX-License-Identifier: CC-BY-ND-4.0"],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "SPDX-License-Identifier: CC0-1.0"],
 }
 
@@ -62,6 +75,7 @@ class Scanner:
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
         self.coders = {k: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict("\n".join(v).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False) for k, v in templates.items()}
         self.notices = {k: [_words(x) for x in v] for k, v in templates.items()}
+        self.least = {k: MIN_SAVED * min((len(self.plain.compress(x.encode())) for x in v), default=0) for k, v in templates.items()}
         self.trigger = re.compile(TRIGGER)
         self.margin = max((math.ceil(len(n) * (1 + MAX_DIFF)) for v in self.notices.values() for n in v), default=0)
         self.cache: dict[tuple, list] = {}
@@ -94,27 +108,30 @@ class Scanner:
             out.append(("\n".join(lines[k] for k in run), "\n".join(whole)))
         return out
 
-    def ranked(self, block: str) -> list[tuple[float, str]]:
-        data = block.encode()
-        alone = len(self.plain.compress(data))
-        saved = [(1 - len(c.compress(data)) / alone, k) for k, c in self.coders.items()]
-        return sorted(saved, key=lambda x: (-x[0], x[1]))
+    def ranked(self, block: str) -> list[tuple[int, str]]:
+        """Bytes that each template's dictionary saves, the most in any piece of the block; most first."""
+        saved = dict.fromkeys(self.coders, 0)
+        for at in range(0, max(1, len(block)), PIECE):
+            data = block[at : at + PIECE + PIECE // 4].encode()
+            alone = len(self.plain.compress(data))
+            for k, c in self.coders.items():
+                saved[k] = max(saved[k], alone - len(c.compress(data)))
+        return sorted(((v, k) for k, v in saved.items()), key=lambda x: (-x[0], x[1]))
 
     def scan(self, block: tuple[str, str]) -> list[dict]:
         got = self.cache.get(block)
         if got is None:
             got = []
             words = _words(block[1])
-            # a long block dilutes what a notice saves, so its share is of the notice too
-            enough = {}
+            enough: dict[str, int] = {}
             for part in dict.fromkeys(block):
                 for saved, name in self.ranked(part):
-                    if saved * max(1, len(part) / 60) >= MIN_SAVED:
+                    if saved >= self.least[name]:
                         enough[name] = max(saved, enough.get(name, saved))
             for name, saved in sorted(enough.items(), key=lambda x: (-x[1], x[0])):
                 best = min((d for n in self.notices[name] if (d := _differences(n, words)) is not None), default=None)
                 if best is not None:
-                    got.append({"license": name, "saved": round(saved, 4), "missing": best[1], "added": best[2]})
+                    got.append({"license": name, "saved": saved, "missing": best[1], "added": best[2]})
             if len(self.cache) >= MAX_CACHE:
                 self.cache.clear()
             if len(block[1]) < 2000:
@@ -162,29 +179,31 @@ def _digits(words: list[str]) -> list[str]:
 
 
 # Words that tell one licence from another.
-_NAMES = {"apache", "mit", "gnu", "lesser", "affero", "mozilla", "bsd", "cc", "by", "by-sa", "by-nc", "attribution", "attribution-sharealike", "attribution-noncommercial"}
+_NAMES = {"apache", "mit", "gnu", "lesser", "affero", "mozilla", "eclipse", "bsd", "cc", "by-sa", "by-nc", "by-nd", "attribution", "attribution-sharealike", "attribution-noncommercial", "attribution-noderivatives"}
 
 
-def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> DataFrame:
-    """The columns of docs, n_blocks (candidate blocks) and licenses
-    (array<struct<license,saved,missing,added>>, one per block and confirmed licence)."""
+def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, prefix: str = "") -> DataFrame:
+    """The columns of docs, n_blocks (candidate blocks) and licenses (array<struct<license,saved,
+    missing,added>>, one per block and confirmed licence; saved in bytes), named with ``prefix``."""
     T.lean(docs.sparkSession)
     templates = templates or TEMPLATES
-    base = docs.select(*(c for c in docs.columns if c not in ("n_blocks", "licenses")))
-    kind = pa.list_(pa.struct([("license", pa.string()), ("saved", pa.float64()), ("missing", pa.int32()), ("added", pa.int32())]))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "n_blocks long, licenses array<struct<license:string,saved:double,missing:int,added:int>>"])
+    results = [prefix + x for x in RESULTS]
+    base = docs.select(*T.columns(docs, results))
+    text_at = [c.lower() for c in base.columns].index("text")
+    kind = pa.list_(pa.struct([("license", pa.string()), ("saved", pa.int32()), ("missing", pa.int32()), ("added", pa.int32())]))
+    schema = T.widened(base, f"`{results[0]}` long, `{results[1]}` array<struct<license:string,saved:int,missing:int,added:int>>")
 
     def run(batches):
         scanner = Scanner(templates)
         for batch in batches:
-            for part in T.slices(batch):
-                text = part.column(part.schema.get_field_index("text")).cast(pa.string()).fill_null("")
+            for part in T.slices(batch.rename_columns(["text" if k == text_at else f"c{k}" for k in range(batch.num_columns)])):
+                text = part.column(text_at).cast(pa.string()).fill_null("")
                 some = pc.match_substring_regex(text, TRIGGER).to_pylist()
                 n, found = [], []
                 for row, hit in enumerate(some):
                     blocks = scanner.blocks(text[row].as_py()) if hit else []
                     n.append(len(blocks))
                     found.append([x for b in blocks for x in scanner.scan(b)])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int64()), pa.array(found, kind)], names=[*part.schema.names, "n_blocks", "licenses"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int64()), pa.array(found, kind)], names=schema.names)
 
     return base.mapInArrow(run, schema)

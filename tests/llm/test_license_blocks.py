@@ -1,5 +1,7 @@
 """Wrapped notices, blocks with several licences and notices in long blocks."""
 
+import random
+
 from lexspark.llm import license_scan
 
 MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\n{0}of this software and associated documentation files (the \"Software\"), to deal"
@@ -33,3 +35,35 @@ def test_changed_first_words_in_a_long_block():
     scanner = license_scan.Scanner(license_scan.TEMPLATES)
     notice = license_scan.TEMPLATES["BSD-3-Clause"][0].replace("Redistribution and use", "Copying or reuse")
     assert _found(scanner, notice + " license") == _found(scanner, FAR + notice + " license") == {"BSD-3-Clause"}
+
+
+def test_saving_does_not_depend_on_the_length_of_a_block():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    lines = [f"Copyright {1900 + i % 100} by holder number {i * 7919 % 1000}" for i in range(3000)]
+    notice = license_scan.TEMPLATES["Apache-2.0"][1].replace("Licensed under the", "Licenced by the")
+    for at in (0, 1500, 3000):
+        assert _found(scanner, "\n".join([*lines[:at], notice, *lines[at:]])) == {"Apache-2.0"}
+
+
+def test_four_tags_with_other_licences():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    names = ("MIT", "MPL-2.0", "CC0-1.0", "BSD-3-Clause")
+    assert _found(scanner, "\n".join(f"SPDX-License-Identifier: {x}" for x in names)) == set(names)
+
+
+def test_against_all_places_of_all_notices():
+    """The scan gives what a comparison of every notice with every place of the whole text gives."""
+    rnd = random.Random(9)
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    filler = "some words that say nothing about terms in any way and go on for a while".split()
+    for _ in range(40):
+        lines = [" ".join(rnd.choices(filler, k=rnd.randint(0, 30))) for _ in range(rnd.randint(1, 12))]
+        for _ in range(rnd.randint(0, 3)):
+            words = rnd.choice(license_scan.TEMPLATES[rnd.choice(list(license_scan.TEMPLATES))]).split()
+            for _ in range(rnd.randint(0, 1 + len(words) // 10)):
+                words[rnd.randrange(len(words))] = rnd.choice(filler)
+            lines.insert(rnd.randint(0, len(lines)), " ".join(words))
+        text = "\n".join(lines)
+        whole = license_scan._words(text)
+        want = {k for k, v in scanner.notices.items() for n in v if license_scan._differences(n, whole) is not None}
+        assert _found(scanner, text) == want
