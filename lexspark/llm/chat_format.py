@@ -7,16 +7,20 @@ turns of one role become one block by array aggregation; blocks are concatenated
 
 Control strings begin with ``<``, which no escaped text holds: within texts and roles a
 backslash becomes ``\\0`` and ``<`` becomes ``\\1``, which is undone in the other order.
-The loss mask (start and length in characters of each assistant text) goes with it.
-
-A null text is empty, a null role is the empty role, and null turns come first.  Repeated
-rows are repeated turns.  A null conv_id is a conversation of its own.  Extra columns are
-ignored; empty tables give empty results.
+The loss mask (start and length in characters of each assistant text) goes with it; where a
+text starts is a running sum over the conversation's turns, so time is in proportion to turns
+(the rows are dealt by conversation once, for the sum and for the collection).
+
+A null text is empty, a null role is the empty role, and null turns come first.  Turns of one
+number are sorted by role and then by text, both as they were before escaping; repeated
+rows are repeated turns.  A null conv_id is a conversation of its own.  A conversation is one
+row, so it must fit in one.  Extra columns are ignored, whatever their names; empty tables
+give empty results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN, SAYS, AND, END = "<|turn|>", "<|says|>", "<|and|>", "<|end|>"
@@ -37,40 +41,25 @@ def _split(c: Column, mark: str) -> Column:
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """conv_id, formatted, loss (array<struct<start,length>>, start from 1)."""
-    role, text = escape(F.coalesce(F.col("role").cast("string"), F.lit(""))), escape(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = turns.select(F.col("conv_id").cast("long"), F.struct(F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text")).alias("t"))
-    sorted_ = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t"), _by_turn).alias("ts"))
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), said("role").alias("role"), said("text").alias("text"))
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    before = F.lag("role").over(order)
+    # what stands before a text: the opening of a block, or the mark between texts of one
+    placed = rows.select("conv_id", F.row_number().over(order).alias("at"), escape(F.col("role")).alias("role"), escape(F.col("text")).alias("text"), (before.isNull() | (before != F.col("role"))).alias("opens"), (F.col("role") == LEARNED).alias("learned"))
+    opening = F.when(F.col("at") > 1, len(END)).otherwise(0) + len(TURN) + F.char_length("role") + len(SAYS)
+    sized = placed.withColumn("lead", F.when(F.col("opens"), opening).otherwise(len(AND)).cast("long")).withColumn("size", F.char_length("text").cast("long"))
+    upto = F.sum(F.col("lead") + F.col("size")).over(Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    turn = F.struct("at", "role", "text", "opens", "learned", (upto - F.col("size") + 1).alias("start"), "size")
+    sorted_ = sized.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     # one block per run of a role: where the role changes, a turn opens a block
-    n = F.size("ts")
-    opens = F.filter(F.transform("ts", lambda t, i: F.when((i == 0) | (t["role"] != F.get("ts", i - 1)["role"]), i)), lambda i: i.isNotNull())
-    at = sorted_.select("conv_id", "ts", n.alias("n"), opens.alias("opens"))
-    blocks = F.transform(
-        "opens",
-        lambda i, k: F.struct(F.get("ts", i)["role"].alias("role"), F.transform(F.slice("ts", i + 1, F.coalesce(F.get("opens", k + 1), F.col("n")) - i), lambda t: t["text"]).alias("texts")),
-    )
-    merged = at.select("conv_id", blocks.alias("blocks"))
-    body = F.transform("blocks", lambda b: F.concat(F.lit(TURN), b["role"], F.lit(SAYS), F.array_join(b["texts"], AND), F.lit(END)))
-    parts = merged.select("conv_id", "blocks", body.alias("body"))
-    size = F.transform("body", lambda x: F.char_length(x).cast("long"))
-    # where each block starts: a running sum, kept as an array
-    starts = F.aggregate(size, F.array(F.lit(1).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    with_starts = parts.select("conv_id", "blocks", "body", starts.alias("starts"))
-
-    def spans(b, k):
-        zero = F.get("starts", k) + len(TURN) + F.char_length(b["role"]) + len(SAYS)
-        lengths = F.transform(b["texts"], lambda t: F.char_length(t).cast("long"))
-        run = F.aggregate(lengths, F.array(zero.cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x + len(AND))))
-        return F.when(b["role"] == LEARNED, F.transform(lengths, lambda x, j: F.struct(F.get(run, j).alias("start"), x.alias("length")))).otherwise(F.array().cast("array<struct<start:long,length:long>>"))
-
-    return with_starts.select("conv_id", F.array_join("body", "").alias("formatted"), F.flatten(F.transform("blocks", spans)).alias("loss"))
-
-
-def _by_turn(a: Column, b: Column) -> Column:
-    order = F.lit(0)
-    for f in ("text", "role", "turn"):
-        x, y = a[f], b[f]
-        order = F.when(x.isNull() & y.isNotNull(), -1).when(x.isNotNull() & y.isNull(), 1).when(x < y, -1).when(x > y, 1).otherwise(order)
-    return order
+    opens = F.filter(F.transform("ts", lambda t, i: F.when(t["opens"], i)), lambda i: i.isNotNull())
+    at = sorted_.select("conv_id", "ts", opens.alias("opens"))
+    blocks = F.transform("opens", lambda i, k: F.slice("ts", i + 1, F.coalesce(F.get("opens", k + 1), F.size("ts")) - i))
+    merged = at.select("conv_id", "ts", blocks.alias("blocks"))
+    body = F.transform("blocks", lambda b: F.concat(F.lit(TURN), b[0]["role"], F.lit(SAYS), F.array_join(F.transform(b, lambda t: t["text"]), AND), F.lit(END)))
+    loss = F.transform(F.filter("ts", lambda t: t["learned"]), lambda t: F.struct(t["start"].alias("start"), t["size"].alias("length")))
+    return merged.select("conv_id", F.array_join(body, "").alias("formatted"), loss.alias("loss"))
 
 
 def parse_chats(formatted: DataFrame) -> DataFrame:
