@@ -276,6 +276,13 @@ def presplit(code: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def size(path: str) -> int:
+    """One more than the largest id of a vocabulary."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return 1 + max([*spec["model"]["vocab"].values(), *(a["id"] for a in spec["added_tokens"])])
+
+
 @lru_cache(2)
 def automaton(path: str) -> Automaton:
     return Automaton(path)

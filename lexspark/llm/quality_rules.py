@@ -6,12 +6,19 @@ words, repeated lines and the length of words, each in thousandths) have no fixe
 per language and source, a mergeable quantile sketch gives the threshold.  The sketch is a
 histogram of logarithmic buckets (relative error under 1/16): counts add up in any order,
 partial counts are merged map-side before the shuffle, its size is bounded by the bucket
-rule and not by the data, and the result does not depend on partitioning.  A text fails a
-measure if its bucket is beyond ``MARGIN`` times the group's ``QUANTILE`` bucket.
+rule and not by the data, and the result does not depend on partitioning.
+
+A group's cutoff is robust against the junk in it: its upper quartile and ``SPREADS`` times
+the distance from the median to it, in buckets, so up to a quarter of a group may be junk.
+It lies at least ``MARGIN_BUCKETS`` over the upper quartile and is never under the measure's
+floor, so that groups without any spread don't reject ordinary texts.  A group of under
+``MIN_GROUP`` judged texts takes the merged sketch of its language, and if that has as few,
+that of all texts.  Groups are few beside texts: they are broadcast if at most
+``BROADCAST_GROUPS``, else joined with each group's texts dealt over ``SALTS`` tasks.
 
 Null and empty texts have no words and fail the base rules.  A null language or source is
-a group of its own.  Groups of any size use the same rule.  Repeated rows count each.
-Extra columns are kept, unless named like a result; empty tables give empty results.
+a group of its own.  Repeated rows count each.  Very long texts are measured whole.  Extra
+columns are kept, unless named (in any case) like a result; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -19,43 +26,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspark.llm import _text as T
+
 SPACE = "[\\x20\\x09-\\x0D]"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-QUANTILE = 0.99
-MARGIN_BUCKETS = 16  # sixteen buckets: a factor of 2
-MEASURES = ("symbols", "repeats", "lines", "length")
+SPREADS = 3
+MARGIN_BUCKETS = 8  # eight buckets: a factor of about 1.4
+MIN_GROUP = 100
+FLOORS = {"symbols": 50, "repeats": 300, "lines": 50, "length": 0}
+MEASURES = tuple(FLOORS)
+BROADCAST_GROUPS = 100_000
+SALTS = 64
+MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
 def measures(docs: DataFrame) -> DataFrame:
     """The columns of docs, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
-    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    base = docs.select(*(c for c in docs.columns if c not in made))
+    base = docs.select(*T.columns(docs, MADE))
+    x = T.unused(base)
+    c = lambda name: F.col(x + name)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
     bare = F.replace(text, F.lit(" "), F.lit(""))
-    for c in "\t\n\x0b\x0c\r":
-        bare = F.replace(bare, F.lit(c), F.lit(""))
+    for space in "\t\n\x0b\x0c\r":
+        bare = F.replace(bare, F.lit(space), F.lit(""))
     rest = text
-    for c in SYMBOLS:
-        rest = F.replace(rest, F.lit(c), F.lit(""))
-    out = base.withColumn("_words", words).withColumn("_lines", lines)
-    out = out.withColumn("n_words", F.size("_words").cast("long")).withColumn("word_chars", F.char_length(bare).cast("long"))
+    for s in SYMBOLS:
+        rest = F.replace(rest, F.lit(s), F.lit(""))
+    out = base.withColumn(x + "words", words).withColumn(x + "lines", lines)
+    out = out.withColumn("n_words", F.size(x + "words").cast("long")).withColumn("word_chars", F.char_length(bare).cast("long"))
     out = out.withColumn("n_symbols", (F.char_length(text) - F.char_length(rest)).cast("long"))
-    out = out.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines")
+    out = out.withColumn("n_dup_lines", (F.size(x + "lines") - F.size(F.array_distinct(x + "lines"))).cast("long")).drop(x + "lines")
     # hash of each 3-word window (a sum of the words' own hashes, each placed by a multiplier)
-    out = out.withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w))).drop("_words")
-    out = out.withColumn("_n", F.size("_h"))
-    window = F.when(F.col("_n") >= 3, F.zip_with(F.zip_with(F.slice("_h", 1, F.greatest(F.col("_n") - 2, F.lit(0))), F.slice("_h", 2, F.greatest(F.col("_n") - 2, F.lit(0))), lambda a, b: F.xxhash64(a, b)), F.slice("_h", 3, F.greatest(F.col("_n") - 2, F.lit(0))), lambda ab, c: F.xxhash64(ab, c))).otherwise(F.array().cast("array<long>"))
-    out = out.withColumn("_w", window).drop("_h")
+    out = out.withColumn(x + "h", F.transform(x + "words", lambda w: F.xxhash64(w))).drop(x + "words")
+    many = F.greatest(F.size(x + "h") - 2, F.lit(0))
+    pairs = F.zip_with(F.slice(c("h"), 1, many), F.slice(c("h"), 2, many), lambda a, b: F.xxhash64(a, b))
+    window = F.when(F.size(x + "h") >= 3, F.zip_with(pairs, F.slice(c("h"), 3, many), lambda ab, d: F.xxhash64(ab, d))).otherwise(F.array().cast("array<long>"))
+    out = out.withColumn(x + "w", window).drop(x + "h")
     # windows with an equal one, by sorting (hash, place) and looking at neighbours
-    placed = F.when(F.size(F.array_distinct("_w")) < F.size("_w"), F.sort_array(F.transform("_w", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
-    out = out.withColumn("_s", placed).drop("_w")
-    twice = F.filter("_s", lambda s, k: (s["h"] == F.get("_s", k - 1)["h"]) | (s["h"] == F.get("_s", k + 1)["h"]))
-    out = out.withColumn("_p", F.array_sort(F.transform(twice, lambda s: s["i"]))).drop("_s")
-    covered = F.aggregate("_p", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")), lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).cast("long").alias("n"), p.alias("last")), lambda a: a["n"])
-    out = out.withColumn("n_repeat_words", covered).drop("_p", "_n")
+    placed = F.when(F.size(F.array_distinct(x + "w")) < F.size(x + "w"), F.sort_array(F.transform(x + "w", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+    out = out.withColumn(x + "s", placed).drop(x + "w")
+    twice = F.filter(x + "s", lambda s, k: (s["h"] == F.get(x + "s", k - 1)["h"]) | (s["h"] == F.get(x + "s", k + 1)["h"]))
+    out = out.withColumn(x + "p", F.array_sort(F.transform(twice, lambda s: s["i"]))).drop(x + "s")
+    covered = F.aggregate(x + "p", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")), lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).cast("long").alias("n"), p.alias("last")), lambda a: a["n"])
+    out = out.withColumn("n_repeat_words", covered).drop(x + "p")
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -66,25 +82,54 @@ def bucket(value: Column) -> Column:
     return F.when(value < 16, value).otherwise((digits - 5) * 16 + value / F.pow(F.lit(2.0), digits - 5)).cast("long")
 
 
+def bucket_of(value: int) -> int:
+    return value if value < 16 else (value.bit_length() - 5) * 16 + (value >> value.bit_length() - 5)
+
+
 def _per_mille() -> list[Column]:
     words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
     div = lambda a, b: F.floor(a * 1000 / b).cast("long")
     return [div(F.col("n_symbols"), chars), div(F.col("n_repeat_words"), words), div(F.col("n_dup_lines"), words), div(F.col("word_chars"), words)]
 
 
-def judge(measured: DataFrame, quantile: float = QUANTILE, margin: int = MARGIN_BUCKETS) -> DataFrame:
-    """Adds kept: base rules passed, and no measure far beyond its group's quantile."""
-    base = measured.withColumns({f"_b_{m}": bucket(v) for m, v in zip(MEASURES, _per_mille())})
-    base = base.withColumn("_lang", F.coalesce(F.col("lang").cast("string"), F.lit("\0"))).withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit("\0")))
-    base = base.drop("kept")
-    sketch = base.where("not base_failed").select("_lang", "_source", F.posexplode(F.array(*(f"_b_{m}" for m in MEASURES))).alias("m", "b")).groupBy("_lang", "_source", "m", "b").agg(F.count("*").alias("n"))
-    up = Window.partitionBy("_lang", "_source", "m").orderBy("b")
-    all_ = Window.partitionBy("_lang", "_source", "m")
-    ranked = sketch.withColumn("below", F.sum("n").over(up)).withColumn("total", F.sum("n").over(all_))
-    cut = ranked.where(F.col("below") >= F.ceil(quantile * F.col("total"))).groupBy("_lang", "_source").agg(*(F.min(F.when(F.col("m") == i, F.col("b"))).alias(f"_t_{m}") for i, m in enumerate(MEASURES)))
-    joined = base.join(cut, ["_lang", "_source"], "left")
-    beyond = [F.coalesce(F.col(f"_b_{m}") > F.greatest(F.col(f"_t_{m}"), F.lit(16)) + margin, F.lit(False)) for m in MEASURES]
-    fails = beyond[0]
-    for b in beyond[1:]:
-        fails = fails | b
-    return joined.withColumn("kept", ~F.col("base_failed") & ~fails).select(*measured.columns, "kept")
+def thresholds(sketch: DataFrame, spreads: int = SPREADS, margin: int = MARGIN_BUCKETS, least: int = MIN_GROUP) -> DataFrame:
+    """l, s, t0 to t3: the last bucket that each group allows. sketch: l, s, m, b, n."""
+    one = sketch.groupBy("l", "s", "m", "b").agg(F.sum("n").alias("n"))
+    two = one.groupBy("l", "m", "b").agg(F.sum("n").alias("n")).withColumn("s", F.lit(""))
+    all_ = two.groupBy("m", "b").agg(F.sum("n").alias("n")).withColumns({"l": F.lit(""), "s": F.lit("")})
+    levels = [x.withColumn("level", F.lit(k)) for k, x in enumerate((one, two, all_))]
+    merged = levels[0].unionByName(levels[1]).unionByName(levels[2])
+    group = Window.partitionBy("level", "l", "s", "m")
+    ranked = merged.withColumn("below", F.sum("n").over(group.orderBy("b"))).withColumn("total", F.sum("n").over(group))
+    at = lambda q: F.min(F.when(F.col("below") >= F.ceil(F.lit(q) * F.col("total")), F.col("b")))
+    found = ranked.groupBy("level", "l", "s", "m").agg(F.max("total").alias("total"), at(0.5).alias("half"), at(0.75).alias("upper"))
+    floor = F.element_at(F.array(*(F.lit(bucket_of(FLOORS[m])) for m in MEASURES)), F.col("m") + 1)
+    cut = F.greatest(F.col("upper") + spreads * (F.col("upper") - F.col("half")), F.col("upper") + margin, floor)
+    wide = found.groupBy("level", "l", "s").agg(F.max("total").alias("total"), F.array(*(F.max(F.when(F.col("m") == k, cut)) for k in range(len(MEASURES)))).alias("t"))
+    own, lang, every = (wide.where(F.col("level") == k) for k in range(3))
+    lang = lang.select("l", F.col("total").alias("total_l"), F.col("t").alias("t_l"))
+    every = every.select(F.col("t").alias("t_all"))  # one row
+    picked = own.join(lang, "l").crossJoin(F.broadcast(every))
+    t = F.when(F.col("total") >= least, F.col("t")).when(F.col("total_l") >= least, F.col("t_l")).otherwise(F.col("t_all"))
+    return picked.select("l", "s", *(F.get(t, k).alias(f"t{k}") for k in range(len(MEASURES))))
+
+
+def judge(measured: DataFrame, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
+    """Adds kept: base rules passed, and no measure beyond its group's cutoff."""
+    base = measured.select(*T.columns(measured, ("kept",)))
+    x = T.unused(base)
+    group = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("lang", "source")]
+    rated = base.withColumns({f"{x}b{k}": bucket(v) for k, v in enumerate(_per_mille())} | {x + "l": group[0], x + "s": group[1]})
+    counted = rated.where("not base_failed").select(F.col(x + "l").alias("l"), F.col(x + "s").alias("s"), F.posexplode(F.array(*(f"{x}b{k}" for k in range(len(MEASURES))))).alias("m", "b"))
+    sketch = counted.groupBy("l", "s", "m", "b").agg(F.count("*").alias("n"))
+    cut = T.materialize(thresholds(sketch), "thresholds").select(F.col("l").alias(x + "gl"), F.col("s").alias(x + "gs"), *(F.col(f"t{k}").alias(f"{x}t{k}") for k in range(len(MEASURES))))
+    on = (F.col(x + "l") == F.col(x + "gl")) & (F.col(x + "s") == F.col(x + "gs"))
+    if cut.limit(broadcast_groups + 1).count() <= broadcast_groups:
+        cut = F.broadcast(cut)
+    else:  # a hot group's texts are dealt over SALTS keys, each of which has the group's cutoffs
+        rated = rated.withColumn(x + "salt", F.pmod(F.xxhash64("n_words", "word_chars", "n_symbols", "n_repeat_words"), F.lit(SALTS)))
+        cut = cut.withColumn(x + "part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        on = on & (F.col(x + "salt") == F.col(x + "part"))
+    beyond = [F.coalesce(F.col(f"{x}b{k}") > F.col(f"{x}t{k}"), F.lit(False)) for k in range(len(MEASURES))]
+    fails = beyond[0] | beyond[1] | beyond[2] | beyond[3]
+    return rated.join(cut, on, "left").select(*T.columns(base), (~F.col("base_failed") & ~fails).alias("kept"))

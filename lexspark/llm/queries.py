@@ -35,12 +35,11 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     measured = T.materialize(quality_rules.measures(docs).drop("text"), "measures")
-    return quality_rules.judge(measured).drop("lang", "source")
+    return quality_rules.judge(measured).select("doc_id", *quality_rules.MADE, "kept")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks, order = token_counts.write_blocks(_read(spark, sf_dir, "documents"), TOKENIZER, SEPARATOR)
-    return order.join(token_counts.count(blocks, SEPARATOR), ["file", "doc"], "left").select("doc_id", "file", "doc", "n_tokens", "ended")
+    return token_counts.counts(_read(spark, sf_dir, "documents"), TOKENIZER, SEPARATOR)
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +95,9 @@ def _quality_sql() -> str:
         "length": "CAST(floor(word_chars * 1000 / greatest(n_words, 1)) AS BIGINT)",
     }
     long = " UNION ALL ".join(f"SELECT l, s, '{m}' AS m, b_{m} AS b FROM bucketed WHERE NOT base_failed" for m in rate)
-    fails = " OR ".join(f"coalesce(b_{m} > greatest(t_{m}, 16) + {quality_rules.MARGIN_BUCKETS}, false)" for m in rate)
+    fails = " OR ".join(f"coalesce(b_{m} > t_{m}, false)" for m in rate)
+    floors = " ".join(f"WHEN '{m}' THEN {quality_rules.bucket_of(v)}" for m, v in quality_rules.FLOORS.items())
+    least, spreads, margin = quality_rules.MIN_GROUP, quality_rules.SPREADS, quality_rules.MARGIN_BUCKETS
     return f"""
 WITH d AS (SELECT doc_id, coalesce(lang, chr(0)) AS l, coalesce(source, chr(0)) AS s, {_WORDS} AS w,
                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
@@ -111,8 +112,13 @@ flagged AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_word
 rated AS (SELECT *, {", ".join(f"{v} AS r_{m}" for m, v in rate.items())} FROM flagged),
 bucketed AS (SELECT *, {", ".join(f"{_BUCKET.format(f'r_{m}')} AS b_{m}" for m in rate)} FROM rated),
 sketch AS (SELECT l, s, m, b, count(*) AS n FROM ({long}) GROUP BY l, s, m, b),
-ranked AS (SELECT *, sum(n) OVER (PARTITION BY l, s, m ORDER BY b) AS below, sum(n) OVER (PARTITION BY l, s, m) AS total FROM sketch),
-cut AS (SELECT l, s, {", ".join(f"min(CASE WHEN m = '{m}' THEN b END) AS t_{m}" for m in rate)} FROM ranked WHERE below >= ceil(CAST({quality_rules.QUANTILE} AS DOUBLE) * total) GROUP BY l, s)
+levels AS (SELECT 0 AS v, l, s, m, b, n FROM sketch UNION ALL SELECT 1, l, '', m, b, sum(n) FROM sketch GROUP BY l, m, b UNION ALL SELECT 2, '', '', m, b, sum(n) FROM sketch GROUP BY m, b),
+ranked AS (SELECT *, sum(n) OVER (PARTITION BY v, l, s, m ORDER BY b) AS below, sum(n) OVER (PARTITION BY v, l, s, m) AS total FROM levels),
+q AS (SELECT v, l, s, m, max(total) AS total, min(b) FILTER (below >= ceil(0.5 * total)) AS half, min(b) FILTER (below >= ceil(0.75 * total)) AS upper FROM ranked GROUP BY v, l, s, m),
+t AS (SELECT v, l, s, m, total, greatest(upper + {spreads} * (upper - half), upper + {margin}, CASE m {floors} END) AS t FROM q),
+pick AS (SELECT a.l, a.s, a.m, CASE WHEN a.total >= {least} THEN a.t WHEN b.total >= {least} THEN b.t ELSE c.t END AS t
+         FROM t AS a JOIN t AS b ON b.v = 1 AND b.l = a.l AND b.m = a.m JOIN t AS c ON c.v = 2 AND c.m = a.m WHERE a.v = 0),
+cut AS (SELECT l, s, {", ".join(f"min(t) FILTER (m = '{m}') AS t_{m}" for m in rate)} FROM pick GROUP BY l, s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({fails}) AS kept
 FROM bucketed LEFT JOIN cut USING (l, s)"""
 

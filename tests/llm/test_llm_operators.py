@@ -160,25 +160,6 @@ def test_toxicity(spark, odd, none):
     assert all(r.predicted == 0 for r in _rows(toxicity.score(odd, flat)))
 
 
-def test_pairs_outweigh_single_terms():
-    import numpy as np
-
-    a, b, c = (np.array([x], np.uint64) for x in (1, 2, 3))
-    sets, y = [], []
-    for i in range(60):  # toxic only where both terms meet
-        for s, label in ((np.concatenate([a, b]), 1), (a, 0), (b, 0)):
-            sets.append(np.sort(np.concatenate([s, c + np.uint64(10 + i)])))
-            y.append(label)
-    old = toxicity.MIN_CHI2
-    toxicity.MIN_CHI2 = 5.0
-    try:
-        m = toxicity.train(sets, np.array(y, float))
-    finally:
-        toxicity.MIN_CHI2 = old
-    s = m.score(np.array([1, 2, 1, 2], np.uint64), np.array([0, 2, 3, 4]))
-    assert s[0] > 0.5 > max(s[1], s[2])
-
-
 def test_decontaminate(spark, docs, odd, none):
     bench = spark.read.parquet(f"{DIR}/benchmark.parquet")
     items = {r.item_id: " ".join(r.text.lower().split()) for r in bench.collect()}
@@ -191,19 +172,22 @@ def test_decontaminate(spark, docs, odd, none):
 
 
 def test_token_counts(spark, docs, odd, none):
-    want = {r.doc_id: r.n_tokens for r in _rows(bpe.encode(docs, queries.TOKENIZER))}
-    for block in (1 << 20, 1000, 64):
-        blocks, order = token_counts.write_blocks(docs.limit(40) if block == 64 else docs, queries.TOKENIZER, 50256, block)
-        got = {r.doc_id: r.n_tokens for r in _rows(order.join(token_counts.count(blocks, 50256), ["file", "doc"]))}
-        assert len(got) >= 40 and all(want[d] == n for d, n in got.items())
+    library = Tokenizer.from_file(queries.TOKENIZER)
+    library.encode_special_tokens = True  # a separator's string in a text is text
+    for df, block in ((docs, 1 << 20), (docs, 1000), (docs.repartition(5), 64), (odd, 1 << 20), (odd, 2)):
+        got = _rows(token_counts.counts(df, queries.TOKENIZER, 50256, block))
+        want = [(r.doc_id, len(library.encode(r.text or "", add_special_tokens=False).ids)) for r in df.collect()]
+        assert sorted(map(str, ((r.doc_id, r.n_tokens) for r in got))) == sorted(map(str, want)) and all(r.ended for r in got)
+    assert _rows(token_counts.counts(none, queries.TOKENIZER, 50256)) == []
     raw = spark.createDataFrame([("f", 0, b"\x01\x00\x09\x00"), ("f", 1, b"\x09\x00\x02\x00"), ("f", 2, b""), ("f", 3, b"\x03\x00"), ("g", 0, None)], "file string, block long, ids binary")
     assert [(r.file, r.doc, r.n_tokens, r.ended) for r in token_counts.count(raw, 9).orderBy("file", "doc").collect()] == [("f", 0, 1, True), ("f", 1, 0, True), ("f", 2, 2, False)]
 
 
-def test_read_blocks(spark, tmp_path):
-    (tmp_path / "a.bin").write_bytes(b"\x01\x00\x09\x00\x02\x00\x02\x00\x09\x00")
-    got = token_counts.count(token_counts.read_blocks(spark, str(tmp_path), 4), 9).orderBy("doc").collect()
-    assert [(r.doc, r.n_tokens) for r in got] == [(0, 1), (1, 2)]
+def test_separator_must_not_be_an_ordinary_id(spark):
+    df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    ordinary = Tokenizer.from_file(queries.TOKENIZER).encode("a b c", add_special_tokens=False).ids[1]
+    with pytest.raises(Exception, match="ordinary id"):
+        token_counts.counts(df, queries.TOKENIZER, ordinary)
 
 
 def test_chat_format(spark, odd):
@@ -230,6 +214,7 @@ def test_quality_edges(odd, none):
     assert len(got) == odd.count() and got[0, ""].base_failed and got[1, None].n_words == 0
     long = got[7, "word " * 3000]
     assert (long.n_words, long.n_repeat_words, long.word_chars, long.kept) == (3000, 3000, 12000, False)
+    assert {r.kept for r in _rows(quality_rules.judge(quality_rules.measures(odd), broadcast_groups=0))} == {r.kept for r in got.values()}
     assert _rows(quality_rules.judge(quality_rules.measures(none))) == []
 
 

@@ -1,25 +1,17 @@
-"""Token files whose texts hold the separator's own string, and files read by ranges."""
+"""Flat token files are read by ranges, whatever their names, and counted without an index."""
 
-from tokenizers import Tokenizer
+from lexspark.llm import token_counts
 
-from lexspark.llm import queries, token_counts
 
-
-def test_separator_string_within_a_text(spark):
-    texts = ["one", "é ñ 日本 <|endoftext|> 😀", "", None, "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "the last text"]
-    library = Tokenizer.from_file(queries.TOKENIZER)
-    library.encode_special_tokens = True  # as ordinary text
-    want = {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    blocks, order = token_counts.write_blocks(df, queries.TOKENIZER, queries.SEPARATOR, 64)
-    counted = token_counts.count(blocks, queries.SEPARATOR)
-    assert counted.count() == len(texts)
-    assert {r.doc_id: r.n_tokens for r in order.join(counted, ["file", "doc"], "left").collect()} == want
+def test_files_are_read_by_ranges(spark, tmp_path):
+    (tmp_path / "a b%20.bin").write_bytes(b"\x01\x00\x09\x00\x02\x00\x02\x00\x09\x00")
+    (tmp_path / "empty.bin").write_bytes(b"")
+    got = token_counts.read_blocks(spark, str(tmp_path), 4)
+    assert sorted((r.block, bytes(r.ids)) for r in got.collect()) == [(0, b"\x01\x00\x09\x00"), (1, b"\x02\x00\x02\x00"), (2, b"\x09\x00")]
+    assert [(r.doc, r.n_tokens) for r in token_counts.count(got, 9).orderBy("doc").collect()] == [(0, 1), (1, 2)]
 
 
-def test_large_files_are_read_by_ranges(spark, tmp_path):
-    (tmp_path / "a b%20.bin").write_bytes(b"\x01\x00\x09\x00\x02\x00\x02\x00\x09\x00")
-    for whole in (4, 64):
-        got = token_counts.read_blocks(spark, str(tmp_path), 4, whole)
-        assert sorted((r.block, bytes(r.ids)) for r in got.collect()) == [(0, b"\x01\x00\x09\x00"), (1, b"\x02\x00\x02\x00"), (2, b"\x09\x00")]
-        assert [(r.doc, r.n_tokens) for r in token_counts.count(got, 9).orderBy("doc").collect()] == [(0, 1), (1, 2)]
+def test_wide_ids(spark, tmp_path):
+    (tmp_path / "w.bin").write_bytes(b"".join(i.to_bytes(4, "little") for i in (70000, 9, 65536 + 9, 5, 9, 1)))
+    got = token_counts.count(token_counts.read_blocks(spark, str(tmp_path), 8), 9, 4).orderBy("doc").collect()
+    assert [(r.doc, r.n_tokens, r.ended) for r in got] == [(0, 1, True), (1, 2, True), (2, 1, False)]
