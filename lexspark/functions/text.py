@@ -9,8 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Query parameters that only track.
-TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid")
+# Query parameters that only track, in any case.
+TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "gclid", "fbclid", "searchparams")
 
 
 @F.pandas_udf(StringType())
@@ -56,14 +56,17 @@ def dedup_keys(title: Column, date: Column, text: Column) -> tuple[Column, Colum
 
 
 def canonical_url(c: Column) -> Column:
-    """Lower-case scheme and host, no fragment, no tracking parameters, no trailing slash."""
+    """Lower-case scheme and host, no default port, no fragment, no tracking parameters, and no slash at
+    a path's end (one, and not the root's). Parameters that stay are not encoded anew."""
     bare = F.regexp_replace(F.trim(c), "#.*$", "")
-    head = F.lower(F.regexp_extract(bare, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1))
-    rest = F.regexp_replace(bare, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*", "")
-    for p in TRACKING:
-        rest = F.regexp_replace(rest, f"([?&]){p}=[^&]*&?", "$1")
-    rest = F.regexp_replace(rest, "[?&]+$", "")
-    return F.concat(head, F.regexp_replace(rest, "/+$", ""))
+    pattern = "^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)([^?]*)(?:\\?(.*))?$"
+    part = lambda k: F.regexp_extract(bare, pattern, k)
+    head = F.regexp_replace(F.lower(part(1)), "^(http://[^/]*):80$|^(https://[^/]*):443$", "$1$2")
+    path = F.when(part(2) == "", "/").otherwise(part(2))
+    path = F.when((F.length(path) > 1) & path.endswith("/"), F.regexp_replace(path, "/$", "")).otherwise(path)
+    own = F.filter(F.split(part(3), "&"), lambda p: ~F.lower(F.regexp_extract(p, "^([^=]*)", 1)).isin(*TRACKING))
+    query = F.array_join(own, "&")
+    return F.when(bare.rlike(pattern), F.concat(head, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))).otherwise(bare)
 
 
 def redact(c: Column) -> Column:

@@ -79,8 +79,21 @@ def watchdog(runs: DataFrame, by: str, ts: str, ok: Column, now: datetime, silen
     return out.withColumn("state", state)
 
 
-def run_outcome(found: Column, failed: Column) -> Column:
-    return F.when(found == 0, "failed").when(failed >= found, "failed").when(failed > 0, "degraded").otherwise("success")
+def run_outcome(*, failed: Column, errors: Column, discovered: Column, tried: Column, good: Column, bad: Column, attempted: Column, verified: Column, uncollected: Column, broken: Column, stale: Column, said: Column) -> Column:
+    """Outcome of a source's run: what it says itself, else failed, degraded or success.
+
+    tried, good, bad: attempts of discovery, and those that went well and wrong; attempted, verified and
+    uncollected: candidates; broken, stale: a breaker is open, promotions are overdue."""
+    n = lambda c: F.coalesce(c, F.lit(0))
+    hard = (n(failed) > 0) | (n(errors) > 0) | ((n(discovered) == 0) & (n(tried) > 0) & (n(good) == 0) & (n(bad) > 0))
+    poor = ((n(attempted) > 0) & (n(verified) == 0) & (n(uncollected) > 0)) | ((n(attempted) >= 3) & (2 * n(uncollected) >= n(attempted)))
+    soft = poor | F.coalesce(broken, F.lit(False)) | F.coalesce(stale, F.lit(False))
+    return F.when(said.isin("success", "degraded", "failed"), said).when(hard, "failed").when(soft, "degraded").otherwise("success")
+
+
+def worst_outcome(outcome: Column) -> Column:
+    """Aggregate: the worst outcome of a run's sources; a run without any has failed."""
+    return F.when((F.count(outcome) == 0) | F.bool_or(outcome == "failed"), "failed").when(F.bool_or(outcome == "degraded"), "degraded").otherwise("success")
 
 
 def retained(df: DataFrame, ts: str, now: datetime, days: int) -> DataFrame:

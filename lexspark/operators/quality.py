@@ -7,41 +7,85 @@ from pyspark.sql import functions as F
 
 MIN_CHARS = 500
 
-# Allowed publication transitions (from, to).
+# Allowed publication transitions (from, to, by whom; None: by anyone). Anyone may also
+# publish another version in the same state.
+BULK = ("compatibility", "backfill")
 TRANSITIONS = (
-    ("", "draft"),
-    ("draft", "in_review"),
-    ("in_review", "published"),
-    ("in_review", "draft"),
-    ("published", "withdrawn"),
-    ("withdrawn", "in_review"),
+    (None, "draft", None),
+    (None, "in_review", None),
+    (None, "published", BULK),
+    ("draft", "in_review", None),
+    ("draft", "published", BULK),
+    ("in_review", "draft", None),
+    ("in_review", "published", None),
+    ("in_review", "withdrawn", None),
+    ("published", "withdrawn", None),
+    ("withdrawn", "in_review", None),
+    ("withdrawn", "published", ("human", *BULK)),
 )
 
+# What error codes and messages of crawl attempts say.
+BLOCKED = "(?i)403|forbidden|access denied|blocked|bot protection"
+TIMEOUT = "(?i)timeout|timed out|ETIMEDOUT|ERR_TIMED_OUT"
+UNREADABLE = "(?i)PDF_EMPTY_BUFFER|PDF_TEXT_EXTRACTION_FAILED"
 
-def collection_status(*, robots_denied: Column, blocked: Column, timeout: Column, failed: Column, review: Column, chars: Column) -> Column:
+_yes = lambda c: F.coalesce(c, F.lit(False))
+
+
+def source_text_at_hand(chars: Column, said: Column, strict: Column) -> Column:
+    """Text is at hand where it is said to be, or is long enough; a strict source goes by what is said alone."""
+    return _yes(said) | (~_yes(strict) & (F.coalesce(chars, F.lit(0)) >= MIN_CHARS))
+
+
+def attempt_signals(attempts: Column) -> dict[str, Column]:
+    """robots, blocked, timeout, unreadable: what any of an array of crawl attempts says
+    (struct<status,blocked,timeout,errorCode,errorMessage>)."""
+    said = lambda x: F.concat_ws(" ", x["errorCode"], x["errorMessage"])
+    some = lambda test: _yes(F.exists(attempts, lambda x: _yes(test(x))))
+    return {
+        "robots": some(lambda x: said(x).rlike("(?i)ROBOTS_DISALLOW")),
+        "blocked": some(lambda x: _yes(x["status"] == 403) | _yes(x["blocked"]) | said(x).rlike(BLOCKED)),
+        "timeout": some(lambda x: _yes(x["timeout"]) | said(x).rlike(TIMEOUT)),
+        "unreadable": some(lambda x: said(x).rlike(UNREADABLE)),
+    }
+
+
+def collection_status(*, robots: Column, blocked: Column, timeout: Column, unreadable: Column, review: Column, seed: Column, at_hand: Column, publishable: Column) -> Column:
+    """Status of a collected item. What went wrong with crawling counts only where no source text is at
+    hand; ``publishable`` is what was said before, and only false counts."""
+    without = ~at_hand
     return (
-        F.when(robots_denied, "robots_denied")
-        .when(blocked, "blocked")
-        .when(timeout, "timeout")
-        .when(failed, "extraction_failed")
-        .when(review, "needs_review")
-        .when(F.coalesce(chars, F.lit(0)) == 0, "metadata_only")
-        .when(chars < MIN_CHARS, "short_text")
+        F.when(_yes(robots), "robots_disallowed")
+        .when(without & _yes(blocked), "blocked")
+        .when(without & _yes(timeout), "timeout")
+        .when((without & _yes(unreadable)) | _yes(review), "needs_review")
+        .when(_yes(seed) | without, "metadata_only")
+        .when(_yes(publishable == False), "needs_review")  # noqa: E712
         .otherwise("cleaned")
     )
 
 
-def publishable(status: Column, chars: Column, *conditions: Column) -> Column:
-    out = (status == "cleaned") & (chars >= MIN_CHARS)
-    for c in conditions:
-        out = out & F.coalesce(c, F.lit(False))
-    return out
+def publishable(status: Column, at_hand: Column, relevant: Column, seed: Column, robots: Column, said: Column, verified: Column) -> Column:
+    """All conditions of publication; what was said before and the URL's verification count only if false."""
+    return (status == "cleaned") & at_hand & _yes(relevant) & ~_yes(seed) & ~_yes(robots) & ~_yes(said == False) & ~_yes(verified == False)  # noqa: E712
+
+
+def can_summarize(status: Column, text: Column, publishable_: Column, seed: Column, at_hand: Column, robots: Column) -> Column:
+    """May be summarised (again): text enough, publishable, and not done or in work."""
+    return _yes(status.isin("cleaned", "failed_summary")) & (F.length(F.trim(F.coalesce(text, F.lit("")))) >= MIN_CHARS) & _yes(publishable_) & ~_yes(seed) & _yes(at_hand) & ~_yes(robots)
+
+
+def listed(status: Column, publishable_: Column) -> Column:
+    return _yes(status == "summarized") & _yes(publishable_)
 
 
-def transition_check(pairs: DataFrame, old: str, new: str) -> DataFrame:
-    """Adds allowed: whether (old, new) is a transition. The rules are a constant predicate."""
-    known = F.concat_ws(">", F.coalesce(F.col(old), F.lit("")), F.col(new)).isin([f"{a}>{b}" for a, b in TRANSITIONS])
-    return pairs.withColumn("allowed", F.coalesce(known, F.lit(False)))
+def transition_allowed(old: Column, new: Column, actor: Column, changed: Column) -> Column:
+    """Whether a publication may go from old (null: none yet) to new; one rule that fits is enough."""
+    fits = F.lit(False)
+    for before, after, whom in TRANSITIONS:
+        one = (old.isNull() if before is None else old == before) & (new == after)
+        fits = fits | _yes(one if whom is None else one & actor.isin(*whom))
+    return F.when(old == new, _yes(changed)).otherwise(fits)
 
 
 def snapshot_ratios(df: DataFrame, by: list[str], counts: dict[str, Column], ratios: dict[str, tuple[str, str]]) -> DataFrame:

@@ -5,17 +5,22 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
 import re
 import unicodedata
+import uuid
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 from functools import reduce
-from operator import and_, or_
+from operator import add, and_, or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexspark.functions.text import cosine, tokens
+from lexspark.functions import cases
+from lexspark.functions.text import collapse, cosine, nfkc, tokens
+from lexspark.operators.publication import compact, strip_noise
+from lexspark.shared import shared_dir
 
 K1, B, RRF_K = 1.2, 0.75, 60
 MAX_LIMIT, MAX_OFFSET, MAX_QUERY = 100, 10_000, 200
@@ -71,8 +76,14 @@ def compile_query(text: str) -> Compiled:
     return Compiled(tuple(groups), tuple(without))
 
 
-def matches(q: Compiled, toks: Column) -> Column:
-    """The compiled query as one predicate over a token array; phrases need adjacent tokens."""
+def matches(q: Compiled, phrase) -> Column:
+    """The compiled query as one predicate; ``phrase`` gives that of one phrase."""
+    hit = reduce(or_, (reduce(and_, map(phrase, g)) for g in q.groups))
+    return F.coalesce(reduce(and_, (~F.coalesce(phrase(p), F.lit(False)) for p in q.without), hit), F.lit(False))
+
+
+def in_text(toks: Column):
+    """Phrase predicate over a token array; phrases need adjacent tokens."""
 
     def phrase(p):
         if len(p) == 1:
@@ -80,43 +91,113 @@ def matches(q: Compiled, toks: Column) -> Column:
         # tokens hold no blanks, so adjacent tokens are a substring of the joined ones
         return F.concat(F.lit(" "), F.array_join(toks, " "), F.lit(" ")).contains(f" {' '.join(p)} ")
 
-    hit = reduce(or_, (reduce(and_, map(phrase, g)) for g in q.groups))
-    return F.coalesce(reduce(and_, (~F.coalesce(phrase(p), F.lit(False)) for p in q.without), hit), F.lit(False))
+    return phrase
 
 
 # -- lexical
 
-
-def postings(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """term, doc, tf, dl: the derived text index. Write it partitioned by a term prefix to reuse it."""
-    toks = docs.select(doc, tokens(F.col(text)).alias("t"))
-    return toks.select(doc, F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", doc, "dl").agg(F.count("*").alias("tf"))
-
-
-def _tf(term: str) -> Column:
-    return F.size(F.filter("t", lambda x: x == term))
-
-
-def bm25(docs: DataFrame, doc: str, text: str, terms: list[str]) -> DataFrame:
-    """doc, score of documents that hold a term.
-
-    Only the terms asked for are counted (by filtering the token array within the row), so
-    nothing is exploded but query terms; document statistics are one aggregate row."""
-    base = docs.select(doc, tokens(F.col(text)).alias("t")).select(doc, F.size("t").alias("dl"), *(_tf(w).alias(f"tf{i}") for i, w in enumerate(terms)))
-    stats = base.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"df{i}") for i in range(len(terms))))
-    hit = base.where(reduce(or_, (F.col(f"tf{i}") > 0 for i in range(len(terms))))).crossJoin(F.broadcast(stats))  # one row
-    parts = []
-    for i in range(len(terms)):
-        tf, df = F.col(f"tf{i}").cast("double"), F.col(f"df{i}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        parts.append(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
-    return hit.select(doc, F.round(reduce(lambda a, b: a + b, parts), 6).alias("score"))
-
-
-def field_bm25(docs: DataFrame, doc: str, fields: dict[str, float], terms: list[str]) -> DataFrame:
-    """Weighted sum of BM25 over several fields."""
-    each = [bm25(docs, doc, f, terms).withColumn("score", F.col("score") * w) for f, w in fields.items()]
-    return reduce(DataFrame.unionByName, each).groupBy(doc).agg(F.round(F.sum("score"), 6).alias("score"))
+# Weights of the fields of a document.
+WEIGHTS = {"title": 10.0, "case_numbers": 8.0, "search_text": 4.0, "tags": 2.0}
+
+
+def _placed(tokens_: str, field: int) -> Column:
+    return F.transform(tokens_, lambda t, i: F.struct(t.alias("term"), F.lit(field).alias("field"), i.alias("place")))
+
+
+def _minus(places: Column, k: int) -> Column:
+    return F.transform(places, lambda x: x - k)
+
+
+def _covers(places: list[Column], weight: float) -> Column:
+    """Sum of weight / length over the shortest stretches that hold a place of each list."""
+    ends = F.array_sort(F.array_distinct(F.concat(*places)))
+    # for each place as the end of a stretch, the earliest of the latest places of all words up to it
+    latest = lambda p, e: F.coalesce(F.array_max(F.filter(p, lambda x: x <= e)), F.lit(-1))
+    start = lambda e: F.least(*(latest(p, e) for p in places)) if len(places) > 1 else latest(places[0], e)
+    begin = F.transform(ends, lambda e: F.struct(start(e).alias("a"), e.alias("b")))
+    # a stretch that begins where the one before it does is longer, and no shortest one
+    shortest = F.filter(begin, lambda c, i: (c["a"] >= 0) & ((i == 0) | (F.get(begin, i - 1)["a"] < c["a"])))
+    return F.aggregate(shortest, F.lit(0.0), lambda s, c: s + F.lit(weight) / (c["b"] - c["a"] + 1))
+
+
+class Index:
+    """Inverted index of documents in the shared folder: postings (term, doc, places in each field,
+    lengths of the fields), sorted by term, so that a query reads the row groups of its terms only;
+    document frequencies of terms; and the number of documents and mean lengths.
+
+    Documents without any token count as documents. Text is split once, when the index is built."""
+
+    def __init__(self, spark: SparkSession, path: str, doc: str, fields: list[str]):
+        self.doc, self.fields = doc, fields
+        self.postings, self.terms = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms")
+        self.stats = spark.read.parquet(f"{path}/stats").first().asDict()
+
+    @classmethod
+    def build(cls, docs: DataFrame, doc: str, fields: dict[str, Column]) -> Index:
+        spark = docs.sparkSession
+        path = f"{shared_dir(spark)}/search-{uuid.uuid4().hex}"
+        names = list(fields)
+        split = docs.select(F.col(doc).alias("doc"), *(tokens(c).alias(n) for n, c in fields.items()))
+        size = F.struct(*(F.size(n).alias(n) for n in names)).alias("sizes")
+        placed = [_placed(n, k) for k, n in enumerate(names)]
+        rows = split.select("doc", size, F.explode(F.concat(*placed)).alias("p")).select("doc", "sizes", "p.*")
+        # the tokens of a document are in one task: places are gathered before the shuffle by term
+        per = F.struct(*(F.array_sort(F.collect_list(F.when(F.col("field") == k, F.col("place")))).alias(n) for k, n in enumerate(names)))
+        posted = rows.groupBy("term", "doc", "sizes").agg(per.alias("places"))
+        posted.repartitionByRange("term").sortWithinPartitions("term", "doc").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+        spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("all"), *(F.count_if(F.size(f"places.{n}") > 0).alias(n) for n in names)).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+        means = [F.coalesce(F.avg(F.col(f"sizes.{n}")), F.lit(0.0)).alias(n) for n in names]
+        split.select(size).agg(F.count("*").alias("docs"), *means).write.parquet(f"{path}/stats")
+        return cls(spark, path, doc, names)
+
+    def frequencies(self, terms: list[str], fields) -> dict[str, int]:
+        """Documents that hold each of a query's terms in some of the fields; a query has at most
+        MAX_QUERY characters, so its terms are few."""
+        fields = list(fields)
+        if len(fields) in (1, len(self.fields)):  # counted when the index was built
+            found = self.terms.select("term", F.col(fields[0] if len(fields) == 1 else "all").alias("df"))
+        else:
+            found = self.postings.where(reduce(or_, (F.size(f"places.{f}") > 0 for f in fields))).groupBy("term").agg(F.count("*").alias("df"))
+        return {r.term: r.df for r in found.where(F.col("term").isin(terms)).collect()}
+
+    def bm25(self, terms: list[str], weights: dict[str, float] | None = None) -> DataFrame:
+        """doc, score of documents that hold a term: BM25 of the weighted sum of a term's hits in the
+        fields, over the length of all weighted fields. One narrow scan, one shuffle of query hits."""
+        weights = weights or {n: 1.0 for n in self.fields}
+        df, n = self.frequencies(terms, weights), float(self.stats["docs"])
+        mean = sum(self.stats[f] for f in weights) or 1.0
+        hits = self.postings.where(F.col("term").isin(terms)).select(F.col("doc").alias(self.doc), "term", reduce(add, (F.size(F.col(f"places.{f}")) * F.lit(w) for f, w in weights.items())).alias("tf"), reduce(add, (F.col(f"sizes.{f}") for f in weights)).alias("dl")).where("tf > 0")
+        idf = F.create_map(*(x for t in terms for x in (F.lit(t), F.lit(math.log(1 + (n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5))))))
+        part = idf[F.col("term")] * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
+        return hits.groupBy(self.doc).agg(F.round(F.sum(part), 6).alias("score"))
+
+    def matching(self, q: Compiled) -> DataFrame:
+        """doc of the documents that a compiled query fits, from its terms' postings alone."""
+        terms = sorted({t for g in (*q.groups, q.without) for p in g for t in p})
+        names = {t: f"t{i}" for i, t in enumerate(terms)}
+        per = [F.max(F.when(F.col("term") == t, F.col("places"))).alias(c) for t, c in names.items()]
+        rows = self.postings.where(F.col("term").isin(terms)).groupBy(F.col("doc").alias(self.doc)).agg(*per)
+
+        def phrase(p):
+            if len(p) == 1:
+                return F.col(names[p[0]]).isNotNull()
+            # places of each word, less its place in the phrase, have one in common
+            shifted = lambda f: [_minus(F.col(f"{names[w]}.{f}"), k) for k, w in enumerate(p)]
+            return reduce(or_, (F.coalesce(F.size(reduce(F.array_intersect, shifted(f))) > 0, F.lit(False)) for f in self.fields))
+
+        return rows.where(matches(q, phrase)).select(self.doc)
+
+    def cover_density(self, q: Compiled, weights: dict[str, float]) -> DataFrame:
+        """doc, score: how close together all of a query's terms stand, r / (r + 1).
+
+        Each shortest stretch of a field that holds every term adds the field's weight over the
+        stretch's length; stretches are found from the terms' places within the row."""
+        terms = q.terms
+        per = [F.max(F.when(F.col("term") == t, F.col("places"))).alias(f"t{i}") for i, t in enumerate(terms)]
+        rows = self.postings.where(F.col("term").isin(terms)).groupBy(F.col("doc").alias(self.doc)).agg(*per)
+        near = [_covers([F.coalesce(F.col(f"t{i}.{f}"), F.array().cast("array<int>")) for i in range(len(terms))], w) for f, w in weights.items()]
+        total = reduce(add, near)
+        return rows.select(self.doc, total.alias("r")).where("r > 0").select(self.doc, F.round(F.col("r") / (F.col("r") + 1), 6).alias("score"))
 
 
 # -- semantic
@@ -150,14 +231,34 @@ def diversity(scored: DataFrame, key: str, group: str, after: int = 2, factor: f
     return scored.withColumn("group_rank", F.row_number().over(w)).withColumn("score", F.round(F.when(F.col("group_rank") > after, F.col("score") * factor).otherwise(F.col("score")), 9))
 
 
-def legal_score(title: Column, body: Column, terms: list[str], case: str | None = None) -> Column:
-    """Additive relevance: case number, exact and contained title, all terms, single hits."""
-    t, b, q = F.lower(title), F.lower(body), " ".join(terms)
-    parts = [F.when(t == q, 500).otherwise(0), F.when(t.contains(q), 180).otherwise(0), F.when(reduce(and_, (t.contains(w) | b.contains(w) for w in terms)), 120).otherwise(0)]
-    parts += [F.when(t.contains(w), 24).otherwise(0) for w in terms] + [F.when(b.contains(w), 6).otherwise(0) for w in terms]
-    if case:
-        parts.append(F.when(t.contains(case.lower()), 1000).otherwise(0))
-    return reduce(lambda x, y: x + y, parts)
+def legal_score(titles: list[Column], case: Column, summary: Column, query: str) -> Column:
+    """Additive relevance of a query: its case number, exact and contained title, all terms in the
+    titles, and single hits. Texts are compared without anything but letters, digits and underscores."""
+    query = strip_noise(re.sub(r"\s+", " ", unicodedata.normalize("NFKC", query)).strip())
+    bare = lambda x: re.sub(r"[\W]+", "", x.lower())
+    whole = bare(query)
+    terms = list(dict.fromkeys(t for t in map(bare, re.findall(r"\w+", query)) if len(t) >= 2))[:8]
+    if not query:
+        return F.lit(0)
+    named, number, said = [compact(nfkc(t)) for t in titles], compact(nfkc(case)), compact(nfkc(summary))
+    both = F.concat_ws(" ", *named)
+    any_title = lambda test: reduce(or_, ((t != "") & test(t) for t in named))
+    one = lambda cond, points: F.when(cond, points).otherwise(0)
+    every = reduce(and_, (both.contains(t) for t in terms)) if terms else F.lit(False)
+    parts = [
+        one((number != "") & F.lit(whole).contains(number), 1000),
+        one(any_title(lambda t: t == whole), 500),
+        one(F.lit(len(whole) >= 3) & any_title(lambda t: t.contains(whole)), 180),
+        one(every, 120),
+        *(one(both.contains(t), 24) for t in terms),
+        *(one(said.contains(t), 6) for t in terms),
+    ]
+    return reduce(add, parts)
+
+
+def rerank(listed: DataFrame, score: Column, place: str) -> DataFrame:
+    """A listed page by score; equal scores keep their place."""
+    return listed.withColumn("relevance", score).orderBy(F.desc("relevance"), F.asc(place))
 
 
 # -- filters, dispatch, pages
@@ -184,12 +285,43 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     return df.orderBy(*order).offset(offset).limit(limit + 1)
 
 
-def keyset(df: DataFrame, after: tuple | None, limit: int, score: str = "score", key: str = "doc_id") -> DataFrame:
-    """The page behind (score, key): score descending, key ascending."""
+def keyset(df: DataFrame, after: tuple | None, limit: int, score: str = "score", key: str = "doc_id", date: str | None = None) -> DataFrame:
+    """The page behind (score, key), or (score, date, key): score and date descending, key ascending."""
     if after is not None:
-        s, k = after
-        df = df.where((F.col(score) < s) | ((F.col(score) == s) & (F.col(key) > k)))
-    return df.orderBy(F.desc(score), F.asc(key)).limit(limit)
+        s, k = after[0], after[-1]
+        tie = F.col(key) > k
+        if date is not None:
+            d = F.lit(after[1]).cast(df.schema[date].dataType)
+            tie = (F.col(date) < d) | ((F.col(date) == d) & tie)
+        df = df.where((F.col(score) < s) | ((F.col(score) == s) & tie))
+    return df.orderBy(F.desc(score), *([F.desc(date)] if date else []), F.asc(key)).limit(limit)
+
+
+def fnv1a64(text: str) -> str:
+    """64-bit FNV-1a over the UTF-16 code units of a text, as hex."""
+    h = 0xCBF29CE484222325
+    units = text.encode("utf-16-le")
+    for low, high in zip(units[::2], units[1::2]):
+        h = (h ^ (low | high << 8)) * 0x100000001B3 % 2**64
+    return f"{h:016x}"
+
+
+def request_fingerprint(query: str, version: str, **filters) -> str:
+    """Of a catalogue request and a ranking version: what a cursor is good for."""
+    names = ("source", "jurisdiction", "content_type", "language", "tag")
+    return fnv1a64("\x1f".join([query.strip().lower(), *(filters.get(k) or "" for k in names), filters.get("period") or "latest", version]))
+
+
+def catalogue_page(ranked_: DataFrame, cursor: str | None, mark: str, limit: int, version: int = 1) -> tuple[DataFrame, str | None]:
+    """A page of (id, score, date) behind a cursor, and the cursor of the next one (null at the end)."""
+    if not 1 <= limit <= MAX_LIMIT:
+        raise QueryError("limit out of range")
+    after = decode_cursor(cursor, mark, version) if cursor else None
+    rows = keyset(ranked_, after, limit + 1, key="id", date="date").collect()  # limit + 1 rows at most
+    more = len(rows) > limit
+    last = rows[limit - 1] if more else None
+    page_ = ranked_.sparkSession.createDataFrame(rows[:limit], ranked_.schema)
+    return page_, encode_cursor((last.score, str(last.date), last.id), mark, version) if more else None
 
 
 def encode_cursor(after: tuple, fingerprint: str, version: int = 1) -> str:
@@ -211,40 +343,145 @@ def fingerprint(**params) -> str:
     return hashlib.sha256(json.dumps(params, sort_keys=True, default=str).encode()).hexdigest()
 
 
-def search_page(docs: DataFrame, vectors: DataFrame | None, query: str, mode: str, vector: list[float] | None = None, limit: int = 20, offset: int = 0, doc: str = "doc_id", text: str = "text", vec: str = "vec_id", where: Column | None = None) -> DataFrame:
-    """Ranked page: latest (empty query), fulltext, semantic or hybrid. doc, score and ranks."""
+def exact_title(title: Column, query: str) -> Column:
+    """Whether a title, as a whole and in any case, is the query."""
+    fold = re.sub(r"\s+", " ", "".join(c for c in unicodedata.normalize("NFKC", query) if c.isprintable() or c.isspace())).strip().lower()
+    return F.coalesce(F.lower(collapse(nfkc(title))) == fold, F.lit(False)) if fold else F.lit(False)
+
+
+def has_tag(tags: Column, tag: str) -> Column:
+    """Whether an array of tags (struct<slug,name,...>) has one of that slug or name."""
+    return F.coalesce(F.exists(tags, lambda t: (t["slug"] == tag) | (t["name"] == tag)), F.lit(False))
+
+
+def encode_tags(tags: Column) -> Column:
+    """Tags' slugs and names between marks that no text has, for exact filters on one column."""
+    mark = "\x01"
+    values = F.array_distinct(F.flatten(F.transform(tags, lambda t: F.filter(F.array(F.trim(t["slug"]), F.trim(t["name"])), lambda x: x.isNotNull() & (x != "")))))
+    return F.array_join(F.transform(values, lambda x: F.concat(F.lit(mark), x, F.lit(mark))), " ")
+
+
+def has_encoded_tag(encoded: Column, tag: str) -> Column:
+    if not tag.strip():
+        raise QueryError("a tag must not be blank")
+    return F.coalesce(encoded.contains(f"\x01{tag.strip()}\x01"), F.lit(False))
+
+
+def has_line(lines: Column, key: Column | str) -> Column:
+    """Whether one of the lines of a text is a key."""
+    key = F.lit(key) if isinstance(key, str) else key
+    return F.coalesce(F.array_contains(F.split(lines, "\n"), key), F.lit(False))
+
+
+@dataclass(frozen=True)
+class Page:
+    """A page of at most ``limit`` documents, ranked from 1, and one row more where others follow."""
+
+    mode: str  # exact-case, latest, fulltext, semantic or hybrid
+    entries: DataFrame
+    limit: int
+    matched: DataFrame | None  # all documents that match, where they can be counted
+
+    def summary(self, count: str = "none") -> DataFrame:
+        """One row: ids in order, mode, total (exact, or a lower bound), has_more, total_is_exact."""
+        ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"])
+        got = self.entries.agg(ids.alias("all_ids"))
+        exact = count == "exact" and self.matched is not None
+        if exact:
+            got = got.crossJoin(F.broadcast(self.matched.agg(F.count("*").alias("total"))))  # one row each
+        got = got.withColumn("has_more", F.size("all_ids") > self.limit)
+        return got.select(F.slice("all_ids", 1, self.limit).alias("ids"), F.lit(self.mode).alias("mode"), (F.col("total") if exact else F.size("all_ids").cast("long")).alias("total"), "has_more", F.lit(exact).alias("total_is_exact"))
+
+
+def search_page(
+    docs: DataFrame, index: Index | None, vectors: DataFrame | None, query: str, mode: str = "hybrid", vector: list[float] | None = None, limit: int = 20, offset: int = 0, filters: dict | None = None, tag: str | None = None, period: str = "latest", now: datetime | None = None, weights: dict[str, float] | None = None
+) -> Page:
+    """The ranked page of a query over docs (id, source_key, case_key, title, date, tags, and what
+    ``filters`` name).
+
+    A query that names a case is answered by that case alone (or by nothing where another source is
+    asked for); an empty one by the latest documents; others by rank. Exact titles come first, then
+    score, then later dates (none last), then ids. Candidates of each list are cut before they are
+    fused; filters work before any cut."""
+    query = (query or "").strip()
+    if not 1 <= limit <= MAX_LIMIT or not 0 <= offset <= MAX_OFFSET or len(query) > MAX_QUERY:
+        raise QueryError("limit, offset or length of the query out of range")
     if mode not in ("fulltext", "semantic", "hybrid"):
         raise QueryError(f"unknown mode {mode}")
-    base = docs if where is None else docs.where(where)
-    if not query.strip():
-        return page(base.select(doc, F.lit(0.0).alias("score")), [F.desc(doc)], limit, offset)
+    filters = filters or {}
+    allowed = filter_pack(**filters)
+    if tag is not None:
+        allowed = allowed & has_tag(F.col("tags"), tag)
+    start = since(period, now or datetime.now()) if period != "latest" else None
+    if start is not None:
+        allowed = allowed & F.coalesce(F.col("date") >= F.lit(start).cast(docs.schema["date"].dataType), F.lit(False))
+    base = docs.where(allowed)
+    latest = [F.desc_nulls_last("date"), F.asc("id")]
+
+    def cut(scored: DataFrame, order: list[Column]) -> DataFrame:
+        got = scored.orderBy(*order).offset(offset).limit(limit + 1)
+        return got.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+    named = cases.exact_case(query)
+    if named is not None:
+        source, _, key = named
+        own = base.where((F.col("source_key") == source) & (F.col("case_key") == key) if filters.get("source_key") in (None, source) else F.lit(False))
+        return Page("exact-case", cut(own.select("id", "date"), latest), limit, own.select("id"))
+    if not query:
+        return Page("latest", cut(base.select("id", "date"), latest), limit, base.select("id"))
     if mode != "fulltext" and vector is None:
         raise QueryError("an embedding is needed")
     n = candidate_limit(offset, limit)
-    lexical = None
+    lexical = near = None
+    whole = [F.desc("exact"), F.desc("score"), *latest]
+    small = base.select("id", "date", exact_title(F.col("title"), query).alias("exact"))
     if mode != "semantic":
         q = compile_query(query)
-        lexical = bm25(base.where(matches(q, tokens(F.col(text)))), doc, text, q.terms)
+        hits = index.matching(q).join(index.bm25(q.terms, weights), "id")
+        lexical = small.join(hits, "id")
         if mode == "fulltext":
-            return page(lexical, [F.desc("score"), F.asc(doc)], limit, offset)
-    near = semantic(vectors.withColumnRenamed(vec, doc).join(base.select(doc), doc, "left_semi"), doc, "embedding", vector)
+            return Page("fulltext", cut(lexical, whole), limit, lexical.select("id"))
+    near = semantic(vectors.join(small, "id"), "id", "embedding", vector).join(small, "id") if mode == "semantic" else semantic(vectors.join(base.select("id"), "id", "left_semi"), "id", "embedding", vector)
     if mode == "semantic":
-        return page(near, [F.desc("score"), F.asc(doc)], limit, offset)
-    return page(rrf(ranked(lexical, doc, n), ranked(near, doc, n), doc), [F.desc("score"), F.asc(doc)], limit, offset)
+        return Page("semantic", cut(near, [F.desc("score"), *latest]), limit, None)
+    top = lambda scored, order: scored.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    fused = rrf(top(lexical, whole), top(near, [F.desc("score"), F.asc("id")]), "id").join(small, "id")
+    return Page("hybrid", cut(fused, whole), limit, None)
 
 
-def alias_terms(aliases: DataFrame, query: str, concept: str = "concept_id", alias: str = "alias", concepts: int = 5, per_concept: int = 8) -> DataFrame:
-    """Aliases of concepts whose alias the query holds: at most so many concepts and aliases each.
+def alias_terms(aliases: DataFrame, query: str, concept: str = "concept_id", alias: str = "alias", concepts: int = 5, per_concept: int = 8, most: int = 12) -> DataFrame:
+    """Aliases of concepts whose alias the query holds: at most so many concepts, aliases each, and in all.
 
     The thesaurus is scanned with a literal predicate; no join of queries and aliases is needed."""
     named = aliases.where(F.lit(query.lower()).contains(F.lower(alias))).groupBy(concept).agg(F.max(F.length(alias)).alias("l")).orderBy(F.desc("l"), F.asc(concept)).limit(concepts)
     w = Window.partitionBy(concept).orderBy(F.desc(F.length(alias)), F.asc(alias))
-    return aliases.join(F.broadcast(named.select(concept)), concept, "left_semi").withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_concept)
+    few = aliases.join(F.broadcast(named), concept).withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_concept)
+    return few.orderBy(F.desc("l"), F.asc(concept), "r").limit(most).drop("l")
 
 
-def catalog_rrf(original: DataFrame, by_alias: DataFrame, key: str, group: str, n: int = 250) -> DataFrame:
-    """Multilingual fusion: the original query votes twice, all aliases together once (their best rank)."""
-    a = original.where("rank <= 50").select(key, group, (2.0 / (RRF_K + F.col("rank"))).alias("s"))
-    b = by_alias.where("rank <= 50").groupBy(key, group).agg((1.0 / (RRF_K + F.min("rank"))).alias("s"))
-    fused = a.unionByName(b).groupBy(key, group).agg(F.sum("s").alias("score")).orderBy(F.desc("score"), F.asc(key)).limit(n)
-    return diversity(fused, key, group)
+def alias_hits(index: Index, aliases: list[str], dates: DataFrame, n: int = 50, weights: dict[str, float] | None = None) -> DataFrame:
+    """alias, id, rank: the best n documents that hold all words of each of a few aliases (by score,
+    later date, id)."""
+    parts = []
+    for a in aliases:
+        words = re.findall(r"[^\W_]+", a.lower())
+        if words:
+            q = Compiled((tuple((w,) for w in words),), ())
+            parts.append(index.matching(q).join(index.bm25(q.terms, weights), "id").withColumn("alias", F.lit(a)))
+    if not parts:
+        return dates.where(F.lit(False)).select(F.lit("").alias("alias"), "id", F.lit(0).alias("rank"))
+    order = Window.partitionBy("alias").orderBy(F.desc("score"), F.desc_nulls_last("date"), F.asc("id"))
+    hits = reduce(DataFrame.unionByName, parts).join(dates.select("id", "date"), "id")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("alias", "id", "rank")
+
+
+def catalogue_rrf(original: DataFrame, by_alias: DataFrame, docs: DataFrame, group: str, n: int = 250) -> DataFrame:
+    """id, group, date, score: the original query votes twice, all aliases together once (their best
+    rank); after two of a group, others weigh less. docs: id, group, date."""
+    a = original.where("rank <= 50").select("id", (F.lit(2.0) / (RRF_K + F.col("rank"))).alias("s"))
+    b = by_alias.groupBy("id").agg(F.max(F.lit(1.0) / (RRF_K + F.col("rank"))).alias("s"))
+    date = F.coalesce("date", F.lit("0001-01-01").cast("date"))
+    fused = a.unionByName(b).groupBy("id").agg(F.sum("s").alias("score")).join(docs.select("id", group, date.alias("date")), "id")
+    fused = fused.orderBy(F.desc("score"), F.desc("date"), F.asc("id")).limit(n)
+    w = Window.partitionBy(F.coalesce(group, F.lit(""))).orderBy(F.desc("score"), F.desc("date"), F.asc("id"))
+    return fused.withColumn("group_rank", F.row_number().over(w)).withColumn("score", F.round(F.when(F.col("group_rank") > 2, F.col("score") * 0.92).otherwise(F.col("score")), 9))

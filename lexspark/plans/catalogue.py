@@ -185,21 +185,6 @@ bm AS (SELECT doc_id, lang, round(ln(1 + (n - df0 + 0.5::DOUBLE) / (df0 + 0.5::D
 _VEC = f"cos AS (SELECT vec_id AS doc_id, round(list_cosine_similarity(embedding::DOUBLE[], [{', '.join(map(str, VECTOR))}]::DOUBLE[]), 6) AS score FROM embeddings)"
 
 
-@query("documents", sql=f"WITH {_BM25} SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM bm ORDER BY score DESC, doc_id LIMIT 50")
-def bm25_topk(documents):
-    return search.ranked(search.bm25(documents, "doc_id", "text", TERMS), "doc_id", 50)
-
-
-@query(
-    "documents",
-    sql="""SELECT doc_id FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents)
-WHERE ((list_contains(t, 'the') AND list_contains(t, 'of')) OR contains(' ' || array_to_string(t, ' ') || ' ', ' de la ')) AND NOT list_contains(t, 'worthless')""",
-)
-def websearch_filter(documents):
-    q = search.compile_query('the of or "de la" -worthless')
-    return documents.select("doc_id", text.tokens(F.col("text")).alias("t")).where(search.matches(q, F.col("t"))).select("doc_id")
-
-
 @query("embeddings", sql=f"WITH {_VEC} SELECT doc_id AS vec_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM cos ORDER BY score DESC, doc_id LIMIT 50")
 def semantic_topk(embeddings):
     return search.ranked(search.semantic(embeddings, "vec_id", "embedding", VECTOR), "vec_id", 50)
@@ -211,71 +196,16 @@ sx AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS IN
 fused AS (SELECT doc_id, lexical_rank, semantic_rank, round(coalesce(1::DOUBLE / (60 + lexical_rank), 0) + coalesce(1::DOUBLE / (60 + semantic_rank), 0), 9) AS score FROM lx FULL JOIN sx USING (doc_id))"""
 
 
-@query("documents", "embeddings", sql=f"WITH {_RRF} SELECT doc_id, coalesce(lexical_rank, 0) AS lexical_rank, coalesce(semantic_rank, 0) AS semantic_rank, score FROM fused ORDER BY score DESC, doc_id LIMIT 20")
-def hybrid_rrf(documents, embeddings):
-    n = search.candidate_limit(0, 20)
-    lexical = search.ranked(search.bm25(documents, "doc_id", "text", TERMS), "doc_id", n)
-    near = search.semantic(embeddings.withColumnRenamed("vec_id", "doc_id").join(documents.select("doc_id"), "doc_id", "left_semi"), "doc_id", "embedding", VECTOR)
-    return search.rrf(lexical, search.ranked(near, "doc_id", n), "doc_id").orderBy(F.desc("score"), "doc_id").limit(20).fillna(0, ["lexical_rank", "semantic_rank"])
-
-
-@query(
-    "documents",
-    sql=f"""WITH {_BM25}, top AS (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 250), w AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id) AS INTEGER) AS group_rank FROM top)
-SELECT doc_id, lang, group_rank, round(CASE WHEN group_rank > 2 THEN score * 0.92::DOUBLE ELSE score END, 6) AS score FROM w""",
-)
-def diversity_rerank(documents):
-    top = search.bm25(documents, "doc_id", "text", TERMS).orderBy(F.desc("score"), "doc_id").limit(250)
-    return search.diversity(top.join(documents.select("doc_id", "lang"), "doc_id"), "doc_id", "lang").withColumn("score", F.round("score", 6))
-
-
 @query("documents", sql="SELECT doc_id, n_chars FROM documents WHERE n_chars < 3000 OR (n_chars = 3000 AND doc_id > 10) ORDER BY n_chars DESC, doc_id LIMIT 25")
 def keyset_page(documents):
     return search.keyset(documents.select("doc_id", "n_chars"), (3000, 10), 25, "n_chars")
 
 
-@query(
-    "documents",
-    sql="""WITH d AS (SELECT doc_id, lower(split_part(text, chr(10), 1)) AS t, lower(text) AS b FROM documents)
-SELECT * FROM (SELECT doc_id, CAST((t = 'the of')::INT * 500 + contains(t, 'the of')::INT * 180 + ((contains(t, 'the') OR contains(b, 'the')) AND (contains(t, 'of') OR contains(b, 'of')))::INT * 120
-+ contains(t, 'the')::INT * 24 + contains(t, 'of')::INT * 24 + contains(b, 'the')::INT * 6 + contains(b, 'of')::INT * 6 AS INTEGER) AS score FROM d) WHERE score > 0""",
-)
-def legal_score(documents):
-    title = F.split(F.col("text"), "\n")[0]
-    return documents.select("doc_id", search.legal_score(title, F.col("text"), ["the", "of"]).alias("score")).where("score > 0")
-
-
-def _status(documents, labels):
-    per = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    j = documents.select("doc_id", "n_chars").join(per, "doc_id", "left")
-    no = F.lit(False)
-    return j.withColumn("status", quality.collection_status(robots_denied=no, blocked=F.col("n_chars") > 20000, timeout=no, failed=F.coalesce(F.col("quality") == 0, no), review=F.coalesce(F.col("toxic") == 1, no), chars=F.col("n_chars")))
-
-
-_STATUS = """s AS (SELECT doc_id, n_chars, toxic, quality, CASE WHEN n_chars > 20000 THEN 'blocked' WHEN coalesce(quality = 0, false) THEN 'extraction_failed' WHEN coalesce(toxic = 1, false) THEN 'needs_review'
-WHEN n_chars = 0 THEN 'metadata_only' WHEN n_chars < 500 THEN 'short_text' ELSE 'cleaned' END AS status FROM documents LEFT JOIN (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY 1) USING (doc_id))"""
-
-
-@query("documents", "labels", sql=f"WITH {_STATUS} SELECT doc_id, status FROM s")
-def status_ladder(documents, labels):
-    return _status(documents, labels).select("doc_id", "status")
-
-
-@query("documents", "labels", sql=f"WITH {_STATUS} SELECT doc_id, status = 'cleaned' AND n_chars >= 500 AND coalesce(quality = 1, false) AS publishable FROM s")
-def publishable(documents, labels):
-    return _status(documents, labels).select("doc_id", quality.publishable(F.col("status"), F.col("n_chars"), F.col("quality") == 1).alias("publishable"))
-
-
 @query("documents", sql="SELECT doc_id, source, turn FROM (SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS INTEGER) AS turn FROM documents) ORDER BY turn, source LIMIT 100")
 def round_robin(documents):
     return analytics.round_robin(documents.select("doc_id", "source", "n_chars"), "source", [F.desc("n_chars"), F.asc("doc_id")], 100).select("doc_id", "source", "turn")
 
 
-@query("pages")
-def canonical_url(pages):
-    return pages.select("page_id", text.canonical_url(F.col("url")).alias("url"))
-
-
 @query("pages")
 def html_links(pages):
     return web.links(pages)
@@ -286,12 +216,6 @@ def readable_text(pages):
     return web.readable(pages)
 
 
-@query("documents")
-def nfkc_title_match(documents):
-    title = text.nfkc(F.split(F.col("text"), "\n")[0])
-    return documents.select("doc_id", F.lower(text.collapse(title)).alias("title")).where(F.col("title").startswith("the "))
-
-
 _REDACT = "text"
 for _pattern, _mark in (("[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}", "[email]"), ("https?://[^ \\t\\n\\r\\f\\v]+", "[url]"), ("[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "[uuid]"), ("(?i)bearer +[a-z0-9._-]+", "[token]"), ("(?i)(password|secret|api[_-]?key)=[^ \\t\\n\\r\\f\\v]+", "\\1=[secret]"), ("[+]?[0-9][0-9 ()-]{7,}[0-9]", "[phone]")):
     _REDACT = f"regexp_replace({_REDACT}, '{_pattern}', '{_mark}', 'g')"
@@ -326,22 +250,6 @@ def snapshot_ratios(orders):
     return quality.snapshot_ratios(orders, ["o_custkey"], {"done": done, "pending": F.col("o_orderstatus") == "P", "large": done & (F.col("o_totalprice") > 100000)}, {"completion": ("done", "total"), "coverage": ("large", "done")})
 
 
-@query(
-    "events",
-    sql="""WITH p AS (SELECT user_id, event_type AS b, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a FROM events)
-SELECT a AS old_state, b AS new_state, n, coalesce(coalesce(a, '') || '>' || b IN ('>draft', 'draft>in_review', 'in_review>published', 'in_review>draft', 'published>withdrawn', 'withdrawn>in_review'), false) AS allowed FROM
-(SELECT CASE a WHEN 'click' THEN 'draft' WHEN 'view' THEN 'in_review' WHEN 'purchase' THEN 'published' ELSE CASE WHEN a IS NOT NULL THEN 'withdrawn' END END AS a,
- CASE b WHEN 'click' THEN 'draft' WHEN 'view' THEN 'in_review' WHEN 'purchase' THEN 'published' ELSE 'withdrawn' END AS b, count(*) AS n FROM p GROUP BY ALL)""",
-)
-def transition_check(events):
-    from pyspark.sql import Window
-
-    state = lambda c: F.when(c == "click", "draft").when(c == "view", "in_review").when(c == "purchase", "published").when(c.isNotNull(), "withdrawn")
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    pairs = events.select(state(before).alias("old_state"), state(F.col("event_type")).alias("new_state")).groupBy("old_state", "new_state").agg(F.count("*").alias("n"))
-    return quality.transition_check(pairs, "old_state", "new_state")
-
-
 @query("events")
 def hash_chain_verify(events):
     payload = F.concat_ws("|", F.col("event_id").cast("string"), F.col("event_type"), F.col("props"))
@@ -356,13 +264,3 @@ def rate_limit_fixed_window(events):
 @query("events", sql="SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
 def stage_idempotent(events):
     return jobs.register(events.select("event_id", "user_id", "event_type"), None, ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id")
-
-
-@query(
-    "nation",
-    sql="""SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '1 bvr ' || n_nationkey || '/15,' ELSE '' END || '2020-' || (800 + n_nationkey) || ' qpc' AS refs,
-CASE WHEN n_nationkey % 2 = 0 THEN '1 bvr ' || n_nationkey || '/15' END AS key FROM nation""",
-)
-def exact_case_refs(nation):
-    said = F.concat(F.lit("See 2020-"), 800 + F.col("n_nationkey"), F.lit(" QPC"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit(" and 1  BvR "), F.col("n_nationkey"), F.lit("/15, again"))).otherwise(""))
-    return nation.select("n_nationkey", F.array_join(cases.references(said), ",").alias("refs"), cases.case_key(F.lit("de-bverfg"), said).alias("key"))

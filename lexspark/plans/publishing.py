@@ -93,23 +93,11 @@ def catalog_score(documents):
     return documents.select("doc_id", publication.catalog_score(title, F.col("text"), publication.strip_noise("판례 the of")).alias("score")).where("score > 0")
 
 
-@query("part", sql="SELECT p_brand, 1000 - min(CASE p_size % 4 WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN 5 ELSE 9 END) FILTER (WHERE p_type LIKE '%BRASS') AS score FROM part GROUP BY 1 HAVING score IS NOT NULL")
-def identity_score(part):
-    kind = F.element_at(F.array(*map(F.lit, ("ecli", "docket", "case_key", "note"))), (F.col("p_size") % 4 + 1).cast("int"))
-    return part.groupBy("p_brand").agg(publication.identity_score(kind, F.col("p_type").endswith("BRASS"), F.lit(False))).where("score is not null")
-
-
 @query("documents", sql="WITH d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]*>', ' ', 'g'), '[\\x00-\\x20\\x7F]+', ' ', 'g'), ' ') AS p FROM documents) SELECT doc_id, CASE WHEN length(p) <= 320 THEN p ELSE rtrim(substr(p, 1, 319), ' ') || '…' END AS snippet FROM d")
 def snippets(documents):
     return documents.select("doc_id", publication.snippet(F.col("text"), 320).alias("snippet"))
 
 
-@query("documents")
-def complaint_classes(documents):
-    source = F.when(F.col("lang") == "de", "de-bverfg").when(F.col("lang") == "es", "es-tribunal-constitucional")
-    return documents.select("doc_id", F.coalesce(publication.complaint(source, F.col("text")), F.lit("none")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
-
-
 @query(
     "orders",
     sql="""WITH l AS (SELECT o_custkey, list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS e, list(o_orderkey ORDER BY floor(o_totalprice / 50000) DESC, o_orderkey) AS o FROM orders GROUP BY 1),

@@ -1,6 +1,6 @@
 """All registered queries of the archive operators, and their oracles."""
 
-from lexspark.plans import publishing, upkeep  # noqa: F401  register their queries
+from lexspark.plans import publishing, rules, searching, upkeep  # noqa: F401  register their queries
 from lexspark.plans.catalogue import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -82,15 +82,6 @@ def source_watchdog(orders):
     return maintenance.watchdog(orders, "o_custkey", "o_orderdate", F.col("o_orderstatus") == "F", NOW, 90, 365)
 
 
-@query(
-    "orders",
-    sql="""SELECT o_custkey, CASE WHEN failed >= found THEN 'failed' WHEN failed > 0 THEN 'degraded' ELSE 'success' END AS outcome FROM (SELECT o_custkey, count(*) AS found, count(*) FILTER (WHERE o_orderstatus = 'P') AS failed FROM orders GROUP BY 1)""",
-)
-def run_outcomes(orders):
-    got = orders.groupBy("o_custkey").agg(F.count("*").alias("found"), F.count_if(F.col("o_orderstatus") == "P").alias("failed"))
-    return got.select("o_custkey", maintenance.run_outcome(F.col("found"), F.col("failed")).alias("outcome"))
-
-
 @query("orders", sql="SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1998-08-01' - INTERVAL 180 DAY")
 def retention_keep(orders):
     return maintenance.retained(orders, "o_orderdate", NOW, 180).select("o_orderkey", "o_orderdate")
@@ -107,11 +98,6 @@ def source_text_page(documents):
     return documents.select("doc_id", piece, more, after).withColumns({"piece": F.sha2(F.col("piece").cast("binary"), 256), "next_offset": F.coalesce("next_offset", F.lit(-1))})
 
 
-@query("documents", sql="SELECT doc_id FROM documents WHERE contains(lower(concat_ws(' ', source, lang, text)), 'the') AND contains(lower(concat_ws(' ', source, lang, text)), 'web')")
-def all_terms_filter(documents):
-    return documents.where(maintenance.all_terms([F.col("source"), F.col("lang"), F.col("text")], ["the", "WEB"])).select("doc_id")
-
-
 @query(
     "orders",
     sql="SELECT o_orderkey, CASE WHEN s = 'running' AND o_orderdate < TIMESTAMP '1998-08-01' - INTERVAL 30 MINUTE THEN 'failed' ELSE s END AS state FROM (SELECT o_orderkey, o_orderdate, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'done' ELSE 'pending' END AS s FROM orders)",

@@ -19,18 +19,71 @@ def test_query_language():
             search.compile_query(bad)
 
 
-def test_search_page_modes(spark):
-    docs = spark.createDataFrame([(1, "red fox"), (2, "red red dog"), (3, "blue"), (4, None)], "doc_id long, text string")
-    vec = spark.createDataFrame([(1, [1.0, 0.0]), (3, [0.0, 1.0]), (9, [1.0, 0.0])], "vec_id long, embedding array<float>")
-    ids = lambda df: [r.doc_id for r in df.collect()]
-    assert ids(search.search_page(docs, None, "red -fox", "fulltext")) == [2]
-    assert ids(search.search_page(docs, None, "", "fulltext", limit=2)) == [4, 3, 2]
-    assert ids(search.search_page(docs, vec, "x", "semantic", [1.0, 0.0])) == [1, 3]
-    assert ids(search.search_page(docs, vec, "fox", "hybrid", [1.0, 0.0]))[0] == 1
-    with pytest.raises(search.QueryError):
-        search.search_page(docs, vec, "x", "semantic")
+@pytest.fixture(scope="module")
+def shelf(spark):
+    """Documents with titles, dates, sources and tags, and their index."""
+    rows = [(1, "red fox", "red fox", "a", None, None), (2, "red red dog", "dogs", "a", "2020-01-02", "x"), (3, "blue", "blue", "b", "2020-01-03", "x"), (4, None, None, "b", "2020-01-03", None), (5, "a red tree", "red", "us-scotus", "2020-01-01", None)]
+    docs = spark.createDataFrame(rows, "id long, text string, title string, source_key string, date string, tag string").withColumn("date", F.col("date").cast("date"))
+    tags = F.when(F.col("tag").isNotNull(), F.array(F.struct(F.col("tag").alias("slug"), F.upper("tag").alias("name"))))
+    docs = docs.withColumn("tags", tags).withColumn("case_key", F.when(F.col("id") == 5, "2112"))
+    return docs, search.Index.build(docs, "id", {"title": F.col("title"), "search_text": F.col("text")})
+
+
+def test_search_page_branches(spark, shelf):
+    docs, index = shelf
+    vec = spark.createDataFrame([(1, [1.0, 0.0]), (3, [0.0, 1.0]), (9, [1.0, 0.0])], "id long, embedding array<float>")
+    ids = lambda *a, **k: [r.id for r in search.search_page(docs, index, *a, **k).entries.orderBy("rank").collect()]
+    assert ids(None, "red -fox", "fulltext") == [2, 5]
+    assert ids(None, "red", "fulltext")[0] == 5  # the exact title comes before better scores
+    assert ids(None, "", limit=2) == [3, 4, 2] and ids(None, "", filters={"source_key": "a"}) == [2, 1]
+    assert ids(None, "", tag="x") == [3, 2] and ids(None, "", tag="X") == [3, 2] and ids(None, "", tag="y") == []
+    assert ids(None, "No. 21-00002") == [] and ids(None, "see 021-12") == [5] and ids(None, "21-12", filters={"source_key": "a"}) == []
+    assert ids(vec, "x", "semantic", [1.0, 0.0]) == [1, 3] and ids(vec, "fox", "hybrid", [1.0, 0.0])[0] == 1
+    assert ids(None, "", period="today", now=datetime(2020, 1, 3, 9)) == [3, 4]
+    page = search.search_page(docs, index, None, "", limit=2).summary("exact").first()
+    assert (page.ids, page["mode"], page.total, page.has_more, page.total_is_exact) == ([3, 4], "latest", 5, True, True)
+    page = search.search_page(docs, index, None, "", limit=2).summary().first()
+    assert (page.total, page.total_is_exact) == (3, False)
+    for bad in (dict(query="x", mode="semantic"), dict(query="x", mode="odd"), dict(query="", limit=0), dict(query="", offset=-1), dict(query="x" * 201)):
+        with pytest.raises(search.QueryError):
+            search.search_page(docs, index, vec, **bad)
     with pytest.raises(search.QueryError):
-        search.page(docs, ["doc_id"], 0)
+        search.has_encoded_tag(F.lit("x"), " ")
+
+
+def test_index_fields_and_phrases(shelf):
+    docs, index = shelf
+    ids = lambda q: sorted(r.id for r in index.matching(search.compile_query(q)).collect())
+    assert ids('"red dog"') == [2] and ids('"red red dog"') == [2] and ids("red dogs") == [2] and ids('"dog red"') == []
+    title = {r.id: r.score for r in index.bm25(["red"], {"title": 10.0, "search_text": 1.0}).collect()}
+    assert title[5] > title[2] and set(title) == {1, 2, 5}
+    assert index.frequencies(["red"], ["title"]) == {"red": 2} and index.frequencies(["red"], ["title", "search_text"]) == {"red": 3}
+
+
+def test_empty_index(spark):
+    docs = spark.createDataFrame([(1, None)], "id long, text string")
+    for df in (docs, docs.limit(0)):
+        index = search.Index.build(df, "id", {"text": F.col("text")})
+        assert index.bm25(["x"]).collect() == [] and index.matching(search.compile_query("x")).collect() == []
+
+
+def test_catalogue_cursor(spark):
+    rows = [(i, float(i // 3), f"2020-01-0{1 + i % 2}") for i in range(9)]
+    df = spark.createDataFrame(rows, "id long, score double, date string").withColumn("date", F.col("date").cast("date"))
+    mark, cursor, seen = search.request_fingerprint(" Query ", "v"), None, []
+    while True:
+        page, cursor = search.catalogue_page(df, cursor, mark, 4)
+        seen += [r.id for r in page.orderBy(F.desc("score"), F.desc("date"), "id").collect()]
+        if cursor is None:
+            break
+    assert seen == [i for i, *_ in sorted(rows, key=lambda r: (-r[1], r[2] != "2020-01-02", r[0]))]
+    assert mark == search.request_fingerprint("query", "v") != search.request_fingerprint("query", "w")
+    assert search.fnv1a64("") == "cbf29ce484222325" and search.fnv1a64("a") == "af63dc4c8601ec8c"
+
+
+def test_rerank_keeps_ties_in_place(spark):
+    df = spark.createDataFrame([(0, "b"), (1, "a"), (2, "b")], "place long, t string")
+    assert [r.place for r in search.rerank(df, F.when(F.col("t") == "a", 1).otherwise(0), "place").collect()] == [1, 0, 2]
 
 
 def test_cursor():
@@ -50,14 +103,16 @@ def test_range_thresholds():
 def test_text_functions(spark):
     rows = [("HTTP://Ex.org/A/?utm_source=x&b=1#f", "a@b.co call +49 30 1234567 password=abc", "3. ")]
     got = spark.createDataFrame(rows, "u string, t string, d string").select(text.canonical_url(F.col("u")), text.redact(F.col("t")), text.parse_date(F.lit("14.3.2020")), text.parse_date(F.lit("March 4, 2020")), text.parse_date(F.lit("x")), text.nfkc(F.lit("ﬁ")), text.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))).first()
-    assert got[0] == "http://ex.org/A/?b=1" and got[1] == "[email] call [phone] password=[secret]"
+    assert got[0] == "http://ex.org/A?b=1" and got[1] == "[email] call [phone] password=[secret]"
     assert str(got[2]) == "2020-03-14" and str(got[3]) == "2020-03-04" and got[4] is None and got[5] == "fi" and got[6] == 0.0
 
 
 def test_case_keys(spark):
-    got = spark.createDataFrame([("fr-conseil", "Décision 2020-0805 QPC"), ("us-scotus", "No. 21-00123"), ("es-tc", "none")], "s string, t string").select(cases.case_key(F.col("s"), F.col("t")).alias("k")).collect()
-    assert [r.k for r in got] == ["20-805 qpc", "21-123", None]
-    assert cases.exact_case("1 BvR 16/13") == ("de-bverfg", "1 BvR 16/13") and cases.exact_case("hello") is None
+    rows = [("fr-conseil-constitutionnel", "Décision 2020-0805 QPC", None), ("us-scotus", "No. 021-00123", None), ("es-tribunal-constitucional", "none", None), ("de-bverfg", "x", "https://e.org/rs20210324_1bvr265618.html"), ("de-bverfg", "1 BvR 007/2015", None), ("es-tribunal-constitucional", "STC 031/2010", None)]
+    got = spark.createDataFrame(rows, "s string, t string, u string").select(cases.case_key(F.col("s"), F.col("t"), None, F.col("u")).alias("k")).collect()
+    assert [r.k for r in got] == ["20200805qpc", "21123", None, "1bvr265618", "1bvr715", "312010"]
+    assert cases.exact_case("what of 1 BvR 16/13?") == ("de-bverfg", "1 BvR 16/13", "1bvr1613") and cases.exact_case("hello") is None
+    assert cases.exact_case("Neubauer 21-12") == ("de-bverfg", "1 BvR 2656/18", "1bvr265618")
 
 
 def test_reconcile(spark):

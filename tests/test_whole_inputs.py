@@ -17,6 +17,7 @@ def test_known_terms_are_all_used(spark, tmp_path):
 
 def test_titles_are_whole(spark, tmp_path):
     title = "The " + "long title " * 60
-    spark.createDataFrame([(1, title + "\nbody"), (2, "a title")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [(1, title + "\nbody", "en", "s"), (2, "a title", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     got = registry.QUERIES["nfkc_title_match"](spark, str(tmp_path)).collect()
-    assert [tuple(r) for r in got] == [(1, title.lower().strip())]
+    assert [tuple(r) for r in got] == [(1, title.lower().strip(), False)]
