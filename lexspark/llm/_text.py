@@ -210,12 +210,21 @@ def unused(df: DataFrame, stem: str = "_x") -> str:
     return stem
 
 
-def widened(df: DataFrame, more: str) -> StructType:
-    """The schema of df, all nullable, and the columns of a DDL string."""
-    out = StructType()
-    for f in [*df.schema.fields, *StructType.fromDDL(more).fields]:
-        out.add(f.name, f.dataType, True, f.metadata)
-    return out
+def mapped(df: DataFrame, run, more: str, inputs: int = 0) -> DataFrame:
+    """df with the columns of a DDL string, as ``run`` yields them: lists of arrays for batches whose
+    columns have names of our own (the text column's is "text"), so that the caller's may be any.
+    The last ``inputs`` columns of df are for ``run`` alone."""
+    names = ["text" if c.lower() == "text" else f"c{k}" for k, c in enumerate(df.columns)]
+    kept, made = len(names) - inputs, StructType.fromDDL(more).fields
+    schema = StructType()
+    for name, f in [*zip(names[:kept], df.schema.fields), *((f"r{k}", f) for k, f in enumerate(made))]:
+        schema.add(name, f.dataType, True, f.metadata)
+
+    def whole(batches):
+        for columns in run(batches):
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return df.toDF(*names).mapInArrow(whole, schema).toDF(*df.columns[:kept], *(f.name for f in made))
 
 
 def pack_sorted(x: np.ndarray) -> bytes:

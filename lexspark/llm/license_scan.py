@@ -191,12 +191,11 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, prefix:
     base = docs.select(*T.columns(docs, results))
     text_at = [c.lower() for c in base.columns].index("text")
     kind = pa.list_(pa.struct([("license", pa.string()), ("saved", pa.int32()), ("missing", pa.int32()), ("added", pa.int32())]))
-    schema = T.widened(base, f"`{results[0]}` long, `{results[1]}` array<struct<license:string,saved:int,missing:int,added:int>>")
 
     def run(batches):
         scanner = Scanner(templates)
         for batch in batches:
-            for part in T.slices(batch.rename_columns(["text" if k == text_at else f"c{k}" for k in range(batch.num_columns)])):
+            for part in T.slices(batch):
                 text = part.column(text_at).cast(pa.string()).fill_null("")
                 some = pc.match_substring_regex(text, TRIGGER).to_pylist()
                 n, found = [], []
@@ -204,6 +203,6 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, prefix:
                     blocks = scanner.blocks(text[row].as_py()) if hit else []
                     n.append(len(blocks))
                     found.append([x for b in blocks for x in scanner.scan(b)])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int64()), pa.array(found, kind)], names=schema.names)
+                yield [*part.columns, pa.array(n, pa.int64()), pa.array(found, kind)]
 
-    return base.mapInArrow(run, schema)
+    return T.mapped(base, run, f"`{results[0]}` long, `{results[1]}` array<struct<license:string,saved:int,missing:int,added:int>>")

@@ -216,13 +216,11 @@ def dedup(docs: DataFrame, n: int = WINDOW, keep_text: bool = False, prefix: str
     x = T.unused(base)
     found = T.materialize(matches(docs, n), "matches").select(F.col("doc_id").alias(f"{x}doc"), F.struct("fp", "source", "place").alias(f"{x}found"))
     joined = base.join(found, F.col("doc_id").cast("long") == F.col(f"{x}doc"), "left").select(*T.columns(base), f"{x}found")
-    schema = T.widened(base, f"`{results[0]}` long, `{results[1]}` long, `{results[2]}` string, `{results[3]}` array<struct<start:long,end:long,source:long,source_start:long>>")
     text_at = [c.lower() for c in base.columns].index("text")
 
     def run(batches):
         kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "end", "source", "source_start")]))
         for batch in batches:
-            batch = batch.rename_columns(["text" if k == text_at else f"c{k}" for k in range(batch.num_columns)])
             for part in T.slices(batch):
                 flags = part.column(part.num_columns - 1).to_pylist()
                 texts = part.column(text_at).cast(pa.string()).fill_null("").to_pylist()
@@ -253,6 +251,7 @@ def dedup(docs: DataFrame, n: int = WINDOW, keep_text: bool = False, prefix: str
                 if keep_text:
                     cols[text_at] = pa.array([o if g or t is not None else None for o, g, t in zip(out, gone, cols[text_at].to_pylist())], cols[text_at].type)
                 cols += [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, kind)]
-                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+                yield cols
 
-    return joined.mapInArrow(run, schema)
+    made = f"`{results[0]}` long, `{results[1]}` long, `{results[2]}` string, `{results[3]}` array<struct<start:long,end:long,source:long,source_start:long>>"
+    return T.mapped(joined, run, made, inputs=1)

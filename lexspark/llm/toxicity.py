@@ -182,14 +182,13 @@ def score(docs: DataFrame, machine: Machine, prefix: str = "") -> DataFrame:
     T.lean(docs.sparkSession)
     base = docs.select(*T.columns(docs, results))
     text_at = [c.lower() for c in base.columns].index("text")
-    schema = T.widened(base, f"`{results[0]}` double, `{results[1]}` int")
     model = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches):
         m = model.value
         for batch in batches:
-            for part in T.slices(batch.rename_columns(["text" if k == text_at else f"c{k}" for k in range(batch.num_columns)])):
+            for part in T.slices(batch):
                 s = m.score(*_terms(part.column(text_at)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=schema.names)
+                yield [*part.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
 
-    return base.mapInArrow(run, schema)
+    return T.mapped(base, run, f"`{results[0]}` double, `{results[1]}` int")
