@@ -206,9 +206,14 @@ def round_robin(documents):
     return analytics.round_robin(documents.select("doc_id", "source", "n_chars"), "source", [F.desc("n_chars"), F.asc("doc_id")], 100).select("doc_id", "source", "turn")
 
 
-@query("pages")
+@query(
+    "pages",
+    sql="""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="[^"#]*">[^<]*</a>')) AS a, unnest(range(1, len(regexp_extract_all(html, '<a href="[^"#]*">[^<]*</a>')) + 1)) AS i FROM pages),
+h AS (SELECT page_id, regexp_extract(url, '^https?://[^/]*') || regexp_extract(a, 'href="([^"]*)"', 1) AS href, trim(regexp_extract(a, '>([^<]*)<', 1)) AS anchor, i FROM l)
+SELECT page_id, href, arg_min(anchor, i) AS anchor FROM h GROUP BY 1, 2""",
+)
 def html_links(pages):
-    return web.links(pages)
+    return web.links(pages).select("page_id", "href", "anchor")
 
 
 @query("pages")

@@ -6,11 +6,13 @@ batches, and everything after the parse is columns."""
 from __future__ import annotations
 
 import re
+from functools import reduce
 from html.parser import HTMLParser
+from operator import or_
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SKIPPED = {"script", "style", "noscript", "template", "nav", "header", "footer", "aside", "form"}
@@ -21,7 +23,6 @@ MIN_TEXT = 200
 class _Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.links, self.open_link = [], None
         self.text, self.inside, self.title, self.in_title, self.skipped = [], {"article": [], "main": []}, [], False, 0
         self.depth = {"article": 0, "main": 0}
 
@@ -34,9 +35,6 @@ class _Page(HTMLParser):
             self._add("\n")
         if tag == "title":
             self.in_title = True
-        if tag == "a":
-            href = dict(attrs).get("href")
-            self.open_link = [href, []] if href else None
 
     def handle_endtag(self, tag):
         if tag in SKIPPED:
@@ -47,9 +45,6 @@ class _Page(HTMLParser):
             self._add("\n")
         if tag == "title":
             self.in_title = False
-        if tag == "a" and self.open_link:
-            self.links.append((self.open_link[0], " ".join("".join(self.open_link[1]).split())))
-            self.open_link = None
 
     def _add(self, s):
         if not self.skipped:
@@ -62,8 +57,6 @@ class _Page(HTMLParser):
         if self.in_title:
             self.title.append(data)
             return
-        if self.open_link is not None:
-            self.open_link[1].append(data)
         self._add(data)
 
 
@@ -95,33 +88,171 @@ def readable(pages: DataFrame, key: str = "page_id", html: str = "html") -> Data
     return pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInPandas(run, f"key {kind}, title string, text string").withColumnRenamed("key", key)
 
 
-def links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """key, href (absolute), anchor: a row per distinct link of a page, the first anchor text."""
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
+class _Tree(HTMLParser):
+    """Open elements as a stack of [tag, classes, id, text, links]; links with what selects them."""
+
+    def __init__(self, selectors: list[list[tuple]]):
+        super().__init__(convert_charrefs=True)
+        self.selectors, self.stack, self.links = selectors, [["", set(), None, [], []]], []
+        self.meta, self.times, self.headings = {}, [], []
+
+    def handle_starttag(self, tag, attrs):
+        a = {k: v or "" for k, v in attrs}
+        if tag == "meta":
+            self.meta.setdefault(a.get("property") or a.get("name") or "", a.get("content", ""))
+        if tag in VOID:
+            return
+        self.stack.append([tag, set(a.get("class", "").split()), a.get("id"), [], []])
+        if tag == "a" and a.get("href"):
+            place = [k for k, chain in enumerate(self.selectors) if self._fits(chain)]
+            if place or not self.selectors:
+                self.links.append({"order": place[0] if place else 0, "href": a["href"], "title": a.get("title") or a.get("aria-label") or "", "text": "", "near": ""})
+                self.stack[-2][4].append(self.links[-1])
+                self.stack[-1].append(self.links[-1])
+        if tag == "time":
+            self.times.append([a.get("datetime", ""), ""])
+        if tag == "h1":
+            self.headings.append([" ".join(a.get("class", "").split()), ""])
+
+    def _fits(self, chain) -> bool:
+        """Whether the elements that are open hold the chain, in order, the innermost in or above the link."""
+        at = len(chain) - 1
+        for tag, classes, name, *_ in reversed(self.stack):
+            want_tag, want_classes, want_id = chain[at]
+            if (not want_tag or want_tag == tag) and want_classes <= classes and (want_id is None or want_id == name):
+                at -= 1
+                if at < 0:
+                    return True
+        return False
+
+    def handle_endtag(self, tag):
+        if not any(e[0] == tag for e in self.stack[1:]):
+            return
+        while True:
+            done = self.stack.pop()
+            text = "".join(done[3])
+            for link in done[4]:
+                link["near"] = " ".join(text.split())
+            if len(done) > 5:
+                done[5]["text"] = " ".join(text.split())
+            if done[0] == "time":
+                self.times[-1][1] = " ".join(text.split())
+            if done[0] == "h1":
+                self.headings[-1][1] = " ".join(text.split())
+            if done[0] not in ("script", "style"):
+                self.stack[-1][3].append(text)
+            if done[0] == tag:
+                return
+
+    def handle_data(self, data):
+        self.stack[-1][3].append(data)
+
+
+def _selector(text: str) -> list[tuple]:
+    """A descendant selector of tags, classes and ids: ``ul.list li a``."""
+    return [((re.match(r"[\w-]*", x).group(0) or None), set(re.findall(r"\.([\w-]+)", x)), next(iter(re.findall(r"#([\w-]+)", x)), None)) for x in text.split()]
+
+
+def _tree(html: str, selectors: list[str]) -> _Tree:
+    p = _Tree([_selector(x) for x in selectors])
+    p.feed(html or "")
+    p.close()
+    while len(p.stack) > 1:
+        p.handle_endtag(p.stack[-1][0])
+    return p
+
+
+def links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", selectors: list[str] | None = None) -> DataFrame:
+    """key, href (absolute), anchor, near: a row per distinct link of a page, in order of the selectors and
+    of the page; the anchor is the link's text, or else its title or label; near is its parent's text."""
 
     def run(batches):
         for pdf in batches:
             rows = []
             for k, u, h in zip(pdf["key"], pdf["url"], pdf["html"]):
                 seen = {}
-                for href, anchor in _parse(h).links:
-                    if not href.startswith(("#", "javascript:", "mailto:")):
-                        seen.setdefault(urljoin(u or "", href).split("#")[0], anchor)
-                rows += [(k, a, b) for a, b in seen.items()]
-            yield pd.DataFrame(rows, columns=["key", "href", "anchor"])
+                for x in sorted(_tree(h, selectors or []).links, key=lambda x: x["order"]):
+                    if not x["href"].startswith(("#", "javascript:", "mailto:")):
+                        seen.setdefault(urljoin(u or "", x["href"]).split("#")[0], (x["text"] or x["title"].strip(), x["near"]))
+                rows += [(k, a, *b) for a, b in seen.items()]
+            yield pd.DataFrame(rows, columns=["key", "href", "anchor", "near"])
 
     kind = pages.schema[key].dataType.simpleString()
-    return pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(run, f"key {kind}, href string, anchor string").withColumnRenamed("key", key)
+    return pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(run, f"key {kind}, href string, anchor string, near string").withColumnRenamed("key", key)
+
+
+# How pages write dates, decisions, cases and panels.
+DAY = r"\b\d{1,2}\.\d{1,2}\.\d{4}\b"
+LONG_DAY = r"(?iu)\b\d{1,2}(?:er|\.)?\s+(?:janvier|fevrier|février|mars|avril|mai|juin|juillet|aout|août|septembre|octobre|novembre|decembre|décembre|januar|februar|marz|märz|april|juni|juli|august|september|oktober|dezember)\s+\d{4}\b"
+DECISION = r"(?iu)\b(?:Décision|Decision)\s+n[°o]\s*[0-9]{4}-[0-9]+\s*(?:QPC|DC|AN|SEN)?\b"
+CASE = r"(?iu)\b(?:Az\.?|Case|Docket|Aktenzeichen)\s*[:：]?\s*[-A-Za-z0-9./ ]{3,40}\b"
+SENATE, CHAMBER = r"(?i)\b(?:Erster|Zweiter)\s+Senat\b", r"(?i)\b\d+\.\s+Kammer\b"
+
+
+def metadata(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, title, description, published, decision_number, case_number, senate: what a page says of a
+    decision. The parser gives headings, properties, times and text; the rest is columns."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for k, h in zip(pdf["key"], pdf["html"]):
+                t = _tree(h, [])
+                shown = [x for c, x in t.headings if x and "title" in c.split()] or [x for c, x in t.headings if x and not re.search("search|visually-hidden|sr-only", c, re.I)]
+                rows.append((k, shown[0] if shown else None, t.meta.get("og:title") or None, _tidy(_parse(h).title) or None, t.meta.get("description") or t.meta.get("og:description") or None, next((a or b for a, b in t.times if a or b), None), " ".join("".join(t.stack[0][3]).split())))
+            yield pd.DataFrame(rows, columns=["key", "shown", "og", "page", "description", "time", "text"])
+
+    kind = pages.schema[key].dataType.simpleString()
+    raw = pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInPandas(run, f"key {kind}, shown string, og string, page string, description string, time string, text string")
+    said = lambda c, pattern: F.nullif(F.regexp_extract(c, pattern, 0), F.lit(""))
+    title = F.coalesce("shown", "og", "page")
+    dated = F.concat_ws(" ", title, "og", "page", "text")
+    return raw.select(F.col("key").alias(key), title.alias("title"), F.trim("description").alias("description"), F.coalesce("time", said(dated, DAY), said(dated, LONG_DAY)).alias("published"), said(F.col("text"), DECISION).alias("decision_number"), said(F.col("text"), CASE).alias("case_number"), F.coalesce(said(F.col("text"), SENATE), said(F.col("text"), CHAMBER)).alias("senate"))
 
 
 def sitemap_urls(xml: Column) -> Column:
     return F.expr("xpath({0}, '//*[local-name()=\"loc\"]/text()')".format(_name(xml)))
 
 
+def sitemap_walk(start: DataFrame, fetched: DataFrame, words: list[str], depth: int = 2, nested: int = 20, most: int = 200) -> DataFrame:
+    """url of the pages that sitemaps name: those of a sitemap that names others are read in its place (the
+    first 20 of each, two levels deep), and URLs that hold none of the words (if any) are left out.
+
+    start: url of sitemaps; fetched: url, xml of what the crawler has. One join for each level."""
+    level, out = start.select("url").distinct(), None
+    for k in range(depth + 1):
+        locs = level.join(fetched, "url").select(F.col("url").alias("map"), F.posexplode(sitemap_urls(F.col("xml"))).alias("at", "loc")).select("map", "at", F.trim("loc").alias("loc"))
+        inner = F.col("loc").endswith(".xml")
+        index = locs.where(inner).select("map").distinct()
+        pages = locs.where(~inner) if k == depth else locs.join(index, "map", "left_anti")
+        pages = pages.select("loc") if k < depth else locs.select("loc")
+        out = pages if out is None else out.unionByName(pages)
+        if k < depth:
+            first = locs.where(inner).withColumn("n", F.row_number().over(Window.partitionBy("map").orderBy("at")))
+            level = first.where(F.col("n") <= nested).select(F.col("loc").alias("url")).distinct()
+    hit = reduce(or_, (F.lower("loc").contains(w.lower()) for w in words), F.lit(not words))
+    return out.where(hit).select(F.col("loc").alias("url")).distinct().orderBy("url").limit(most)
+
+
 def feed_links(xml: Column) -> Column:
     """Links of RSS items and Atom entries."""
     return F.expr("concat(xpath({0}, '//item/link/text()'), xpath({0}, '//*[local-name()=\"entry\"]/*[local-name()=\"link\"]/@href'))".format(_name(xml)))
 
 
+def json_feed_links(feed: Column) -> Column:
+    """Links of a JSON feed: array<struct<url,title,published>> of the objects in its list, or in the lists
+    of its object; those without a URL are left out."""
+    item = "array<struct<url:string,link:string,href:string,title:string,name:string,date:string,publishedAt:string,pubDate:string>>"
+    listed = F.when(F.trim(feed).startswith("["), F.from_json(feed, item))
+    held = F.flatten(F.transform(F.filter(F.map_values(F.from_json(feed, "map<string,string>")), lambda v: F.trim(v).startswith("[")), lambda v: F.from_json(v, item)))
+    items = F.coalesce(listed, held, F.array().cast(item))
+    made = F.transform(items, lambda i: F.struct(F.coalesce(i["url"], i["link"], i["href"]).alias("url"), F.trim(F.coalesce(i["title"], i["name"], F.lit(""))).alias("title"), F.coalesce(i["date"], i["publishedAt"], i["pubDate"]).alias("published")))
+    return F.filter(made, lambda i: F.coalesce(i["url"] != "", F.lit(False)))
+
+
 def _name(c: Column) -> str:
     return c._jc.toString() if hasattr(c, "_jc") else str(c)
 
@@ -146,6 +277,24 @@ def robots_rules(text: str, agent: str = "*") -> list[tuple[bool, str]]:
     return groups.get(agent.lower(), groups.get("*", []))
 
 
+def crawl_delay(text: str, agent: str = "*") -> float | None:
+    """Seconds between requests that the group of an agent, else of *, asks for."""
+    groups: dict[str, float] = {}
+    names, in_rules = [], False
+    for line in text.splitlines():
+        k, _, v = (x.strip() for x in line.split("#")[0].partition(":"))
+        k = k.lower()
+        if k == "user-agent":
+            names = [v.lower()] if in_rules or not names else [*names, v.lower()]
+            in_rules = False
+        elif k:
+            in_rules = True
+            if k == "crawl-delay" and re.fullmatch(r"\d+(\.\d+)?", v):
+                for n in names:
+                    groups.setdefault(n, float(v))
+    return groups.get(agent.lower(), groups.get("*"))
+
+
 def robots_allowed(path: Column, rules: list[tuple[bool, str]]) -> Column:
     """The longest matching rule decides, allow before disallow; none allows."""
     out = F.lit(True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -15,18 +15,27 @@ STAGES = ("discovery", "crawl", "normalize", "translate", "judge", "publish", "s
 def rate_limit(events: DataFrame, key: str, ts: str, order: str, seconds: int, limit: int) -> DataFrame:
     """Fixed windows that open at a key's first hit: adds window_start, n (in the window) and allowed.
 
-    A window's start depends on the one before, which built-in windows cannot say; a key's
-    events are streamed through sorted partitions, with one window of state at a time."""
-    rows = events.select(key, order, F.col(ts).alias("ts")).repartition(key).sortWithinPartitions(key, "ts", order)
+    A window's start depends on the one before, which built-in windows cannot say; but where a key has
+    no hit for at least a window's length, the next hit opens one whatever came before. Keys are cut at
+    such gaps (found with one range window of built-in functions), and the pieces, not the keys, are
+    streamed through sorted partitions, with one window of state at a time. Only a key that never
+    pauses is one piece."""
+    events = events.withColumn("ts_", F.col(ts))
+    line = Window.partitionBy(key).orderBy("ts_", order)
+    gap = F.unix_micros(F.col("ts_").cast("timestamp")) - F.unix_micros(F.lag("ts_").over(line).cast("timestamp"))
+    cut = F.when(gap.isNull() | (gap >= seconds * 1_000_000), 1).otherwise(0)
+    pieces = events.select(key, order, "ts_", cut.alias("cut"))
+    pieces = pieces.select(key, order, F.col("ts_").alias("ts"), F.sum("cut").over(line).alias("piece"))
+    rows = pieces.repartition(key, "piece").sortWithinPartitions(key, "piece", "ts", order)
     span = pd.Timedelta(seconds=seconds)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, start, n = None, None, 0
         for pdf in batches:
             starts, counts = [], []
-            for k, t in zip(pdf[key], pdf["ts"]):
-                if k != last or t >= start + span:
-                    last, start, n = k, t, 0
+            for k, piece, t in zip(pdf[key], pdf["piece"], pdf["ts"]):
+                if (k, piece) != last or t >= start + span:
+                    last, start, n = (k, piece), t, 0
                 n += 1
                 starts.append(start)
                 counts.append(n)
