@@ -255,13 +255,21 @@ def snapshot_ratios(orders):
     return quality.snapshot_ratios(orders, ["o_custkey"], {"done": done, "pending": F.col("o_orderstatus") == "P", "large": done & (F.col("o_totalprice") > 100000)}, {"completion": ("done", "total"), "coverage": ("large", "done")})
 
 
-@query("events")
+@query("events", sql="SELECT user_id, count(*) AS entries, count(*) FILTER (WHERE event_id % 97 = 0) AS broken FROM events GROUP BY 1")
 def hash_chain_verify(events):
+    """A ledger in which some entries were forged after it was chained: those, and no others, are found."""
     payload = F.concat_ws("|", F.col("event_id").cast("string"), F.col("event_type"), F.col("props"))
-    return reconcile.verify_chain(reconcile.chain(events, "user_id", "event_id", payload), "user_id", "event_id")
+    ledger = reconcile.chain(events, "user_id", "event_id", payload)
+    forged = ledger.withColumn("payload", F.when(F.col("event_id") % 97 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
+    return reconcile.verify_chain(forged, "user_id", "event_id")
 
 
-@query("events")
+@query(
+    "events",
+    sql="""WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT *, ts AS s, 1 AS n FROM e WHERE i = 1 UNION ALL SELECT e.*, CASE WHEN e.ts >= r.s + INTERVAL 1 HOUR THEN e.ts ELSE r.s END, CASE WHEN e.ts >= r.s + INTERVAL 1 HOUR THEN 1 ELSE r.n + 1 END FROM r JOIN e ON e.user_id IS NOT DISTINCT FROM r.user_id AND e.i = r.i + 1)
+SELECT user_id, event_id, s AS window_start, CAST(n AS BIGINT) AS n, n <= 3 AS allowed FROM r""",
+)
 def rate_limit_fixed_window(events):
     return jobs.rate_limit(events, "user_id", "ts", "event_id", 3600, 3)
 
