@@ -108,16 +108,25 @@ def _minus(places: Column, k: int) -> Column:
     return F.transform(places, lambda x: x - k)
 
 
+def _marked(places: Column, term: int) -> Column:
+    return F.transform(places, lambda x: F.struct(x.alias("p"), F.lit(term).alias("t")))
+
+
 def _covers(places: list[Column], weight: float) -> Column:
-    """Sum of weight / length over the shortest stretches that hold a place of each list."""
-    ends = F.array_sort(F.array_distinct(F.concat(*places)))
-    # for each place as the end of a stretch, the earliest of the latest places of all words up to it
-    latest = lambda p, e: F.coalesce(F.array_max(F.filter(p, lambda x: x <= e)), F.lit(-1))
-    start = lambda e: F.least(*(latest(p, e) for p in places)) if len(places) > 1 else latest(places[0], e)
-    begin = F.transform(ends, lambda e: F.struct(start(e).alias("a"), e.alias("b")))
-    # a stretch that begins where the one before it does is longer, and no shortest one
-    shortest = F.filter(begin, lambda c, i: (c["a"] >= 0) & ((i == 0) | (F.get(begin, i - 1)["a"] < c["a"])))
-    return F.aggregate(shortest, F.lit(0.0), lambda s, c: s + F.lit(weight) / (c["b"] - c["a"] + 1))
+    """Sum of weight / length over the shortest stretches that hold a place of each list: one pass over
+    all places in order, with each word's last place so far."""
+    n = len(places)
+    marks = F.array_sort(F.concat(*(_marked(p, k) for k, p in enumerate(places))))
+    zero = F.struct(*(F.lit(-1).alias(f"l{k}") for k in range(n)), F.lit(-1).alias("before"), F.lit(0.0).alias("total"))
+
+    def step(s, x):
+        last = [F.when(x["t"] == k, x["p"]).otherwise(s[f"l{k}"]) for k in range(n)]
+        start = F.least(*last) if n > 1 else last[0]
+        # a stretch that begins where an earlier one did is longer, and no shortest one
+        got = F.when(start > s["before"], F.lit(weight) / (x["p"] - start + 1)).otherwise(0.0)
+        return F.struct(*(c.alias(f"l{k}") for k, c in enumerate(last)), F.greatest(start, s["before"]).alias("before"), (s["total"] + got).alias("total"))
+
+    return F.aggregate(marks, zero, step, lambda s: s["total"])
 
 
 class Index:
