@@ -69,33 +69,85 @@ def canonical_url(c: Column) -> Column:
     return F.when(bare.rlike(pattern), F.concat(head, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))).otherwise(bare)
 
 
-def redact(c: Column) -> Column:
-    """E-mail addresses, URLs, identifiers and long digit runs replaced by a mark."""
-    out = F.regexp_replace(c, "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}", "[email]")
-    out = F.regexp_replace(out, "https?://[^\\s]+", "[url]")
-    out = F.regexp_replace(out, "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "[uuid]")
-    out = F.regexp_replace(out, "(?i)bearer +[a-z0-9._-]+", "[token]")
-    out = F.regexp_replace(out, "(?i)(password|secret|api[_-]?key)=[^\\s]+", "$1=[secret]")
-    return F.regexp_replace(out, "[+]?[0-9][0-9 ()-]{7,}[0-9]", "[phone]")
+# What is taken out of search queries, and secrets that are taken out of logs.
+QUERY_MARKS = (
+    (r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "[email]"),
+    (r"(?i)\b(?:https?:\/\/|www\.)\S+", "[url]"),
+    (r"(?:\+?\d{1,3}[\s.-]?)?(?:0\d{1,2}|\(?\d{2,3}\)?)[\s.-]\d{3,4}[\s.-]\d{4}\b", "[number]"),
+    (r"(?i)\b[0-9a-f]{8}-[0-9a-f-]{27,}\b", "[identifier]"),
+)
+SECRET_MARKS = (
+    (r"sk-(?:proj-)?[A-Za-z0-9_-]{8,}", "[redacted]"),
+    (r"AIza[0-9A-Za-z_-]{20,}", "[redacted]"),
+    (r"(?i)(Bearer\s+)[A-Za-z0-9._~+/-]{16,}", "$1[redacted]"),
+    (r"(?i)([?&](?:secret|token|key|api_key)=)[^&\s]+", "$1[redacted]"),
+    (r"(?i)((?:api[_-]?key|token|secret|password)\s*[:=]\s*)[^\s,;]+", "$1[redacted]"),
+)
+
+
+def redact_query(c: Column, most: int | None = 120) -> Column:
+    """A search query as it is counted: lower case, single blanks, no addresses, URLs, numbers of people or
+    identifiers, at most so many characters; null where nothing is left."""
+    out = F.lower(F.regexp_replace(c, "\\s+", " "))
+    for pattern, mark in QUERY_MARKS:
+        out = F.regexp_replace(out, pattern, mark)
+    out = F.nullif(F.trim(out), F.lit(""))
+    return out if most is None else F.substring(out, 1, most)
+
+
+def redact_secrets(c: Column) -> Column:
+    """A log message without keys and passwords."""
+    out = c
+    for pattern, mark in SECRET_MARKS:
+        out = F.regexp_replace(out, pattern, mark)
+    return out
 
 
 def device(agent: Column) -> Column:
-    a = F.lower(F.coalesce(agent, F.lit("")))
-    return F.when(a.rlike("bot|crawl|spider"), "bot").when(a.rlike("ipad|tablet"), "tablet").when(a.rlike("mobi|iphone|android"), "mobile").when(a == "", "unknown").otherwise("desktop")
+    """tablet, mobile or desktop; null without an agent."""
+    return F.when(agent.rlike("(?i)ipad|tablet"), "tablet").when(agent.rlike("(?i)mobile|iphone|ipod|android"), "mobile").when(agent != "", "desktop")
+
+
+def agent_family(agent: Column) -> Column:
+    """The browser's family, Server or Other; null without an agent."""
+    safari = agent.rlike("(?i)safari") & ~agent.rlike("(?i)chrome|crios|android")
+    return F.when(agent.rlike("(?i)edg\\/"), "Edge").when(agent.rlike("(?i)chrome|crios"), "Chrome").when(agent.rlike("(?i)firefox|fxios"), "Firefox").when(safari, "Safari").when(agent.rlike("(?i)node|undici"), "Server").when(agent != "", "Other")
 
 
 def client_hash(address: Column, day: Column, salt: str) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(salt), day.cast("string"), address), 256)
 
 
+# Months as German, French and Spanish pages write them.
+MONTHS = {
+    "janvier": 1, "fevrier": 2, "février": 2, "mars": 3, "avril": 4, "mai": 5, "juin": 6, "juillet": 7, "aout": 8, "août": 8, "septembre": 9, "octobre": 10, "novembre": 11, "decembre": 12, "décembre": 12,
+    "januar": 1, "februar": 2, "marz": 3, "märz": 3, "april": 4, "juni": 6, "juli": 7, "august": 8, "september": 9, "oktober": 10, "november": 11, "dezember": 12,
+}
+SPANISH_MONTHS = {"enero": 1, "febrero": 2, "marzo": 3, "abril": 4, "mayo": 5, "junio": 6, "julio": 7, "agosto": 8, "septiembre": 9, "setiembre": 9, "octubre": 10, "noviembre": 11, "diciembre": 12}
+
+
+def _month(names: dict[str, int], name: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), name)
+
+
+def _day(year: Column, month: Column, day: Column) -> Column:
+    text = F.concat_ws("-", year.cast("string"), month.cast("string"), day.cast("string"))
+    return F.when(year.isNotNull() & month.isNotNull() & day.isNotNull(), F.try_to_timestamp(text, F.lit("y-M-d"))).cast("date")
+
+
 def parse_date(c: Column) -> Column:
-    """ISO, dd.MM.yyyy, M/d/yy(yy), 'MMMM d, yyyy' and bare years; null where none fits."""
+    """ISO, dd.MM.yyyy, German and French long dates, M/d/yy(yy), 'MMMM d, yyyy' and bare years; null
+    where none fits."""
+    c = F.regexp_replace(F.trim(c), "\\s+", " ")
     one = lambda fmt: F.try_to_timestamp(c, F.lit(fmt))
     shaped = lambda pattern, fmt: F.when(c.rlike(pattern), one(fmt))
+    long = lambda i: F.regexp_extract(F.lower(c), "^(\\d{1,2})(?:er|\\.)?\\s+([a-zäöüéûôîïçàèù]+)\\s+(\\d{4})$", i)
+    localized = _day(F.nullif(long(3), F.lit("")), _month(MONTHS, long(2)), F.nullif(long(1), F.lit("")))
     return F.coalesce(
         shaped("^\\d{4}-\\d{2}-\\d{2}$", "yyyy-MM-dd"),
         F.when(c.rlike("^\\d{4}-\\d{2}-\\d{2}T"), F.try_to_timestamp(c)),
         shaped("^\\d{1,2}\\.\\d{1,2}\\.\\d{4}$", "d.M.yyyy"),
+        localized.cast("timestamp"),
         shaped("^\\d{1,2}/\\d{1,2}/\\d{4}$", "M/d/yyyy"),
         shaped("^\\d{1,2}/\\d{1,2}/\\d{2}$", "M/d/yy"),
         shaped("^[A-Za-z]+ \\d{1,2}, \\d{4}$", "MMMM d, yyyy"),
@@ -103,6 +155,28 @@ def parse_date(c: Column) -> Column:
     ).cast("date")
 
 
+def parse_spanish_date(c: Column, year: Column | None = None) -> Column:
+    """A date within a Spanish title (de 3 de marzo de 2021), the year given where the title has none."""
+    plain = F.translate(F.lower(F.regexp_replace(c, "\\s+", " ")), "áéíóúüñ", "aeiouun")
+    part = lambda i: F.nullif(F.regexp_extract(plain, "(?:^|\\b)de\\s+(\\d{1,2})\\s+de\\s+([a-z]+)(?:\\s+de\\s+(\\d{4}))?", i), F.lit(""))
+    when = F.coalesce(part(3).cast("int"), year if year is not None else F.lit(None).cast("int"))
+    return F.when(when >= 1900, _day(when, _month(SPANISH_MONTHS, part(2)), part(1)))
+
+
+def embedding_text(summary: Column) -> Column:
+    """What is embedded of a summary (see rules.SUMMARY): title, core, background, implications, tags and
+    entities by type, a line each."""
+    said = F.transform(summary["entities"], lambda e: F.concat(e["type"], F.lit(": "), e["normalizedName"]))
+    return F.array_join(F.concat(F.array(summary["koreanTitle"]), summary["summary"]["coreSummary"], F.array(summary["summary"]["background"], summary["summary"]["implications"]), summary["tags"], said), "\n")
+
+
+def article_slug(jurisdiction: Column, source: Column, day: Column, title: Column, url: Column) -> Column:
+    """A readable and unique part of a URL: place, source, day, title (80 characters) and the URL's hash."""
+    filled = lambda c: F.when(c != "", c)
+    short = F.substring(slugify(title), 1, 80)
+    return F.concat_ws("-", filled(slugify(jurisdiction)), filled(slugify(source)), F.date_format(day, "yyyy-MM-dd"), filled(short), F.substring(F.sha2(F.trim(url), 256), 1, 6))
+
+
 def kst_day(ts: Column) -> Column:
     """Calendar day in Seoul of a UTC timestamp without zone."""
     return F.date_format(ts + F.expr("interval 9 hours"), "yyyy-MM-dd")

@@ -99,14 +99,41 @@ def service_level(value: Column, warning: float, critical: float) -> Column:
     return F.when(value.isNull(), "unknown").when(value >= critical, "critical").when(value >= warning, "warning").otherwise("ok")
 
 
-def work_state(*, claimed_until: Column, now: Column, attempts: Column, cap: int, error: Column, due: Column) -> Column:
-    return F.when(claimed_until > now, "claimed").when(attempts >= cap, "failed").when(error.isNotNull() & (due > now), "retry_wait").when(error.isNotNull(), "retry").otherwise("idle")
+# Statuses that end an item's way.
+DONE = ("published", "excluded", "duplicate", "withdrawn", "waived_failure")
 
 
-def retry_delay(kind: Column, attempts: Column) -> Column:
-    """Seconds: by kind of error, doubled per attempt, at most a day."""
-    base = F.when(kind == "rate_limited", 900).when(kind == "timeout", 120).when(kind == "blocked", 21600).otherwise(300)
-    return F.least(F.lit(86400.0), base * F.pow(F.lit(2.0), F.greatest(attempts - 1, F.lit(0)))).cast("long")
+def _differs(a: Column, b: Column) -> Column:
+    return ~a.eqNullSafe(b)
+
+
+def work_needs(*, fetched: Column, normalized: Column, normalized_from: Column, verified: Column, published: Column, status: Column) -> dict[str, Column]:
+    """Which of an item's artifacts are behind the one before: normalize, reverify, republish."""
+    return {
+        "normalize": fetched.isNotNull() & (normalized.isNull() | _differs(normalized_from, fetched)),
+        "reverify": normalized.isNotNull() & _differs(normalized, verified),
+        "republish": _yes(status == "published") & verified.isNotNull() & _differs(verified, published),
+    }
+
+
+def work_state(needs: dict[str, Column], *, attempt: Column, lease: Column, now: Column, status: Column, retry_phase: Column, next_attempt: Column) -> Column:
+    """What an item of a backfill waits for."""
+    waits = _yes(status == "retry_wait") | (retry_phase.isNotNull() & next_attempt.isNotNull())
+    return F.when(attempt.isNotNull() & _yes(lease > now), "claimed").when(waits, "retry_wait").when(needs["normalize"], "needs_normalize").when(needs["reverify"], "needs_reverify").when(needs["republish"], "needs_republish").when(_yes(status.isin("terminal_failure", "waived_failure")), "failed").otherwise("idle")
+
+
+def snapshot_status(items: DataFrame, snapshots: DataFrame, by: str) -> DataFrame:
+    """Counts and ratios of each snapshot's items: by, discovered, terminal, completion, coverage, counts of
+    work states, conformant, conformance.
+
+    items: by, status, work, behind (any need), current (parser and policy are the snapshot's);
+    snapshots: by, expected."""
+    done = F.col("status").isin(*DONE)
+    good = done & ~F.col("behind") & ((F.col("status") != "published") | _yes(F.col("current")))
+    n = items.groupBy(by).agg(F.count("*").alias("discovered"), F.count_if(done).alias("terminal"), *(F.count_if(F.col("work") == w).alias(w) for w in ("claimed", "retry_wait", "needs_normalize", "needs_reverify", "needs_republish", "failed")), F.count_if(good).alias("conformant"))
+    j = snapshots.join(n, by, "left").fillna(0, [c for c in n.columns if c != by])
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 6))
+    return j.withColumns({"completion": F.coalesce(ratio("terminal", "discovered"), F.lit(0.0)), "coverage": ratio("discovered", "expected"), "conformance": F.coalesce(ratio("conformant", "terminal"), F.lit(0.0))})
 
 
 def regression_guard(old: Column, new: Column) -> Column:

@@ -221,14 +221,21 @@ def readable_text(pages):
     return web.readable(pages)
 
 
-_REDACT = "text"
-for _pattern, _mark in (("[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}", "[email]"), ("https?://[^ \\t\\n\\r\\f\\v]+", "[url]"), ("[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "[uuid]"), ("(?i)bearer +[a-z0-9._-]+", "[token]"), ("(?i)(password|secret|api[_-]?key)=[^ \\t\\n\\r\\f\\v]+", "\\1=[secret]"), ("[+]?[0-9][0-9 ()-]{7,}[0-9]", "[phone]")):
-    _REDACT = f"regexp_replace({_REDACT}, '{_pattern}', '{_mark}', 'g')"
+def _marked(expr: str, marks) -> str:
+    for pattern, mark in marks:
+        expr = f"regexp_replace({expr}, '{pattern}', '{mark.replace('$1', chr(92) + '1')}', 'g')"
+    return expr
 
 
-@query("documents", sql=f"SELECT doc_id, sha256({_REDACT}) AS redacted FROM documents")
+@query(
+    "documents",
+    sql=f"SELECT doc_id, sha256(coalesce(nullif(trim({_marked("lower(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'))", text.QUERY_MARKS)}), ''), '')) AS query, sha256({_marked("text || ' api_key: abc, ?token=x Bearer abcdefghijklmnop0'", text.SECRET_MARKS)}) AS log FROM documents",
+)
 def pii_redact(documents):
-    return documents.select("doc_id", F.sha2(text.redact(F.col("text")).cast("binary"), 256).alias("redacted"))
+    """Whole texts as if they were queries and log messages."""
+    digest = lambda c: F.sha2(F.coalesce(c, F.lit("")).cast("binary"), 256)
+    log = F.concat("text", F.lit(" api_key: abc, ?token=x Bearer abcdefghijklmnop0"))
+    return documents.select("doc_id", digest(text.redact_query(F.col("text"), None)).alias("query"), digest(text.redact_secrets(log)).alias("log"))
 
 
 @query("conversations", sql="SELECT conv_id, turn, contains(lower(text), 'the') AS hit FROM conversations WHERE role = 'user'")

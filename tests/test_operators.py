@@ -101,9 +101,9 @@ def test_range_thresholds():
 
 
 def test_text_functions(spark):
-    rows = [("HTTP://Ex.org/A/?utm_source=x&b=1#f", "a@b.co call +49 30 1234567 password=abc", "3. ")]
-    got = spark.createDataFrame(rows, "u string, t string, d string").select(text.canonical_url(F.col("u")), text.redact(F.col("t")), text.parse_date(F.lit("14.3.2020")), text.parse_date(F.lit("March 4, 2020")), text.parse_date(F.lit("x")), text.nfkc(F.lit("ﬁ")), text.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))).first()
-    assert got[0] == "http://ex.org/A?b=1" and got[1] == "[email] call [phone] password=[secret]"
+    rows = [("HTTP://Ex.org/A/?utm_source=x&b=1#f", "a@B.co  call +49 030 1234 5678 www.x.org password=abc", "3. ")]
+    got = spark.createDataFrame(rows, "u string, t string, d string").select(text.canonical_url(F.col("u")), text.redact_query(F.col("t")), text.parse_date(F.lit("14.3.2020")), text.parse_date(F.lit("March 4, 2020")), text.parse_date(F.lit("x")), text.nfkc(F.lit("ﬁ")), text.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))).first()
+    assert got[0] == "http://ex.org/A?b=1" and got[1] == "[email] call [number] [url] password=abc"
     assert str(got[2]) == "2020-03-14" and str(got[3]) == "2020-03-04" and got[4] is None and got[5] == "fi" and got[6] == 0.0
 
 
@@ -163,5 +163,5 @@ def test_web(spark):
 
 
 def test_quality(spark):
-    got = spark.range(1).select(quality.service_level(F.lit(None).cast("double"), 1, 2).alias("a"), quality.service_level(F.lit(2.0), 1, 2).alias("b"), quality.retry_delay(F.lit("timeout"), F.lit(3)).alias("c")).first()
-    assert (got.a, got.b, got.c) == ("unknown", "critical", 480)
+    got = spark.range(1).select(quality.service_level(F.lit(None).cast("double"), 1, 2).alias("a"), quality.service_level(F.lit(2.0), 1, 2).alias("b"), text.redact_secrets(F.lit("Bearer abcdefghijklmnop1 password: x")).alias("c")).first()
+    assert (got.a, got.b, got.c) == ("unknown", "critical", "Bearer [redacted] password: [redacted]")
