@@ -17,7 +17,8 @@ A batch builds the part of the automaton that its texts can reach and traverses
 frequent word is named once by a batch, so no block is hot, and memory in a task is that of
 one batch or of one block, whose number grows with the corpus.
 
-n-grams are told apart by 64-bit hashes.  Null texts count as empty and have one token, the
+n-grams are told apart by hashes with GUARD_BITS bits more than the corpus's number of tokens
+needs (64 at most), so another n-gram has the same one with a chance of 2**-24 at most.  Null texts count as empty and have one token, the
 end.  A null doc_id is held out.  Repeated rows are scored (and, if in training, counted) each.
 A text longer than a batch is a batch of its own.  Empty tables give empty results; extra
 columns are ignored, whatever their names.
@@ -29,29 +30,32 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.llm import _text as T
 
-BATCH_WORDS = 1_000_000
-BLOCK_TOKENS = 4_000_000
+BATCH_WORDS = 600_000
+TASK_TOKENS = 8_000_000  # to a shuffle partition, of BLOCKS reference blocks
+BLOCKS = 2
+GUARD_BITS = 24
 PIECE = 256
 KAPPA = (50.0, 20.0)  # of contexts of one word and of two
 END, START = np.uint64(0x45_4E_44_5F_54_4F_4B), np.uint64(0x53_54_41_52_54_5F_54)
 
 
 def _batched(batches):
-    """Texts in rows of about BATCH_WORDS words: batch, ids, held, texts, tokens of training texts."""
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64()]
+    """Packed texts in rows of about BATCH_WORDS words: batch, ids, held, texts, tokens of training texts."""
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
     names = ["batch", "ids", "held", "texts", "tokens", "train_tokens", "train_texts"]
     ids, held, texts, size, seq = [], [], [], 0, TaskContext.get().partitionId() << 24
 
     def row():
         out = np.array(held, bool)
         n = np.array(counts, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((seq, ids, held, texts, int(n.sum()), int(n[~out].sum()), int((~out).sum())), kinds)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((seq, ids, held, _pack(texts), int(n.sum()), int(n[~out].sum()), int((~out).sum())), kinds)], names=names)
 
     counts: list[int] = []
     for batch in batches:
@@ -71,13 +75,27 @@ def _batched(batches):
         yield row()
 
 
+def _pack(texts: list[str]) -> bytes:
+    raw = [t.encode() for t in texts]
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(raw), *map(len, raw)], np.int64).tobytes() + b"".join(raw))
+
+
+def _unpack(data: bytes) -> pa.Array:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    offsets = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.int64, n, 8))]).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(raw).slice(8 * n + 8))
+
+
 class Tokens:
     """The tokens of a batch as hashes (each text's words, then the end), the two words before each,
-    and the hashes of the 2- and 3-grams that end there."""
+    and the hashes of the 2- and 3-grams that end there, all of so many bits."""
 
-    def __init__(self, texts: pa.Array):
-        h, first = T.scan(texts)
-        self.size = np.diff(first) + 1
+    def __init__(self, texts: pa.Array, bits: int):
+        # words are hashed a slice of texts at a time: that takes many times the slice's memory
+        parts = [T.scan(x.column(0)) for x in T.slices(pa.RecordBatch.from_arrays([texts], names=["text"]))]
+        h = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.uint64)
+        self.size = np.concatenate([np.diff(x) for _, x in parts]) + 1 if parts else np.zeros(0, np.int64)
         end = np.cumsum(self.size)
         self.w = np.full(int(end[-1]) if len(end) else 0, END)
         inner = np.ones(len(self.w), bool)
@@ -89,38 +107,39 @@ class Tokens:
         before[self.start] = START
         earlier = np.concatenate([[START], before[:-1]]) if len(self.w) else self.w
         earlier[self.start] = START
-        self.before, self.earlier = before, earlier
-        self.two = T.mix(self.w * T._BASE + before)
-        self.three = T.mix((self.two ^ np.uint64(3)) * T._BASE + earlier)
+        two = T.mix(self.w * T._BASE + before)
+        three = T.mix((two ^ np.uint64(3)) * T._BASE + earlier)
+        self.w, self.two, self.three = (x >> np.uint64(64 - bits) for x in (T.mix(self.w), two, three))
 
 
-def _block(h: np.ndarray, blocks: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+def _block(h: np.ndarray, bits: int, blocks: int) -> np.ndarray:
+    top = h >> np.uint64(bits - 32)
+    return (top * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
 
 
 def _narrow(x: np.ndarray) -> bytes:
     kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if k == np.uint64 or not len(x) or x.max() <= np.iinfo(k).max)
-    return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
+    return bytes([np.dtype(kind).itemsize]) + zstandard.ZstdCompressor(level=1).compress(x.astype(kind).tobytes())
 
 
 def _widen(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[x[0]], offset=1).astype(np.int64)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x[1:]), {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[x[0]]).astype(np.int64)
 
 
-def _named(blocks: int):
+def _named(bits: int, blocks: int):
     """A batch's distinct n-grams of each order by block, with their counts in its training texts."""
 
     def run(batches):
         for got in batches:
             for line in range(got.num_rows):
                 batch, held, texts = (got.column(k)[line] for k in range(3))
-                t = Tokens(texts.values)
+                t = Tokens(_unpack(texts.as_py()), bits)
                 train = ~np.array(held.as_py(), bool)[t.row]
                 rows = []
                 for order, h in enumerate((t.w, t.two, t.three), 1):
                     u, at = np.unique(h, return_inverse=True)
                     c = np.bincount(at, train, len(u)).astype(np.int64)
-                    edge = np.searchsorted(_block(u, blocks), np.arange(blocks + 1))
+                    edge = np.searchsorted(_block(u, bits, blocks), np.arange(blocks + 1))
                     rows += [(b, batch.as_py(), order, T.pack_sorted(u[i:j]), _narrow(c[i:j])) for b, (i, j) in enumerate(zip(edge[:-1], edge[1:])) if j > i]
                 kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["block", "batch", "n", "grams", "counts"])
@@ -229,12 +248,12 @@ def build(t: Tokens, counts: list[np.ndarray], texts: int, n: int, v: int, kappa
     return machine, word, before, pair_state[last], two, of2, p1, c1
 
 
-def _scored(n: int, v: int, texts: int, kappa):
+def _scored(bits: int, n: int, v: int, texts: int, kappa):
     def run(batches):
         for got in batches:
             for line in range(got.num_rows):
-                ids, held, text, answers = (got.column(k)[line].as_py() if k != 2 else got.column(k)[line] for k in range(4))
-                t = Tokens(text.values)
+                ids, held, texts_of, answers = (got.column(k)[line].as_py() for k in range(4))
+                t = Tokens(_unpack(texts_of), bits)
                 counts = [np.concatenate([_widen(a["counts"]) for a in sorted((a for a in answers if a["n"] == k), key=lambda a: a["block"])]) for k in (1, 2, 3)]
                 machine, word, before, pair, seen, of2, p1, c1 = build(t, counts, texts, n, v, kappa)
                 # long texts are read in pieces, each from the state that the two words before it lead to
@@ -263,15 +282,16 @@ def score(docs: DataFrame, held, kappa=KAPPA) -> DataFrame:
     spark = docs.sparkSession
     T.lean(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), F.col("text").cast("string").alias("text"))
-    kinds = "batch long, ids array<long>, held array<boolean>, texts array<string>, tokens long, train_tokens long, train_texts long"
+    kinds = "batch long, ids array<long>, held array<boolean>, texts binary, tokens long, train_tokens long, train_texts long"
     batches = T.materialize(rows.mapInArrow(_batched, kinds), "lm-batches")
     size = batches.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "train_tokens", "train_texts"))).first()
     # blocks and tasks follow the size of the corpus, so that a block's size does not
-    blocks = max(T.fold(spark), math.ceil(size.tokens / BLOCK_TOKENS))
-    named = batches.select("batch", "held", "texts").mapInArrow(_named(blocks), "block int, batch long, n int, grams binary, counts binary")
-    answered = named.repartition(blocks, "block").mapInArrow(_answered, "block int, batch long, n int, counts binary, words long")
+    parts = max(T.fold(spark), math.ceil(size.tokens / TASK_TOKENS))
+    bits = min(64, max(40, int(size.tokens).bit_length() + GUARD_BITS))
+    named = batches.select("batch", "held", "texts").mapInArrow(_named(bits, BLOCKS * parts), "block int, batch long, n int, grams binary, counts binary")
+    answered = named.repartition(parts, "block").mapInArrow(_answered, "block int, batch long, n int, counts binary, words long")
     answered = T.materialize(answered, "lm-counts")
     v = int(answered.agg(F.sum("words")).first()[0] or 0)
     own = answered.where("batch >= 0").groupBy("batch").agg(F.collect_list(F.struct("block", "n", "counts")).alias("answers"))
     joined = batches.join(own, "batch").select("ids", "held", "texts", "answers")
-    return joined.mapInArrow(_scored(int(size.train_tokens), v, int(size.train_texts), kappa), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return joined.mapInArrow(_scored(bits, int(size.train_tokens), v, int(size.train_texts), kappa), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
