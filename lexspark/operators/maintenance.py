@@ -79,6 +79,41 @@ def watchdog(runs: DataFrame, by: str, ts: str, ok: Column, now: datetime, silen
     return out.withColumn("state", state)
 
 
+def source_violations(sources: DataFrame, runs: DataFrame, now: datetime, warning_seconds: int, critical_seconds: int) -> DataFrame:
+    """key, severity: what is wrong with the last runs of registered sources.
+
+    sources: source; runs: source, status, outcome, started. The last run says whether a source failed or
+    was degraded; a source without any is silent; one that is not running is stale by its last completed
+    run."""
+    at = F.lit(now).cast(runs.schema["started"].dataType)
+    last = runs.groupBy("source").agg(F.max_by(F.struct("status", "outcome"), F.struct("started", "status")).alias("r"), F.max(F.when(F.col("status") == "completed", F.col("started"))).alias("ok"))
+    j = sources.join(last, "source", "left")
+    status, outcome = F.col("r.status"), F.col("r.outcome")
+    age = F.unix_timestamp(at) - F.unix_timestamp("ok")
+    found = lambda name, severity: F.struct(F.concat(F.lit(f"{name}:"), F.col("source").cast("string")).alias("key"), F.lit(severity).alias("severity"))
+    bad = F.when((status == "failed") | ((status == "completed") & (outcome == "failed")), found("source-outcome", "critical")).when(outcome == "degraded", found("source-outcome", "warning"))
+    idle = status != "running"
+    late = F.when(status.isNull(), found("source-silent", "critical")).when(idle & (age > critical_seconds), found("source-freshness", "critical")).when(idle & (age > warning_seconds), found("source-freshness", "warning"))
+    return j.select(F.explode(F.filter(F.array(bad, late), lambda x: x.isNotNull())).alias("v")).select("v.key", "v.severity")
+
+
+def missed_window(runs: DataFrame, now: datetime, hours: int, paused: bool = False) -> DataFrame:
+    """key, severity: one row where no source has completed a run for so many hours, unless paused."""
+    limit = F.lit(now - timedelta(hours=hours)).cast(runs.schema["started"].dataType)
+    last = runs.agg(F.max(F.when(F.col("status") == "completed", F.col("started"))).alias("ok"))
+    return last.where((F.col("ok").isNull() | (F.col("ok") < limit)) & F.lit(not paused)).select(F.lit("missed-window").alias("key"), F.lit("critical").alias("severity"))
+
+
+def heartbeat_violations(workflows: DataFrame, beats: DataFrame, now: datetime, seconds: int) -> DataFrame:
+    """key, severity of workflows whose last heartbeat (workflow, status, seen) failed, is old or missing."""
+    at = F.lit(now).cast(beats.schema["seen"].dataType)
+    last = beats.groupBy("workflow").agg(F.max_by(F.struct("status", "seen"), "seen").alias("b"))
+    j = workflows.join(last, "workflow", "left")
+    old = F.unix_timestamp(at) - F.unix_timestamp("b.seen") > seconds
+    severe = F.col("b").isNull() | (F.col("b.status") == "failed")
+    return j.where(severe | old).select(F.concat(F.lit("workflow-heartbeat:"), F.col("workflow").cast("string")).alias("key"), F.when(severe, "critical").otherwise("warning").alias("severity"))
+
+
 def run_outcome(*, failed: Column, errors: Column, discovered: Column, tried: Column, good: Column, bad: Column, attempted: Column, verified: Column, uncollected: Column, broken: Column, stale: Column, said: Column) -> Column:
     """Outcome of a source's run: what it says itself, else failed, degraded or success.
 

@@ -7,6 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexspark.operators.publication import snippet
+
 # Statuses that call for attention, and keys under which a case number may stand.
 ATTENTION = ("metadata_only", "robots_disallowed", "blocked", "timeout", "failed_fetch", "failed_summary", "needs_review")
 CASE_NUMBER_KEYS = ("caseNumber", "case_number", "docketNumber", "docket_number", "docket", "decisionNumber", "resolutionNumber")
@@ -152,3 +154,46 @@ def unserved(versions: DataFrame, artifacts: DataFrame, same: list[str]) -> Data
 def per_group(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
     """The first n of each group."""
     return df.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("place") <= n)
+
+
+# Types of tags that count as topics.
+TOPIC_TYPES = ("right", "topic", "doctrine", "procedure", "case_type")
+
+
+def each_once(values: Column) -> Column:
+    """Texts that are not blank, each once in any case, the first as it is."""
+    keys = F.transform(values, lambda v: F.lower(F.trim(F.regexp_replace(F.regexp_replace(v, "<[^>]*>", " "), "[\\x00-\\x20\\x7F]+", " "))))
+    return F.filter(values, lambda v, i: (F.get(keys, i) != "") & (F.array_position(keys, F.get(keys, i)) == i + 1))
+
+
+def meta_item(*, key: Column, korean: Column, original: Column, core: Column, tags: Column, summary_tags: Column, categories: Column, date: Column) -> list[Column]:
+    """A search result for other portals: title, summary, snippet, keywords and topics of an article.
+
+    core: array of texts; tags: array<struct<name,type>>; date: a date."""
+    filled = lambda c: F.when(c != "", c)
+    names = lambda rows: F.transform(rows, lambda t: t["name"])
+    topics = F.filter(tags, lambda t: t["type"].isin(*TOPIC_TYPES))
+    none = F.array().cast("array<string>")
+    return [
+        F.concat(F.lit("worldcons:"), key.cast("string")).alias("canonical_id"),
+        F.coalesce(filled(korean), filled(original), F.lit("제목 미상")).alias("title"),
+        filled(snippet(F.array_join(core, " "), 1200)).alias("summary"),
+        filled(snippet(F.get(core, 0), 320)).alias("snippet"),
+        each_once(F.concat(names(tags), F.coalesce(summary_tags, none))).alias("keywords"),
+        each_once(F.concat(names(topics), F.coalesce(categories, none))).alias("topics"),
+        F.year(date).alias("decision_year"),
+    ]
+
+
+def article_list(articles: DataFrame, where: Column, limit: int, offset: int = 0, key: str = "id", date: str = "date") -> DataFrame:
+    """A page of the public list, the latest first, with the exact total and whether more follow."""
+    some = articles.where(where)
+    total = some.agg(F.count("*").alias("total"))
+    got = latest_first(some, date, key).offset(offset).limit(limit)
+    return got.crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > offset + limit)  # one row
+
+
+def sitemap(articles: DataFrame, slug: str, *times: str) -> DataFrame:
+    """slug, last_modified: the latest of some times of each public article."""
+    last = F.greatest(*times) if len(times) > 1 else F.col(times[0])
+    return articles.groupBy(slug).agg(F.max(last).alias("last_modified"))

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from lexspark.functions import rules, text
-from lexspark.operators import maintenance, quality, reconcile, search
+from lexspark.operators import maintenance, quality, reading, reconcile, search
 from lexspark.plans.catalogue import query
 from lexspark.plans.rules import _SUMMARIES, _as, _given, _pick
 from lexspark.streaming import jobs
@@ -149,3 +149,54 @@ def windowed_counts(events):
 def filter_pack(customer):
     """Filters of a request; those that are not given filter nothing."""
     return customer.where(search.filter_pack(c_mktsegment="BUILDING", c_nationkey=3, c_name=None)).select("c_custkey")
+
+
+_LAST_RUNS = f"SELECT o_custkey % 60 AS source, {_pick('o_orderkey', ['completed', 'failed', 'completed', 'running', 'completed'])} AS status, {_pick('floor(o_orderkey / 5)', ['success', 'degraded', 'failed', None])} AS outcome, o_orderdate AS started FROM {{orders}}"
+
+
+@query(
+    "orders",
+    "nation",
+    sql=f"""WITH {_as("r", _LAST_RUNS)}, s AS (SELECT n_nationkey + 40 AS source FROM nation), l AS (SELECT source, arg_max(status, (started, status)) AS st, arg_max(coalesce(outcome, ''), (started, status)) AS oc, max(started) FILTER (WHERE status = 'completed') AS ok FROM r GROUP BY 1),
+j AS (SELECT s.source, st, oc, epoch(TIMESTAMP '1998-08-01' - ok) AS age FROM s LEFT JOIN l USING (source))
+SELECT 'source-outcome:' || source AS key, CASE WHEN st = 'failed' OR (st = 'completed' AND oc = 'failed') THEN 'critical' ELSE 'warning' END AS severity FROM j WHERE st = 'failed' OR (st = 'completed' AND oc = 'failed') OR oc = 'degraded'
+UNION ALL SELECT 'source-silent:' || source, 'critical' FROM j WHERE st IS NULL UNION ALL SELECT 'source-freshness:' || source, CASE WHEN age > 864000 THEN 'critical' ELSE 'warning' END FROM j WHERE st <> 'running' AND age > 86400
+UNION ALL SELECT 'missed-window', 'critical' FROM r HAVING coalesce(max(started) FILTER (WHERE status = 'completed') < TIMESTAMP '2000-01-01', true)
+UNION ALL SELECT 'workflow-heartbeat:' || source, CASE WHEN st IS NULL OR st = 'failed' THEN 'critical' ELSE 'warning' END FROM (SELECT s.source, st, last FROM s LEFT JOIN (SELECT source, arg_max(status, (started, status)) AS st, max(started) AS last FROM r GROUP BY 1) USING (source)) WHERE st IS NULL OR st = 'failed' OR epoch(TIMESTAMP '1998-08-01' - last) > 43200""",
+)
+def watchdog_violations(orders, nation):
+    """Sources whose last run failed, is silent or stale; a missed window; workflows without a heartbeat."""
+    runs = _given(_LAST_RUNS, orders=orders)
+    sources = nation.select((F.col("n_nationkey") + 40).alias("source"))
+    beats = runs.groupBy(F.col("source").alias("workflow")).agg(F.max(F.struct("started", "status")).alias("m")).select("workflow", F.col("m.status").alias("status"), F.col("m.started").alias("seen"))
+    found = [maintenance.source_violations(sources, runs, NOW, 86_400, 864_000), maintenance.missed_window(runs, datetime(2000, 1, 2), 24), maintenance.heartbeat_violations(sources.withColumnRenamed("source", "workflow"), beats, NOW, 43_200)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query(
+    "documents",
+    sql="""WITH d AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS k, trim(regexp_replace(text, '[\x00-\x20\x7F]+', ' ', 'g'), ' ') AS p FROM documents WHERE NOT contains(text, '<')),
+e AS (SELECT *, trim(p || ' ' || source, ' ') AS q FROM d) SELECT 'worldcons:' || doc_id AS canonical_id, CASE WHEN k <> '' THEN k WHEN doc_id % 2 = 0 THEN 'original' ELSE '제목 미상' END AS title, sha256(CASE WHEN length(q) <= 1200 THEN q ELSE rtrim(substr(q, 1, 1199), ' ') || '…' END) AS summary,
+sha256(CASE WHEN length(p) <= 320 THEN p ELSE rtrim(substr(p, 1, 319), ' ') || '…' END) AS snippet, source || ',Privacy' || CASE WHEN lang <> 'en' THEN ',' || lang ELSE '' END AS keywords, 'Privacy' || CASE WHEN lang <> 'en' THEN ',' || lang ELSE '' END AS topics, 2021 AS decision_year FROM e""",
+)
+def meta_search(documents):
+    """Results for other portals; keywords and topics once each, in any case."""
+    k = F.col("doc_id")
+    tag = lambda name, kind: F.struct(name.alias("name"), F.lit(kind).alias("type"))
+    lang = F.when(F.col("lang") != "en", F.col("lang")).otherwise(" ")
+    item = reading.meta_item(key=k, korean=F.when(k % 3 != 0, F.col("lang")).otherwise(""), original=F.when(k % 2 == 0, "original"), core=F.array("text", "source"), tags=F.array(tag(F.col("source"), "court"), tag(F.lit("Privacy"), "right")), summary_tags=F.array(F.lit("PRIVACY"), lang), categories=F.array(F.lit("privacy "), lang), date=F.lit("2021-05-06").cast("date"))
+    got = documents.where(~F.col("text").contains("<")).select(*item)
+    digest = lambda c: F.sha2(F.coalesce(F.col(c), F.lit("")).cast("binary"), 256).alias(c)
+    return got.select("canonical_id", "title", digest("summary"), digest("snippet"), F.array_join("keywords", ",").alias("keywords"), F.array_join("topics", ",").alias("topics"), "decision_year")
+
+
+@query("orders", sql="WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 <> 0 THEN CAST(o_orderdate AS DATE) END AS date FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F') SELECT id, (SELECT count(*) FROM o) AS total, (SELECT count(*) FROM o) > 30 AS has_more FROM o ORDER BY date DESC NULLS LAST, id LIMIT 20 OFFSET 10")
+def article_list(orders):
+    articles = orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderdate").cast("date")).alias("date"), "o_orderpriority", "o_orderstatus")
+    return reading.article_list(articles, search.filter_pack(o_orderpriority="1-URGENT", o_orderstatus="F", id=None), 20, 10).select("id", "total", "has_more")
+
+
+@query("lineitem", sql="SELECT l_orderkey AS slug, max(greatest(l_shipdate, l_shipdate + INTERVAL (l_linenumber) DAY)) AS last_modified FROM lineitem GROUP BY 1")
+def sitemap(lineitem):
+    later = lineitem.select(F.col("l_orderkey").alias("slug"), "l_shipdate", (F.col("l_shipdate") + F.make_dt_interval("l_linenumber")).alias("updated"))
+    return reading.sitemap(later, "slug", "l_shipdate", "updated")
