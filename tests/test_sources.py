@@ -44,7 +44,7 @@ def test_robots_delay():
 
 def test_metadata(spark):
     html = "<title>Page</title><meta property='og:title' content='Og'><meta name=description content=' about it '><body><h1 class=sr-only>Skip</h1><h1>Urteil vom 3. März 2021</h1> <p>Erster  Senat, Az.: 1 BvR 2/20</p></body>"
-    french = "<h1 class='title x'>Décision n° 2020-800 QPC</h1><time datetime='2020-05-11'>le 11 mai</time>"
+    french = "<h1 class='title x'>Décision n° 2020-800 QPC</h1> <time datetime='2020-05-11'>le 11 mai</time>"
     rows = web.metadata(spark.createDataFrame([(1, html), (2, french), (3, None)], "page_id long, html string")).orderBy("page_id").collect()
     assert (rows[0].title, rows[0].description, rows[0].published, rows[0].senate) == ("Urteil vom 3. März 2021", "about it", "3. März 2021", "Erster Senat") and rows[0].case_number.startswith("Az.: 1 BvR 2/20")
     assert (rows[1].title, rows[1].published, rows[1].decision_number) == ("Décision n° 2020-800 QPC", "2020-05-11", "Décision n° 2020-800 QPC") and rows[2].title is None
