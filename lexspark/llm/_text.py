@@ -8,6 +8,7 @@ separator), so all scanning happens on UTF-8 buffers without decoding.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -67,15 +68,28 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES):
-    """Cut a batch into runs of rows of about ``most`` bytes of text (one row at least)."""
+#: Caches that operators fill in a worker. Workers live on and go from operator to operator, so
+#: another operator's tasks give them back.
+HELD: list = []
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES, own=None):
+    """Cut a batch into runs of rows of about ``most`` bytes of text (one row at least). ``own`` is the
+    cache of HELD that the operator itself needs."""
+    for cache in HELD:
+        if cache is not own:
+            cache.cache_clear()
     _, off = utf8(batch.column(batch.schema.get_field_index(text)))
     at, n = 0, batch.num_rows
     while at < n:
         end = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
         yield batch.slice(at, end - at)
         at = end
-    pa.default_memory_pool().release_unused()  # a worker lives on; what it doesn't need now is given back
+    # a worker lives on; what it doesn't need now is given back
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def spans(buf: np.ndarray, off: np.ndarray, sep: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

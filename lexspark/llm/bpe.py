@@ -288,6 +288,9 @@ def automaton(path: str) -> Automaton:
     return Automaton(path)
 
 
+T.HELD.append(automaton)
+
+
 def encode(docs: DataFrame, tokenizer: str, texts: bool = False, digests: bool = True) -> DataFrame:
     """Encode every whole text and decode it again.
 
@@ -299,7 +302,7 @@ def encode(docs: DataFrame, tokenizer: str, texts: bool = False, digests: bool =
     def run(batches):
         machine = automaton(tokenizer)
         for batch in batches:
-            for part in T.slices(batch, most=SLICE):
+            for part in T.slices(batch, most=SLICE, own=automaton):
                 ids, first = machine.encode([x or "" for x in part.column(1).to_pylist()])
                 raw, at = machine.decode_bytes(ids)
                 packed, text_at = ids.astype("<u4"), at[first]

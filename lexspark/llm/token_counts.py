@@ -85,7 +85,7 @@ def write_files(docs: DataFrame, tokenizer: str, separator: int) -> tuple[str, D
         name, doc, out = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin", 0, None
         system, at = _opened(folder)
         for batch in batches:
-            for part in T.slices(batch, most=SLICE):
+            for part in T.slices(batch, most=SLICE, own=automaton):
                 ids, first = machine.encode([x or "" for x in part.column(1).to_pylist()], added=False)
                 if (ids == separator).any():
                     raise ValueError(f"{separator} is an ordinary id, so it can't end documents")
