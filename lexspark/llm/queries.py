@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.llm import _text as T
-from lexspark.llm import bpe, chat_format, decontaminate, license_scan, lm_score, near_dedup, quality_rules, substring_dedup, token_counts, toxicity
+from lexspark.llm import bpe, centroids, chat_format, decontaminate, license_scan, lm_score, near_dedup, quality_rules, substring_dedup, token_counts, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SEPARATOR = 50256
@@ -78,7 +78,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_blocks", F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["license"]))).alias("licenses"), F.size("licenses").cast("long").alias("n_found"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_near_dedup, op4_quality, op5_token_counts, op6_lm_score, op7_chat_format, op8_decontaminate, op9_substring_dedup, op10_license_scan)}
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_read(spark, sf_dir, "embeddings")).select("vec_id", *centroids.MADE)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_near_dedup, op4_quality, op5_token_counts, op6_lm_score, op7_chat_format, op8_decontaminate, op9_substring_dedup, op10_license_scan, op12_centroid_clusters)}
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 _BUCKET = "(CASE WHEN {0} < 16 THEN {0} ELSE (length(bin({0})) - 5) * 16 + CAST(floor({0} / pow(2.0, length(bin({0})) - 5)) AS BIGINT) END)"
@@ -148,4 +152,22 @@ f AS (SELECT doc_id, count(*) AS n FROM runs WHERE pi IS NULL OR i - pi > 1 OR m
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256, coalesce(f.n, 0) AS n_factors
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN f USING (doc_id)"""
 
-ORACLES = {"op4_quality": _quality_sql(), "op7_chat_format": _CHAT_SQL, "op9_substring_dedup": _SUBSTRING_SQL}
+def _centroid_sql() -> str:
+    near = "CAST(list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+    parts = [
+        """kept AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        "c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS k, x AS c FROM kept WHERE vec_id IS NOT NULL QUALIFY k < 16)",
+    ]
+    for i in range(centroids.ROUNDS + 1):
+        parts.append(f"a{i} AS (SELECT r, min({{'d': {near}, 'k': k}}) AS m FROM kept, c{i} GROUP BY r)")
+        if i < centroids.ROUNDS:
+            parts.append(f"s{i} AS (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (SELECT m.k AS k, i, sum(x[i]) AS s, count(*) AS n FROM a{i} JOIN kept USING (r), range(1, 65) AS t(i) GROUP BY 1, 2) GROUP BY k)")
+            parts.append(f"c{i + 1} AS (SELECT o.k, coalesce(s.c, o.c) AS c FROM c{i} AS o LEFT JOIN s{i} AS s ON s.k = o.k)")
+    end = f"a{centroids.ROUNDS}"
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(m.k AS INTEGER) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.k) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM {end} JOIN kept USING (r) JOIN c{centroids.ROUNDS} AS f ON f.k = m.k"""
+
+
+ORACLES = {"op4_quality": _quality_sql(), "op7_chat_format": _CHAT_SQL, "op9_substring_dedup": _SUBSTRING_SQL, "op12_centroid_clusters": _centroid_sql()}
