@@ -178,6 +178,24 @@ def lean(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Tables of ``materialize``, which plans that were handed out read: they go when the driver ends.
+_MADE: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clear() -> None:
+    for spark, path in _MADE:
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001  the session's JVM has ended before: nothing can be done from here
+            return
+
+
 class Scratch:
     """Tables of one job in a folder of their own within the shared folder; ``close`` deletes them
     once what is returned has been written elsewhere."""
@@ -189,8 +207,7 @@ class Scratch:
         return _written(df, f"{self.path}/{name}-{uuid.uuid4().hex}")
 
     def close(self) -> None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(self.spark, self.path)
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
@@ -201,8 +218,10 @@ def _written(df: DataFrame, path: str) -> DataFrame:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write as Parquet in the shared folder and read it back."""
-    return _written(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+    """Cut lineage: write as Parquet in the shared folder and read it back, until the driver ends."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append((df.sparkSession, path))
+    return _written(df, path)
 
 
 def column(name: str) -> Column:

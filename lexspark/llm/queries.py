@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.llm import _text as T
-from lexspark.llm import bpe, centroids, chat_format, decontaminate, license_scan, lm_score, near_dedup, quality_rules, substring_dedup, token_counts, toxicity
+from lexspark.llm import bpe, centroids, chat_format, conversation_repair, decontaminate, license_scan, lm_score, near_dedup, quality_rules, substring_dedup, token_counts, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SEPARATOR = 50256
@@ -78,11 +78,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_blocks", F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["license"]))).alias("licenses"), F.size("licenses").cast("long").alias("n_found"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations")
+    summary, repaired = conversation_repair.repair(conversation_repair.damaged(turns))
+    found = summary.join(conversation_repair.digests(repaired).withColumnRenamed("conv_id", "id"), F.col("conv_id").eqNullSafe(F.col("id"))).drop("id")
+    ids = turns.select(F.col("conv_id").alias("id")).distinct()  # conversations that the damage has left no row of, too
+    got = ids.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in conversation_repair.COUNTS]
+    return got.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_read(spark, sf_dir, "embeddings")).select("vec_id", *centroids.MADE)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_near_dedup, op4_quality, op5_token_counts, op6_lm_score, op7_chat_format, op8_decontaminate, op9_substring_dedup, op10_license_scan, op12_centroid_clusters)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_near_dedup, op4_quality, op5_token_counts, op6_lm_score, op7_chat_format, op8_decontaminate, op9_substring_dedup, op10_license_scan, op11_conversation_repair, op12_centroid_clusters)}
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 _BUCKET = "(CASE WHEN {0} < 16 THEN {0} ELSE (length(bin({0})) - 5) * 16 + CAST(floor({0} / pow(2.0, length(bin({0})) - 5)) AS BIGINT) END)"
@@ -152,6 +162,38 @@ f AS (SELECT doc_id, count(*) AS n FROM runs WHERE pi IS NULL OR i - pi > 1 OR m
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256, coalesce(f.n, 0) AS n_factors
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN f USING (doc_id)"""
 
+def _repair_sql() -> str:
+    add = lambda x, cost, letter, line="''": f"CASE WHEN {x} IS NOT NULL THEN {{'c': {x}.c + {cost}, 'a': {x}.a || '{letter}', 'o': {x}.o || {line}}} END"
+    least = lambda *xs: f"list_min(list_filter([{', '.join(xs)}], lambda x: x IS NOT NULL))"
+    said = lambda role: f"chr(10) || '{role}:'"
+    own, user, assistant = "(chr(10) || role || ':' || text)", "(chr(10) || 'user:' || text)", "(chr(10) || 'assistant:' || text)"
+    drop = lambda x: add(x, 2, "D")
+    keep = lambda x, i: f"CASE WHEN NOT must AND i = '{i}' THEN {add(x, 'more', 'K', own)} END"
+    change = lambda x, line: f"CASE WHEN NOT must THEN {add(x, '1 + more', 'R', line)} END"
+    to_user = [f(x) for x in ("t0", "t1", "t3") for f in (lambda x: keep(x, "u"), lambda x: change(x, user))]
+    closed = f"""SELECT *, {least("s3", add("t2", 5, "I", said("assistant")))} AS t3 FROM (SELECT *, s0 AS t0, s1 AS t1, {least("s2", add("s0", 5, "I", said("user")), add("s1", 5, "I", said("user")), add("s3", 5, "I", said("user")))} AS t2 FROM walk)"""
+    none = "CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, o VARCHAR))"
+    bits = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))"
+    return f"""WITH RECURSIVE said AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+crc AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: {bits}), 4294967295) % 20 AS f FROM said),
+hurt AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+         FROM crc, range(0, 2) AS t(copy) WHERE f <> 0 AND (copy = 0 OR f = 3)),
+ids AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id NULLS FIRST) AS g FROM (SELECT DISTINCT conv_id FROM conversations)),
+num AS (SELECT g, turn, role, text, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) AS p FROM hurt JOIN ids ON hurt.conv_id IS NOT DISTINCT FROM ids.conv_id),
+mark AS (SELECT *, substr(role, 1, 1) AS i, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY g, role, text ORDER BY p) > 1 AS seen, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS unended,
+                lag(role) OVER (PARTITION BY g ORDER BY p) AS before FROM num),
+fault AS (SELECT *, blank OR seen AS must, CASE WHEN NOT blank AND NOT seen AND unended THEN 5 ELSE 0 END AS more FROM mark),
+walk AS (SELECT g, CAST(0 AS BIGINT) AS p, {{'c': CAST(0 AS BIGINT), 'a': '', 'o': ''}} AS s0, {none} AS s1, {none} AS s2, {none} AS s3 FROM ids
+       UNION ALL
+       SELECT g, p, {drop("t0")}, {least(drop("t1"), keep("t0", "s"))}, {least(drop("t2"), *to_user)}, {least(drop("t3"), keep("t2", "a"), change("t2", assistant))}
+       FROM (SELECT c.g, fault.p, t0, t1, t2, t3, role, text, i, must, more FROM ({closed}) AS c JOIN fault ON fault.g = c.g AND fault.p = c.p + 1)),
+done AS (SELECT g, {least("t0", "t3")} AS x FROM ({closed}) QUALIFY row_number() OVER (PARTITION BY g ORDER BY p DESC) = 1),
+n AS (SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (seen AND NOT blank) AS duplicate, count(*) FILTER (more > 0) AS truncated,
+             count(*) FILTER (before IS NOT NULL AND substr(before, 1, 1) || i NOT IN ('su', 'ua', 'au')) AS illegal FROM fault GROUP BY g)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, x.c AS cost, x.a AS audit, sha256(substr(x.o, 2)) AS repaired_sha256
+FROM ids JOIN done USING (g) LEFT JOIN n USING (g)"""
+
+
 def _centroid_sql() -> str:
     near = "CAST(list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
     parts = [
@@ -170,4 +212,4 @@ SELECT vec_id, CAST(m.k AS INTEGER) AS cluster, m.d AS distance, CAST(sum(m.d) O
 FROM {end} JOIN kept USING (r) JOIN c{centroids.ROUNDS} AS f ON f.k = m.k"""
 
 
-ORACLES = {"op4_quality": _quality_sql(), "op7_chat_format": _CHAT_SQL, "op9_substring_dedup": _SUBSTRING_SQL, "op12_centroid_clusters": _centroid_sql()}
+ORACLES = {"op4_quality": _quality_sql(), "op7_chat_format": _CHAT_SQL, "op9_substring_dedup": _SUBSTRING_SQL, "op11_conversation_repair": _repair_sql(), "op12_centroid_clusters": _centroid_sql()}
