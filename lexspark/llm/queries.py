@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.llm import _text as T
-from lexspark.llm import bpe, centroids, chat_format, conversation_repair, decontaminate, license_scan, lm_score, near_dedup, quality_rules, substring_dedup, token_counts, toxicity
+from lexspark.llm import bpe, centroids, chat_format, conversation_repair, decontaminate, license_scan, lm_score, near_dedup, quality_rules, signature_trees, substring_dedup, token_counts, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SEPARATOR = 50256
@@ -92,7 +92,11 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_read(spark, sf_dir, "embeddings")).select("vec_id", *centroids.MADE)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_near_dedup, op4_quality, op5_token_counts, op6_lm_score, op7_chat_format, op8_decontaminate, op9_substring_dedup, op10_license_scan, op11_conversation_repair, op12_centroid_clusters)}
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_trees.similar_sets(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_near_dedup, op4_quality, op5_token_counts, op6_lm_score, op7_chat_format, op8_decontaminate, op9_substring_dedup, op10_license_scan, op11_conversation_repair, op12_centroid_clusters, op13_jaccard_join)}
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 _BUCKET = "(CASE WHEN {0} < 16 THEN {0} ELSE (length(bin({0})) - 5) * 16 + CAST(floor({0} / pow(2.0, length(bin({0})) - 5)) AS BIGINT) END)"
