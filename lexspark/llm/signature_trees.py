@@ -10,10 +10,12 @@ them are in one component.  Pairs of leaves that stay are confirmed on full sets
 promising first, and a pair that is already connected is passed over.
 
 Which documents meet in a tree: sizes are cut into overlapping windows, so that similar sets share one.  Two
-similar sets of a window differ in at most ``k`` shingles; dealt by hash into more than k
-parts, they are equal in one at least, so similar documents share a key (window, part, content).
-(A part may be empty.  There are some more parts than k + 1, and only sets with more empty parts than
-that use empty ones as keys.)  Documents joined by keys are a block; no link crosses a block.
+similar sets of a window differ in at most ``k`` shingles; dealt by hash into k + 1 + spare
+parts, they are equal in spare + 1 at least, so similar documents share as many keys (window, part,
+content).  (A part may be empty: only sets with more than ``spare`` empty parts use those as keys, others
+share as many keys less.)  A document that shares fewer keys of a window than that with all others together
+has no partner there, so passages that many documents share join none by themselves.  Documents
+joined by keys that are left are a block; no link crosses a block.
 
 1. A block is cut at random into chunks of at most about ``CHUNK_DOCS`` documents and ``CHUNK_SHINGLES`` shingles,
    and each chunk is joined by a tree of its own: most blocks are one chunk.
@@ -55,6 +57,7 @@ FANOUT = 8
 FEWEST_BITS, MOST_BITS, PREFIX_BITS = 256, 65_536, 1_024
 WORDS_AT_ONCE = 1 << 20
 LARGEST_SET = 2**40
+SPARE = 10  # one more part for so many that may differ
 
 
 # -- keys that similar sets share
@@ -62,7 +65,7 @@ LARGEST_SET = 2**40
 
 @lru_cache
 def windows(percent: int) -> tuple[np.ndarray, ...]:
-    """Of each window of sizes: first size, last size, parts, and how many of them may be empty.
+    """Of each window of sizes: first size, last size, parts, and how many of them are spare.
 
     A pair belongs to the last window that begins at or below its smaller size."""
     first, last, parts, spare = [1], [], [], []
@@ -71,19 +74,21 @@ def windows(percent: int) -> tuple[np.ndarray, ...]:
         smaller = first[-1] - 1
         larger = smaller * 100 // percent
         differ = (smaller + larger) * (100 - percent) // (100 + percent)  # of two similar sets
-        more = 1 + -(-differ // 20) if differ else 0
+        more = 1 + -(-differ // SPARE) if differ else 0
         last.append(larger)
         parts.append(differ + 1 + more if differ else 0)  # sets that can't differ are copies and need no key
         spare.append(more)
     return tuple(np.array(x, np.int64) for x in (first[:-1], last, parts, spare))
 
 
-def part_keys(w: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of sets that lie on end in w, and where each set's begin."""
+def part_keys(w: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of sets that lie on end in w: the keys by set and window, where each set's begin, how many
+    are of its first window, and how many each window's partners must share (a line for each window)."""
     low, high, parts, spare = windows(percent)
     size = np.diff(first)
     place, value = T.mix(w ^ T._BASE) >> np.uint64(20), T.mix(w * T._INV)
-    whose, keys = [], []
+    row = np.repeat(np.arange(len(size)), size)
+    whose, keys, need = [], [], []
     own = np.searchsorted(low, size, "right") - 1
     for back in (0, 1):
         window = own - back
@@ -92,47 +97,54 @@ def part_keys(w: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarra
         use &= (high[window] >= size) & (parts[window] > 0)
         n = np.where(use, parts[window], 0)
         base = np.cumsum(n) - n
-        row = np.repeat(np.arange(len(size)), size)
-        some = use[row]
-        row = row[some]
-        at = base[row] + (place[some] % n[row].astype(np.uint64)).astype(np.int64)
+        at = base[row[use[row]]] + (place[use[row]] % n[row[use[row]]].astype(np.uint64)).astype(np.int64)
         total = int(n.sum())
         content = np.zeros(total, np.uint64)
-        np.add.at(content, at, value[some])
+        np.add.at(content, at, value[use[row]])
         empty = np.bincount(at, minlength=total) == 0
         doc = np.repeat(np.arange(len(size)), n)
         bare = np.bincount(doc[empty], minlength=len(size))
-        stay = ~(empty & (bare <= spare[window])[doc])
+        skip = bare <= spare[window]
+        stay = ~(empty & skip[doc])
         number = (np.arange(total) - base[doc]) + (window[doc] << 44)
         whose.append(doc[stay])
         keys.append(T.mix(content ^ T.mix(number.astype(np.uint64) + T._BASE))[stay])
+        need.append(np.where(skip, spare[window] + 1 - bare, 1))
+    cut = np.bincount(whose[0], minlength=len(size))
     whose, keys = np.concatenate(whose), np.concatenate(keys)
     order = np.argsort(whose, kind="stable")
-    return keys[order], np.searchsorted(whose[order], np.arange(len(size) + 1))
+    return keys[order], np.searchsorted(whose[order], np.arange(len(size) + 1)), cut, np.stack(need, axis=1)
 
 
 def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (digest of the set) and its keys."""
+    """doc_id, n_shingles, set_id (digest of the set), its keys, and what ``part_keys`` says of them."""
 
     def run(batches):
         for batch in batches:
             for part in T.slices(batch, most=600_000):
                 w, first = _sets(part.column(1), k)
-                keys, at = part_keys(w, first, percent)
+                keys, at, cut, need = part_keys(w, first, percent)
                 digests = [xxhash.xxh3_128_digest(w[a:b].data) if b > a else None for a, b in zip(first[:-1], first[1:])]
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first)), pa.array(digests, pa.binary()), lists], names=["doc_id", "n_shingles", "set_id", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first)), pa.array(digests, pa.binary()), lists, *(pa.array(x, pa.int32()) for x in (cut, need[:, 0], need[:, 1]))], names=["doc_id", "n_shingles", "set_id", "keys", "cut", "need0", "need1"])
 
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return named.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, keys array<long>")
+    return named.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, keys array<long>, cut int, need0 int, need1 int")
 
 
 def blocks(sigs: DataFrame, scratch: T.Scratch) -> DataFrame:
-    """id, component: of the documents that share a key with another, the block of each."""
-    rows = sigs.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
-    shared = scratch.save(rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "lo"), "shared")
-    edges = scratch.save(rows.join(shared, "key").where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct(), "block-edges")
-    return components(edges, scratch)
+    """id, component: of the documents that share enough keys with others, the block of each."""
+    keys = sigs.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
+    shared = lambda rows: rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "lo")
+    twice = scratch.save(shared(keys).select("key"), "shared")
+    rows = sigs.select(F.col("doc_id").alias("id"), "cut", "need0", "need1", F.posexplode("keys").alias("place", "key"))
+    later = F.col("place") >= F.col("cut")
+    rows = rows.select("id", "key", later.alias("later"), F.when(later, F.col("need1")).otherwise(F.col("need0")).alias("need"))
+    rows = scratch.save(rows.join(twice, "key"), "shared-keys")
+    enough = rows.groupBy("id", "later").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("id", "later")
+    rows = scratch.save(rows.join(enough, ["id", "later"], "left_semi").select("id", "key"), "enough-keys")
+    edges = rows.join(shared(rows), "key").where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
+    return components(scratch.save(edges, "block-edges"), scratch)
 
 
 # -- trees

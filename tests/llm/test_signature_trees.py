@@ -100,8 +100,10 @@ def test_similar_sets_share_a_key(percent):
             b = np.unique(np.append(a[rng.permutation(n)[: n - drop]], rng.integers(0, 2**63, rng.integers(0, most + 1), dtype=np.uint64)))
             shared = len(np.intersect1d(a, b))
             if shared and 100 * shared >= percent * (len(a) + len(b) - shared) and len(b) and (len(a) != len(b) or (a != b).any()):
-                keys, at = trees.part_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), percent)
-                assert set(keys[: at[1]].tolist()) & set(keys[at[1] :].tolist())
+                keys, at, cut, need = trees.part_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), percent)
+                own = [[set(keys[at[i] : at[i] + cut[i]].tolist()), set(keys[at[i] + cut[i] : at[i + 1]].tolist())] for i in (0, 1)]
+                met = [(len(x & y), need[0][i], need[1][j]) for i, x in enumerate(own[0]) for j, y in enumerate(own[1])]
+                assert any(n >= max(1, p, q) for n, p, q in met)
 
 
 def test_traversal_loses_no_pair():
