@@ -143,8 +143,11 @@ def blocks(sigs: DataFrame, scratch: T.Scratch) -> DataFrame:
     rows = scratch.save(rows.join(twice, "key"), "shared-keys")
     enough = rows.groupBy("id", "later").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("id", "later")
     rows = scratch.save(rows.join(enough, ["id", "later"], "left_semi").select("id", "key"), "enough-keys")
-    edges = rows.join(shared(rows), "key").where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
-    return components(scratch.save(edges, "block-edges"), scratch)
+    edges = scratch.save(rows.join(shared(rows), "key").select("lo", "id").distinct(), "block-edges")
+    # a document with its first holder, and that one with the document's other ones, which most of a group have in common
+    first = edges.groupBy("id").agg(F.min("lo").alias("a"))
+    ends = edges.join(first, "id").select("a", F.explode(F.array("id", "lo")).alias("b")).where("a <> b").distinct()
+    return components(scratch.save(ends, "block-ends"), scratch)
 
 
 # -- trees
@@ -235,9 +238,9 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
-def joined(ids: np.ndarray, sets: list[np.ndarray], component: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links (ids) between sets of side 0 and those of side 1 (of side 0 with each other if there is no
-    side 1) that connect components: enough of them that no two linked sets stay apart."""
+def joined(sets: list[np.ndarray], component: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Components that links between sets of side 0 and those of side 1 (of side 0 with each other if there is no
+    side 1) connect: (the smallest, another) of those that are one now. Components go by one of their ids."""
     width = min(MOST_BITS, max(FEWEST_BITS, 1 << int(8 * max(map(len, sets)) - 1).bit_length()))
     up = {c: c for c in component.tolist()}
 
@@ -253,15 +256,13 @@ def joined(ids: np.ndarray, sets: list[np.ndarray], component: np.ndarray, side:
         tree, order = _grown([sets[i] for i in rows], component[rows], width)
         trees.append((tree, rows[order]))
     (x, xr), (y, yr) = trees[0], trees[-1]
-    found = []
     for p, q, most in traverse(x, y, percent):
         for k in np.argsort(-most, kind="stable").tolist():
             i, j = int(xr[p[k]]), int(yr[q[k]])
             a, b = root(int(component[i])), root(int(component[j]))
             if a != b and _similar(sets[i], sets[j], percent):
                 up[max(a, b)] = min(a, b)
-                found.append((int(ids[i]), int(ids[j])))
-    return found
+    return [(root(c), c) for c in up if root(c) != c]
 
 
 # -- jobs
@@ -292,16 +293,16 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _joins(percent: int):
-    """block, cell, side, id, c, shingles (sorted by block and cell) -> links."""
+    """block, cell, side, c, shingles (sorted by block and cell) -> links of components."""
 
     def run(batches):
         found = []
         for g in _groups(batches, 2):
             if g.num_rows > 1:
-                side, ids, c = (g.column(i).to_numpy() for i in (2, 3, 4))
-                sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in g.column(5)]
+                side, c = g.column(2).to_numpy(), g.column(3).to_numpy()
+                sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in g.column(4)]
                 if not side.any() or not side.all():
-                    found += joined(ids, sets, c, side, percent)
+                    found += joined(sets, c, side, percent)
             if len(found) >= 10_000:
                 yield _pairs(found)
                 found = []
@@ -375,7 +376,7 @@ def _unsettled(placed: DataFrame, comp: DataFrame) -> DataFrame:
 
 def _meet(cells: DataFrame, percent: int) -> DataFrame:
     cells = cells.repartition("block", "cell").sortWithinPartitions("block", "cell")
-    return cells.select("block", "cell", "side", "id", "c", "shingles").mapInArrow(_joins(percent), "a long, b long")
+    return cells.select("block", "cell", "side", "c", "shingles").mapInArrow(_joins(percent), "a long, b long")
 
 
 def _rarest(rest: DataFrame, sets: DataFrame, scratch: T.Scratch, percent: int) -> DataFrame:
