@@ -18,7 +18,7 @@ NOT_RETRYABLE = ("crawl.robots_disallowed", "llm.key_missing")
 LOW_SEVERITY = ("crawl.robots_disallowed", "collection.metadata_only")
 PROCESSING_ERROR = r"^(summary|llm|job)\."
 SECRET_KEY = r"(secret|password|authorization|api[_-]?key|access[_-]?token|refresh[_-]?token|private[_-]?key|cookie)"
-BLOB_CONTRACT, BLOB_BYTES, BLOB_FOLDER = "worldcons-article-raw-blob-v1", 4 * 1024 * 1024, "artifacts/article_raw/"
+BLOB_CONTRACT, BLOB_BYTES, BLOB_FOLDER = "raw-text-blob-v1", 4 * 1024 * 1024, "artifacts/article_raw/"
 
 _yes = lambda c: F.coalesce(c, F.lit(False))
 
@@ -180,8 +180,8 @@ def put_blobs(blobs: DataFrame, path: str) -> None:
     fit.write.mode("append").parquet(path)
 
 
-def blob_readiness(rows: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
-    """Thirteen counts of inline and external copies of texts: one row.
+def blob_readiness(rows: DataFrame, ledger: DataFrame, key: str, contract: str = BLOB_CONTRACT) -> DataFrame:
+    """Thirteen counts of inline and external copies of texts: one row. contract: the name that blobs carry.
 
     rows: key, source, text, ref, hash, size, at, contract; ledger: key, ref, hash, size, contract."""
     meta = [F.col(c) for c in ("ref", "hash", "size", "at", "contract")]
@@ -189,7 +189,7 @@ def blob_readiness(rows: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
     same = reduce(lambda a, b: a & b, ((F.col(c) == F.col(f"l_{c}")) if c != "size" else F.col(c).eqNullSafe(F.col(f"l_{c}")) for c in ("ref", "hash", "size", "contract")))
     exact = rows.join(covered, key).where(same).select(key).distinct().withColumn("in_ledger", F.lit(True))
     inline, absent = F.col("text").isNotNull(), reduce(lambda a, b: a & b, (c.isNull() for c in meta))
-    complete = _yes((F.col("contract") == BLOB_CONTRACT) & F.col("hash").rlike("^[0-9a-f]{64}$") & F.col("size").between(0, BLOB_BYTES) & F.col("at").isNotNull() & (F.col("ref") == F.concat(F.lit(BLOB_FOLDER), F.col("source"), F.lit("/"), F.col("hash"), F.lit(".json"))))
+    complete = _yes((F.col("contract") == contract) & F.col("hash").rlike("^[0-9a-f]{64}$") & F.col("size").between(0, BLOB_BYTES) & F.col("at").isNotNull() & (F.col("ref") == F.concat(F.lit(BLOB_FOLDER), F.col("source"), F.lit("/"), F.col("hash"), F.lit(".json"))))
     known = _yes(F.col("in_ledger"))
     got = rows.join(exact, key, "left").select(inline.alias("i"), absent.alias("a"), complete.alias("c"), known.alias("k"), F.octet_length(blob(F.col("text"), F.lit(""))["document"]).alias("b"))
     i, a, c, k = (F.col(x) for x in "iack")

@@ -166,8 +166,8 @@ def each_once(values: Column) -> Column:
     return F.filter(values, lambda v, i: (F.get(keys, i) != "") & (F.array_position(keys, F.get(keys, i)) == i + 1))
 
 
-def meta_item(*, key: Column, korean: Column, original: Column, core: Column, tags: Column, summary_tags: Column, categories: Column, date: Column) -> list[Column]:
-    """A search result for other portals: title, summary, snippet, keywords and topics of an article.
+def meta_item(*, key: Column, korean: Column, original: Column, core: Column, tags: Column, summary_tags: Column, categories: Column, date: Column, prefix: str) -> list[Column]:
+    """A search result for other portals: id (under the portal's prefix), title, summary, snippet, keywords and topics of an article.
 
     core: array of texts; tags: array<struct<name,type>>; date: a date."""
     filled = lambda c: F.when(c != "", c)
@@ -175,7 +175,7 @@ def meta_item(*, key: Column, korean: Column, original: Column, core: Column, ta
     topics = F.filter(tags, lambda t: t["type"].isin(*TOPIC_TYPES))
     none = F.array().cast("array<string>")
     return [
-        F.concat(F.lit("worldcons:"), key.cast("string")).alias("canonical_id"),
+        F.concat(F.lit(prefix), key.cast("string")).alias("canonical_id"),
         F.coalesce(filled(korean), filled(original), F.lit("제목 미상")).alias("title"),
         filled(snippet(F.array_join(core, " "), 1200)).alias("summary"),
         filled(snippet(F.get(core, 0), 320)).alias("snippet"),

@@ -176,7 +176,7 @@ def watchdog_violations(orders, nation):
 @query(
     "documents",
     sql="""WITH d AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS k, trim(regexp_replace(text, '[\x00-\x20\x7F]+', ' ', 'g'), ' ') AS p FROM documents WHERE NOT contains(text, '<')),
-e AS (SELECT *, trim(p || ' ' || source, ' ') AS q FROM d) SELECT 'worldcons:' || doc_id AS canonical_id, CASE WHEN k <> '' THEN k WHEN doc_id % 2 = 0 THEN 'original' ELSE '제목 미상' END AS title, sha256(CASE WHEN length(q) <= 1200 THEN q ELSE rtrim(substr(q, 1, 1199), ' ') || '…' END) AS summary,
+e AS (SELECT *, trim(p || ' ' || source, ' ') AS q FROM d) SELECT 'archive:' || doc_id AS canonical_id, CASE WHEN k <> '' THEN k WHEN doc_id % 2 = 0 THEN 'original' ELSE '제목 미상' END AS title, sha256(CASE WHEN length(q) <= 1200 THEN q ELSE rtrim(substr(q, 1, 1199), ' ') || '…' END) AS summary,
 sha256(CASE WHEN length(p) <= 320 THEN p ELSE rtrim(substr(p, 1, 319), ' ') || '…' END) AS snippet, source || ',Privacy' || CASE WHEN lang <> 'en' THEN ',' || lang ELSE '' END AS keywords, 'Privacy' || CASE WHEN lang <> 'en' THEN ',' || lang ELSE '' END AS topics, 2021 AS decision_year FROM e""",
 )
 def meta_search(documents):
@@ -184,7 +184,7 @@ def meta_search(documents):
     k = F.col("doc_id")
     tag = lambda name, kind: F.struct(name.alias("name"), F.lit(kind).alias("type"))
     lang = F.when(F.col("lang") != "en", F.col("lang")).otherwise(" ")
-    item = reading.meta_item(key=k, korean=F.when(k % 3 != 0, F.col("lang")).otherwise(""), original=F.when(k % 2 == 0, "original"), core=F.array("text", "source"), tags=F.array(tag(F.col("source"), "court"), tag(F.lit("Privacy"), "right")), summary_tags=F.array(F.lit("PRIVACY"), lang), categories=F.array(F.lit("privacy "), lang), date=F.lit("2021-05-06").cast("date"))
+    item = reading.meta_item(key=k, korean=F.when(k % 3 != 0, F.col("lang")).otherwise(""), original=F.when(k % 2 == 0, "original"), core=F.array("text", "source"), tags=F.array(tag(F.col("source"), "court"), tag(F.lit("Privacy"), "right")), summary_tags=F.array(F.lit("PRIVACY"), lang), categories=F.array(F.lit("privacy "), lang), date=F.lit("2021-05-06").cast("date"), prefix="archive:")
     got = documents.where(~F.col("text").contains("<")).select(*item)
     digest = lambda c: F.sha2(F.coalesce(F.col(c), F.lit("")).cast("binary"), 256).alias(c)
     return got.select("canonical_id", "title", digest("summary"), digest("snippet"), F.array_join("keywords", ",").alias("keywords"), F.array_join("topics", ",").alias("topics"), "decision_year")

@@ -10,7 +10,7 @@ def session(master: str | None = None, app: str = "lexspark", **conf: str) -> Sp
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    base = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.adaptive.coalescePartitions.enabled": "true"}
+    base = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.adaptive.coalescePartitions.enabled": "true", "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
     for k, v in (base | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()

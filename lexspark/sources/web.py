@@ -18,46 +18,137 @@ from pyspark.sql import functions as F
 SKIPPED = {"script", "style", "noscript", "template", "nav", "header", "footer", "aside", "form"}
 BLOCKS = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "br", "section", "article", "blockquote", "pre", "table", "ul", "ol"}
 MIN_TEXT = 200
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
+#: Elements that end an open one of their kind (and what is open in it), as their end tags may be left out.
+CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
+#: Where the text of official pages is if nothing stands out, tried in this order.
+PLACES = ("main", "article", "#pagemaindiv", ".field--name-body", ".content")
+#: Words of class and id that speak for and against an element as the place of the text.
+FOR = re.compile(r"article|body|content|entry|main|page|post|story|text", re.I)
+AGAINST = re.compile(r"banner|combx|comment|footer|menu|meta|nav|promo|related|share|sidebar|sponsor|teaser|widget|(?:^|[\s_-])ads?(?:[\s_-]|$)", re.I)
+LEAST_CHARS, SIBLING, HINT = 25, 0.2, 25
 
 
 class _Page(HTMLParser):
+    """A page's blocks of text, each with its place in the tree of elements.
+
+    nodes: (parent, tag, hint for or against, places of PLACES); blocks: (node, text, characters in links)."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.text, self.inside, self.title, self.in_title, self.skipped = [], {"article": [], "main": []}, [], False, 0
-        self.depth = {"article": 0, "main": 0}
+        self.nodes, self.blocks, self.title, self.in_title = [(-1, "", 0, frozenset())], [], [], False
+        self.open, self.skipped, self.linked = [0], 0, 0
+        self.text, self.link_chars = [], 0
 
     def handle_starttag(self, tag, attrs):
-        if tag in SKIPPED:
-            self.skipped += 1
-        if tag in self.depth:
-            self.depth[tag] += 1
-        if tag in BLOCKS:
-            self._add("\n")
         if tag == "title":
             self.in_title = True
+        if tag in BLOCKS:
+            self._cut()
+        if tag == "br" or tag in VOID:
+            return
+        ends = CLOSES.get(tag)
+        if ends:
+            self._close(ends, stop={"table", "ul", "ol", "dl"})
+        if tag in SKIPPED:
+            self.skipped += 1
+        if tag == "a":
+            self.linked += 1
+        a = dict(attrs)
+        names = f"{a.get('class') or ''} {a.get('id') or ''}"
+        hint = HINT * bool(FOR.search(names)) - HINT * bool(AGAINST.search(names))
+        own = {tag, f"#{a.get('id')}", *(f".{c}" for c in (a.get("class") or "").split())}
+        self.nodes.append((self.open[-1], tag, hint, frozenset(p for p in PLACES if p in own)))
+        self.open.append(len(self.nodes) - 1)
 
     def handle_endtag(self, tag):
-        if tag in SKIPPED:
-            self.skipped = max(0, self.skipped - 1)
-        if tag in self.depth:
-            self.depth[tag] = max(0, self.depth[tag] - 1)
-        if tag in BLOCKS:
-            self._add("\n")
         if tag == "title":
             self.in_title = False
-
-    def _add(self, s):
-        if not self.skipped:
-            self.text.append(s)
-            for k, d in self.depth.items():
-                if d:
-                    self.inside[k].append(s)
+        if tag in BLOCKS:
+            self._cut()
+        if any(self.nodes[n][1] == tag for n in self.open[1:]):
+            self._close({tag}, stop=set())
+
+    def _close(self, tags, stop):
+        """Close the innermost open element of the tags, and all within it, unless a stop is met before."""
+        at = next((k for k in range(len(self.open) - 1, 0, -1) if self.nodes[self.open[k]][1] in tags | stop), 0)
+        if at and self.nodes[self.open[at]][1] in tags:
+            self._cut()
+            for n in self.open[at:]:
+                self.skipped -= self.nodes[n][1] in SKIPPED
+                self.linked -= self.nodes[n][1] == "a"
+            del self.open[at:]
+
+    def _cut(self):
+        text = " ".join("".join(self.text).split())
+        if text:
+            owner = next((n for n in reversed(self.open) if self.nodes[n][1] in BLOCKS), 0)
+            self.blocks.append((owner, text, min(self.link_chars, len(text))))
+        self.text, self.link_chars = [], 0
 
     def handle_data(self, data):
         if self.in_title:
             self.title.append(data)
-            return
-        self._add(data)
+        elif not self.skipped:
+            self.text.append(data)
+            if self.linked:
+                self.link_chars += len("".join(data.split()))
+
+    def above(self, node):
+        """The node and what it lies in, from the inside out."""
+        while node >= 0:
+            yield node
+            node = self.nodes[node][0]
+
+
+def _main_blocks(page: _Page) -> list[str]:
+    """The blocks of the element that most of the running text is in, and of its siblings that are like it.
+
+    A block of some length is worth 1, its commas, and its length in hundreds up to 3. The element
+    around it gets that, the one above a half, those above a third and so on of it; class and id speak for or against. An
+    element's worth falls by the share of its characters that are links."""
+    parent = [n[0] for n in page.nodes]
+    inner = {parent[n] for n, x in enumerate(page.nodes) if x[1] in BLOCKS}
+    worth, chars, links = {}, [0] * len(parent), [0] * len(parent)
+    for owner, text, linked in page.blocks:
+        for n in page.above(owner):
+            chars[n] += len(text)
+            links[n] += linked
+        if len(text) >= LEAST_CHARS:
+            points = 1 + text.count(",") + min(len(text) // 100, 3)
+            around = page.above(owner if owner in inner else parent[owner])  # an element of text alone is a paragraph
+            for k, n in enumerate(around):
+                worth[n] = worth.get(n, 0) + points / (1 if k == 0 else 2 if k == 1 else 3 * k)
+    if not worth:
+        return []
+    final = {n: (w + page.nodes[n][2]) * (1 - links[n] / chars[n]) for n, w in worth.items()}
+    best = max(final, key=lambda n: (final[n], -n))
+    like = max(10, SIBLING * final[best])
+    kept = {best} | {n for n, w in final.items() if parent[n] == parent[best] and w >= like}
+    kept |= {n for n, x in enumerate(page.nodes) if parent[n] == parent[best] and x[1] == "p" and chars[n] > 80 and links[n] < 0.25 * chars[n]}
+
+    def belongs(node):
+        """Whether a kept element is met on the way up, before any that class or id speak against."""
+        for n in page.above(node):
+            if n in kept or page.nodes[n][2] < 0:
+                return n in kept
+        return False
+
+    return [text for owner, text, linked in page.blocks if 2 * linked <= len(text) and belongs(owner)]
+
+
+def _readable(page: _Page) -> tuple[str, str]:
+    """The text, and how it was found: scored, one of PLACES, or body."""
+    text = "\n".join(_main_blocks(page))
+    if len(text) > MIN_TEXT:
+        return text, "scored"
+    for place in PLACES:
+        text = "\n".join(t for owner, t, _ in page.blocks if any(place in page.nodes[n][3] for n in page.above(owner)))
+        if len(text) > MIN_TEXT:
+            return text, place
+    return "\n".join(t for _, t, _ in page.blocks), "body"
 
 
 def _tidy(parts) -> str:
@@ -69,27 +160,24 @@ def _parse(html: str) -> _Page:
     p = _Page()
     p.feed(html or "")
     p.close()
+    p._cut()
     return p
 
 
 def readable(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, title, text: the first of article and main with over 200 characters, else the body."""
+    """key, title, text, found: the element that holds the running text, by the lengths, commas and links of
+    its blocks; if that has no more than 200 characters, the first of PLACES with more, or else the body."""
 
     def run(batches):
         for pdf in batches:
             parsed = [_parse(h) for h in pdf["html"]]
-            text = []
-            for p in parsed:
-                found = [t for k in ("article", "main") if len(t := _tidy(p.inside[k])) > MIN_TEXT]
-                text.append(found[0] if found else _tidy(p.text))
-            yield pd.DataFrame({"key": pdf["key"], "title": [_tidy(p.title) for p in parsed], "text": text})
+            got = [_readable(p) for p in parsed]
+            yield pd.DataFrame({"key": pdf["key"], "title": [_tidy(p.title) for p in parsed], "text": [t for t, _ in got], "found": [f for _, f in got]})
 
     kind = pages.schema[key].dataType.simpleString()
-    return pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInPandas(run, f"key {kind}, title string, text string").withColumnRenamed("key", key)
+    return pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInPandas(run, f"key {kind}, title string, text string, found string").withColumnRenamed("key", key)
 
 
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-
 
 class _Tree(HTMLParser):
     """Open elements as a stack of [tag, classes, id, text, links]; links with what selects them."""

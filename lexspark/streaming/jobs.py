@@ -7,9 +7,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-STAGES = ("discovery", "crawl", "normalize", "translate", "judge", "publish", "search")
+# The stages, in order.
+STAGES = ("discovery", "crawl", "normalize", "translate", "public-judgment", "publish", "search")
 
 
 def rate_limit(events: DataFrame, key: str, ts: str, order: str, seconds: int, limit: int) -> DataFrame:
@@ -45,24 +46,67 @@ def rate_limit(events: DataFrame, key: str, ts: str, order: str, seconds: int, l
     return rows.mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, window_start {kinds['ts']}, n long, allowed boolean")
 
 
-def rate_limit_stream(events: DataFrame, key: str, ts: str, seconds: int, limit: int) -> DataFrame:
-    """The same limiter on a stream: state is the open window's start and count."""
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, n = state.get if state.exists else (0.0, 0)
-        got = pd.concat(list(batches)).sort_values("t")
-        allowed = 0
-        for t in got["t"]:
-            if n == 0 or t >= start + seconds:
-                start, n = float(t), 0
+class _Windows(StatefulProcessor):
+    """A key's open window (start and hits so far) and the hits that the watermark has not reached."""
+
+    def __init__(self, seconds: int, limit: int, columns: list[str], state: str):
+        self.width, self.limit, self.columns, self.state = seconds * 1_000_000, limit, columns, state
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "start long, n long")
+        self.waiting = handle.getListState("waiting", self.state)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        hits = [tuple(r) for pdf in rows for r in pdf[["us", "at"]].itertuples(index=False)]
+        self.waiting.appendList(hits)
+        for t in {-(-int(us) // 1000) for us, _ in hits}:  # a millisecond's hits have one timer
+            self.handle.registerTimer(t)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        hits = sorted((int(us), at) for us, at in self.waiting.get())
+        ready, later = [h for h in hits if h[0] <= upto], [h for h in hits if h[0] > upto]
+        start, n = self.window.get() if self.window.exists() else (0, 0)
+        out = []
+        for us, at in ready:
+            if not n or us >= start + self.width:
+                start, n = us, 0
             n += 1
-            allowed += n <= limit
-        state.update((start, n))
-        yield pd.DataFrame({key: [k[0]], "seen": [len(got)], "allowed": [allowed]})
-
-    rows = events.select(key, F.unix_micros(F.col(ts).cast("timestamp")).cast("double").alias("us")).select(key, (F.col("us") / 1e6).alias("t"))
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, seen long, allowed long", "start double, n long", "update", GroupStateTimeout.NoTimeout)
+            out.append((*key, at, start, n, n <= self.limit))
+        if later:
+            self.waiting.put(later)
+        else:
+            self.waiting.clear()
+        if n and upto >= start + self.width:  # the window is over: nothing of it is kept
+            self.window.clear()
+        elif ready:
+            self.window.update((start, n))
+            self.handle.registerTimer(-(-(start + self.width) // 1000))
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def rate_limit_stream(events: DataFrame, key: str, ts: str, order: str, seconds: int, limit: int, late: str = "10 minutes") -> DataFrame:
+    """The same limiter on a stream, hit by hit: key, order, window_start, n, allowed, as ``rate_limit`` says of
+    the same hits.
+
+    Hits wait until the watermark (``late`` behind the latest hit) has passed them, so those of a key may come in any order
+    within that time; what is later is dropped. A timer for each millisecond with hits answers them in order, and one at a
+    window's end forgets it, so state holds the hits of the last ``late`` and one window of each key that was
+    active. Needs the RocksDB state store (``session`` sets it)."""
+    at = events.schema[order].dataType.simpleString()
+    kind = events.schema[key].dataType.simpleString()
+    rows = events.select(key, F.col(order).alias("at"), F.col(ts).cast("timestamp").alias("event_time"))
+    rows = rows.withWatermark("event_time", late).withColumn("us", F.unix_micros("event_time"))
+    done = rows.groupBy(key).transformWithStateInPandas(
+        _Windows(seconds, limit, [key, order, "start", "n", "allowed"], f"us long, at {at}"), f"{key} {kind}, {order} {at}, start long, n long, allowed boolean", "append", "EventTime"
+    )
+    return done.select(key, order, F.timestamp_micros("start").cast("timestamp_ntz").alias("window_start"), "n", "allowed")
 
 
 def register(jobs: DataFrame, existing: DataFrame | None, keys: list[str], order: str) -> DataFrame:

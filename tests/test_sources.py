@@ -53,12 +53,12 @@ def test_metadata(spark):
 def test_source(spark):
     host = "https://www.conseil-constitutionnel.fr"
     body = "<title>t</title><h1>Décision n° 2020-800 QPC</h1><article><p>" + "mot " * 100 + "</p></article>"
-    pages = spark.createDataFrame([(1, host + "/list", f'<a href="/decision/1#a">One</a><a href="/decision/2?utm_id=1">Two</a><a href="https://elsewhere.org/x">No</a>'), (2, host + "/decision/1/", body), (3, "https://elsewhere.org/", "<a href='/z'>z</a>")], "page_id long, url string, html string")
+    pages = spark.createDataFrame([(1, host + "/list", f'<a href="/decision/2020/1.htm#a">One</a><a href="/decision/2020/2.htm?utm_id=1">Two</a><a href="/decision">list</a><a href="https://elsewhere.org/x">No</a>'), (2, host + "/decision/2020/1.htm", body), (3, "https://elsewhere.org/", "<a href='/z'>z</a>")], "page_id long, url string, html string")
     s = courts.SOURCES["fr-conseil-constitutionnel"]
     found = s.discover(pages)
-    assert sorted((r.url, r.title) for r in found.collect()) == [(host + "/decision/1", "One"), (host + "/decision/2", "Two")]
+    assert sorted((r.url, r.title) for r in found.collect()) == [(host + "/decision/2020/1.htm", "One"), (host + "/decision/2020/2.htm", "Two")]
     fetched = s.fetch(found, pages)
-    assert {r.url: r.fetched for r in fetched.collect()} == {host + "/decision/1": True, host + "/decision/2": False}
+    assert {r.url: r.fetched for r in fetched.collect()} == {host + "/decision/2020/1.htm": True, host + "/decision/2020/2.htm": False}
     row = s.normalize(fetched).collect()
     assert [(r.source_key, r.language, r.title, r.case_key) for r in row] == [(s.key, "fr", "Décision n° 2020-800 QPC", "2020800qpc")] and row[0].text.startswith("mot mot") and len(row[0].content_hash) == 32
 
