@@ -8,12 +8,15 @@ histogram of logarithmic buckets (relative error under 1/16): counts add up in a
 partial counts are merged map-side before the shuffle, its size is bounded by the bucket
 rule and not by the data, and the result does not depend on partitioning.
 
-A group's cutoff is robust against the junk in it: its upper quartile and ``SPREADS`` times
-the distance from the median to it, in buckets, so up to a quarter of a group may be junk.
-It lies at least ``MARGIN_BUCKETS`` over the upper quartile and is never under the measure's
-floor, so that groups without any spread don't reject ordinary texts.  A group of under
-``MIN_GROUP`` judged texts takes the merged sketch of its language, and if that has as few,
-that of all texts.  Groups are few beside texts: they are broadcast if at most
+A group's cutoff is where its sketch shows that texts of another kind begin: a valley.  At the upper
+side of the valley lie between ``LEAST_PERCENT`` and ``MOST_PERCENT`` of the group's texts, and the ``VALLEY``
+buckets below them (a factor of about 1.25) hold fewer than one text for every ``CONTRAST`` of
+those; of several such places the one with the clearest contrast is taken.  The valley
+reaches down as long as that holds, and its middle is the cutoff.  A measure whose texts thin
+out without a valley rejects nothing; there is no fixed cutoff and no floor.  A group of under
+``MIN_GROUP`` judged texts, or without a valley, takes the cutoff of its language's merged sketch, and on the
+same terms that of all texts.
+Groups are few beside texts: they are broadcast if at most
 ``BROADCAST_GROUPS``, else joined with each group's texts dealt over ``SALTS`` tasks.
 
 Null and empty texts have no words and fail the base rules.  A null language or source is
@@ -31,11 +34,10 @@ from lexspark.llm import _text as T
 SPACE = "[\\x20\\x09-\\x0D]"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-SPREADS = 3
-MARGIN_BUCKETS = 8  # eight buckets: a factor of about 1.4
-MIN_GROUP = 100
-FLOORS = {"symbols": 50, "repeats": 300, "lines": 50, "length": 0}
-MEASURES = tuple(FLOORS)
+MIN_GROUP = 1_000
+VALLEY, CONTRAST = 5, 25
+LEAST_PERCENT, MOST_PERCENT = 3, 25
+MEASURES = ("symbols", "repeats", "lines", "length")
 BROADCAST_GROUPS = 100_000
 SALTS = 64
 MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -82,36 +84,37 @@ def bucket(value: Column) -> Column:
     return F.when(value < 16, value).otherwise((digits - 5) * 16 + value / F.pow(F.lit(2.0), digits - 5)).cast("long")
 
 
-def bucket_of(value: int) -> int:
-    return value if value < 16 else (value.bit_length() - 5) * 16 + (value >> value.bit_length() - 5)
-
-
 def _per_mille() -> list[Column]:
     words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
     div = lambda a, b: F.floor(a * 1000 / b).cast("long")
     return [div(F.col("n_symbols"), chars), div(F.col("n_repeat_words"), words), div(F.col("n_dup_lines"), words), div(F.col("word_chars"), words)]
 
 
-def thresholds(sketch: DataFrame, spreads: int = SPREADS, margin: int = MARGIN_BUCKETS, least: int = MIN_GROUP) -> DataFrame:
-    """l, s, t0 to t3: the last bucket that each group allows. sketch: l, s, m, b, n."""
+def thresholds(sketch: DataFrame, least: int = MIN_GROUP) -> DataFrame:
+    """l, s, t0 to t3: the last bucket that each group allows, null if it allows all. sketch: l, s, m, b, n."""
     one = sketch.groupBy("l", "s", "m", "b").agg(F.sum("n").alias("n"))
     two = one.groupBy("l", "m", "b").agg(F.sum("n").alias("n")).withColumn("s", F.lit(""))
     all_ = two.groupBy("m", "b").agg(F.sum("n").alias("n")).withColumns({"l": F.lit(""), "s": F.lit("")})
     levels = [x.withColumn("level", F.lit(k)) for k, x in enumerate((one, two, all_))]
     merged = levels[0].unionByName(levels[1]).unionByName(levels[2])
-    group = Window.partitionBy("level", "l", "s", "m")
-    ranked = merged.withColumn("below", F.sum("n").over(group.orderBy("b"))).withColumn("total", F.sum("n").over(group))
-    at = lambda q: F.min(F.when(F.col("below") >= F.ceil(F.lit(q) * F.col("total")), F.col("b")))
-    found = ranked.groupBy("level", "l", "s", "m").agg(F.max("total").alias("total"), at(0.5).alias("half"), at(0.75).alias("upper"))
-    floor = F.element_at(F.array(*(F.lit(bucket_of(FLOORS[m])) for m in MEASURES)), F.col("m") + 1)
-    cut = F.greatest(F.col("upper") + spreads * (F.col("upper") - F.col("half")), F.col("upper") + margin, floor)
+    group = Window.partitionBy("level", "l", "s", "m")  # a sketch's buckets, some hundreds at most
+    under = F.coalesce(F.sum("n").over(group.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = merged.withColumns({"total": F.sum("n").over(group), "under": under, "near": F.coalesce(F.sum("n").over(group.orderBy("b").rangeBetween(-VALLEY, -1)), F.lit(0))})
+    above = F.col("total") - F.col("under")
+    begins = (100 * above >= LEAST_PERCENT * F.col("total")) & (100 * above <= MOST_PERCENT * F.col("total")) & (CONTRAST * (F.col("near") + 1) <= above)
+    clearest = F.min(F.when(begins, F.struct((CONTRAST * F.col("near") - above).alias("score"), F.col("b").alias("b"), F.col("under").alias("under"), above.alias("above")))).over(group)
+    ranked = ranked.withColumn("top", clearest)
+    # the highest bucket with which what lies below the top would be too much for a valley
+    bottom = F.max(F.when((F.col("b") < F.col("top.b")) & (CONTRAST * (F.col("top.under") - F.col("under")) > F.col("top.above")), F.col("b")))
+    found = ranked.groupBy("level", "l", "s", "m").agg(F.max("total").alias("total"), F.max("top.b").alias("b"), bottom.alias("a"))
+    cut = F.floor((F.col("a") + F.col("b")) / 2)
     wide = found.groupBy("level", "l", "s").agg(F.max("total").alias("total"), F.array(*(F.max(F.when(F.col("m") == k, cut)) for k in range(len(MEASURES)))).alias("t"))
     own, lang, every = (wide.where(F.col("level") == k) for k in range(3))
     lang = lang.select("l", F.col("total").alias("total_l"), F.col("t").alias("t_l"))
     every = every.select(F.col("t").alias("t_all"))  # one row
     picked = own.join(lang, "l").crossJoin(F.broadcast(every))
-    t = F.when(F.col("total") >= least, F.col("t")).when(F.col("total_l") >= least, F.col("t_l")).otherwise(F.col("t_all"))
-    return picked.select("l", "s", *(F.get(t, k).alias(f"t{k}") for k in range(len(MEASURES))))
+    t = lambda k: F.coalesce(F.when(F.col("total") >= least, F.get("t", k)), F.when(F.col("total_l") >= least, F.get("t_l", k)), F.get("t_all", k))
+    return picked.select("l", "s", *(t(F.lit(k)).alias(f"t{k}") for k in range(len(MEASURES))))
 
 
 def judge(measured: DataFrame, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:

@@ -114,8 +114,7 @@ def _quality_sql() -> str:
     }
     long = " UNION ALL ".join(f"SELECT l, s, '{m}' AS m, b_{m} AS b FROM bucketed WHERE NOT base_failed" for m in rate)
     fails = " OR ".join(f"coalesce(b_{m} > t_{m}, false)" for m in rate)
-    floors = " ".join(f"WHEN '{m}' THEN {quality_rules.bucket_of(v)}" for m, v in quality_rules.FLOORS.items())
-    least, spreads, margin = quality_rules.MIN_GROUP, quality_rules.SPREADS, quality_rules.MARGIN_BUCKETS
+    r = quality_rules
     return f"""
 WITH d AS (SELECT doc_id, coalesce(lang, chr(0)) AS l, coalesce(source, chr(0)) AS s, {_WORDS} AS w,
                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
@@ -131,10 +130,13 @@ rated AS (SELECT *, {", ".join(f"{v} AS r_{m}" for m, v in rate.items())} FROM f
 bucketed AS (SELECT *, {", ".join(f"{_BUCKET.format(f'r_{m}')} AS b_{m}" for m in rate)} FROM rated),
 sketch AS (SELECT l, s, m, b, count(*) AS n FROM ({long}) GROUP BY l, s, m, b),
 levels AS (SELECT 0 AS v, l, s, m, b, n FROM sketch UNION ALL SELECT 1, l, '', m, b, sum(n) FROM sketch GROUP BY l, m, b UNION ALL SELECT 2, '', '', m, b, sum(n) FROM sketch GROUP BY m, b),
-ranked AS (SELECT *, sum(n) OVER (PARTITION BY v, l, s, m ORDER BY b) AS below, sum(n) OVER (PARTITION BY v, l, s, m) AS total FROM levels),
-q AS (SELECT v, l, s, m, max(total) AS total, min(b) FILTER (below >= ceil(0.5 * total)) AS half, min(b) FILTER (below >= ceil(0.75 * total)) AS upper FROM ranked GROUP BY v, l, s, m),
-t AS (SELECT v, l, s, m, total, greatest(upper + {spreads} * (upper - half), upper + {margin}, CASE m {floors} END) AS t FROM q),
-pick AS (SELECT a.l, a.s, a.m, CASE WHEN a.total >= {least} THEN a.t WHEN b.total >= {least} THEN b.t ELSE c.t END AS t
+ranked AS (SELECT *, sum(n) OVER (PARTITION BY v, l, s, m) AS total, coalesce(sum(n) OVER (PARTITION BY v, l, s, m ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS under,
+           coalesce(sum(n) OVER (PARTITION BY v, l, s, m ORDER BY b RANGE BETWEEN {r.VALLEY} PRECEDING AND 1 PRECEDING), 0) AS near FROM levels),
+starts AS (SELECT *, total - under AS above FROM ranked WHERE 100 * (total - under) BETWEEN {r.LEAST_PERCENT} * total AND {r.MOST_PERCENT} * total AND {r.CONTRAST} * (near + 1) <= total - under),
+top AS (SELECT * FROM starts QUALIFY row_number() OVER (PARTITION BY v, l, s, m ORDER BY {r.CONTRAST} * near - above, b) = 1),
+bottom AS (SELECT v, l, s, m, max(x.b) AS a FROM ranked AS x JOIN top USING (v, l, s, m) WHERE x.b < top.b AND {r.CONTRAST} * (top.under - x.under) > top.above GROUP BY ALL),
+t AS (SELECT v, l, s, m, max(total) AS total, max(CAST(floor((a + top.b) / 2) AS BIGINT)) AS t FROM (SELECT DISTINCT v, l, s, m, total FROM ranked) LEFT JOIN top USING (v, l, s, m, total) LEFT JOIN bottom USING (v, l, s, m) GROUP BY ALL),
+pick AS (SELECT a.l, a.s, a.m, coalesce(CASE WHEN a.total >= {r.MIN_GROUP} THEN a.t END, CASE WHEN b.total >= {r.MIN_GROUP} THEN b.t END, c.t) AS t
          FROM t AS a JOIN t AS b ON b.v = 1 AND b.l = a.l AND b.m = a.m JOIN t AS c ON c.v = 2 AND c.m = a.m WHERE a.v = 0),
 cut AS (SELECT l, s, {", ".join(f"min(t) FILTER (m = '{m}') AS t_{m}" for m in rate)} FROM pick GROUP BY l, s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({fails}) AS kept
