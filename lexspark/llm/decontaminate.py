@@ -12,8 +12,10 @@ whole lies within one passage.  Every passage is a query of its distinct terms:
 bounds of its terms are summed, runs whose bound stays under the threshold are skipped as in
 WAND, and the rest are scored in full.  All items at or over the threshold are retrieved, with
 no cap, and each is confirmed by how much of the item's question and of its answer (its last
-quarter, at least 5 words) the passage repeats: in runs of 3 words, or, for a part of under
-``SHORT`` words, where one changed word would break most runs, in words.
+quarter, at least 5 words) the passage repeats: the share of the part's words that stand beside
+the same word, before or behind, as in the passage. (One rule for all lengths: a changed word costs itself and
+at the part's ends its one neighbour, so no single change takes an answer under ``OVERLAP``; a part of
+one word is looked for by itself.)
 
 Hits belong to texts, not rows: they come back by the text's digest, by a broadcast join if
 few enough, else by a shuffled one whose hot texts AQE splits.  Null and empty texts hold
@@ -37,8 +39,6 @@ from lexspark.llm import _text as T
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 OVERLAP = 0.6
-GRAM = 3
-SHORT = 9
 RUN = 8
 BLOCK_WORDS = 200_000
 BROADCAST_HITS = 200_000
@@ -110,9 +110,10 @@ class Index:
                 continue
             r = int(np.searchsorted(base, passage[a], "right")) - 1
             start = first[r] + (passage[a] - base[r]) * step
-            grams = {n: _grams(h[start : min(start + 2 * step, first[r + 1])], n) for n in (1, GRAM)}
+            passage_words = h[start : min(start + 2 * step, first[r + 1])]
+            pairs = _pairs(passage_words)
             for i in hits.tolist():
-                share = min(np.isin(g, grams[n]).mean() for n, g in self.parts[i])
+                share = min(covered(p, passage_words, pairs) for p in self.parts[i])
                 if share >= overlap:
                     old = found.get((r, i), (0.0, 0.0))
                     found[r, i] = max(old, (float(score[i]), float(share)))
@@ -126,15 +127,23 @@ def _lists(first: np.ndarray, which: np.ndarray) -> np.ndarray:
     return np.repeat(first[which] - (upto - size), size) + np.arange(int(upto[-1]) if len(upto) else 0)
 
 
-def _grams(w: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of runs of n words."""
-    return T.windows(w, np.array([0, len(w)]), n)[0]
+def _pairs(w: np.ndarray) -> np.ndarray:
+    """Hashes of neighbouring words."""
+    return T.windows(w, np.array([0, len(w)]), 2)[0]
 
 
-def parts(w: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """Question and answer of an item's words, each as (width, runs of so many words)."""
+def parts(w: np.ndarray) -> list[np.ndarray]:
+    """Question and answer of an item's words."""
     answer = min(len(w), max(5, len(w) // 4))
-    return [(n, _grams(p, n)) for p in (w[: len(w) - answer], w[len(w) - answer :]) if len(p) for n in [GRAM if len(p) >= SHORT else 1]]
+    return [p for p in (w[: len(w) - answer], w[len(w) - answer :]) if len(p)]
+
+
+def covered(part: np.ndarray, words: np.ndarray, pairs: np.ndarray) -> float:
+    """Share of a part's words that lie in a pair of neighbours which is among ``pairs``."""
+    if len(part) == 1:
+        return float(np.isin(part, words)[0])
+    hit = np.isin(_pairs(part), pairs)
+    return float((np.append(hit, False) | np.append(False, hit)).mean())
 
 
 def _terms(batches):

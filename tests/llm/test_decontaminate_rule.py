@@ -4,8 +4,10 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
+from lexspark.llm import _text as T
 from lexspark.llm import decontaminate as D
 
 
@@ -18,7 +20,7 @@ def _brute(docs, items):
         w = (text or "").lower().split()
         for at in range(0, len(w) // step * step + 1, step):
             passage = w[at : at + 2 * step]
-            have, runs = set(passage), {tuple(passage[i : i + 3]) for i in range(len(passage) - 2)}
+            have, runs = set(passage), {tuple(passage[i : i + 2]) for i in range(len(passage) - 1)}
             for k, t in words.items():
                 tf = Counter(t)
                 impact = {x: math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * c * (D.K1 + 1) / (c + D.K1 * (1 - D.B + D.B * len(t) / mean)) for x, c in tf.items()}
@@ -28,10 +30,7 @@ def _brute(docs, items):
                 answer = min(len(t), max(5, len(t) // 4))
                 shares = []
                 for p in (t[: len(t) - answer], t[len(t) - answer :]):
-                    if len(p) >= D.SHORT:
-                        g = [tuple(p[i : i + 3]) in runs for i in range(len(p) - 2)]
-                    else:
-                        g = [x in have for x in p]
+                    g = [p[0] in have] if len(p) == 1 else [any(0 <= j < len(p) - 1 and tuple(p[j : j + 2]) in runs for j in (i - 1, i)) for i in range(len(p))]
                     if g:
                         shares.append(sum(g) / len(g))
                 if min(shares) >= D.OVERLAP:
@@ -70,3 +69,30 @@ def test_one_changed_word_in_a_short_answer(spark):
     bench = spark.createDataFrame([(1, item), (2, "another question about rivers and a long answer that names none")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "filler " * 20 + item.replace("white", "bright") + " filler" * 20)], "doc_id long, text string")
     assert D.find(docs, bench).first().contaminated
+
+
+@pytest.mark.parametrize("place", range(15))
+def test_one_changed_word_at_any_place_of_any_answer(spark, place):
+    words = [f"w{i}" for i in range(80)]
+    items, docs = [], []
+    for n in range(5, 16):  # an answer is the last quarter, at least 5 words
+        length = 4 * n if n > 5 else 21
+        item = [f"n{n}{x}" for x in words[:length]]
+        assert len(D.parts(T.scan(pa.array([" ".join(item)]))[0])[1]) == n
+        items.append((n, " ".join(item)))
+        item[length - n + place % n] = "changed"
+        docs.append((n, "filler " * 30 + " ".join(item) + " filler" * 30))
+    got = D.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert all([h.item for h in r.hits] == [r.doc_id] for r in got)
+
+
+def test_clean_texts_of_the_same_words(spark):
+    rnd = random.Random(9)
+    items = [(i, " ".join(rnd.choices([f"t{j}" for j in range(60)], k=24))) for i in range(20)]
+    shuffled = []
+    for i, t in items:
+        w = t.split()
+        rnd.shuffle(w)
+        shuffled.append((i, " ".join(w)))
+    docs = spark.createDataFrame(shuffled, "doc_id long, text string")
+    assert not any(r.contaminated for r in D.find(docs, spark.createDataFrame(items, "item_id long, text string")).collect())
