@@ -114,6 +114,15 @@ def agent_family(agent: Column) -> Column:
     return F.when(agent.rlike("(?i)edg\\/"), "Edge").when(agent.rlike("(?i)chrome|crios"), "Chrome").when(agent.rlike("(?i)firefox|fxios"), "Firefox").when(safari, "Safari").when(agent.rlike("(?i)node|undici"), "Server").when(agent != "", "Other")
 
 
+# What the agents of machines that read pages say of themselves.
+BOT_MARKERS = ("bot", "crawler", "spider", "preview", "facebookexternalhit", "slurp", "bingpreview", "duckduckbot", "ahrefs", "semrush")
+
+
+def is_bot(agent: Column) -> Column:
+    """Whether an agent says that it is a machine; false without an agent."""
+    return F.coalesce(F.lower(agent).rlike("|".join(BOT_MARKERS)), F.lit(False))
+
+
 def client_hash(address: Column, day: Column, salt: str) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(salt), day.cast("string"), address), 256)
 

@@ -256,6 +256,15 @@ def meets(values: dict[str, Column], least: dict[str, float | None]) -> Column:
     return reduce(lambda a, b: a & b, (values[k] >= v for k, v in least.items() if v is not None), F.lit(True))
 
 
+def rank_gate(cases: DataFrame, by: str, metrics: dict[str, str], least: dict[str, float | None]) -> DataFrame:
+    """by, cases, strict, failed, the means of metrics over compared cases, and ok: no strict case failed, and no
+    stated threshold is missed. cases: by, status (see ``policy_status``) and the columns of ``metrics`` (name: column)."""
+    strict = F.col("status").isin("pass", "fail")
+    means = [F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(name) for name, c in metrics.items()]
+    out = cases.groupBy(by).agg(F.count("*").alias("cases"), F.count_if(strict).alias("strict"), F.count_if(F.col("status") == "fail").alias("failed"), *means)
+    return out.withColumn("ok", (F.col("failed") == 0) & meets({name: F.col(name) for name in metrics}, least))
+
+
 def canary_ok(*, kind: Column, ids: Column, expected: Column, within: Column, score: Column, least: Column) -> Column:
     """Whether a page of ids is as a canary expects: exact-order, top-id, contains or self-top."""
     first = F.get(ids, 0) == F.get(expected, 0)

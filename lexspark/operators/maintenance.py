@@ -7,6 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspark.functions import rules
+
 MAX_SCAN = 1000
 
 
@@ -138,6 +140,14 @@ def retained(df: DataFrame, ts: str, now: datetime, days: int) -> DataFrame:
     return df.where(F.col(ts) >= F.lit(now - timedelta(days=days)).cast(df.schema[ts].dataType))
 
 
+def uncovered(tags: DataFrame, terms: DataFrame, name: str) -> DataFrame:
+    """Tags that no glossary term covers by its slug, its names or those of the tags it is related to.
+
+    terms: slug, term, korean, related (array of texts)."""
+    covered = rules.covered_keys(terms).select(F.col("key").alias("covered_key"))
+    return tags.join(covered, rules.tag_key(F.col(name)) == F.col("covered_key"), "left_anti")
+
+
 def glossary_candidates(tags: DataFrame, known: DataFrame, name: str, count: str, alias: Column, least: int, n: int) -> DataFrame:
     """Frequent tags without a glossary term, one for each alias key."""
     rows = tags.where(F.col(count) >= least).withColumn("alias", alias).join(known.select("alias").distinct(), "alias", "left_anti")
@@ -198,6 +208,18 @@ def jobs_by_state(jobs: DataFrame, by: str, state: str, ts: str) -> DataFrame:
     return jobs.groupBy(by, state).agg(F.count("*").alias("jobs"), F.min(ts).alias("oldest"))
 
 
+def page_with_count(rows: DataFrame, filters: dict, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
+    """A page of the rows that have the given values (None filters nothing), with the exact number of all of them; the
+    count and the page are one scan each, and the number of rows (total) goes with every row of the page."""
+    if not 1 <= limit <= MAX_SCAN or offset < 0:
+        raise ValueError("limit or offset out of range")
+    some = rows
+    for k, v in filters.items():
+        if v is not None:
+            some = some.where(F.col(k) == v)
+    return some.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(some.agg(F.count("*").alias("total"))))  # one row
+
+
 def aliases_per_concept(aliases: DataFrame, concept: str, order: list[Column], n: int = 8) -> DataFrame:
     w = Window.partitionBy(concept).orderBy(*order)
     return aliases.withColumn("alias_rank", F.row_number().over(w)).where(F.col("alias_rank") <= n)

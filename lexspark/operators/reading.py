@@ -151,11 +151,6 @@ def unserved(versions: DataFrame, artifacts: DataFrame, same: list[str]) -> Data
     return a.join(b, on, "left_anti")
 
 
-def per_group(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
-    """The first n of each group."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("place") <= n)
-
-
 # Types of tags that count as topics.
 TOPIC_TYPES = ("right", "topic", "doctrine", "procedure", "case_type")
 
@@ -197,3 +192,23 @@ def sitemap(articles: DataFrame, slug: str, *times: str) -> DataFrame:
     """slug, last_modified: the latest of some times of each public article."""
     last = F.greatest(*times) if len(times) > 1 else F.col(times[0])
     return articles.groupBy(slug).agg(F.max(last).alias("last_modified"))
+
+
+def article_detail(articles: DataFrame, slug: str, links: DataFrame, tags: DataFrame, public: Column | None = None, key: str = "article_id") -> DataFrame:
+    """The article of a slug with its tags, if it may be shown: one row or none. The predicate goes to the scan,
+    so that tags are joined to one article."""
+    one = articles.where(F.col("slug") == slug)
+    one = one if public is None else one.where(_yes(public))
+    return with_tags(one.limit(1), links.join(F.broadcast(one.select(key).limit(1)), key, "left_semi"), tags, key)
+
+
+def meta_page(found: DataFrame, sort: str, limit: int, offset: int = 0) -> DataFrame:
+    """A page of search results for other portals, by relevance or latest first, with the exact total.
+
+    found: id, score, date of all results."""
+    orders = {"relevance": [F.desc("score"), F.desc_nulls_last("date"), F.asc("id")], "latest": [F.desc_nulls_last("date"), F.desc("score"), F.asc("id")]}
+    if sort not in orders or not 1 <= limit <= 20 or not 0 <= offset <= 10_000:
+        raise ValueError("sort, limit or offset is not allowed")
+    total = F.broadcast(found.agg(F.count("*").alias("total")))  # one row
+    page = found.orderBy(*orders[sort]).offset(offset).limit(limit)
+    return page.withColumn("place", F.row_number().over(Window.orderBy(*orders[sort])) + offset).crossJoin(total)

@@ -33,9 +33,9 @@ def set_digest(df: DataFrame, by: str, key: str) -> DataFrame:
     return df.groupBy(by).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x.cast("string")), ",").cast("binary"), 256).alias("digest"))
 
 
-def unordered_digest(df: DataFrame, key: str) -> DataFrame:
-    """Of a set of any size: count and sum of hashes, which combine map-side."""
-    return df.agg(F.count("*").alias("n"), F.md5(F.concat_ws(":", F.count("*"), F.sum(F.xxhash64(key).cast("decimal(38,0)"))).cast("binary")).alias("digest"))
+def unordered_digest(df: DataFrame, key: str, *by: str) -> DataFrame:
+    """Of sets of any size (one for each group): count and sum of hashes, which combine map-side."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.md5(F.concat_ws(":", F.count("*"), F.sum(F.xxhash64(key).cast("decimal(38,0)"))).cast("binary")).alias("digest"))
 
 
 def overlay(stock: DataFrame, changes: DataFrame, key: str, seq: str, deleted: str) -> DataFrame:

@@ -82,18 +82,6 @@ def matches(q: Compiled, phrase) -> Column:
     return F.coalesce(reduce(and_, (~F.coalesce(phrase(p), F.lit(False)) for p in q.without), hit), F.lit(False))
 
 
-def in_text(toks: Column):
-    """Phrase predicate over a token array; phrases need adjacent tokens."""
-
-    def phrase(p):
-        if len(p) == 1:
-            return F.array_contains(toks, p[0])
-        # tokens hold no blanks, so adjacent tokens are a substring of the joined ones
-        return F.concat(F.lit(" "), F.array_join(toks, " "), F.lit(" ")).contains(f" {' '.join(p)} ")
-
-    return phrase
-
-
 # -- lexical
 
 # Weights of the fields of a document.

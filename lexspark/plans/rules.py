@@ -145,33 +145,36 @@ def canonical_url(pages):
     return pages.select("page_id", text.canonical_url(F.concat(F.lit("HTTPS://Ex.ORG:443"), tail)).alias("url"))
 
 
-_HEADS = [
-    ("de-bverfg", "1 BvR 16/13  Gegenstand der Verfassungsbeschwerde ist ein Urteil", "de"),
-    ("de-bverfg", "2 bvr 5/19 Verfassungsbeschwerde des A gegen den Beschluss vom Mai vor dem Landgericht B", "de"),
-    ("de-bverfg", "1 BvR 16/13 Verfassungsbeschwerde. Die angegriffenen Normen, ein Urteil und die Kammer", "de"),
-    ("de-bverfg", "1 BvL 16/13 Verfassungsbeschwerde gegen ein Urteil des Landgerichts", "none"),
-    ("de-bverfg", "1 BvR 16/13 Beschwerde gegen ein Gesetz", "none"),
-    ("es-tribunal-constitucional", "En el recurso de amparo promovido contra la sentencia", "es"),
-    ("es-tribunal-constitucional", "En los recursos de amparo, en causa penal, de dos vecinos", "es"),
-    ("es-tribunal-constitucional", "En el recurso de amparo de A. Ha sido ponente B. contra la sentencia", "none"),
-    ("es-tribunal-constitucional", "Pleno. contra la sentencia", "none"),
-    ("us-scotus", "En el recurso de amparo contra la sentencia", "none"),
-]
+_HEADS = {
+    "de-bverfg": ("1 BvR {}/13  Gegenstand der Verfassungsbeschwerde ist ein Urteil", "2 bvr {}/19 Verfassungsbeschwerde des A gegen den Beschluss vom Mai vor dem Landgericht B", "1 BvL {}/13 Verfassungsbeschwerde gegen ein Urteil des Landgerichts", "1 BvR {}/13 Beschwerde gegen ein Gesetz"),
+    "es-tribunal-constitucional": ("En el recurso de amparo {} promovido contra la sentencia", "En los recursos de amparo, en causa penal, {}", "Pleno {}. contra la sentencia", "En el recurso de amparo de A. {} Ha sido ponente B. contra la sentencia"),
+}
 
 
-@query("nation", sql=f"SELECT n_nationkey, CASE {_pick('n_nationkey', [x[2] for x in _HEADS])} WHEN 'de' THEN 'de-bverfg-judicial-verfassungsbeschwerde' WHEN 'es' THEN 'es-tc-judicial-amparo' ELSE 'none' END AS reason FROM nation")
-def complaint_classes(nation):
-    n = nation.select("n_nationkey", F.expr(_pick("n_nationkey", [x[0] for x in _HEADS])).alias("s"), F.expr(_pick("n_nationkey", [x[1] for x in _HEADS])).alias("t"))
-    return n.select("n_nationkey", F.coalesce(publication.complaint(F.col("s"), F.col("t")), F.lit("none")).alias("reason"))
+@query("documents", sql="SELECT doc_id, CASE WHEN doc_id % 4 < 2 AND doc_id % 3 = 0 THEN 'de-bverfg-judicial-verfassungsbeschwerde' WHEN doc_id % 4 < 2 AND doc_id % 3 = 1 THEN 'es-tc-judicial-amparo' ELSE 'none' END AS reason FROM documents")
+def complaint_classes(documents):
+    """Complaints by the heads of decisions, which documents follow; a head of another court's counts for nothing."""
+    k = F.col("doc_id")
+    head = lambda court: F.element_at(F.array(*(F.replace(F.lit(h), F.lit("{}"), k.cast("string")) for h in _HEADS[court])), (k % 4 + 1).cast("int"))
+    de, es = _HEADS
+    source = F.when(k % 3 == 0, de).when(k % 3 == 1, es).otherwise("us-scotus")
+    said = F.concat(F.when(k % 3 == 0, head(de)).otherwise(head(es)), F.lit("\n"), "text")
+    return documents.select("doc_id", F.coalesce(publication.complaint(source, said), F.lit("none")).alias("reason"))
 
 
-_TAGS = ["Equal-Protection", "#scotus", "free  speech", "Irrecevabilité", "no such tag", "##First   Amendment"]
+_TAG = """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Equal-Protection' WHEN 1 THEN '#scotus' WHEN 2 THEN concat('free', repeat(' ', CAST(doc_id % 3 AS INT) + 1), 'speech') WHEN 3 THEN concat('##', source, '  ', lang) WHEN 4 THEN concat(' ', lang, '-tag ') ELSE '##First   Amendment' END AS t FROM {documents}"""
 
 
-@query("nation", sql=f"SELECT n_nationkey, {_pick('n_nationkey', ['평등원칙', '미국 연방대법원', '표현의 자유', '각하', 'no such tag', '##First   Amendment'])} AS canonical, {_pick('n_nationkey', ['Equal-Protection', 'scotus', 'Free Speech', 'Irrecevabilité', 'no such tag', 'First Amendment'])} AS stored, {_pick('n_nationkey', [5, 9, 5, 4, 1, 1])} AS names FROM nation")
-def tag_aliases(nation):
-    n = nation.select("n_nationkey", F.expr(_pick("n_nationkey", _TAGS)).alias("t"))
-    return n.select("n_nationkey", rules.canonical_tag(F.col("t")).alias("canonical"), rules.tag_name(F.col("t")).alias("stored"), F.size(rules.expanded_tags(F.array("t"))).alias("names"))
+@query(
+    "documents",
+    sql=f"""WITH {_as("g", _TAG)}, k AS (SELECT *, regexp_replace(regexp_replace(lower(t), '#', '', 'g'), '[\\s\\-_]+', '', 'g') AS key, trim(regexp_replace(regexp_replace(t, '^#+', ''), '\\s+', ' ', 'g'), ' ') AS plain FROM g)
+SELECT doc_id, CASE key WHEN 'equalprotection' THEN '평등원칙' WHEN 'scotus' THEN '미국 연방대법원' WHEN 'freespeech' THEN '표현의 자유' ELSE trim(t, ' ') END AS canonical, CASE lower(plain) WHEN 'free speech' THEN 'Free Speech' WHEN 'first amendment' THEN 'First Amendment' ELSE plain END AS stored,
+CASE key WHEN 'equalprotection' THEN 4 WHEN 'scotus' THEN 8 WHEN 'freespeech' THEN 4 WHEN 'firstamendment' THEN 1 ELSE 1 END + CASE WHEN (key = 'equalprotection') OR (key = 'scotus' AND t <> 'SCOTUS') OR (key = 'freespeech' AND t <> 'Free Speech') OR (key NOT IN ('equalprotection', 'scotus', 'freespeech', 'firstamendment') AND t <> trim(t, ' ')) THEN 1 ELSE 0 END AS names FROM k""",
+)
+def tag_aliases(documents):
+    """Canonical names, names as they are stored, and all names of a tag's group."""
+    n = _given(_TAG, documents=documents)
+    return n.select("doc_id", rules.canonical_tag(F.col("t")).alias("canonical"), rules.tag_name(F.col("t")).alias("stored"), F.size(rules.expanded_tags(F.array("t"))).alias("names"))
 
 
 @query("orders", sql="SELECT o_orderkey, CAST(o_orderdate AS DATE) BETWEEN DATE '1998-08-01' - 15 AND DATE '1998-08-01' AS recent FROM orders WHERE o_orderdate >= TIMESTAMP '1998-06-01'")
@@ -204,19 +207,22 @@ def collection_range_filter(orders):
     return f.select("o_orderkey", inside(day(1998, 1, 1)).alias("inside"), inside(F.lit(None).cast("timestamp_ntz")).alias("open"))
 
 
-_ERRORS = ["Quota is used up", "HTTP 429", "API key not valid", "no Gemini routes are locally available", "Rate limit hit", "Key is required here", "the model broke", None, "high demand; retry after 3.5 s", "Retry in 900 ms or retry after 2 seconds"]
+_ERROR = f"""SELECT event_id, CASE WHEN event_id % 17 <> 0 THEN concat({_pick("event_id", ["The Quota of user ", "HTTP 429 for ", "API key not valid, ", "no Gemini routes are locally available ", "Rate limit hit by ", "Key is required: ", "the model broke at ", "high demand; "])}, user_id, CASE WHEN event_id % 3 = 0 THEN concat('; retry after ', event_id % 40, '.5 s') WHEN event_id % 3 = 1 THEN concat(', Retry  in ', event_id % 4000, ' ms or retry after 2 seconds') ELSE '' END) END AS m,
+{_pick("floor(event_id / 8)", ["robots_disallowed", "timeout", "blocked", "metadata_only", "failed_summary", "cleaned"])} AS status FROM {{events}}"""
 
 
 @query(
-    "nation",
-    sql=f"""SELECT n_nationkey, {_pick('n_nationkey', ['summary.retryable_quota', 'summary.retryable_quota', 'llm.key_missing', 'llm.key_missing', 'summary.model_error', 'summary.model_error', 'summary.model_error', 'summary.model_error', 'summary.retryable_quota', 'summary.model_error'])} AS summary,
-{_pick('n_nationkey', ['summary.retryable_quota', 'summary.retryable_quota', 'llm.key_missing', 'summary.model_error', 'summary.retryable_quota', 'llm.key_missing', 'summary.model_error', 'summary.model_error', 'summary.retryable_quota', 'summary.model_error'])} AS llm,
-greatest({_pick('n_nationkey', [0, 0, 0, 0, 0, 0, 0, 0, 5500, 4000])}, 1000 * pow(2, n_nationkey % 4))::DOUBLE AS wait_ms, coalesce({_pick('n_nationkey', ['crawl.robots_disallowed', 'crawl.timeout_response', 'crawl.blocked_403', 'extract.empty_text', 'summary.model_error', None])}, 'none') AS fallback FROM nation""",
+    "events",
+    sql=f"""WITH {_as("g", _ERROR)}, l AS (SELECT *, coalesce(lower(m), '') AS t FROM g),
+w AS (SELECT *, greatest(coalesce(CASE WHEN m IS NULL THEN NULL WHEN event_id % 3 = 0 THEN ((event_id % 40) + 0.5) * 1000 + 2000 WHEN event_id % 3 = 1 THEN greatest(event_id % 4000, 2000) + 2000 END, 0), 1000 * pow(2, event_id % 4)) AS wait FROM l)
+SELECT event_id, CASE WHEN contains(t, 'quota') OR contains(t, '429') OR contains(t, 'high demand') THEN 'summary.retryable_quota' WHEN contains(t, 'api key') OR contains(t, 'key missing') OR contains(t, 'no gemini routes are locally available') THEN 'llm.key_missing' ELSE 'summary.model_error' END AS summary,
+CASE WHEN contains(t, 'api key') OR contains(t, 'key is required') OR contains(t, 'key missing') THEN 'llm.key_missing' WHEN contains(t, 'quota') OR contains(t, '429') OR contains(t, 'rate limit') OR contains(t, 'high demand') THEN 'summary.retryable_quota' ELSE 'summary.model_error' END AS llm,
+least(60000, wait)::DOUBLE AS wait_ms, CASE status WHEN 'robots_disallowed' THEN 'crawl.robots_disallowed' WHEN 'timeout' THEN 'crawl.timeout_response' WHEN 'blocked' THEN 'crawl.blocked_403' WHEN 'metadata_only' THEN 'extract.empty_text' WHEN 'failed_summary' THEN 'summary.model_error' ELSE 'none' END AS fallback FROM w""",
 )
-def error_classes(nation):
-    k = F.col("n_nationkey")
-    n = nation.select(k, F.expr(_pick("n_nationkey", _ERRORS)).alias("m"), F.expr(_pick("n_nationkey", ["robots_disallowed", "timeout", "blocked", "metadata_only", "failed_summary", "cleaned"])).alias("s"))
-    return n.select("n_nationkey", rules.summary_error(F.col("m"), F.lit(False)).alias("summary"), rules.llm_error(F.col("m")).alias("llm"), rules.summary_wait(F.col("m"), k % 4, 1000, 60_000).alias("wait_ms"), F.coalesce(rules.error_of_status(F.col("s")), F.lit("none")).alias("fallback"))
+def error_classes(events):
+    """Classes of messages, how long to wait as they ask, and classes of statuses."""
+    n = _given(_ERROR, events=events)
+    return n.select("event_id", rules.summary_error(F.col("m"), F.lit(False)).alias("summary"), rules.llm_error(F.col("m")).alias("llm"), rules.summary_wait(F.col("m"), F.col("event_id") % 4, 1000, 60_000).alias("wait_ms"), F.coalesce(rules.error_of_status(F.col("status")), F.lit("none")).alias("fallback"))
 
 
 _CODES = ["BVERFG_OFFICIAL_VARIANTS_404", "BVERFG_OFFICIAL_DETAIL_404", "HTTP_403", "CRAWLEE_DETAIL_EMPTY", "BVERFG_SITE_BLOCK_CIRCUIT_OPEN", None]
@@ -232,53 +238,65 @@ def candidate_waits(orders):
     return c.select("o_orderkey", rules.candidate_wait(F.col("a"), F.col("code")).alias("hours"))
 
 
+_ROUTES = f"""SELECT event_id, {_pick("event_id", ["claude-", "GPT-", "big-gemini-", "llama-", "o3-", "claude-"])} || user_id AS model, CASE WHEN event_id % 12 = 4 THEN 'own' END AS said, CASE event_id % 5 WHEN 0 THEN concat(' asked', user_id, ' ') WHEN 1 THEN ' ' END AS asked,
+CASE event_id % 4 WHEN 1 THEN concat('Gemini route a-', user_id, '/key-1 failed, {{{{"route" : "b', event_id % 7, '/key-22"}}}}, Gemini route a-', user_id, '/key-3') WHEN 2 THEN concat('"route":"c', event_id, '/key-0"') WHEN 3 THEN 'Gemini route broke' END AS message FROM {{events}}"""
+
+
 @query(
-    "nation",
-    sql=f"""SELECT n_nationkey, {_pick('n_nationkey', ['anthropic', 'openai', 'gemini', 'unknown', 'own', 'openai'])} AS provider, {_pick('n_nationkey', ['asked', 'a-1,b', 'b', ''])} AS failed FROM nation""",
+    "events",
+    sql=f"""WITH {_as("g", _ROUTES)}
+SELECT event_id, coalesce(said, CASE WHEN lower(model) LIKE 'claude-%' THEN 'anthropic' WHEN lower(model) LIKE 'gpt-%' OR lower(model) LIKE 'o3%' THEN 'openai' WHEN contains(model, 'gemini') THEN 'gemini' ELSE 'unknown' END) AS provider,
+CASE WHEN trim(asked) <> '' THEN trim(asked) ELSE CASE event_id % 4 WHEN 1 THEN split_part(split_part(message, 'Gemini route ', 2), '/', 1) || ',b' || event_id % 7 WHEN 2 THEN 'c' || event_id ELSE '' END END AS failed FROM g""",
 )
-def failed_models(nation):
-    model, said = F.expr(_pick("n_nationkey", ["claude-x", "GPT-4", "big-gemini-2", "llama", "claude-y", "o3-mini"])), F.expr(_pick("n_nationkey", [None, None, None, None, "own", None]))
-    requested = F.expr(_pick("n_nationkey", [" asked ", " ", None, None]))
-    message = F.expr(_pick("n_nationkey", ["", 'Gemini route a-1/key-1 failed, {"route" : "b/key-22"}, Gemini route a-1/key-3', '"route":"b/key-0"', None]))
-    return nation.select("n_nationkey", rules.provider(model, said).alias("provider"), F.array_join(rules.failed_models(requested, message), ",").alias("failed"))
-
-
-_SUMMARIES = [
-    '{"koreanTitle":"t","summary":{"coreSummary":["a","b"],"background":"b","implications":"i"},"tags":["x","y","x"],"entities":[{"name":"Y","type":"law","normalizedName":"y"}]}',
-    '{"koreanTitle":"t","summary":{"coreSummary":[],"background":"","implications":""},"tags":[],"entities":[]}',
-    '{"koreanTitle":7,"summary":{"coreSummary":["a"],"background":"b","implications":"i"},"tags":["x"],"entities":[]}',
-    '{"koreanTitle":"t","summary":{"coreSummary":["a",1],"background":"b","implications":"i"},"tags":["x"],"entities":[]}',
-    '{"koreanTitle":"t","summary":{"coreSummary":["a"],"background":"b"},"tags":["x"],"entities":[]}',
-    '{"koreanTitle":"t","summary":{"coreSummary":["a"],"background":"b","implications":"i"},"tags":["x"],"entities":[{"name":"Y","type":"law"}]}',
-    '{"koreanTitle":"t", no json',
-    None,
-]
-
-
-@query("nation", sql=f"SELECT n_nationkey, n_nationkey % 8 < 2 AS valid, {_pick('n_nationkey', ['y:law,x:topic', '', 'none', 'none', 'none', 'none', 'none', 'none'])} AS tags FROM nation")
-def summaries(nation):
+def failed_models(events):
+    """Who serves a model, and the models whose routes a message names, each once."""
+    n = _given(_ROUTES, events=events)
+    return n.select("event_id", rules.provider(F.col("model"), F.col("said")).alias("provider"), F.array_join(rules.failed_models(F.col("asked"), F.col("message")), ",").alias("failed"))
+
+
+def _summaries_of(documents):
+    """doc_id, lang, source, s: summaries as JSON, of which those of doc_id % 8 < 2 are of the right structure."""
+    k, q = F.col("doc_id"), '"'
+    cat = lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in xs))
+    title = F.when(k % 8 == 2, F.lit("7")).otherwise(cat(q, F.col("source"), q))
+    core = F.when(k % 8 == 1, F.lit("")).when(k % 8 == 3, cat(q, F.col("lang"), q, ", 1")).otherwise(cat(q, F.col("lang"), q, ", ", q, "core ", k.cast("string"), q))
+    background = F.when(k % 8 == 1, F.lit("")).otherwise(cat("b", k.cast("string")))
+    implications = F.when(k % 8 == 4, F.lit("")).otherwise(F.lit(', "implications": ""'))
+    tags = F.when(k % 8 == 1, F.lit("")).otherwise(cat(q, F.col("lang"), q, ",", q, F.col("source"), q, ",", q, F.col("lang"), q))
+    normal = F.when(k % 8 == 5, F.lit("")).otherwise(cat(', "normalizedName": ', q, F.col("lang"), q))
+    entities = F.when(k % 8 == 1, F.lit("")).otherwise(cat('{"name": "', F.col("source"), '", "type": "law"', normal, "}"))
+    whole = cat('{"koreanTitle": ', title, ', "summary": {"coreSummary": [', core, '], "background": "', background, q, implications, '}, "tags": [', tags, '], "entities": [', entities, "]}")
+    s = F.when(k % 8 == 6, F.substring(whole, 1, 30)).when(k % 8 != 7, whole)
+    return documents.select("doc_id", "lang", "source", s.alias("s"))
+
+
+@query("documents", sql="SELECT doc_id, doc_id % 8 < 2 AS valid, CASE doc_id % 8 WHEN 0 THEN lang || ':law,' || source || ':topic' WHEN 1 THEN '' ELSE 'none' END AS tags FROM documents")
+def summaries(documents):
     """Summaries of the right structure, and their tags: entities first, each slug once."""
-    n = nation.select("n_nationkey", rules.valid_summary(F.expr(_pick("n_nationkey", _SUMMARIES))).alias("s"))
+    n = _summaries_of(documents).select("doc_id", rules.valid_summary(F.col("s")).alias("s"))
     entities = F.transform("s.entities", lambda e: F.struct(e["name"].alias("name"), e["normalizedName"].alias("normalized"), e["type"].alias("type")))
     tags = lifecycle.summary_tags(entities, F.col("s.tags"), text.slugify)
     said = F.array_join(F.transform(tags, lambda t: F.concat_ws(":", t["slug"], t["type"])), ",")
-    return n.select("n_nationkey", F.col("s").isNotNull().alias("valid"), F.when(F.col("s").isNull(), "none").otherwise(said).alias("tags"))
+    return n.select("doc_id", F.col("s").isNotNull().alias("valid"), F.when(F.col("s").isNull(), "none").otherwise(said).alias("tags"))
 
 
-@query("nation", sql="""SELECT n_nationkey, '{"a":[{"x":null,"y":' || n_nationkey || '}],"b":"é","c":true}' AS json FROM nation""")
-def canonical_json(nation):
+@query("documents", sql="""SELECT doc_id, '{"a":[{"x":null,"y":' || doc_id || '}],"b":"é' || lang || '","c":true,"' || source || '":{"n":' || n_chars || '}}' AS json FROM documents""")
+def canonical_json(documents):
     """Keys in order at every depth, and no blanks."""
-    raw = F.concat(F.lit('{ "c" : true, "b":"\\u00e9", "a": [ {"y": '), F.col("n_nationkey").cast("string"), F.lit(', "x": null} ] }'))
-    return nation.select("n_nationkey", rules.canonical_json(raw).alias("json"))
+    raw = F.concat(F.lit('{ "'), "source", F.lit('": {"n" :'), F.col("n_chars").cast("string"), F.lit('}, "c" : true, "b":"\\u00e9'), "lang", F.lit('", "a": [ {"y": '), F.col("doc_id").cast("string"), F.lit(', "x": null} ] }'))
+    return documents.select("doc_id", rules.canonical_json(raw).alias("json"))
 
 
-_SAID = ["the Conseil constitutionnel and French Constitutional Council", "SCOTUS, 미 대법원", "독일 연방대법원 and 연방 대법원", "nothing"]
+_COURTS = """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'fr-conseil-constitutionnel' ELSE 'us-scotus' END AS s, concat(lang, ' the Conseil constitutionnel ', doc_id, ' and French Constitutional Council, SCOTUS', CASE WHEN doc_id % 3 = 0 THEN ' (SCOTUS)' ELSE 'X' END, ' ', source) AS t FROM {documents}"""
 
 
-@query("nation", sql=f"SELECT n_nationkey, CASE n_nationkey % 2 WHEN 0 THEN {_pick('n_nationkey', ['the 프랑스 헌법위원회 and 프랑스 헌법위원회', _SAID[1], _SAID[2], 'nothing'])} ELSE {_pick('n_nationkey', [_SAID[0], '미국 연방대법원, 미국 연방대법원', _SAID[2], 'nothing'])} END AS text FROM nation")
-def terminology(nation):
-    n = nation.select("n_nationkey", F.expr(_pick("n_nationkey", _SAID)).alias("t"), F.expr(_pick("n_nationkey", ["fr-conseil-constitutionnel", "us-scotus"])).alias("s"))
-    return n.select("n_nationkey", rules.terminology(F.col("t"), F.col("s")).alias("text"))
+@query(
+    "documents",
+    sql=f"""WITH {_as("g", _COURTS)} SELECT doc_id, CASE WHEN s = 'us-scotus' THEN regexp_replace(t, '\\bSCOTUS\\b', '미국 연방대법원', 'g') ELSE replace(replace(t, 'Conseil constitutionnel', '프랑스 헌법위원회'), 'French Constitutional Council', '프랑스 헌법위원회') END AS text FROM g""",
+)
+def terminology(documents):
+    """A source's court under its canonical name; other courts' names stay."""
+    return _given(_COURTS, documents=documents).select("doc_id", rules.terminology(F.col("t"), F.col("s")).alias("text"))
 
 
 @query("conversations", sql="SELECT conv_id, turn, (contains(lower(text), 'standing'))::INT + 2 AS score FROM conversations WHERE text IS NOT NULL")
@@ -289,24 +307,32 @@ def keyword_scores(conversations):
 
 # -- versions, projections, comparisons
 
-_META = ['{"a":{"api_key":1}}', '{"a":"\\"password\\": x"}', '[{"b":[{"My-Secret":null}]}]', '{"caseNumber":"7","collection":{"publishable":true}}', '{"docket":"9","decisionNumber":"1","collection":{"publishable":"true"}}', '{"resolutionType":"r","collection":{"publishable":1}}', "no json", None]
+_META = """SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN concat('{{"a":{{"api_key":', doc_id, '}}}}') WHEN 1 THEN concat('{{"a":"password ', source, '"}}') WHEN 2 THEN concat('[{{"b":[{{"My-Secret":"', lang, '"}}]}}]') WHEN 3 THEN concat('{{"caseNumber":"', doc_id, '","collection":{{"publishable":true}}}}')
+WHEN 4 THEN concat('{{"docket":"', source, '","decisionNumber":"1","collection":{{"publishable":"true"}}}}') WHEN 5 THEN concat('{{"resolutionType":"', lang, '","collection":{{"publishable":1}}}}') WHEN 6 THEN concat('no json ', doc_id) END AS m FROM {documents}"""
 
 
 @query(
-    "nation",
-    sql=f"""SELECT n_nationkey, {_pick('n_nationkey', [True, False, True, False, False, False, False, False])} AS secret, {_pick('n_nationkey', [False, False, False, True, True, False, False, False])} AS publishable, coalesce({_pick('n_nationkey', [None, None, None, '7', '9', None, None, None])}, 'none') AS number, coalesce({_pick('n_nationkey', [None] * 5 + ['r', None, None])}, 'none') AS kind FROM nation""",
+    "documents",
+    sql="""SELECT doc_id, doc_id % 8 IN (0, 2) AS secret, doc_id % 8 IN (3, 4) AS publishable, CASE doc_id % 8 WHEN 3 THEN CAST(doc_id AS VARCHAR) WHEN 4 THEN source ELSE 'none' END AS number, CASE doc_id % 8 WHEN 5 THEN lang ELSE 'none' END AS kind FROM documents""",
 )
-def metadata_reads(nation):
+def metadata_reads(documents):
     """Secret keys at any depth, textually true flags, the first filled key and leafs of JSON metadata."""
-    n = nation.select("n_nationkey", F.expr(_pick("n_nationkey", [m and m.replace("\\", "\\\\") for m in _META])).alias("m"))
+    n = _given(_META, documents=documents)
     leaf = reading.leafs(F.lit(None).cast("string"), F.col("m"))[2]
-    return n.select("n_nationkey", lifecycle.has_secret_key(F.col("m")).alias("secret"), reading.textually_true(F.col("m"), "$.collection.publishable").alias("publishable"), F.coalesce(reading.first_of(F.col("m")), F.lit("none")).alias("number"), F.coalesce(leaf, F.lit("none")).alias("kind"))
+    return n.select("doc_id", lifecycle.has_secret_key(F.col("m")).alias("secret"), reading.textually_true(F.col("m"), "$.collection.publishable").alias("publishable"), F.coalesce(reading.first_of(F.col("m")), F.lit("none")).alias("number"), F.coalesce(leaf, F.lit("none")).alias("kind"))
 
 
-@query("nation", sql=f"SELECT n_nationkey, {_pick('n_nationkey', ['k', 't', 'o'])} AS title, {_pick('n_nationkey', ['l', 'a', reading.NO_SUMMARY])} AS one_line_summary, n_nationkey % 3 < 2 AS summary_available FROM nation")
-def list_items(nation):
-    n = nation.select("n_nationkey", F.expr(_pick("n_nationkey", ["k", "", None])).alias("k"), F.expr(_pick("n_nationkey", [_SUMMARIES[0], _SUMMARIES[0], None])).alias("s"), F.expr(_pick("n_nationkey", ["l", None, ""])).alias("l"))
-    return n.select("n_nationkey", *reading.list_item(F.col("k"), F.lit("o"), F.col("s"), F.col("l")))
+@query(
+    "documents",
+    sql=f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'k' || doc_id WHEN doc_id % 8 = 2 THEN '7' WHEN doc_id % 8 < 6 THEN source ELSE 'o' || doc_id END AS title,
+CASE WHEN doc_id % 5 = 0 THEN 'line ' || lang WHEN doc_id % 8 < 6 AND doc_id % 8 <> 1 THEN lang ELSE '{reading.NO_SUMMARY}' END AS one_line_summary, doc_id % 8 <> 7 AS summary_available FROM documents""",
+)
+def list_items(documents):
+    """Titles and lines of a list, and what stands in where they are missing."""
+    k = F.col("doc_id")
+    line = F.when(k % 5 == 0, F.concat(F.lit("line "), "lang")).when(k % 5 == 1, "")
+    n = _summaries_of(documents).withColumns({"k": F.when(k % 3 == 0, F.concat(F.lit("k"), k.cast("string"))).when(k % 3 == 1, ""), "o": F.concat(F.lit("o"), k.cast("string")), "l": line})
+    return n.select("doc_id", *reading.list_item(F.col("k"), F.col("o"), F.col("s"), F.col("l")))
 
 
 @query(

@@ -9,29 +9,48 @@ from pyspark.sql import functions as F
 from lexspark.functions import rules, text
 from lexspark.operators import maintenance, quality, reading, reconcile, search
 from lexspark.plans.catalogue import query
-from lexspark.plans.rules import _SUMMARIES, _as, _given, _pick
+from lexspark.plans.rules import _as, _given, _pick, _summaries_of
 from lexspark.streaming import jobs
 
 NOW = datetime(1998, 8, 1)
 
-_DATES = ["2021-03-04", "4.3.2021", "4. März 2021", "1er août 2020", "3/4/21", "March 4, 2021", "le 4 mars", " 4  Juni  2021 ", "31. Februar 2021", "2021-03-04T10:00:00"]
-_SPANISH = ["Sentencia de 3 de marzo de 2021", "Auto 7/2020, de 12 de Septiembre", "de 1 de setiembre de 1899", "Pleno"]
+_GERMAN = ("Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember")
+_FRENCH = ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre")
+_SPANISH = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
 
 
-@query("nation", sql=f"SELECT n_nationkey, coalesce({_pick('n_nationkey', ['2021-03-04', '2021-03-04', '2021-03-04', '2020-08-01', '2021-03-04', '2021-03-04', None, '2021-06-04', None, '2021-03-04'])}, 'none') AS day, coalesce({_pick('n_nationkey', ['2021-03-03', '2005-09-12', None, None])}, 'none') AS spanish FROM nation")
-def date_formats(nation):
-    n = nation.select("n_nationkey", F.expr(_pick("n_nationkey", _DATES)).alias("d"), F.expr(_pick("n_nationkey", _SPANISH)).alias("s"))
+@query(
+    "orders",
+    sql="""WITH d AS (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + INTERVAL 10 YEAR AS DATE) AS d FROM orders)
+SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 6 THEN 'none' ELSE strftime(d, '%Y-%m-%d') END AS day, CASE WHEN o_orderkey % 2 = 0 THEN strftime(d, '%Y-%m-%d') WHEN month(d) = 2 AND day(d) = 29 THEN 'none' ELSE strftime(d, '2005-%m-%d') END AS spanish FROM d""",
+)
+def date_formats(orders):
+    """Dates as pages of several countries write them, read back."""
+    k, d = F.col("o_orderkey"), (F.col("o_orderdate").cast("date") + F.expr("interval 10 years")).cast("date")
+    name = lambda names: F.element_at(F.array(*map(F.lit, names)), F.month(d))
+    cat = lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in xs))
+    day, year = F.dayofmonth(d).cast("string"), F.year(d).cast("string")
+    forms = [F.date_format(d, "yyyy-MM-dd"), F.date_format(d, "d.M.yyyy"), cat(" ", day, ".  ", name(_GERMAN), " ", year), cat(F.when(day == "1", "1er").otherwise(day), " ", name(_FRENCH), " ", year), F.date_format(d, "M/d/yy"), F.date_format(d, "MMMM d, yyyy"), cat("le ", day, " ", name(_FRENCH)), F.date_format(d, "yyyy-MM-dd'T'10:00:00")]
     said = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
-    return n.select("n_nationkey", said(text.parse_date(F.col("d"))).alias("day"), said(text.parse_spanish_date(F.col("s"), F.lit(2005))).alias("spanish"))
+    spanish = F.when(k % 2 == 0, cat("Sentencia de ", day, " de ", F.initcap(name(_SPANISH)), " de ", year)).otherwise(cat("Auto 7/2020, de ", day, "  de ", name(_SPANISH)))
+    n = orders.select("o_orderkey", F.element_at(F.array(*forms), (k % 8 + 1).cast("int")).alias("d"), spanish.alias("s"))
+    return n.select("o_orderkey", said(text.parse_date(F.col("d"))).alias("day"), said(text.parse_spanish_date(F.col("s"), F.lit(2005))).alias("spanish"))
 
 
-_AGENTS = ["Mozilla Chrome/1 Safari Edg/2", "CriOS iPhone Safari", "Firefox Android", "Safari iPad", "undici", "curl", "", None]
+_AGENT = """SELECT event_id, CASE WHEN event_id % 29 = 0 THEN '' WHEN event_id % 31 <> 0 THEN concat('Mozilla/', event_id % 6, CASE WHEN event_id % 2 = 0 THEN ' Safari/1' ELSE '' END, CASE WHEN event_id % 3 = 0 THEN ' CHROME/2' ELSE '' END, CASE WHEN event_id % 5 = 0 THEN ' Edg/3' ELSE '' END,
+CASE event_id % 7 WHEN 0 THEN ' iPhone Mobile' WHEN 1 THEN ' Android' WHEN 2 THEN ' iPad' WHEN 3 THEN ' undici' ELSE '' END, CASE event_id % 11 WHEN 0 THEN ' FxiOS/9' WHEN 1 THEN ' CriOS' ELSE '' END, CASE event_id % 13 WHEN 0 THEN ' GoogleBot' WHEN 1 THEN ' LinkPreview' ELSE '' END) END AS a FROM {events}"""
 
 
-@query("nation", sql=f"SELECT n_nationkey, coalesce({_pick('n_nationkey', ['Edge', 'Chrome', 'Firefox', 'Safari', 'Server', 'Other', None, None])}, 'none') AS family, coalesce({_pick('n_nationkey', ['desktop', 'mobile', 'mobile', 'tablet', 'desktop', 'desktop', None, None])}, 'none') AS device FROM nation")
-def agents(nation):
-    n = nation.select("n_nationkey", F.expr(_pick("n_nationkey", _AGENTS)).alias("a"))
-    return n.select("n_nationkey", F.coalesce(text.agent_family(F.col("a")), F.lit("none")).alias("family"), F.coalesce(text.device(F.col("a")), F.lit("none")).alias("device"))
+@query(
+    "events",
+    sql=f"""WITH {_as("g", _AGENT)}, l AS (SELECT event_id, lower(a) AS a FROM g)
+SELECT event_id, coalesce(CASE WHEN contains(a, 'edg/') THEN 'Edge' WHEN contains(a, 'chrome') OR contains(a, 'crios') THEN 'Chrome' WHEN contains(a, 'firefox') OR contains(a, 'fxios') THEN 'Firefox' WHEN contains(a, 'safari') AND NOT contains(a, 'android') THEN 'Safari' WHEN contains(a, 'node') OR contains(a, 'undici') THEN 'Server' WHEN a <> '' THEN 'Other' END, 'none') AS family,
+coalesce(CASE WHEN contains(a, 'ipad') OR contains(a, 'tablet') THEN 'tablet' WHEN contains(a, 'mobile') OR contains(a, 'iphone') OR contains(a, 'ipod') OR contains(a, 'android') THEN 'mobile' WHEN a <> '' THEN 'desktop' END, 'none') AS device, coalesce(contains(a, 'bot') OR contains(a, 'preview'), false) AS bot FROM l""",
+)
+def agents(events):
+    """Browser, device and whether a machine reads, by the agent of each event."""
+    n = _given(_AGENT, events=events)
+    return n.select("event_id", F.coalesce(text.agent_family(F.col("a")), F.lit("none")).alias("family"), F.coalesce(text.device(F.col("a")), F.lit("none")).alias("device"), text.is_bot(F.col("a")).alias("bot"))
 
 
 _WS = "[ \\t\\n\\r\\f\\v]+"
@@ -65,10 +84,11 @@ def unit_vectors(embeddings):
     return embeddings.select("vec_id", F.round(v[0], 6).alias("first"), F.round(v[63], 6).alias("last"), F.size(text.parse_vector(F.lit("[1.5, NaN, 2]"))).alias("parsed"))
 
 
-@query("nation", sql="SELECT n_nationkey, CASE n_nationkey % 2 WHEN 0 THEN concat_ws(chr(10), 't', 'a', 'b', 'b', 'i', 'x', 'y', 'x', 'law: y') ELSE concat_ws(chr(10), 't', '', '') END AS text FROM nation WHERE n_nationkey % 8 < 2")
-def embedding_texts(nation):
-    n = nation.select("n_nationkey", rules.valid_summary(F.expr(_pick("n_nationkey", _SUMMARIES))).alias("s")).where("s is not null")
-    return n.select("n_nationkey", text.embedding_text(F.col("s")).alias("text"))
+@query("documents", sql="SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN concat_ws(chr(10), source, lang, 'core ' || doc_id, 'b' || doc_id, '', lang, source, lang, 'law: ' || lang) ELSE concat_ws(chr(10), source, '', '') END AS text FROM documents WHERE doc_id % 8 < 2")
+def embedding_texts(documents):
+    """What is embedded of each valid summary."""
+    n = _summaries_of(documents).select("doc_id", rules.valid_summary(F.col("s")).alias("s")).where("s is not null")
+    return n.select("doc_id", text.embedding_text(F.col("s")).alias("text"))
 
 
 _WORK = f"""SELECT o_orderkey, o_custkey, {_pick('o_orderkey', ['published', 'retry_wait', 'excluded', 'terminal_failure', 'waived_failure', 'fetched', 'published'])} AS status, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 4 END AS fetched, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 3 END AS normalized,

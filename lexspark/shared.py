@@ -44,6 +44,12 @@ def keep_path(spark: SparkSession, path: str, schema, folder: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def keep_folder(spark: SparkSession, df: DataFrame, folder: str) -> DataFrame:
+    """df, which reads a folder of the shared one that goes when the driver ends."""
+    _KEPT.append((spark, folder))
+    return df
+
+
 @atexit.register
 def _clear() -> None:
     for spark, path in _KEPT:
