@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from lexspark.llm import license_scan
 
 MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\n{0}of this software and associated documentation files (the \"Software\"), to deal"
@@ -51,6 +53,29 @@ def test_four_tags_with_other_licences():
     assert _found(scanner, "\n".join(f"SPDX-License-Identifier: {x}" for x in names)) == set(names)
 
 
+@pytest.mark.parametrize(
+    "text, names",
+    [
+        ("SPDX-License-Identifier: GPL-3.0-or-later", {"GPL-3.0"}), ("// SPDX-License-Identifier: GPL-2.0-only", {"GPL-2.0"}), ("SPDX-License-Identifier: BSD-2-Clause", {"BSD-2-Clause"}), ("SPDX-License-Identifier: MIT OR Apache-2.0", {"MIT", "Apache-2.0"}),
+        ("# SPDX-License-Identifier: (LGPL-2.1-only AND CC-BY-SA-4.0) OR GPL-2.0 WITH Classpath-exception-2.0", {"LGPL-2.1", "CC-BY-SA-4.0", "GPL-2.0"}), ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/", {"Apache-2.0"}), ("it is licensed under the Apache-2.0 license", {"Apache-2.0"}),
+        ("MIT License\n\nCopyright (c) 2020 X", {"MIT"}), ("Licensed under the Boost Software License, Version 1.0.", {"BSL-1.0"}), ("released under the BSD 3-Clause License", {"BSD-3-Clause"}), ("Licensed under the Apache License, Version 1.1.", set()), ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", {"GPL-3.0"}),
+        ("Distributed under the Mozilla Public License Version 2.0", {"MPL-2.0"}), ("Licensed under CC BY-NC-SA 4.0.", {"CC-BY-NC-SA-4.0"}), ("a license to kill and a licence for nothing", set()), ("SPDX-License-Identifier: NONE", set()), ("Use and copying of this software, MIT or not, is permitted", set()),
+    ],
+)
+def test_names_and_expressions(text, names):
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    for around in ("", "words that come before it\n"):
+        assert _found(scanner, around + text) == names
+
+
+def test_a_name_in_each_notice():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    assert len(license_scan.TEMPLATES) >= 50
+    for name, notices in license_scan.TEMPLATES.items():
+        for notice in notices:
+            assert name in _found(scanner, "x\n" + notice + "\ny license"), (name, notice)
+
+
 def test_against_all_places_of_all_notices():
     """The scan gives what a comparison of every notice with every place of the whole text gives."""
     rnd = random.Random(9)
