@@ -69,29 +69,27 @@ def hourly(events: DataFrame, ts: str, kind: str) -> DataFrame:
     return events.groupBy(F.date_trunc("hour", ts).cast("timestamp_ntz").alias("bucket"), kind).agg(F.count("*").alias("n"), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"))
 
 
-def percentiles(df: DataFrame, value: str, by: list[str], p: float, bins: int = 1024) -> DataFrame:
+def percentiles(df: DataFrame, value: str, by: list[str], p: float, accuracy: int = 10_000) -> DataFrame:
     """Exact percentiles: nearest rank and linear interpolation; nulls don't count.
 
-    Counts by group and bin of the value's range say in which bins the wanted ranks lie, and only the
-    values of those bins are ordered, by group and bin; no task sees a whole group, however large."""
+    One pass gives each group's size and, by a mergeable sketch, two values between which the wanted ranks lie
+    (a sketch's ranks are off by n / accuracy at most). A second pass counts what lies below them, and the values
+    between, a few ten-thousandths of the rows, by value; both passes combine map-side, however large a group is. Only
+    the distinct values between are put in order."""
     v = df.select(*by, F.col(value).cast("double").alias("v")).where("v is not null")
-    facts = v.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
-    span = F.col("hi") - F.col("lo")
+    slacks = [3 / accuracy, 30 / accuracy, 300 / accuracy, 1.0]  # the narrowest that holds two ranks and the sketch's error
+    ends = F.percentile_approx("v", F.array(*(F.lit(min(1.0, max(0.0, p + s))) for d in slacks for s in (-d, d))), accuracy)
+    facts = v.groupBy(*by).agg(F.count("*").alias("n"), ends.alias("q"))
+    enough = [F.col("n") * (d - 1 / accuracy) >= 2 for d in slacks[:-1]]
+    pick = lambda side: F.coalesce(*(F.when(ok, F.col("q")[2 * k + side]) for k, ok in enumerate(enough)), F.col("q")[2 * len(enough) + side])
+    facts = facts.select(*by, "n", pick(0).alias("from_"), pick(1).alias("to_"))
     same = [F.col(f"x.{c}").eqNullSafe(F.col(f"f.{c}")) for c in by]
-    binned = v.alias("x").join(facts.alias("f"), same).select(*(F.col(f"x.{c}").alias(c) for c in by), "v", F.when(span > 0, F.least(F.floor((F.col("v") - F.col("lo")) / span * bins), F.lit(bins - 1))).otherwise(0).alias("bin"), "n")
-    counts = binned.groupBy(*by, "bin", "v").agg(F.count("*").alias("c"), F.max("n").alias("n"))
-    order = Window.partitionBy(*by).orderBy("bin")
-    coarse = counts.groupBy(*by, "bin").agg(F.sum("c").alias("c"), F.max("n").alias("n")).withColumn("before", F.sum("c").over(order) - F.col("c"))
+    near = v.alias("x").join(facts.alias("f"), same).where("v <= to_").select(*(F.col(f"x.{c}").alias(c) for c in by), F.when(F.col("v") >= F.col("from_"), F.col("v")).alias("v"), "n")
+    counts = near.groupBy(*by, "v").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    ordered = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(*by).orderBy(F.asc_nulls_first("v"))))  # what lies below (null) comes first
     place = p * (F.col("n") - 1)
-    ranks = {"nearest": F.greatest(F.ceil(p * F.col("n")), F.lit(1)), "below": F.floor(place) + 1, "above": F.ceil(place) + 1}
-    asked = coarse.select(*by, "bin", "before", "c", "n", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), r.cast("long").alias("rank")) for k, r in ranks.items()))).alias("a")).where("a.rank > before and a.rank <= before + c")
-    wanted = asked.select(*by, "bin", "a.kind", (F.col("a.rank") - F.col("before")).alias("rank"), "n")
-    some = [F.col(f"c.{c}").eqNullSafe(F.col(f"w.{c}")) for c in [*by, "bin"]]
-    inner = Window.partitionBy(*by, "bin", "kind").orderBy("v")
-    fine = counts.alias("c").join(wanted.alias("w"), some).select(*(F.col(f"c.{c}").alias(c) for c in [*by, "bin"]), "v", "c.c", "w.kind", "w.rank", "w.n").withColumn("upto", F.sum("c").over(inner))
-    found = fine.where("rank > upto - c and rank <= upto")
-    one = lambda k: F.max(F.when(F.col("kind") == k, F.col("v")))
-    got = found.groupBy(*by).agg(one("nearest").alias("nearest"), one("below").alias("a"), one("above").alias("b"), F.max("n").alias("n"))
+    at = lambda rank: F.max(F.when((rank > F.col("upto") - F.col("c")) & (rank <= F.col("upto")), F.col("v")))
+    got = ordered.groupBy(*by).agg(at(F.greatest(F.ceil(p * F.col("n")), F.lit(1))).alias("nearest"), at(F.floor(place) + 1).alias("a"), at(F.ceil(place) + 1).alias("b"), F.max("n").alias("n"))
     share = p * (F.col("n") - 1) - F.floor(p * (F.col("n") - 1))
     return got.select(*by, "nearest", F.round(F.col("a") + (F.col("b") - F.col("a")) * share, 6).alias("linear"))
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspark.operators import analytics
+
 # Statuses, decisions, codes and contracts that results must carry or compare with.
 STATUSES = ("discovered", "metadata_only", "robots_disallowed", "blocked", "timeout", "fetched", "cleaned", "summarizing", "summarized", "failed_fetch", "failed_summary", "needs_review")
 WITHOUT_TEXT = ("discovered", "metadata_only", "robots_disallowed", "blocked", "timeout", "failed_fetch")
@@ -221,12 +223,12 @@ def artifact_class(*, ref: Column, contract: Column, inline: Column, at: Column,
 
 
 def known_already(new: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """key, reason, of: new items that the archive has, by content hash, else by title and date and,
-    where both have one, case number. Both: key, hash, title, date, case_number."""
+    """key, reason, of: new items that the archive has, by content hash, else by title (a blank one is none) and date
+    and, where both have one, case number. Both: key, hash, title, date, case_number."""
     s = stored.select(F.col(key).alias("of"), *(F.col(c).alias(f"s_{c}") for c in ("hash", "title", "date", "case_number")))
     by_hash = new.join(s, F.col("hash") == F.col("s_hash")).groupBy(key).agg(F.min("of").alias("hash_of"))
     same_case = F.col("case_number").isNull() | F.col("s_case_number").isNull() | (F.col("case_number") == F.col("s_case_number"))
-    by_title = new.join(s, (F.col("title") == F.col("s_title")) & (F.col("date") == F.col("s_date")) & same_case).groupBy(key).agg(F.min("of").alias("title_of"))
+    by_title = new.where(F.trim("title") != "").join(s, (F.col("title") == F.col("s_title")) & (F.col("date") == F.col("s_date")) & same_case).groupBy(key).agg(F.min("of").alias("title_of"))
     got = by_hash.join(by_title, key, "full")
     return got.select(key, F.when(F.col("hash_of").isNotNull(), "content_hash").otherwise("title_date").alias("reason"), F.coalesce("hash_of", "title_of").alias("of"))
 
@@ -285,9 +287,11 @@ def canary_summary(cases: DataFrame, latency: str, least_passed: float = 1.0) ->
     """mode, cases, compared, passed, p50, p95 (nearest rank over compared ones) and pass, a row per mode.
     cases: mode, status (pass, mismatch, error, timeout, skipped), latency."""
     seen = F.col("status").isin("pass", "mismatch")
-    rows = cases.withColumn("at", F.row_number().over(Window.partitionBy("mode", seen).orderBy(latency))).withColumn("of", F.count("*").over(Window.partitionBy("mode", seen)))
-    nearest = lambda p: F.max(F.when(seen & (F.col("at") == F.greatest(F.ceil(F.lit(p) * F.col("of")), F.lit(1))), F.col(latency)))
-    out = rows.groupBy("mode").agg(F.count("*").alias("cases"), F.count_if(seen).alias("compared"), F.count_if(F.col("status") == "pass").alias("passed"), nearest(0.5).alias("p50"), nearest(0.95).alias("p95"))
+    out = cases.groupBy("mode").agg(F.count("*").alias("cases"), F.count_if(seen).alias("compared"), F.count_if(F.col("status") == "pass").alias("passed"))
+    kind = cases.schema[latency].dataType
+    for name, p in (("p50", 0.5), ("p95", 0.95)):
+        at = analytics.percentiles(cases.where(seen), latency, ["mode"], p).select(F.col("mode").alias("m"), F.col("nearest").cast(kind).alias(name))
+        out = out.join(at, F.col("mode").eqNullSafe(F.col("m")), "left").drop("m")
     return out.withColumn("ok", (F.col("compared") > 0) & (F.col("passed") >= least_passed * F.col("cases")))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lexspark.functions import cases
 from lexspark.functions.text import collapse, cosine, nfkc, tokens
 from lexspark.operators.publication import compact, strip_noise
-from lexspark.shared import shared_dir
+from lexspark.shared import shared_dir, until_end
 
 K1, B, RRF_K = 1.2, 0.75, 60
 MAX_LIMIT, MAX_OFFSET, MAX_QUERY = 100, 10_000, 200
@@ -132,7 +132,7 @@ class Index:
     @classmethod
     def build(cls, docs: DataFrame, doc: str, fields: dict[str, Column]) -> Index:
         spark = docs.sparkSession
-        path = f"{shared_dir(spark)}/search-{uuid.uuid4().hex}"
+        path = until_end(spark, f"{shared_dir(spark)}/search-{uuid.uuid4().hex}")
         names = list(fields)
         split = docs.select(F.col(doc).alias("doc"), *(tokens(c).alias(n) for n, c in fields.items()))
         size = F.struct(*(F.size(n).alias(n) for n in names)).alias("sizes")
@@ -141,7 +141,7 @@ class Index:
         # the tokens of a document are in one task: places are gathered before the shuffle by term
         per = F.struct(*(F.array_sort(F.collect_list(F.when(F.col("field") == k, F.col("place")))).alias(n) for k, n in enumerate(names)))
         posted = rows.groupBy("term", "doc", "sizes").agg(per.alias("places"))
-        posted.repartitionByRange("term").sortWithinPartitions("term", "doc").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+        posted.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
         spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("all"), *(F.count_if(F.size(f"places.{n}") > 0).alias(n) for n in names)).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
         means = [F.coalesce(F.avg(F.col(f"sizes.{n}")), F.lit(0.0)).alias(n) for n in names]
         split.select(size).agg(F.count("*").alias("docs"), *means).write.parquet(f"{path}/stats")

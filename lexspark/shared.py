@@ -30,6 +30,12 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def until_end(spark: SparkSession, path: str) -> str:
+    """The path, which is deleted when the driver ends."""
+    _KEPT.append((spark, path))
+    return path
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: its lineage is cut. Deleted when the driver ends."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
