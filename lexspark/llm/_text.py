@@ -196,6 +196,12 @@ def _clear() -> None:
             return
 
 
+def until_end(spark: SparkSession, path: str) -> str:
+    """The path, which is deleted when the driver ends."""
+    _MADE.append((spark, path))
+    return path
+
+
 class Scratch:
     """Tables of one job in a folder of their own within the shared folder; ``close`` deletes them
     once what is returned has been written elsewhere."""
@@ -219,9 +225,7 @@ def _written(df: DataFrame, path: str) -> DataFrame:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write as Parquet in the shared folder and read it back, until the driver ends."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _MADE.append((df.sparkSession, path))
-    return _written(df, path)
+    return _written(df, until_end(df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"))
 
 
 def column(name: str) -> Column:

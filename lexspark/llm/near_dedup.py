@@ -226,6 +226,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = SIMILARITY) -> D
     ``percent`` per cent Jaccard similarity over k-word shingles) and kept, a row per row of docs."""
     T.lean(docs.sparkSession)
     scratch = T.Scratch(docs.sparkSession)
+    try:
+        return T.materialize(_classes(docs, k, percent, scratch), "classes")
+    finally:
+        scratch.close()
+
+
+def _classes(docs: DataFrame, k: int, percent: int, scratch: T.Scratch) -> DataFrame:
     sigs = scratch.save(signatures(docs, k), "signatures")
     some = sigs.where("n_shingles > 0")
     # the smallest document of each distinct set stands for it
@@ -259,6 +266,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = SIMILARITY) -> D
     final = components(edges.union(own.distinct()), scratch)
     out = sigs.select("doc_id", "n_shingles").join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    out = T.materialize(out.withColumn("kept", F.col("doc_id") == F.col("component_id")), "classes")
-    scratch.close()
-    return out
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -108,6 +108,7 @@ def counts(docs: DataFrame, tokenizer: str, separator: int, block_bytes: int = B
     """doc_id, file, doc, n_tokens, ended: texts are written as flat files, which are scanned again."""
     spark = docs.sparkSession
     folder, order, width = write_files(docs, tokenizer, separator)
+    T.until_end(spark, folder)
     files = order.select("file").distinct()
     if not files.limit(1).count():
         return order.select("doc_id", "file", "doc", F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("boolean").alias("ended"))
