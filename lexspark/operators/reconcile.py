@@ -29,7 +29,8 @@ def symmetric_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def set_digest(df: DataFrame, by: str, key: str) -> DataFrame:
-    """Per group: count and sha256 of its ordered ids (a group's ids must fit in a row)."""
+    """Per group: count and sha256 of its ordered ids (a group's ids must fit in a row). The form is given: a hash of ids joined
+    in order is sequential, so it can't be the root of a tree; for sets of any size see ``digests`` and ``unordered_digest``."""
     return df.groupBy(by).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x.cast("string")), ",").cast("binary"), 256).alias("digest"))
 
 
