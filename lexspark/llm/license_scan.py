@@ -154,6 +154,8 @@ class Scanner:
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
         self.coders = {k: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict("\n".join(v).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False) for k, v in templates.items()}
         self.notices = {k: [_words(x) for x in v] for k, v in templates.items()}
+        # a notice's names and numbers don't differ, so a block without one of them needs no alignment
+        self.must = {k: [set(_digits(n)) | set(n) & _NAMES for n in v] for k, v in self.notices.items()}
         self.least = {k: MIN_SAVED * min((len(self.plain.compress(x.encode())) for x in v), default=0) for k, v in templates.items()}
         self.trigger = re.compile(TRIGGER)
         self.margin = max((math.ceil(len(n) * (1 + MAX_DIFF)) for v in self.notices.values() for n in v), default=0)
@@ -203,13 +205,14 @@ class Scanner:
         if got is None:
             got = []
             words = _words(block[1])
+            have = set(words)
             enough: dict[str, int] = {}
             for part in dict.fromkeys(block):
                 for saved, name in self.ranked(part):
                     if saved >= self.least[name]:
                         enough[name] = max(saved, enough.get(name, saved))
             for name, saved in sorted(enough.items(), key=lambda x: (-x[1], x[0])):
-                best = min((d for n in self.notices[name] if (d := _differences(n, words)) is not None), default=None)
+                best = min((d for n, must in zip(self.notices[name], self.must[name]) if must <= have and (d := _differences(n, words)) is not None), default=None)
                 if best is not None:
                     got.append({"license": name, "saved": saved, "missing": best[1], "added": best[2]})
             if len(self.cache) >= MAX_CACHE:
