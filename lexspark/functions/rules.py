@@ -43,6 +43,8 @@ SUMMARY_QUOTA = ("quota", "429", "high demand")
 SUMMARY_KEY_MISSING = ("api key", "key missing", "no gemini routes are locally available")
 ERROR_OF_STATUS = {"robots_disallowed": "crawl.robots_disallowed", "timeout": "crawl.timeout_response", "blocked": "crawl.blocked_403", "metadata_only": "extract.empty_text", "failed_summary": "summary.model_error"}
 ROUTE = r'(?:Gemini route |"route"\s*:\s*")([^/"\s]+)/key-\d+'
+# How messages say when to try again.
+RETRY = r"(?i)retry\s+(?:after|in)\s+([0-9.]+)\s*(ms|s|seconds?)"
 # Days to look back, least and most, by source; others have OTHER_DAYS at most.
 MOST_DAYS = {"es-tribunal-constitucional": 730, "de-bverfg": 90}
 OTHER_DAYS, SLACK_DAYS = 30, 2
@@ -168,9 +170,8 @@ def candidate_wait(attempts: Column, code: Column) -> Column:
 def summary_wait(message: Column, retry: Column, base_ms: int, most_ms: int) -> Column:
     """Milliseconds until a summary is tried again: the longest wait that the message asks for and two
     seconds, or the base doubled for each retry, whichever is longer, at most ``most_ms``."""
-    pattern = r"(?i)retry\s+(?:after|in)\s+([0-9.]+)\s*(ms|s|seconds?)"
     m = F.coalesce(message, F.lit(""))
-    said = F.zip_with(F.regexp_extract_all(m, F.lit(pattern), F.lit(1)), F.regexp_extract_all(m, F.lit(pattern), F.lit(2)), lambda v, u: v.try_cast("double") * F.when(F.lower(u) == "ms", 1.0).otherwise(1000.0))
+    said = F.zip_with(F.regexp_extract_all(m, F.lit(RETRY), F.lit(1)), F.regexp_extract_all(m, F.lit(RETRY), F.lit(2)), lambda v, u: v.try_cast("double") * F.when(F.lower(u) == "ms", 1.0).otherwise(1000.0))
     asked = F.array_max(F.filter(said, lambda x: x > 0)) + 2000
     doubled = float(min(most_ms, max(1000, base_ms))) * F.pow(F.lit(2.0), F.greatest(retry, F.lit(0)))
     return F.least(F.lit(float(most_ms)), F.greatest(F.coalesce(asked, F.lit(0.0)), doubled))

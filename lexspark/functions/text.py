@@ -103,15 +103,21 @@ def redact_secrets(c: Column) -> Column:
     return out
 
 
+# What agents say of devices and browsers, tested in this order.
+DEVICES = {"tablet": "(?i)ipad|tablet", "mobile": "(?i)mobile|iphone|ipod|android"}
+CHROME, FIREFOX, SERVER = "(?i)chrome|crios", "(?i)firefox|fxios", "(?i)node|undici"
+
+
 def device(agent: Column) -> Column:
     """tablet, mobile or desktop; null without an agent."""
-    return F.when(agent.rlike("(?i)ipad|tablet"), "tablet").when(agent.rlike("(?i)mobile|iphone|ipod|android"), "mobile").when(agent != "", "desktop")
+    return F.coalesce(*(F.when(agent.rlike(p), name) for name, p in DEVICES.items()), F.when(agent != "", "desktop"))
 
 
 def agent_family(agent: Column) -> Column:
     """The browser's family, Server or Other; null without an agent."""
-    safari = agent.rlike("(?i)safari") & ~agent.rlike("(?i)chrome|crios|android")
-    return F.when(agent.rlike("(?i)edg\\/"), "Edge").when(agent.rlike("(?i)chrome|crios"), "Chrome").when(agent.rlike("(?i)firefox|fxios"), "Firefox").when(safari, "Safari").when(agent.rlike("(?i)node|undici"), "Server").when(agent != "", "Other")
+    says = lambda p: agent.rlike(p)
+    families = {"Edge": says("(?i)edg/"), "Chrome": says(CHROME), "Firefox": says(FIREFOX), "Safari": says("(?i)safari") & ~says("(?i)android"), "Server": says(SERVER), "Other": agent != ""}
+    return F.coalesce(*(F.when(test, name) for name, test in families.items()))
 
 
 # What the agents of machines that read pages say of themselves.
