@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -47,43 +48,61 @@ def rate_limit(events: DataFrame, key: str, ts: str, order: str, seconds: int, l
 
 
 class _Windows(StatefulProcessor):
-    """A key's open window (start and hits so far) and the hits that the watermark has not reached."""
+    """A key's open window (start and hits so far), its one timer, and the hits that the watermark has not reached,
+    an entry for each batch that brought some."""
 
     def __init__(self, seconds: int, limit: int, columns: list[str], state: str):
         self.width, self.limit, self.columns, self.state = seconds * 1_000_000, limit, columns, state
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.window = handle.getValueState("window", "start long, n long")
+        self.window = handle.getValueState("window", "start long, n long, timer long")
         self.waiting = handle.getListState("waiting", self.state)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        hits = [tuple(r) for pdf in rows for r in pdf[["us", "at"]].itertuples(index=False)]
-        self.waiting.appendList(hits)
-        for t in {-(-int(us) // 1000) for us, _ in hits}:  # a millisecond's hits have one timer
-            self.handle.registerTimer(t)
+        pdf = pd.concat(list(rows))
+        us = pdf["us"].tolist()
+        self.waiting.appendValue((us, pdf["at"].tolist()))
+        start, n, timer = self._window()
+        self._wake(start, n, timer, -(-min(us) // 1000))
         yield from ()
 
+    def _window(self) -> tuple[int, int, int]:
+        """Start, hits and timer; no hits if none is open, a timer of -1 if none is set."""
+        return self.window.get() or (0, 0, -1)
+
+    def _wake(self, start: int, n: int, timer: int, at: int) -> None:
+        """Keep the window and see that the key's timer is not later than a time."""
+        if timer < 0 or at < timer:
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(at)
+            timer = at
+        self.window.update((start, n, timer))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        upto = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        hits = sorted((int(us), at) for us, at in self.waiting.get())
-        ready, later = [h for h in hits if h[0] <= upto], [h for h in hits if h[0] > upto]
-        start, n = self.window.get() if self.window.exists() else (0, 0)
+        # the watermark is where no earlier hit can come: all hits up to it are answered at once
+        upto = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
+        hits = sorted(h for us, at in self.waiting.get() for h in zip(us, at))
+        ready = bisect_right(hits, upto, key=lambda h: h[0])
+        later = hits[ready:]
+        start, n, _ = self._window()
         out = []
-        for us, at in ready:
+        for us, at in hits[:ready]:
             if not n or us >= start + self.width:
                 start, n = us, 0
             n += 1
             out.append((*key, at, start, n, n <= self.limit))
-        if later:
-            self.waiting.put(later)
-        else:
+        if not later:
             self.waiting.clear()
+        elif ready:
+            self.waiting.put([tuple(map(list, zip(*later)))])
         if n and upto >= start + self.width:  # the window is over: nothing of it is kept
+            start, n = 0, 0
+        if later or n:
+            self._wake(start, n, -1, -(-(later[0][0] if later else start + self.width) // 1000))
+        else:
             self.window.clear()
-        elif ready:
-            self.window.update((start, n))
-            self.handle.registerTimer(-(-(start + self.width) // 1000))
         if out:
             yield pd.DataFrame(out, columns=self.columns)
 
@@ -96,15 +115,16 @@ def rate_limit_stream(events: DataFrame, key: str, ts: str, order: str, seconds:
     the same hits.
 
     Hits wait until the watermark (``late`` behind the latest hit) has passed them, so those of a key may come in any order
-    within that time; what is later is dropped. A timer for each millisecond with hits answers them in order, and one at a
-    window's end forgets it, so state holds the hits of the last ``late`` and one window of each key that was
-    active. Needs the RocksDB state store (``session`` sets it)."""
+    within that time; what is later is dropped. A key has one timer, at its first waiting hit or else at its window's end: it
+    answers all hits that the watermark has passed, in order, and forgets a window that is over. So each hit is read from
+    state once for each batch that moves the watermark past some of its key's, and state holds the hits of the last
+    ``late`` and one window of each key that was active. Needs the RocksDB state store (``session`` sets it)."""
     at = events.schema[order].dataType.simpleString()
     kind = events.schema[key].dataType.simpleString()
     rows = events.select(key, F.col(order).alias("at"), F.col(ts).cast("timestamp").alias("event_time"))
     rows = rows.withWatermark("event_time", late).withColumn("us", F.unix_micros("event_time"))
     done = rows.groupBy(key).transformWithStateInPandas(
-        _Windows(seconds, limit, [key, order, "start", "n", "allowed"], f"us long, at {at}"), f"{key} {kind}, {order} {at}, start long, n long, allowed boolean", "append", "EventTime"
+        _Windows(seconds, limit, [key, order, "start", "n", "allowed"], f"us array<long>, at array<{at}>"), f"{key} {kind}, {order} {at}, start long, n long, allowed boolean", "append", "EventTime"
     )
     return done.select(key, order, F.timestamp_micros("start").cast("timestamp_ntz").alias("window_start"), "n", "allowed")
 

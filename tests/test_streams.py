@@ -3,8 +3,10 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from lexspark.streaming import jobs, stages
 
@@ -53,6 +55,71 @@ def test_limiter_forgets(spark, tmp_path):
     assert spark.read.parquet(out).count() >= 300 and kept[-1] < 30  # three hundred windows were open once
 
 
+def test_limiter_asks_state_once_for_all_hits_that_are_due():
+    """A key's hits that the watermark has passed cost one timer and one reading of state, however many they are."""
+
+    class State(list):
+        def __init__(self, calls):
+            super().__init__()
+            self.calls = calls
+
+        def get(self):
+            self.calls.append("get")
+            return iter(list(self))
+
+        def put(self, rows):
+            self[:] = rows
+
+        def appendList(self, rows):
+            self.extend(rows)
+
+        appendValue = list.append
+
+    class Value:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.calls = set(), []
+
+        def getValueState(self, name, schema):
+            return Value()
+
+        def getListState(self, name, schema):
+            return State(self.calls)
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.discard(at)
+
+    handle, w = Handle(), jobs._Windows(60, 2, ["u", "id", "start", "n", "allowed"], "")
+    w.init(handle)
+    times = [7_000_000 * i for i in range(1, 501)]
+    for part in (times[250:], times[:250]):  # the later ones first
+        assert not list(w.handleInputRows((1,), iter([pd.DataFrame({"us": part, "at": part})]), TimerValues(0, 0)))
+    got, watermark = [], 4_000_000
+    while any(t <= watermark for t in handle.timers):
+        t = min(handle.timers)
+        handle.timers.discard(t)
+        for pdf in w.handleExpiredTimer((1,), TimerValues(0, watermark), ExpiredTimerInfo(t)):
+            got += pdf["id"].tolist()
+    assert got == times and len(handle.calls) <= 2 and not handle.timers and not w.waiting and not w.window.exists()
+
+
 def _works(fail=()):
     def work(stage):
         def run(messages):
