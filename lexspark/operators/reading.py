@@ -199,7 +199,8 @@ def article_detail(articles: DataFrame, slug: str, links: DataFrame, tags: DataF
     so that tags are joined to one article."""
     one = articles.where(F.col("slug") == slug)
     one = one if public is None else one.where(_yes(public))
-    return with_tags(one.limit(1), links.join(F.broadcast(one.select(key).limit(1)), key, "left_semi"), tags, key)
+    one = one.orderBy(key).limit(1)  # read for the tags and for the article: the same one both times
+    return with_tags(one, links.join(F.broadcast(one.select(key)), key, "left_semi"), tags, key)
 
 
 def meta_page(found: DataFrame, sort: str, limit: int, offset: int = 0) -> DataFrame:

@@ -1,7 +1,10 @@
 """Queries that must read all of their input rows and texts."""
 
+from datetime import datetime
+
 import duckdb
 import pandas as pd
+import pytest
 
 from lexspark.plans import registry
 
@@ -21,3 +24,26 @@ def test_titles_are_whole(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     got = registry.QUERIES["nfkc_title_match"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in got] == [(1, title.lower().strip(), False)]
+
+
+def _order(key, cust, day="1997-01-01"):
+    return (key, cust, "F", 1.0, datetime.fromisoformat(day), "1-URGENT")
+
+
+_ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+
+
+def _both(spark, folder, name, **tables):
+    """A query's rows and those of its SQL."""
+    con = duckdb.connect()
+    for t, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{t}.parquet")
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
+    return sorted(map(tuple, registry.QUERIES[name](spark, str(folder)).collect())), sorted(con.execute(registry.ORACLES[name]).fetchall())
+
+
+@pytest.mark.parametrize("lines", [[(1, 7, 1)], [(2, 8, 3), (2, 7, 2), (2, 7, 1)], [(2, 9, 1)]])
+def test_article_without_tags_is_no_row(spark, tmp_path, lines):
+    parts = [(7, "Brand#1", "a"), (8, "Brand#0", "b"), (9, "Brand#2", None)]
+    got, want = _both(spark, tmp_path, "article_detail", orders=([_order(1, 1), _order(2, 1)], _ORDERS), lineitem=(lines, "l_orderkey long, l_partkey long, l_linenumber int"), part=(parts, "p_partkey long, p_brand string, p_name string"))
+    assert got == want
