@@ -81,14 +81,16 @@ def watchdog(runs: DataFrame, by: str, ts: str, ok: Column, now: datetime, silen
     return out.withColumn("state", state)
 
 
-def source_violations(sources: DataFrame, runs: DataFrame, now: datetime, warning_seconds: int, critical_seconds: int) -> DataFrame:
+def source_violations(sources: DataFrame, runs: DataFrame, now: datetime, warning_seconds: int, critical_seconds: int, tie: str | None = None) -> DataFrame:
     """key, severity: what is wrong with the last runs of registered sources.
 
-    sources: source; runs: source, status, outcome, started. The last run says whether a source failed or
+    sources: source; runs: source, status, outcome, started. Of runs that started together with one status, the one with
+    the smallest ``tie`` (a number, such as the run's id) is the last. The last run says whether a source failed or
     was degraded; a source without any is silent; one that is not running is stale by its last completed
     run."""
     at = F.lit(now).cast(runs.schema["started"].dataType)
-    last = runs.groupBy("source").agg(F.max_by(F.struct("status", "outcome"), F.struct("started", "status")).alias("r"), F.max(F.when(F.col("status") == "completed", F.col("started"))).alias("ok"))
+    order = F.struct("started", "status", *([] if tie is None else [-F.col(tie)]))
+    last = runs.groupBy("source").agg(F.max_by(F.struct("status", "outcome"), order).alias("r"), F.max(F.when(F.col("status") == "completed", F.col("started"))).alias("ok"))
     j = sources.join(last, "source", "left")
     status, outcome = F.col("r.status"), F.col("r.outcome")
     age = F.unix_timestamp(at) - F.unix_timestamp("ok")

@@ -186,10 +186,10 @@ UNION ALL SELECT 'workflow-heartbeat:' || source, CASE WHEN st IS NULL OR st = '
 )
 def watchdog_violations(orders, nation):
     """Sources whose last run failed, is silent or stale; a missed window; workflows without a heartbeat."""
-    runs = _given(_LAST_RUNS, orders=orders)
+    runs = _given(_LAST_RUNS.replace("SELECT", "SELECT o_orderkey AS id,", 1), orders=orders)
     sources = nation.select((F.col("n_nationkey") + 40).alias("source"))
     beats = runs.groupBy(F.col("source").alias("workflow")).agg(F.max(F.struct("started", "status")).alias("m")).select("workflow", F.col("m.status").alias("status"), F.col("m.started").alias("seen"))
-    found = [maintenance.source_violations(sources, runs, NOW, 86_400, 864_000), maintenance.missed_window(runs, datetime(2000, 1, 2), 24), maintenance.heartbeat_violations(sources.withColumnRenamed("source", "workflow"), beats, NOW, 43_200)]
+    found = [maintenance.source_violations(sources, runs, NOW, 86_400, 864_000, tie="id"), maintenance.missed_window(runs, datetime(2000, 1, 2), 24), maintenance.heartbeat_violations(sources.withColumnRenamed("source", "workflow"), beats, NOW, 43_200)]
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 

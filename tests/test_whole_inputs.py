@@ -47,3 +47,12 @@ def test_article_without_tags_is_no_row(spark, tmp_path, lines):
     parts = [(7, "Brand#1", "a"), (8, "Brand#0", "b"), (9, "Brand#2", None)]
     got, want = _both(spark, tmp_path, "article_detail", orders=([_order(1, 1), _order(2, 1)], _ORDERS), lineitem=(lines, "l_orderkey long, l_partkey long, l_linenumber int"), part=(parts, "p_partkey long, p_brand string, p_name string"))
     assert got == want
+
+
+def test_last_runs_that_are_equal_go_by_their_id(spark, tmp_path):
+    # runs of source 46, completed at one time: success, degraded, failed and none, the first by id being what counts
+    keys = [22, 5, 10, 35, 2, 15]
+    for n, first in enumerate(keys):
+        rows = [_order(k, 46, "1998-08-01") for k in sorted(k for k in keys if k >= first)]
+        got, want = _both(spark, tmp_path / str(n), "watchdog_violations", orders=(rows, _ORDERS), nation=([(6,)], "n_nationkey int"))
+        assert got == want
