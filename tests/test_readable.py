@@ -1,5 +1,8 @@
 """Text of pages by content scoring, on pages that don't say where it is."""
 
+import gc
+
+import pandas as pd
 import pytest
 
 from lexspark.sources import web
@@ -53,3 +56,17 @@ def test_odd_pages(html):
 def test_on_spark(spark):
     pages = spark.createDataFrame([(1, f"<title>T</title><div><p>{LONG}</p><p>{LONG}</p></div>"), (2, None), (1, "<p>x")], "page_id long, html string")
     assert sorted((r.page_id, r.title, len(r.text), r.found) for r in web.readable(pages).collect()) == [(1, "", 1, "body"), (1, "T", 2 * len(LONG.strip()) + 1, "scored"), (2, "", 0, "body")]
+
+
+def test_the_elements_of_one_page_are_held_at_a_time():
+    alive = []
+
+    def pages():
+        yield pd.DataFrame({"key": range(450), "html": [f"<title>t{i}</title><p>{LONG}{LONG}{LONG}</p>" for i in range(450)]})
+
+    keys = []
+    for got in web._read_pages(pages()):
+        alive.append(sum(isinstance(x, web._Page) for x in gc.get_objects()))
+        keys += got["key"].tolist()
+        assert len(got) <= web.READ_AT_A_TIME and got["title"].tolist() == [f"t{k}" for k in got["key"]]
+    assert keys == list(range(450)) and max(alive) <= 1
