@@ -69,6 +69,10 @@ def hourly(events: DataFrame, ts: str, kind: str) -> DataFrame:
     return events.groupBy(F.date_trunc("hour", ts).cast("timestamp_ntz").alias("bucket"), kind).agg(F.count("*").alias("n"), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"))
 
 
+#: So many groups' bounds are handed to all tasks; of more, groups meet their bounds by a shuffle.
+FEW_GROUPS = 10_000
+
+
 def percentiles(df: DataFrame, value: str, by: list[str], p: float, accuracy: int = 10_000) -> DataFrame:
     """Exact percentiles: nearest rank and linear interpolation; nulls don't count.
 
@@ -83,6 +87,9 @@ def percentiles(df: DataFrame, value: str, by: list[str], p: float, accuracy: in
     enough = [F.col("n") * (d - 1 / accuracy) >= 2 for d in slacks[:-1]]
     pick = lambda side: F.coalesce(*(F.when(ok, F.col("q")[2 * k + side]) for k, ok in enumerate(enough)), F.col("q")[2 * len(enough) + side])
     facts = facts.select(*by, "n", pick(0).alias("from_"), pick(1).alias("to_"))
+    few = facts.limit(FEW_GROUPS + 1).collect()  # one row for each group
+    if len(few) <= FEW_GROUPS:  # the rows stay where they are, and no task gets a whole group
+        facts = F.broadcast(df.sparkSession.createDataFrame(few, facts.schema))
     same = [F.col(f"x.{c}").eqNullSafe(F.col(f"f.{c}")) for c in by]
     near = v.alias("x").join(facts.alias("f"), same).where("v <= to_").select(*(F.col(f"x.{c}").alias(c) for c in by), F.when(F.col("v") >= F.col("from_"), F.col("v")).alias("v"), "n")
     counts = near.groupBy(*by, "v").agg(F.count("*").alias("c"), F.max("n").alias("n"))

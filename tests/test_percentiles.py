@@ -25,3 +25,11 @@ def test_percentiles(spark, p):
     assert set(got) == {None, *groups}
     for k, own in groups.items():
         assert got[k] == _plain(own, p), k
+
+
+def test_no_task_gets_a_whole_group(spark, monkeypatch):
+    rows = spark.range(5000).selectExpr("id % 3 as k", "cast(id * 7919 % 5000 as double) as v")
+    got = analytics.percentiles(rows, "v", ["k"], 0.95)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 1
+    monkeypatch.setattr(analytics, "FEW_GROUPS", 2)  # more groups than are handed to all tasks
+    assert sorted(map(tuple, analytics.percentiles(rows, "v", ["k"], 0.95).collect())) == sorted(map(tuple, got.collect()))
