@@ -82,9 +82,13 @@ def index(archives: DataFrame, suffix: str = ".xml", most: int = MEMBER_BYTES) -
 
 
 def read_members(members: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """path, member, bytes, sha256, text, error of indexed members: those of a range of a file are read on end."""
+    """path, member, bytes, sha256, text, error of indexed members: those of a range of a file are read on end.
+
+    An index row is small and what it leads to is not, so the partitions are a fixed number: by the bytes that are
+    shuffled, all of them would be joined to one."""
     placed = members.withColumn("range", F.expr(f"offset div {range_bytes}"))
-    rows = placed.repartition("path", "range").sortWithinPartitions("path", "offset")
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = placed.repartition(tasks, "path", "range").sortWithinPartitions("path", "offset")
 
     def run(batches):
         path, f, rows, size = None, None, [], 0
@@ -190,7 +194,10 @@ def xml_records(rows: DataFrame, xml: str = "text") -> DataFrame:
 
 
 def once(records: DataFrame) -> DataFrame:
-    """Whole records; an id that comes again, in any case, is an error of the later members (by path and name)."""
+    """Whole records; an id that comes again, in any case, is an error of the later members (by path and name).
+
+    The records are read twice, so they should be written before: a filter on error that moves down to the XML would
+    also parse it anew for each of its tests."""
     key = F.lower("record_id")
     first = records.where("error is null").groupBy(key.alias("k")).agg(F.min(F.struct("path", "member")).alias("first"))
     j = records.join(first, key == F.col("k"), "left")

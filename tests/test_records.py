@@ -167,3 +167,20 @@ def test_short_way_of_the_parser_is_the_long_one():
             p.feed(page)
             p.close()
         assert got.out == want.out, page
+
+
+def test_ranges_are_read_by_many_tasks(spark, tmp_path):
+    for i in range(12):
+        _tar(tmp_path / f"{i}.tar", [(f"{i}-{j}.xml", b"<x/>") for j in range(5)])
+    read = records.members(spark, str(tmp_path)).withColumn("task", F.spark_partition_id())
+    assert read.count() == 60 and read.select("task").distinct().count() > 1
+
+
+def test_xml_is_parsed_once(spark, tmp_path, monkeypatch):
+    from lexspark.plans import registry
+
+    spark.createDataFrame([(i, f"title {i}\nbody") for i in range(130)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    once, plans = records.once, []
+    monkeypatch.setattr(records, "once", lambda rows: plans.append(once(rows)) or plans[0])
+    assert registry.QUERIES["xml_records"](spark, str(tmp_path)).count() == 130
+    assert "from_xml" not in plans[0]._jdf.queryExecution().optimizedPlan().toString()
