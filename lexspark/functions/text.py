@@ -55,18 +55,27 @@ def dedup_keys(title: Column, date: Column, text: Column) -> tuple[Column, Colum
     return F.substring(F.sha2(F.concat_ws("|", title, date), 256), 1, 16), F.substring(F.sha2(F.substring(text, 1, 1500), 256), 1, 16)
 
 
+def once(c: Column, f) -> Column:
+    """f(c), with c evaluated once however often f uses it (an alias that is used often may be written out in each place)."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def canonical_url(c: Column) -> Column:
     """Lower-case scheme and host, no default port, no fragment, no tracking parameters, and no slash at
     a path's end (one, and not the root's). Parameters that stay are not encoded anew."""
-    bare = F.regexp_replace(F.trim(c), "#.*$", "")
     pattern = "^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)([^?]*)(?:\\?(.*))?$"
-    part = lambda k: F.regexp_extract(bare, pattern, k)
-    head = F.regexp_replace(F.lower(part(1)), "^(http://[^/]*):80$|^(https://[^/]*):443$", "$1$2")
-    path = F.when(part(2) == "", "/").otherwise(part(2))
-    path = F.when((F.length(path) > 1) & path.endswith("/"), F.regexp_replace(path, "/$", "")).otherwise(path)
-    own = F.filter(F.split(part(3), "&"), lambda p: ~F.lower(F.regexp_extract(p, "^([^=]*)", 1)).isin(*TRACKING))
-    query = F.array_join(own, "&")
-    return F.when(bare.rlike(pattern), F.concat(head, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))).otherwise(bare)
+
+    def query(said):
+        own = F.filter(F.split(said, "&"), lambda p: ~F.lower(F.substring_index(p, "=", 1)).isin(*TRACKING))
+        return F.when(said == "", "").otherwise(once(F.array_join(own, "&"), lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))))
+
+    def made(head, bare):
+        port = F.regexp_replace(head, "^(http://[^/]*):80$|^(https://[^/]*):443$", "$1$2")
+        path = once(F.regexp_extract(bare, pattern, 2), lambda p: F.when(p == "", "/").when((p != "/") & p.endswith("/"), F.regexp_replace(p, "/$", "")).otherwise(p))
+        return F.concat(port, path, once(F.regexp_extract(bare, pattern, 3), query))
+
+    bare = F.regexp_replace(F.trim(c), "#.*$", "")
+    return once(bare, lambda b: once(F.lower(F.regexp_extract(b, pattern, 1)), lambda head: F.when(head != "", made(head, b)).otherwise(b)))
 
 
 # What is taken out of search queries, and secrets that are taken out of logs.
@@ -153,11 +162,15 @@ def _day(year: Column, month: Column, day: Column) -> Column:
 def parse_date(c: Column) -> Column:
     """ISO, dd.MM.yyyy, German and French long dates, M/d/yy(yy), 'MMMM d, yyyy' and bare years; null
     where none fits."""
-    c = F.regexp_replace(F.trim(c), "\\s+", " ")
+    return once(F.regexp_replace(F.trim(c), "\\s+", " "), _parsed)
+
+
+def _parsed(c: Column) -> Column:
     one = lambda fmt: F.try_to_timestamp(c, F.lit(fmt))
     shaped = lambda pattern, fmt: F.when(c.rlike(pattern), one(fmt))
-    long = lambda i: F.regexp_extract(F.lower(c), "^(\\d{1,2})(?:er|\\.)?\\s+([a-zäöüéûôîïçàèù]+)\\s+(\\d{4})$", i)
-    localized = _day(F.nullif(long(3), F.lit("")), _month(MONTHS, long(2)), F.nullif(long(1), F.lit("")))
+    written = "^(\\d{1,2})(?:er|\\.)?\\s+([a-zäöüéûôîïçàèù]+)\\s+(\\d{4})$"
+    long = lambda i: F.regexp_extract(F.lower(c), written, i)
+    localized = F.when(F.lower(c).rlike(written), once(_month(MONTHS, long(2)), lambda m: _day(long(3), m, long(1))))
     return F.coalesce(
         shaped("^\\d{4}-\\d{2}-\\d{2}$", "yyyy-MM-dd"),
         F.when(c.rlike("^\\d{4}-\\d{2}-\\d{2}T"), F.try_to_timestamp(c)),
@@ -172,10 +185,16 @@ def parse_date(c: Column) -> Column:
 
 def parse_spanish_date(c: Column, year: Column | None = None) -> Column:
     """A date within a Spanish title (de 3 de marzo de 2021), the year given where the title has none."""
-    plain = F.translate(F.lower(F.regexp_replace(c, "\\s+", " ")), "áéíóúüñ", "aeiouun")
-    part = lambda i: F.nullif(F.regexp_extract(plain, "(?:^|\\b)de\\s+(\\d{1,2})\\s+de\\s+([a-z]+)(?:\\s+de\\s+(\\d{4}))?", i), F.lit(""))
-    when = F.coalesce(part(3).cast("int"), year if year is not None else F.lit(None).cast("int"))
-    return F.when(when >= 1900, _day(when, _month(SPANISH_MONTHS, part(2)), part(1)))
+    written = "(?:^|\\b)de\\s+(\\d{1,2})\\s+de\\s+([a-z]+)(?:\\s+de\\s+(\\d{4}))?"
+    said = F.regexp_extract(F.translate(F.lower(F.regexp_replace(c, "\\s+", " ")), "áéíóúüñ", "aeiouun"), written, 0)
+
+    def dated(said):
+        part = lambda i: F.regexp_extract(said, written, i)
+        when = F.coalesce(F.nullif(part(3), F.lit("")).cast("int"), year if year is not None else F.lit(None).cast("int"))
+        day = lambda y: once(_month(SPANISH_MONTHS, part(2)), lambda m: F.when(y >= 1900, _day(y, m, part(1))))
+        return F.when(said != "", once(when, day))
+
+    return once(said, dated)
 
 
 def embedding_text(summary: Column) -> Column:

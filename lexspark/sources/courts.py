@@ -9,15 +9,13 @@ written (``Grammar``)."""
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from html.parser import HTMLParser
-from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.functions import cases, text
-from lexspark.sources import web
+from lexspark.sources import markup, web
 
 
 @dataclass(frozen=True)
@@ -55,11 +53,11 @@ def _number(c: Column, n: Number) -> Column:
     return F.when(c.rlike(n.pattern), F.concat(*out))
 
 
-class _Cells(HTMLParser):
+class _Cells(markup.Parser):
     """Rows of tables: texts of cells, and links as (cell, href, text, title)."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.rows, self.cells, self.links, self.inside, self.link = [], [], [], False, None
 
     def handle_starttag(self, tag, attrs):
@@ -108,7 +106,7 @@ def table_links(pages: DataFrame) -> DataFrame:
                 for cells, links in p.rows:
                     for x in links:
                         try:
-                            rows.append((page, len(rows), cells, x["cell"], urljoin(url or "", x["href"]), x["text"], x["title"]))
+                            rows.append((page, len(rows), cells, x["cell"], markup.joined(url or "", x["href"]), x["text"], x["title"]))
                         except ValueError:  # not a URL
                             continue
             yield pd.DataFrame(rows, columns=["page_id", "place", "cells", "cell", "href", "anchor", "title"])
@@ -128,7 +126,7 @@ class Source:
 
     def _dated(self, near: Column, url: Column) -> Column:
         g = self.grammar
-        said = [text.parse_date(F.nullif(F.regexp_extract(near, p, 0), F.lit(""))) for p in g.dates]
+        said = [text.parse_date(F.regexp_extract(near, p, 0)) for p in g.dates]
         if g.spanish:
             year = F.regexp_extract(near, r"\b\d+/(\d{4})\b", 1).try_cast("int")
             said.append(text.parse_spanish_date(near, year))
@@ -155,7 +153,7 @@ class Source:
         else:
             found = web.links(own, selectors=self.selectors)
             got = found.select("page_id", F.lit(0).cast("long").alias("place"), F.col("href").alias("said"), "anchor", F.col("near"), F.lit(None).cast("string").alias("said_number"))
-        got = got.withColumn("url", text.canonical_url(F.col("said"))).where(self.is_decision(F.col("url")))
+        got = got.select("*", F.explode(F.filter(F.array(text.canonical_url(F.col("said"))), self.is_decision)).alias("url"))
         number = F.coalesce(F.nullif(F.col("said_number"), F.lit("")), self.numbered(F.col("anchor"), F.col("near"), F.col("url")))
         got = got.withColumns({"number": number, "published": self._dated(F.col("near"), F.col("url"))})
         first = F.min_by(F.struct("anchor", "number", "published"), F.struct("page_id", "place")).alias("r")

@@ -184,3 +184,35 @@ def test_xml_is_parsed_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(records, "once", lambda rows: plans.append(once(rows)) or plans[0])
     assert registry.QUERIES["xml_records"](spark, str(tmp_path)).count() == 130
     assert "from_xml" not in plans[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_url_is_made_once(spark):
+    from lexspark.plans import registry
+
+    plan = registry.QUERIES["court_items"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("trim(href") + plan.count("trim(said") == len(courts.SOURCES)
+
+
+def test_short_ways_of_urls_and_attributes():
+    from html.parser import HTMLParser
+    from urllib.parse import urljoin
+
+    from lexspark.sources import markup
+
+    bases = ("", "https://e.org", "https://e.org/a/b", "HTTP://E.org/x", "http://e.org:80?q", "https://u@e.org/x", "https://e.org/a;b?c", "ftp://e.org/", "//e.org/x", "https://[::1]/x")
+    paths = ("/a", "/a/", "/a/b.html#c", "/a?b=c&d=e", "/a?", "/a#", "/a/../b", "/./a", "//x/y", "/", "/a//b", "/a.", "/a..b/c", "/a;p", "/a?b#c", "?q", "#f", "a/b", "https://x.org/y", "/é", "/a b", "/a\n")
+    assert all(markup.joined(b, p) == urljoin(b, p) for b in bases for p in paths)
+
+    def seen(base, page):
+        class P(base):
+            def handle_starttag(self, tag, attrs):
+                out.append((tag, attrs))
+
+        out = []
+        p = P()
+        p.feed(page)
+        p.close()
+        return out
+
+    for page in ("<a href='/x' title=\"y z\">", "<a href=''>", "<a href='&amp;'>", "<a  href='x'>", "<a HREF='x'>", "<a href='x'/>", "<a href='x'title='y'>", "<a href='a>b'>", "<script src='x'><a href='y'>", "<a href='x' href='y'><td class='a b'>", "<a href=x>", "<a href>", "<a data-x='1'>", "<a href='x"):
+        assert seen(markup.Parser, page) == seen(HTMLParser, page), page
