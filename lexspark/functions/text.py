@@ -1,10 +1,10 @@
-"""Scalar text functions as column expressions; NFKC alone needs a pandas UDF."""
+"""Scalar text functions as column expressions; NFKC alone needs a UDF."""
 
 from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -13,10 +13,22 @@ from pyspark.sql.types import StringType
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "gclid", "fbclid", "searchparams")
 
 
-@F.pandas_udf(StringType())
-def nfkc(x: pd.Series) -> pd.Series:
-    """Unicode NFKC; keep it on short columns (titles, queries)."""
-    return x.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+#: Characters that NFKC leaves as they are, whatever stands before or after them, if all of a text is of these.
+LATIN, STABLE = "\\x00-\\x9f", "\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0400-\u0482\u2012-\u2015\u2018-\u201f\u2020-\u2022\u20ac\u3001-\u3003\u3008-\u3011\u3041-\u3096\u30a1-\u30fa\u30fc\u4e00-\u9fff\uac00-\ud7a3"
+NORMALIZED_AT_A_TIME = 200
+
+
+@F.arrow_udf(StringType())
+def _nfkc(x: pa.Array) -> pa.Array:
+    """As Python strings, a few texts are held at a time."""
+    few = (x.slice(at, NORMALIZED_AT_A_TIME).to_pylist() for at in range(0, len(x), NORMALIZED_AT_A_TIME))
+    parts = [pa.array([None if v is None else unicodedata.normalize("NFKC", v) for v in vs], pa.string()) for vs in few]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+def nfkc(c: Column) -> Column:
+    """Unicode NFKC. Only texts with a character that it may change go to Python."""
+    return F.coalesce(_nfkc(F.when(c.rlike(f"[^{LATIN}](?<![{STABLE}])"), c)), c)
 
 
 def collapse(c: Column) -> Column:

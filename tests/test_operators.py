@@ -165,3 +165,22 @@ def test_web(spark):
 def test_quality(spark):
     got = spark.range(1).select(quality.service_level(F.lit(None).cast("double"), 1, 2).alias("a"), quality.service_level(F.lit(2.0), 1, 2).alias("b"), text.redact_secrets(F.lit("Bearer abcdefghijklmnop1 password: x")).alias("c")).first()
     assert (got.a, got.b, got.c) == ("unknown", "critical", "Bearer [redacted] password: [redacted]")
+
+
+def test_only_texts_that_nfkc_changes_are_sent(spark):
+    import re
+    import unicodedata
+
+    stable = [chr(c) for c in range(0x110000) if re.match(f"[{text.LATIN}{text.STABLE}]".replace("\\\\", "\\"), chr(c))]
+    assert len(stable) > 30_000 and all(unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c) for c in stable)
+    assert all(unicodedata.normalize("NFKC", b + c) == b + c for b in "aAéЕか가" for c in stable)
+    said = ["ﬁ", "é", "각", "é", "𝐀", None, "", "x" * 1000 + "ª", "が", "«a» – 1½", "1 BvR 7/18"]
+    got = spark.createDataFrame(list(enumerate(said)), "k int, t string").select("k", text.nfkc(F.col("t"))).orderBy("k").collect()
+    assert [r[1] for r in got] == [None if t is None else unicodedata.normalize("NFKC", t) for t in said]
+
+
+def test_texts_are_normalized_once(spark):
+    from lexspark.plans import registry
+
+    plan = registry.QUERIES["legal_score"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") + plan.count("BatchEvalPython") == 1
